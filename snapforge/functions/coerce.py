@@ -21,7 +21,7 @@ DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy"]
 def coerce_date(c: Column | str, extra_formats: Iterable[str] = ()) -> Column:
     """P5: year-first then day-first dates, ``-`` or ``/``; blank or impossible dates -> null."""
     text = F.replace(strip(c), F.lit("/"), F.lit("-"))
-    parsed = [F.try_to_date(text, F.lit(fmt)) for fmt in [*DATE_FORMATS, *extra_formats]]
+    parsed = [F.try_to_date(text, fmt) for fmt in [*DATE_FORMATS, *extra_formats]]
     return F.when(text == "", F.lit(None).cast("date")).otherwise(F.coalesce(*parsed))
 
 

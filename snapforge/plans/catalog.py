@@ -6,6 +6,8 @@ import importlib
 
 _MODULES = [
     "snapforge.plans.q_snapshots",
+    "snapforge.plans.q_cleaning",
+    "snapforge.plans.q_validation",
 ]
 
 

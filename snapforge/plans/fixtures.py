@@ -308,3 +308,37 @@ def f8_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.col("p_name"), F.lit("\t"), F.col("p_brand"), F.lit("_sqldf")))
     )
     return p.select(k.alias("pos"), name.alias("name"))
+
+
+# --- F3 metadata: the upload's target table described in the metadata layout ---
+F3_METADATA_ROWS = [
+    # (pos, Tabelnaam, Veldnaam, Type, nullable)
+    (1, "orders_upload", "O OrderKey", "BIGINT", "false"),
+    (2, "orders_upload", "Amount  TXT", "DOUBLE", "false"),
+    (3, "orders_upload", "date_txt", "DATE", "false"),
+    (4, "orders_upload", " int_txt", "bigint", "true"),
+    (5, "orders_upload", "Bool_Txt", "BOOLEAN", None),
+    (6, "orders_upload", "note_txt", "VARCHAR", "false"),
+    (7, "orders_upload", "comment_txt", "STRING", "true"),
+]
+
+
+def f3_metadata(spark: SparkSession) -> DataFrame:
+    """Column metadata of the upload's table (one row per column; a schema description)."""
+    return spark.createDataFrame(
+        F3_METADATA_ROWS, "pos int, Tabelnaam string, Veldnaam string, Type string, nullable string"
+    )
+
+
+# --- timestamps as text (P9) --------------------------------------------------
+def ts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    m = F.col("o_orderkey") % 4
+    d = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"), F.lit(0), F.lit(0))
+    txt = (
+        F.when(m == 0, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
+        .when(m == 1, F.date_format(d, "yyyy-MM-dd"))
+        .when(m == 2, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"))
+        .otherwise(F.lit("not a date"))
+    )
+    return o.select("o_orderkey", txt.alias("ts_txt"))

@@ -94,3 +94,329 @@ SELECT * FROM ({F1_LATEST}) l
 WHERE "__KEY" IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 """,
 )
+
+
+# --- F8 names -------------------------------------------------------------------
+F8 = """
+SELECT pos, CASE pos % 10
+  WHEN 0 THEN lower(p_type) || '_' || y || mm || dd || '.csv'
+  WHEN 1 THEN '  ' || p_name || ' ' || dd || '-' || mm || '-' || y || ' '
+  WHEN 2 THEN y || ' ' || p_brand || '-' || p_name
+  WHEN 3 THEN '_' || upper(p_name) || '__' || CAST(pos AS VARCHAR) || '99' || '.CSV'
+  WHEN 4 THEN lower(p_type) || '_staging'
+  WHEN 5 THEN lower(p_type) || '_current'
+  WHEN 6 THEN lower(p_type) || '_backup_' || CAST(pos AS VARCHAR)
+  WHEN 7 THEN '`main`.`' || lower(p_type) || '`.`' || replace(p_name, ' ', '_') || '`'
+  WHEN 8 THEN lower(p_type) || '.' || replace(p_name, ' ', '_')
+  ELSE p_name || chr(9) || p_brand || '_sqldf' END AS name
+FROM (SELECT p_partkey AS pos, p_type, p_name, p_brand,
+             CAST(1995 + p_partkey % 30 AS VARCHAR) AS y,
+             lpad(CAST(1 + p_partkey % 12 AS VARCHAR), 2, '0') AS mm,
+             lpad(CAST(1 + p_partkey % 28 AS VARCHAR), 2, '0') AS dd
+      FROM part) p
+"""
+
+
+def d_date(x: str) -> str:
+    t = f"replace({strip(x)}, '/', '-')"
+    return (
+        f"CASE WHEN {strip(x)} = '' THEN NULL ELSE coalesce(CAST(try_strptime({t}, '%Y-%m-%d') AS DATE), "
+        f"CAST(try_strptime({t}, '%d-%m-%Y') AS DATE)) END"
+    )
+
+
+def d_int(x: str) -> str:
+    n = f"TRY_CAST({strip(x)} AS DECIMAL(38,10))"
+    return f"CASE WHEN {n} = floor({n}) THEN TRY_CAST({n} AS BIGINT) END"
+
+
+def d_dbl(x: str) -> str:
+    n = f"TRY_CAST(replace({strip(x)}, ',', '.') AS DOUBLE)"
+    return f"CASE WHEN isnan({n}) THEN NULL ELSE {n} END"
+
+
+def d_bool(x: str) -> str:
+    return f"coalesce(lower({strip(x)}) IN ('true', '1', 'yes', 'y', 't'), false)"
+
+
+def d_bool_strict(x: str) -> str:
+    t = f"lower({strip(x)})"
+    return f"CASE WHEN {t} IN ('true', '1') THEN true WHEN {t} IN ('false', '0') THEN false END"
+
+
+def d_norm(x: str) -> str:
+    return f"lower(regexp_replace({strip(x)}, '\\s+', '_', 'g'))"
+
+
+_AUDIT_SQL = "('__KEY', '__UPLOAD_TIMESTAMP', '__VERSION', '__VERSION_TIMESTAMP', '__UPLOADED_BY', '__UPLOAD_FILE_NAME')"
+
+oracle(
+    "normalize_name",
+    f"""SELECT pos, {d_norm('name')} AS norm,
+       CASE WHEN name IN {_AUDIT_SQL} THEN name ELSE lower(replace(name, ' ', '_')) END AS upload_norm
+FROM ({F8}) f""",
+)
+
+_CLEAN = """
+WITH a AS (SELECT pos, CASE WHEN lower(name) LIKE '%.csv' THEN left(name, length(name) - 4) ELSE name END AS n FROM ({F8}) f),
+b AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(n,
+        '(?i)(?:\\b\\d{{1,2}}[-_]\\d{{1,2}}[-_]\\d{{2,4}}\\b)', '', 'g'),
+        '\\b(?:19|20)\\d{{2}}\\b', '', 'g'),
+        '\\b\\d{{8,}}\\b', '', 'g') AS n FROM a),
+c AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(n,
+        '[-_\\s]+$', '', 'g'), '^[-_\\s]+', '', 'g'), '[-\\s]+', '_', 'g'), '__+', '_', 'g') AS n FROM b),
+d AS (SELECT pos, lower(regexp_replace(n, '^_+|_+$', '', 'g')) AS n FROM c)
+SELECT pos, CASE WHEN n = '' OR regexp_matches(n, '^[0-9]') THEN '_' || n ELSE n END AS clean FROM d
+"""
+oracle("clean_table_name", _CLEAN.format(F8=F8))
+
+oracle(
+    "short_table_name",
+    f"""SELECT pos, CASE WHEN len(string_split(c, '.')) = 3
+                  THEN string_split(c, '.')[2] || '.' || string_split(c, '.')[3] ELSE c END AS short
+FROM (SELECT pos, replace(name, '`', '') AS c FROM ({F8}) f) x""",
+)
+
+oracle(
+    "user_tables",
+    f"""SELECT DISTINCT name AS table_name, lower(name) AS sort_key FROM ({F8}) f
+WHERE NOT (lower({strip("coalesce(name, '')")}) = ''
+        OR suffix(lower({strip("coalesce(name, '')")}), '_staging')
+        OR suffix(lower({strip("coalesce(name, '')")}), '_current')
+        OR contains(lower({strip("coalesce(name, '')")}), '_backup'))""",
+)
+
+_READ_TOKENS = (
+    "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
+    "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
+)
+oracle(
+    "null_tokens",
+    f"""SELECT o_orderkey,
+       CASE WHEN comment_txt IN {_READ_TOKENS} THEN NULL ELSE comment_txt END AS comment_read,
+       CASE WHEN lower({strip('note_txt')}) IN ('', 'null', 'na', 'nan') THEN NULL ELSE note_txt END AS note_write
+FROM ({F3}) f""",
+)
+oracle(
+    "collapse_whitespace",
+    f"""SELECT o_orderkey, {strip("regexp_replace(comment_txt, '\\s+', ' ', 'g')")} AS comment FROM ({F3}) f""",
+)
+oracle("coerce_date", f"SELECT o_orderkey, {d_date('date_txt')} AS d FROM ({F3}) f")
+oracle("coerce_int", f"SELECT o_orderkey, {d_int('int_txt')} AS i FROM ({F3}) f")
+oracle("coerce_decimal", f"SELECT o_orderkey, {d_dbl('amount_txt')} AS amount FROM ({F3}) f")
+oracle(
+    "coerce_bool",
+    f"SELECT o_orderkey, {d_bool('bool_txt')} AS lenient, {d_bool_strict('bool_txt')} AS strict FROM ({F3}) f",
+)
+TS_TEXT = """
+SELECT o_orderkey, CASE o_orderkey % 4
+  WHEN 0 THEN strftime(d, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(d, '%Y-%m-%d')
+  WHEN 2 THEN strftime(d, '%Y-%m-%dT%H:%M:%S') ELSE 'not a date' END AS ts_txt
+FROM (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS d FROM orders) o
+"""
+oracle(
+    "coerce_timestamp",
+    f"""SELECT o_orderkey, CASE WHEN {strip('ts_txt')} = '' THEN NULL ELSE TRY_CAST({strip('ts_txt')} AS TIMESTAMP) END AS ts
+FROM ({TS_TEXT}) t""",
+)
+oracle("is_blank", f"SELECT o_orderkey, (note_txt IS NULL OR {strip('note_txt')} = '') AS note_blank FROM ({F3}) f")
+
+
+def _fixed(col: str, cleaned: str, pattern: str) -> str:
+    return (
+        f"SELECT '{col}' AS \"column\", CAST(sum(CASE WHEN {cleaned} IS NOT NULL AND NOT coalesce(regexp_matches({col}, '{pattern}'), false) "
+        f"THEN 1 ELSE 0 END) AS BIGINT) AS n_fixed FROM ({F3}) f"
+    )
+
+
+oracle(
+    "fix_report",
+    " UNION ALL ".join(
+        [
+            _fixed("amount_txt", d_dbl("amount_txt"), "^-?\\d+(\\.\\d+)?$"),
+            _fixed("date_txt", d_date("date_txt"), "^\\d{4}-\\d{2}-\\d{2}$"),
+            _fixed("int_txt", d_int("int_txt"), "^-?\\d+$"),
+            _fixed("bool_txt", d_bool("bool_txt"), "^(true|false)$"),
+        ]
+    ),
+)
+
+TYPED_F3 = f"""
+SELECT o_orderkey, {d_dbl('amount_txt')} AS amount_txt, {d_date('date_txt')} AS date_txt, {d_int('int_txt')} AS int_txt,
+       {d_bool('bool_txt')} AS bool_txt, note_txt, comment_txt
+FROM ({F3}) f
+"""
+oracle("apply_schema", TYPED_F3)
+oracle(
+    "align_columns",
+    f"""SELECT o_orderkey, CAST(NULL AS INTEGER) AS region_code, date_txt, amount_txt, bool_txt, note_txt FROM ({TYPED_F3}) t""",
+)
+oracle(
+    "stamp_audit",
+    f"""SELECT * REPLACE (CAST((SELECT max("__VERSION") + 1 FROM ({F1}) m) AS INTEGER) AS "__VERSION",
+                     TIMESTAMP '2025-01-01 00:00:00' AS "__VERSION_TIMESTAMP")
+FROM ({F1_LATEST}) l""",
+)
+oracle(
+    "assign_row_keys",
+    f"""SELECT * REPLACE (row_number() OVER (ORDER BY o_orderkey)
+                     + (SELECT coalesce(max("__KEY"), 0) FROM ({F1}) m WHERE "__KEY" <> 0) AS "__KEY")
+FROM ({F1_LATEST}) l""",
+)
+
+
+# --- V1-V9 -----------------------------------------------------------------------
+F6 = """
+SELECT p_partkey AS pos, 'erp' AS "Bron", p_brand AS "Tabelnaam", p_name || '  ' || CAST(p_partkey AS VARCHAR) AS "Veldnaam",
+  p_name AS "Beschrijving",
+  ['STRING', 'varchar', 'INTEGER', 'int', 'BIGINT', 'double', 'DECIMAL', 'boolean', 'DATE', 'timestamp', 'Decimal(10,2)', 'text'][p_size % 12 + 1] AS "Type",
+  CAST(p_size AS VARCHAR) AS "Lengte",
+  ['true', 'false', 'TRUE', NULL][p_partkey % 4 + 1] AS nullable,
+  CASE WHEN p_partkey % 10 = 0 THEN 'true' ELSE 'false' END AS "Uniek",
+  CASE p_partkey % 7 WHEN 0 THEN 'ck1' WHEN 1 THEN 'CK2 ' WHEN 2 THEN 'none' WHEN 3 THEN ' ' END AS "Composite_Key",
+  CASE p_partkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS not_editable,
+  CASE WHEN p_size = 1 THEN 'true' END AS valid_from,
+  CASE WHEN p_size = 2 THEN 'true' END AS valid_to,
+  CASE WHEN p_size = 3 THEN 'true' END AS validity_key
+FROM part
+"""
+
+oracle(
+    "check_columns",
+    f"""
+WITH t AS (SELECT DISTINCT "Tabelnaam" AS "table", {d_norm('"Veldnaam"')} AS "column" FROM ({F6}) f),
+u AS (SELECT DISTINCT * FROM (
+        SELECT "Tabelnaam" AS "table", {d_norm('"Veldnaam"')} AS "column" FROM ({F6}) f WHERE pos % 8 <> 0
+        UNION ALL
+        SELECT "Tabelnaam", {d_norm('"Veldnaam"')} || '_extra' FROM ({F6}) f WHERE pos % 9 = 0) x)
+SELECT coalesce(t."table", u."table") AS "table", coalesce(t."column", u."column") AS "column",
+       CASE WHEN u."column" IS NULL THEN 'missing' ELSE 'extra' END AS status,
+       CASE WHEN u."column" IS NULL THEN 'error' ELSE 'warning' END AS severity
+FROM t FULL OUTER JOIN u ON t."table" = u."table" AND t."column" = u."column"
+WHERE t."column" IS NULL OR u."column" IS NULL
+""",
+)
+
+
+def _type_sql(col: str, bad: str, detail: str) -> str:
+    return (
+        f"SELECT 'type' AS \"check\", '{col}' AS \"column\", CAST(o_orderkey AS BIGINT) AS \"row\", {strip(col)} AS value, "
+        f"'{detail}' AS detail FROM ({F3}) f WHERE {col} IS NOT NULL AND {strip(col)} <> '' AND ({bad})"
+    )
+
+
+TYPE_PROBLEMS = " UNION ALL ".join(
+    [
+        _type_sql("amount_txt", f"NOT regexp_matches({strip('amount_txt')}, '^-?\\d+([.,]\\d+)?([eE][-+]?\\d+)?$')", "expected decimal number"),
+        _type_sql("date_txt", f"{d_date('date_txt')} IS NULL", "not a valid DATE"),
+        _type_sql("int_txt", f"NOT regexp_matches({strip('int_txt')}, '^-?\\d+$')", "expected BIGINT"),
+        _type_sql("bool_txt", f"lower({strip('bool_txt')}) NOT IN ('true', 'false', '1', '0')", "expected BOOLEAN"),
+    ]
+)
+oracle("validate_types", TYPE_PROBLEMS)
+oracle("validate_types_summary", f'SELECT "column", count(*) AS n_bad FROM ({TYPE_PROBLEMS}) p GROUP BY 1')
+
+_BLANKS = f"""
+SELECT 'amount_txt' AS "column", CAST(o_orderkey AS BIGINT) AS "row" FROM ({TYPED_F3}) t WHERE amount_txt IS NULL OR isnan(amount_txt)
+UNION ALL SELECT 'date_txt', o_orderkey FROM ({TYPED_F3}) t WHERE date_txt IS NULL
+UNION ALL SELECT 'note_txt', o_orderkey FROM ({TYPED_F3}) t WHERE note_txt IS NULL OR {strip('note_txt')} = ''
+"""
+oracle("required_counts", f'SELECT "column", count(*) AS n_missing FROM ({_BLANKS}) b GROUP BY 1')
+oracle(
+    "required_rows",
+    f"""SELECT "column", "row" FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY "row") AS rn FROM ({_BLANKS}) b) x
+WHERE rn <= 200""",
+)
+oracle(
+    "duplicate_business_keys",
+    """SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem
+WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 ORDER BY l_orderkey, l_linenumber LIMIT 100""",
+)
+oracle(
+    "duplicate_key_groups",
+    f"""SELECT p_name, count(*) AS count FROM part WHERE p_name IS NOT NULL AND {strip('p_name')} <> ''
+GROUP BY p_name HAVING count(*) > 1""",
+)
+
+
+def d_fold(x: str) -> str:
+    return f"replace(lower({strip(x)}), 'ß', 'ss')"
+
+
+oracle(
+    "business_key_conflicts",
+    f"""
+WITH ex AS (SELECT c_custkey AS xk, {d_fold('c_name')} AS n0 FROM customer),
+nw AS (SELECT c_custkey AS "row", CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 100000 END AS "__KEY",
+              '  ' || upper(c_name) || ' ' AS c_name FROM customer),
+nn AS (SELECT "row", "__KEY", {d_fold('c_name')} AS n0 FROM nw WHERE c_name IS NOT NULL AND {strip('c_name')} <> '')
+SELECT "row", "__KEY", array_to_string(list_sort(list(DISTINCT xk))[1:10], ', ') AS conflict_keys
+FROM nn JOIN ex ON nn.n0 = ex.n0 WHERE xk IS DISTINCT FROM "__KEY" GROUP BY "row", "__KEY"
+""",
+)
+oracle(
+    "business_key_conflicts_typed",
+    f"""
+WITH ex AS (SELECT o_orderkey AS xk, TRY_CAST(CAST(o_custkey AS VARCHAR) AS DECIMAL(38,10)) AS n0, CAST(o_orderdate AS DATE) AS n1
+            FROM orders),
+nw AS (SELECT o_orderkey AS "row", o_orderkey + 1000000000 AS "__KEY", CAST(o_custkey AS VARCHAR) || '.0' AS ck,
+              strftime(o_orderdate, '%Y-%m-%d') AS od FROM orders),
+nn AS (SELECT "row", "__KEY", TRY_CAST({strip('ck')} AS DECIMAL(38,10)) AS n0, TRY_CAST({strip('od')} AS DATE) AS n1 FROM nw
+       WHERE ck IS NOT NULL AND {strip('ck')} <> '' AND od IS NOT NULL AND {strip('od')} <> '')
+SELECT "row", "__KEY", array_to_string(list_sort(list(DISTINCT xk))[1:10], ', ') AS conflict_keys
+FROM nn JOIN ex ON nn.n0 = ex.n0 AND nn.n1 = ex.n1 WHERE xk IS DISTINCT FROM "__KEY" GROUP BY "row", "__KEY"
+""",
+)
+
+OVERLAPS = f"""
+SELECT * EXCLUDE (_end) FROM (
+  SELECT *, max(_end) OVER w AS prev_max_end, lag(st) OVER w AS prev_st, lag(_end) OVER w AS prev_end,
+         lag(l_orderkey) OVER w AS prev_l_orderkey, lag(l_linenumber) OVER w AS prev_l_linenumber,
+         lag(l_suppkey) OVER w AS prev_l_suppkey, lag(l_extendedprice) OVER w AS prev_l_extendedprice
+  FROM (SELECT *, coalesce(en, DATE '2100-12-31') AS _end FROM ({F2}) f WHERE vk IS NOT NULL AND st IS NOT NULL) x
+  WINDOW w AS (PARTITION BY vk ORDER BY st, _end, l_orderkey, l_linenumber, l_suppkey, l_extendedprice
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+) y WHERE st <= prev_max_end
+"""
+oracle("overlapping_validity", OVERLAPS)
+oracle("overlapping_validity_keys", f"SELECT vk, count(*) AS n_conflicts FROM ({OVERLAPS}) o GROUP BY vk")
+
+_F2_ID = f"SELECT *, concat_ws('-', l_orderkey, l_linenumber, vk, l_suppkey) AS rid FROM ({F2}) f"
+oracle(
+    "validity_conflicts",
+    f"""
+WITH c AS (
+  SELECT rid, prev_rid FROM (
+    SELECT *, max(_end) OVER w AS pm, lag(rid) OVER w AS prev_rid
+    FROM (SELECT *, coalesce(en, DATE '2100-12-31') AS _end FROM ({_F2_ID}) f WHERE vk IS NOT NULL AND st IS NOT NULL) x
+    WINDOW w AS (PARTITION BY vk ORDER BY st, _end, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, rid
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) y
+  WHERE st <= pm),
+n AS (SELECT rid FROM ({_F2_ID}) f WHERE l_linestatus = 'O')
+SELECT n.rid, c.prev_rid AS partner, 'prev' AS relation FROM n JOIN c ON n.rid = c.rid
+UNION ALL
+SELECT n.rid, c.rid AS partner, 'next' AS relation FROM n JOIN c ON n.rid = c.prev_rid
+""",
+)
+oracle(
+    "row_count_delta",
+    f"""
+WITH x AS (SELECT (SELECT count(*) FROM orders) AS upload_rows,
+                  (SELECT count(DISTINCT "__KEY") FROM ({F1_LATEST}) l WHERE "__KEY" <> 0) AS previous_rows)
+SELECT upload_rows, previous_rows, upload_rows - previous_rows AS diff,
+       CASE WHEN previous_rows = 0 THEN 'no previous' WHEN upload_rows > previous_rows THEN 'more'
+            WHEN upload_rows < previous_rows THEN 'fewer' ELSE 'same' END AS label FROM x
+""",
+)
+_REPORT = f"""
+SELECT 2 AS stage, "check", "column" FROM ({TYPE_PROBLEMS}) p
+UNION ALL SELECT 3, 'required', "column" FROM ({_BLANKS}) b
+UNION ALL SELECT 4, 'duplicate', 'date_txt' FROM (SELECT date_txt FROM ({TYPED_F3}) t WHERE date_txt IS NOT NULL
+                                                  GROUP BY date_txt HAVING count(*) > 1) d
+"""
+oracle("validation_report", f'SELECT stage, "check", "column", count(*) AS n FROM ({_REPORT}) r GROUP BY ALL')
+oracle(
+    "validation_first_stage",
+    f'SELECT stage, "check", "column", count(*) AS n FROM ({_REPORT}) r WHERE stage = (SELECT min(stage) FROM ({_REPORT}) m) GROUP BY ALL',
+)
