@@ -25,6 +25,7 @@ from snapforge.functions.coerce import coerce_date, coerce_timestamp
 from snapforge.functions.text import casefold, is_blank, strip
 from snapforge.functions.types import ddl_class
 from snapforge.operators.snapshots import snapshot_row_count
+from snapforge.session import checkpoint_dir
 
 PROBLEM_COLS = ["check", "column", "row", "value", "detail"]
 # Decision D6: the decimal pattern also takes an exponent, so float text such as
@@ -254,8 +255,12 @@ def overlapping_validity(
         return _finish_validity(out.where(F.col(start) <= F.col("prev_max_end")))
 
     n = num_partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = x.repartitionByRange(n, key, *order_cols).withColumn("_p", F.spark_partition_id())
-    rest = [c for c in x.columns if c not in (key, *order_cols)]
+    # The range bounds come from sampling, and each evaluation of the exchange samples
+    # anew; the partition ids must be the same for the rows and for the carry table, so
+    # the range-partitioned rows are written once to the shared checkpoint folder
+    # (reliable: a lost executor re-reads them instead of re-sampling).
+    checkpoint_dir(df.sparkSession)
+    ranged = x.repartitionByRange(n, key, *order_cols).withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
 
     # local scan inside each (key, range partition): bounded by the partition size
     w = Window.partitionBy(key, "_p").orderBy(*order_cols)
@@ -267,13 +272,7 @@ def overlapping_validity(
     summary = ranged.groupBy("_p").agg(
         F.min(key).alias("_first"),
         F.max(F.struct(F.col(key).alias("k"), F.col("_end").alias("e"))).alias("_last_ke"),
-        # every column of ``ranged`` is referenced here, so both consumers read the same
-        # range exchange and Spark reuses it: one sample, one set of range bounds
-        F.max(F.struct(
-            F.col(key).alias("k"),
-            *[F.col(c).alias(f"c{i}") for i, c in enumerate(order_cols)],
-            *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)],
-        )).alias("_last_row"),
+        F.max(F.struct(F.col(key).alias("k"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(order_cols)])).alias("_last_row"),
     )
     by_last = Window.partitionBy(F.col("_last_ke.k")).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     summary = summary.withColumn("_run_max", F.max(F.col("_last_ke.e")).over(by_last))
