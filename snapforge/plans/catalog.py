@@ -8,6 +8,8 @@ _MODULES = [
     "snapforge.plans.q_snapshots",
     "snapforge.plans.q_cleaning",
     "snapforge.plans.q_validation",
+    "snapforge.plans.q_publish",
+    "snapforge.plans.q_review",
 ]
 
 

@@ -420,3 +420,190 @@ oracle(
     "validation_first_stage",
     f'SELECT stage, "check", "column", count(*) AS n FROM ({_REPORT}) r WHERE stage = (SELECT min(stage) FROM ({_REPORT}) m) GROUP BY ALL',
 )
+
+
+# --- W1-W6 -----------------------------------------------------------------------
+_TS = "TIMESTAMP '2025-01-01 00:00:00'"
+_NV = f'CAST((SELECT max("__VERSION") + 1 FROM ({F1}) m) AS INTEGER)'
+_MK = f'(SELECT coalesce(max("__KEY"), 0) FROM ({F1}) m WHERE "__KEY" <> 0)'
+_CARRIED = f'SELECT * REPLACE ({_NV} AS "__VERSION", {_TS} AS "__VERSION_TIMESTAMP") FROM ({F1_LATEST}) l'
+_R4 = f"""SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY "__KEY" ORDER BY "__UPLOAD_TIMESTAMP" DESC, o_orderkey DESC) AS rn
+  FROM ({F1_LATEST}) l WHERE "__KEY" <> 0) t WHERE rn = 1"""
+
+oracle(
+    "publish_add",
+    f"""
+WITH f1 AS ({F1}), l AS ({F1_LATEST}),
+gone AS (SELECT * FROM f1 WHERE "__VERSION" = (SELECT max("__VERSION") - 1 FROM f1)
+         AND "__KEY" NOT IN (SELECT "__KEY" FROM l))
+{_CARRIED}
+UNION ALL
+SELECT CAST({_MK} + row_number() OVER (ORDER BY o_orderkey) AS BIGINT), o_orderkey, o_orderstatus, o_orderpriority, o_totalprice,
+       {_TS}, {_NV}, {_TS}, 'publisher', 'ui-single-add' FROM gone
+""",
+)
+oracle(
+    "publish_edit",
+    f"""
+WITH r4 AS ({_R4}),
+e AS (SELECT "__KEY", o_orderkey, '1-URGENT' AS o_orderpriority, o_totalprice + 1 AS o_totalprice, o_orderstatus AS kept
+      FROM r4 WHERE o_orderstatus = 'O')
+SELECT * FROM ({_CARRIED}) c WHERE "__KEY" NOT IN (SELECT "__KEY" FROM e)
+UNION ALL
+SELECT "__KEY", o_orderkey, kept, o_orderpriority, o_totalprice, {_TS}, {_NV}, {_TS}, 'publisher', 'ui-single-update' FROM e
+""",
+)
+oracle(
+    "publish_delete",
+    f"""SELECT * FROM ({_CARRIED}) c
+WHERE "__KEY" NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')""",
+)
+oracle(
+    "empty_snapshot_marker",
+    f"""
+WITH rem AS (SELECT * FROM ({_CARRIED}) c WHERE "__KEY" NOT IN (SELECT c_custkey FROM customer))
+SELECT * FROM rem
+UNION ALL
+SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), '__EMPTY_SNAPSHOT__', CAST(NULL AS VARCHAR), CAST(0.0 AS DOUBLE),
+       {_TS}, {_NV}, {_TS}, 'publisher', 'ui-delete-empty-snapshot'
+WHERE (SELECT count(*) FROM rem) = 0
+""",
+)
+oracle(
+    "publish_bulk",
+    f"""SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS "__KEY", o_orderkey, o_orderstatus, o_orderpriority,
+       o_totalprice, {_TS} AS "__UPLOAD_TIMESTAMP", {_NV} AS "__VERSION", {_TS} AS "__VERSION_TIMESTAMP",
+       'publisher' AS "__UPLOADED_BY", 'orders_bulk.csv' AS "__UPLOAD_FILE_NAME"
+FROM ({F1_LATEST}) l""",
+)
+
+F7 = """
+SELECT 'erp' AS "Bron", "Tabelnaam",
+  CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END AS bulk_insert,
+  CASE WHEN n % 3 = 0 THEN 'false' ELSE ' TRUE ' END AS single_insert,
+  CASE WHEN n % 4 = 0 THEN 'true' WHEN n % 4 = 1 THEN NULL ELSE 'false' END AS review_required
+FROM (SELECT DISTINCT p_brand AS "Tabelnaam", CAST(substring(p_brand, 7, 3) AS INTEGER) AS n FROM part) p
+"""
+
+
+def d_flag(x: str, default: bool) -> str:
+    return f"CASE WHEN {x} IS NULL THEN {str(default).lower()} ELSE lower({strip(x)}) = 'true' END"
+
+
+oracle(
+    "route_changes",
+    f"""
+WITH ch AS (SELECT event_id, 'Brand#' || CAST(user_id % 26 + 1 AS VARCHAR) AS "table",
+                   CASE event_type WHEN 'purchase' THEN 'bulk' WHEN 'view' THEN 'delete' ELSE 'single_update' END AS change_type
+            FROM events),
+c AS (SELECT "Tabelnaam" AS "table", {d_flag('single_insert', True)} AS si, {d_flag('bulk_insert', True)} AS bi,
+             {d_flag('review_required', False)} AS rr FROM ({F7}) f)
+SELECT ch."table", event_id, change_type,
+  CASE WHEN (starts_with(change_type, 'single') AND NOT coalesce(si, true)) OR (change_type = 'bulk' AND NOT coalesce(bi, true)) THEN 'blocked'
+       WHEN coalesce(rr, false) THEN 'review' ELSE 'publish' END AS route
+FROM ch LEFT JOIN c ON ch."table" = c."table"
+""",
+)
+
+
+# --- C1-C12 -------------------------------------------------------------------------
+STAGING = f"""SELECT 'cr-' || lpad(CAST(o_orderkey % 250 AS VARCHAR), 6, '0') AS "__CR_ID", * FROM ({F1}) f"""
+_SC = f'SELECT "__CR_ID" AS cr_id, count(*) AS staged FROM ({STAGING}) s GROUP BY 1'
+LOG = f"""
+WITH e AS (SELECT *, CAST(floor(event_id / 4) AS BIGINT) AS crn,
+                  CASE WHEN event_id % 4 = 0 THEN 'submit' WHEN event_type = 'purchase' THEN 'approve'
+                       WHEN event_type = 'error' THEN 'reject' WHEN event_type = 'signup' THEN 'cancel' ELSE 'noop' END AS act
+           FROM events)
+SELECT 'cr-' || lpad(CAST(crn AS VARCHAR), 6, '0') AS cr_id, event_id AS seq, act AS event,
+       'user_' || CAST(user_id AS VARCHAR) AS actor, ts,
+       CASE WHEN act = 'submit' THEN 'main.ref.table_' || CAST(crn % 5 AS VARCHAR) END AS target_table,
+       CASE WHEN act = 'submit' THEN ['single_add', 'single_update', 'bulk'][crn % 3 + 1] END AS change_type,
+       CASE WHEN act = 'submit' THEN props END AS note,
+       CASE WHEN act = 'reject' THEN props END AS reason,
+       CASE WHEN act = 'submit' THEN CAST(coalesce(sc.staged, 0) AS INTEGER) END AS row_count
+FROM e LEFT JOIN ({_SC}) sc ON sc.cr_id = 'cr-' || lpad(CAST(crn AS VARCHAR), 6, '0')
+"""
+
+
+def _fold(with_staging: bool) -> str:
+    staged_cond = "AND (event <> 'approve' OR coalesce(staged, 0) > 0)" if with_staging else ""
+    return f"""
+log AS ({LOG}),
+subs AS (SELECT cr_id, seq AS submit_seq, actor AS submitted_by, ts AS submitted_ts, target_table, change_type, note, row_count
+         FROM (SELECT *, row_number() OVER (PARTITION BY cr_id ORDER BY seq) AS rn FROM log WHERE event = 'submit') x WHERE rn = 1),
+term AS (SELECT t.cr_id, t.seq, t.event, t.actor, t.ts, t.reason, s.submit_seq, s.submitted_by, sc.staged
+         FROM log t LEFT JOIN subs s ON t.cr_id = s.cr_id LEFT JOIN ({_SC}) sc ON t.cr_id = sc.cr_id
+         WHERE t.event IN ('approve', 'reject', 'cancel')),
+valid AS (SELECT * FROM term WHERE submit_seq IS NOT NULL AND seq > submit_seq
+          AND (event = 'cancel' OR actor <> submitted_by) {staged_cond}),
+dec AS (SELECT cr_id, seq AS decision_seq, event AS decision, actor AS decided_by, ts AS decided_ts, reason
+        FROM (SELECT *, row_number() OVER (PARTITION BY cr_id ORDER BY seq) AS rn FROM valid) v WHERE rn = 1)
+"""
+
+
+_STATUS = (
+    "CASE decision WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'cancel' THEN 'cancelled' ELSE 'pending' END"
+)
+VIEW = f"""
+WITH {_fold(True)}
+SELECT s.cr_id, target_table, change_type, submitted_by, submitted_ts,
+       CASE WHEN decision = 'approve' THEN decided_by END AS approved_by,
+       CASE WHEN decision = 'approve' THEN decided_ts END AS approved_ts,
+       CASE WHEN decision = 'reject' THEN decided_by END AS rejected_by,
+       CASE WHEN decision = 'reject' THEN decided_ts END AS rejected_ts,
+       {_STATUS} AS status, note, row_count,
+       CASE WHEN decision = 'reject' THEN reason END AS rejection_reason
+FROM subs s LEFT JOIN dec d ON s.cr_id = d.cr_id
+"""
+oracle("change_requests", VIEW)
+STATUS_NO_STAGING = f"WITH {_fold(False)} SELECT s.cr_id, {_STATUS} AS status FROM subs s LEFT JOIN dec d ON s.cr_id = d.cr_id"
+STATUS_STAGING = f"WITH {_fold(True)} SELECT s.cr_id, {_STATUS} AS status FROM subs s LEFT JOIN dec d ON s.cr_id = d.cr_id"
+oracle("cr_status", STATUS_NO_STAGING)
+oracle("cr_status_counts", f"SELECT status, count(*) AS n FROM ({STATUS_NO_STAGING}) s GROUP BY 1")
+oracle(
+    "list_changes",
+    f"SELECT * FROM ({VIEW}) v WHERE target_table = 'main.ref.table_1' AND status = 'pending' ORDER BY submitted_ts DESC",
+)
+oracle("changed_tables", f"SELECT DISTINCT target_table FROM ({VIEW}) v")
+oracle("submitters", f"SELECT DISTINCT submitted_by FROM ({VIEW}) v")
+oracle(
+    "pending_count",
+    f"SELECT count(*) FILTER (WHERE status = 'pending') AS pending FROM ({VIEW}) v WHERE target_table = 'main.ref.table_2'",
+)
+oracle("stage_rows", STAGING)
+oracle(
+    "staged_rows",
+    f"""SELECT * EXCLUDE ("__CR_ID") FROM ({STAGING}) s
+WHERE "__CR_ID" IN (SELECT cr_id FROM ({STATUS_STAGING}) x WHERE status = 'pending')""",
+)
+oracle(
+    "submit_change",
+    f"""SELECT 'cr-new' AS cr_id, CAST((SELECT coalesce(max(event_id), -1) + 1 FROM events) AS BIGINT) AS seq,
+       'submit' AS event, 'publisher' AS actor, TIMESTAMP '2025-01-01 00:00:00' AS ts, 'main.ref.orders' AS target_table,
+       'bulk' AS change_type, 'bulk reload' AS note,
+       CAST((SELECT count(*) FROM ({F1_LATEST}) l) AS INTEGER) AS row_count, CAST(NULL AS VARCHAR) AS reason""",
+)
+
+
+def _decide_sql(event: str, self_label: str | None, done: str) -> str:
+    self_case = f"WHEN req.actor = req.submitted_by THEN '{self_label}'" if self_label else ""
+    staged_case = "WHEN coalesce(req.staged, 0) = 0 THEN 'no_staged_rows'" if event == "approve" else ""
+    return f"""
+WITH {_fold(True)}
+SELECT req.cr_id, req.seq, req.actor,
+       CASE WHEN req.submit_seq IS NULL THEN 'not_found' {self_case}
+            WHEN d.decision_seq < req.seq THEN 'not_pending' {staged_case} ELSE '{done}' END AS outcome
+FROM term req LEFT JOIN dec d ON req.cr_id = d.cr_id
+WHERE req.event = '{event}'
+"""
+
+
+oracle("approve_decisions", _decide_sql("approve", "self_approval", "approved"))
+oracle("reject_decisions", _decide_sql("reject", "self_rejection", "rejected"))
+oracle("cancel_decisions", _decide_sql("cancel", None, "cancelled"))
+oracle(
+    "approved_rows",
+    f"""SELECT * EXCLUDE ("__CR_ID") FROM ({STAGING}) s
+WHERE "__CR_ID" IN (SELECT cr_id FROM ({STATUS_STAGING}) x WHERE status = 'approved')""",
+)
