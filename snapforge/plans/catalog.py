@@ -10,6 +10,7 @@ _MODULES = [
     "snapforge.plans.q_validation",
     "snapforge.plans.q_publish",
     "snapforge.plans.q_review",
+    "snapforge.plans.q_metadata",
 ]
 
 

@@ -342,3 +342,39 @@ def ts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("not a date"))
     )
     return o.select("o_orderkey", txt.alias("ts_txt"))
+
+
+# --- F7 recorded state: properties of the tables that exist ---------------------
+def f7_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded properties (table, key, value) of existing tables: brands with number % 3 = 0
+    are unchanged, % 3 = 1 carry an older column fingerprint and a flipped bulk_insert,
+    % 3 = 2 do not exist."""
+    from snapforge.functions.names import clean_table_name
+    from snapforge.functions.text import strip
+    from snapforge.operators.metadata import column_fingerprint, config_fingerprint
+
+    md, cfg = f6_metadata(spark, sf_dir), f7_config(spark, sf_dir)
+    fp = column_fingerprint(md).join(config_fingerprint(cfg), "Tabelnaam").join(cfg, "Tabelnaam")
+    state = f7_state(F.col("Tabelnaam"))
+    changed = state == "changed"
+    col_fp = F.when(changed, F.sha2(F.concat(F.lit("old"), F.col("column_metadata_fingerprint")), 256)).otherwise(
+        F.col("column_metadata_fingerprint")
+    )
+    bulk = strip("bulk_insert")
+    bulk = F.when(changed, F.when(bulk == "true", F.lit("false")).otherwise(F.lit("true"))).otherwise(bulk)
+    rows = fp.where(state != "missing").select(
+        clean_table_name("Tabelnaam").alias("table"),
+        F.explode(F.array(
+            F.struct(F.lit("column_metadata_fingerprint").alias("key"), col_fp.alias("value")),
+            F.struct(F.lit("table_config_fingerprint").alias("key"), F.col("table_config_fingerprint").alias("value")),
+            F.struct(F.lit("bulk_insert").alias("key"), bulk.alias("value")),
+            F.struct(F.lit("single_insert").alias("key"), strip("single_insert").alias("value")),
+        )).alias("kv"),
+    )
+    return rows.select("table", "kv.key", "kv.value")
+
+
+def f7_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table inventory: the existing tables plus a ``_current`` helper table for each."""
+    t = f7_recorded(spark, sf_dir).select("table").distinct()
+    return t.select(F.col("table").alias("name")).unionByName(t.select(F.concat("table", F.lit("_current")).alias("name")))

@@ -607,3 +607,178 @@ oracle(
     f"""SELECT * EXCLUDE ("__CR_ID") FROM ({STAGING}) s
 WHERE "__CR_ID" IN (SELECT cr_id FROM ({STATUS_STAGING}) x WHERE status = 'approved')""",
 )
+
+
+# --- M1-M9, M13 -----------------------------------------------------------------------
+def d_clean(x: str) -> str:
+    n = f"CASE WHEN lower({x}) LIKE '%.csv' THEN left({x}, length({x}) - 4) ELSE {x} END"
+    for pat, rep in [
+        ("(?i)(?:\\b\\d{1,2}[-_]\\d{1,2}[-_]\\d{2,4}\\b)", ""),
+        ("\\b(?:19|20)\\d{2}\\b", ""),
+        ("\\b\\d{8,}\\b", ""),
+        ("[-_\\s]+$", ""),
+        ("^[-_\\s]+", ""),
+        ("[-\\s]+", "_"),
+        ("__+", "_"),
+        ("^_+|_+$", ""),
+    ]:
+        n = f"regexp_replace({n}, '{pat}', '{rep}', 'g')"
+    n = f"lower({n})"
+    return f"(CASE WHEN {n} = '' OR regexp_matches({n}, '^[0-9]') THEN '_' || {n} ELSE {n} END)"
+
+
+def d_text(x: str) -> str:
+    return strip(f"coalesce({x}, 'None')")
+
+
+_MD_NAMES = f'SELECT "Tabelnaam", pos, {d_norm(chr(34) + "Veldnaam" + chr(34))} AS name, * EXCLUDE ("Tabelnaam", pos) FROM ({F6}) f'
+BK_GROUPS = f"""
+SELECT "Tabelnaam", key_group, string_agg(name, ',' ORDER BY pos) AS key_columns, min(pos) AS first_pos FROM (
+  SELECT "Tabelnaam", pos, name,
+         CASE WHEN lower({d_text('"Uniek"')}) = 'true' THEN 'single_keys'
+              WHEN upper({d_text('"Composite_Key"')}) NOT IN ('', 'NONE') THEN 'composite_key_' || upper({d_text('"Composite_Key"')}) END AS key_group
+  FROM ({_MD_NAMES}) m) g
+WHERE key_group IS NOT NULL GROUP BY ALL
+"""
+oracle("business_keys", BK_GROUPS)
+BK_PROP = f"""
+SELECT "Tabelnaam", key_columns AS business_keys FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Tabelnaam" ORDER BY (key_group <> 'single_keys') DESC, first_pos DESC) AS rn
+  FROM ({BK_GROUPS}) g) x WHERE rn = 1
+"""
+oracle("business_key_property", BK_PROP)
+_FLAG_ROWS = " UNION ALL ".join(
+    f"SELECT \"Tabelnaam\", '{prop}' AS property, pos, name FROM ({_MD_NAMES}) m WHERE lower({d_text(src)}) = '{val}'"
+    for src, val, prop in [
+        ("nullable", "true", "nullable_columns"),
+        ("nullable", "false", "not_null_columns"),
+        ("not_editable", "true", "not_editable"),
+        ("valid_from", "true", "valid_from"),
+        ("valid_to", "true", "valid_to"),
+        ("validity_key", "true", "validity_key"),
+    ]
+)
+FLAGS = f"SELECT \"Tabelnaam\", property, string_agg(name, ',' ORDER BY pos) AS value FROM ({_FLAG_ROWS}) r GROUP BY ALL"
+oracle("column_flags", FLAGS)
+CFG_VALUES = "SELECT \"Tabelnaam\", property, value FROM (" + " UNION ALL ".join(
+    f"SELECT \"Tabelnaam\", '{c}' AS property, {strip(c)} AS value FROM ({F7}) c"
+    for c in ["bulk_insert", "single_insert", "review_required"]
+) + ") v WHERE value IS NOT NULL AND value <> ''"
+oracle("config_values", CFG_VALUES)
+FPC = f"""SELECT "Tabelnaam", sha256(CAST(to_json(list({{'Composite_Key': "Composite_Key", 'Tabelnaam': "Tabelnaam", 'Type': "Type",
+  'Uniek': "Uniek", 'Veldnaam': "Veldnaam", 'not_editable': not_editable, 'nullable': nullable, 'valid_from': valid_from,
+  'valid_to': valid_to, 'validity_key': validity_key}} ORDER BY "Veldnaam")) AS VARCHAR)) AS column_metadata_fingerprint
+FROM ({F6}) f GROUP BY 1"""
+FPG = f"""SELECT "Tabelnaam", sha256(CAST(to_json(list({{'Bron': "Bron", 'bulk_insert': bulk_insert, 'review_required': review_required,
+  'single_insert': single_insert}} ORDER BY "Bron", bulk_insert, single_insert, review_required)) AS VARCHAR)) AS table_config_fingerprint
+FROM ({F7}) c GROUP BY 1"""
+oracle("column_fingerprint", FPC)
+oracle("config_fingerprint", FPG)
+
+_PROPS = f"""
+SELECT "Tabelnaam" AS "table", 'business_keys' AS key, business_keys AS value FROM ({BK_PROP}) b
+UNION ALL SELECT "Tabelnaam", property, value FROM ({FLAGS}) f
+UNION ALL SELECT "Tabelnaam", property, value FROM ({CFG_VALUES}) c
+"""
+
+
+def _lst(k: str) -> str:
+    return (
+        f"list_filter(list_transform(string_split(coalesce(max(value) FILTER (WHERE key = '{k}'), ''), ','), lambda x: {strip('x')}), "
+        f"lambda x: x <> '' AND list_contains(cols, x))"
+    )
+
+
+def _flag_agg(k: str, default: bool) -> str:
+    v = f"max(value) FILTER (WHERE key = '{k}')"
+    return f"CASE WHEN {v} IS NULL THEN {str(default).lower()} ELSE lower({strip(v)}) = 'true' END"
+
+
+oracle(
+    "constraints",
+    f"""
+WITH cols AS (SELECT "Tabelnaam" AS "table", list(DISTINCT {d_norm('"Veldnaam"')}) AS cols FROM ({F6}) f WHERE pos % 9 <> 0 GROUP BY 1),
+p AS ({_PROPS})
+SELECT cols."table",
+  array_to_string({_lst('not_null_columns')}, ',') AS not_null_columns,
+  array_to_string({_lst('business_keys')}, ',') AS business_keys,
+  array_to_string({_lst('not_editable')}, ',') AS not_editable,
+  {_lst('valid_from')}[1] AS valid_from, {_lst('valid_to')}[1] AS valid_to, {_lst('validity_key')}[1] AS validity_key,
+  {_flag_agg('single_insert', True)} AS single_insert, {_flag_agg('bulk_insert', True)} AS bulk_insert,
+  {_flag_agg('review_required', False)} AS review_required
+FROM cols LEFT JOIN p ON cols."table" = p."table"
+GROUP BY cols."table", cols.cols
+""",
+)
+
+REC = f"""
+WITH base AS (
+  SELECT c."Tabelnaam", CAST(substring(c."Tabelnaam", 7, 3) AS INTEGER) % 3 AS st, fpc.column_metadata_fingerprint AS cf,
+         fpg.table_config_fingerprint AS gf, {strip('c.bulk_insert')} AS b, {strip('c.single_insert')} AS s
+  FROM ({F7}) c JOIN ({FPC}) fpc ON c."Tabelnaam" = fpc."Tabelnaam" JOIN ({FPG}) fpg ON c."Tabelnaam" = fpg."Tabelnaam")
+SELECT {d_clean('"Tabelnaam"')} AS "table", 'column_metadata_fingerprint' AS key, CASE WHEN st = 1 THEN sha256('old' || cf) ELSE cf END AS value FROM base WHERE st <> 2
+UNION ALL SELECT {d_clean('"Tabelnaam"')}, 'table_config_fingerprint', gf FROM base WHERE st <> 2
+UNION ALL SELECT {d_clean('"Tabelnaam"')}, 'bulk_insert', CASE WHEN st = 1 THEN CASE WHEN b = 'true' THEN 'false' ELSE 'true' END ELSE b END FROM base WHERE st <> 2
+UNION ALL SELECT {d_clean('"Tabelnaam"')}, 'single_insert', s FROM base WHERE st <> 2
+"""
+EXISTING = f"""SELECT DISTINCT "table" AS name FROM ({REC}) r UNION ALL SELECT DISTINCT "table" || '_current' FROM ({REC}) r"""
+PLAN = f"""
+WITH d AS (SELECT DISTINCT "Tabelnaam" FROM ({F6}) f WHERE "Tabelnaam" NOT IN ('Brand#25')),
+rec AS ({REC}),
+ex AS (SELECT DISTINCT name AS "table" FROM ({EXISTING}) e WHERE NOT contains(name, '_current') AND NOT contains(name, '_sqldf')),
+r AS (SELECT "table", max(value) FILTER (WHERE key = 'column_metadata_fingerprint') AS rc,
+             max(value) FILTER (WHERE key = 'table_config_fingerprint') AS rg FROM rec GROUP BY 1)
+SELECT d."Tabelnaam", {d_clean('d."Tabelnaam"')} AS "table",
+  CASE WHEN ex."table" IS NULL THEN 'create'
+       WHEN r.rc IS DISTINCT FROM fpc.column_metadata_fingerprint OR r.rg IS DISTINCT FROM fpg.table_config_fingerprint THEN 'reinit'
+       ELSE 'skip' END AS action
+FROM d LEFT JOIN ({FPC}) fpc ON d."Tabelnaam" = fpc."Tabelnaam" LEFT JOIN ({FPG}) fpg ON d."Tabelnaam" = fpg."Tabelnaam"
+LEFT JOIN ex ON ex."table" = {d_clean('d."Tabelnaam"')} LEFT JOIN r ON r."table" = {d_clean('d."Tabelnaam"')}
+"""
+oracle("plan_tables", PLAN)
+oracle(
+    "run_summary",
+    f"SELECT action AS status, count(*) AS n FROM ({PLAN}) p GROUP BY 1 UNION ALL SELECT 'processed', count(*) FROM ({PLAN}) p",
+)
+
+_TYPE_CASE = (
+    "CASE upper({x}) WHEN 'STRING' THEN 'string' WHEN 'VARCHAR' THEN 'string' WHEN 'CHAR' THEN 'string' "
+    "WHEN 'INTEGER' THEN 'int' WHEN 'INT' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'LONG' THEN 'bigint' "
+    "WHEN 'FLOAT' THEN 'float' WHEN 'DOUBLE' THEN 'double' WHEN 'DECIMAL' THEN 'decimal(38,2)' WHEN 'BOOLEAN' THEN 'boolean' "
+    "WHEN 'DATE' THEN 'date' WHEN 'DATETIME' THEN 'timestamp' WHEN 'TIMESTAMP' THEN 'timestamp' ELSE 'string' END"
+)
+SCHEMA_ROWS = f"""SELECT "Tabelnaam" AS "table", {d_norm('"Veldnaam"')} AS "column",
+  {_TYPE_CASE.format(x=strip('"Type"'))} AS data_type, coalesce(lower({strip('nullable')}) <> 'false', true) AS nullable, pos
+FROM ({F6}) f"""
+oracle(
+    "schema_diff",
+    f"""
+WITH d AS ({SCHEMA_ROWS}),
+c AS (SELECT "table", CASE WHEN pos % 6 = 2 THEN "column" || '_old' ELSE "column" END AS "column",
+             CASE WHEN pos % 6 = 0 THEN 'string' ELSE data_type END AS data_type,
+             CASE WHEN pos % 6 = 3 THEN NOT nullable ELSE nullable END AS nullable
+      FROM d WHERE pos % 6 <> 1),
+j AS (SELECT coalesce(c."table", d."table") AS "table", coalesce(c."column", d."column") AS "column",
+             c.data_type AS ot, c.nullable AS onl, d.data_type AS nt, d.nullable AS nnl
+      FROM c FULL OUTER JOIN d ON c."table" = d."table" AND c."column" = d."column")
+SELECT "table", "column",
+  CASE WHEN ot IS NULL THEN 'added' WHEN nt IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  CASE WHEN ot IS NOT NULL AND nt IS NOT NULL THEN "column" || ': ' || ot || CASE WHEN onl THEN ' NULL' ELSE ' NOT NULL' END
+       || ' -> ' || nt || CASE WHEN nnl THEN ' NULL' ELSE ' NOT NULL' END END AS detail
+FROM j WHERE ot IS NULL OR nt IS NULL OR ot <> nt OR onl <> nnl
+""",
+)
+oracle(
+    "config_diff",
+    f"""
+WITH des AS (
+  SELECT {d_clean('"Tabelnaam"')} AS "table", 'column_metadata_fingerprint' AS key, column_metadata_fingerprint AS value FROM ({FPC}) a
+  UNION ALL SELECT {d_clean('"Tabelnaam"')}, 'table_config_fingerprint', table_config_fingerprint FROM ({FPG}) b
+  UNION ALL SELECT {d_clean('"Tabelnaam"')}, 'bulk_insert', {d_text('bulk_insert')} FROM ({F7}) c
+  UNION ALL SELECT {d_clean('"Tabelnaam"')}, 'single_insert', {d_text('single_insert')} FROM ({F7}) c),
+cur AS ({REC})
+SELECT des."table", des.key, coalesce(cur.value, '<missing>') AS old, des.value AS new
+FROM des LEFT JOIN cur ON des."table" = cur."table" AND des.key = cur.key
+WHERE cur.value IS DISTINCT FROM des.value
+""",
+)
