@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapforge.constants import KEY_COL
+from snapforge.session import checkpoint_dir
 
 _PID = "__sf_pid"
 _MID = "__sf_mid"
@@ -35,8 +36,12 @@ def assign_row_keys(
     """
     base = df
     if order:
+        # Range bounds come from sampling and each evaluation of the exchange samples
+        # anew, so the sorted rows are written once to the shared checkpoint folder:
+        # the per-partition counts and the numbering then see the same partitions.
+        checkpoint_dir(df.sparkSession)
         n = num_partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        base = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        base = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
     numbered = base.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
     counts = numbered.groupBy(_PID).agg(F.count(F.lit(1)).alias("__sf_n"))
     offsets = counts.select(

@@ -11,6 +11,7 @@ _MODULES = [
     "snapforge.plans.q_publish",
     "snapforge.plans.q_review",
     "snapforge.plans.q_metadata",
+    "snapforge.plans.q_sources",
 ]
 
 

@@ -782,3 +782,45 @@ FROM des LEFT JOIN cur ON des."table" = cur."table" AND des.key = cur.key
 WHERE cur.value IS DISTINCT FROM des.value
 """,
 )
+
+
+# --- S1-S7, M10-M11 ------------------------------------------------------------------------
+_F6_TEXT = "SELECT " + ", ".join(
+    f'CAST("{c}" AS VARCHAR) AS "{c}"'
+    for c in ["pos", "Bron", "Tabelnaam", "Veldnaam", "Beschrijving", "Type", "Lengte", "nullable", "Uniek",
+              "Composite_Key", "not_editable", "valid_from", "valid_to", "validity_key"]
+) + f" FROM ({F6}) f"
+oracle("latest_dated_file", f'SELECT * FROM ({_F6_TEXT}) t WHERE CAST("Lengte" AS INTEGER) % 4 = 3')
+oracle("metadata_rows", _F6_TEXT)
+
+
+def _tok(x: str) -> str:
+    return f"CASE WHEN {x} IN {_READ_TOKENS} THEN NULL ELSE {x} END"
+
+
+oracle(
+    "read_upload",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS order_key, {_tok('amount_txt')} AS amount_txt, {_tok('date_txt')} AS date_txt,
+       {_tok('int_txt')} AS int_txt, {_tok('bool_txt')} AS bool_txt, {_tok('note_txt')} AS note_txt,
+       {_tok('comment_txt')} AS comment_txt, row_number() OVER (ORDER BY o_orderkey) AS "__ROW"
+FROM ({F3}) f""",
+)
+oracle("export_snapshot", f'SELECT * EXCLUDE ("__KEY") FROM ({F1_LATEST}) l')
+oracle(
+    "versioned_layout",
+    f"""SELECT row_number() OVER (ORDER BY o_orderkey) AS "__KEY", *, {_TS} AS "__UPLOAD_TIMESTAMP", 1 AS "__VERSION",
+       {_TS} AS "__VERSION_TIMESTAMP", 'publisher' AS "__UPLOADED_BY", 'metadata_created' AS "__UPLOAD_FILE_NAME"
+FROM ({TYPED_F3}) t""",
+)
+oracle(
+    "append_rows",
+    f"""SELECT * FROM ({F1}) f
+UNION ALL
+SELECT * FROM ({_CARRIED}) c WHERE "__KEY" NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')""",
+)
+oracle("backup_table", F1)
+oracle(
+    "restore_by_name",
+    f"""SELECT "__KEY", CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_totalprice, CAST(NULL AS VARCHAR) AS o_comment,
+       "__UPLOAD_TIMESTAMP", "__VERSION", "__VERSION_TIMESTAMP", "__UPLOADED_BY", "__UPLOAD_FILE_NAME" FROM ({F1}) f""",
+)
