@@ -16,9 +16,17 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# fixed value: the whitespace set of ``\s`` (space, tab, newline, vertical tab, form feed, return)
+WHITESPACE = " \t\n\u000b\f\r"
+
+
 def strip(c: ColumnOrName) -> Column:
-    """Remove leading and trailing whitespace of every kind (SQL ``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace of every kind (SQL ``trim`` only removes spaces).
+
+    A character-set trim, not a regex: the same result as a leading/trailing whitespace regex,
+    at a fraction of the cost.
+    """
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
 def casefold(c: ColumnOrName) -> Column:

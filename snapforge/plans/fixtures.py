@@ -30,7 +30,14 @@ METADATA_TYPES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table. When the scan has fewer splits than the cluster has cores (a small
+    single-row-group file), the rows are spread round-robin so narrow per-row work is not
+    confined to one task; a large input already has many splits and is read as is."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def publish_ts() -> Column:
