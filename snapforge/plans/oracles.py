@@ -824,3 +824,5 @@ oracle(
     f"""SELECT "__KEY", CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_totalprice, CAST(NULL AS VARCHAR) AS o_comment,
        "__UPLOAD_TIMESTAMP", "__VERSION", "__VERSION_TIMESTAMP", "__UPLOADED_BY", "__UPLOAD_FILE_NAME" FROM ({F1}) f""",
 )
+
+oracle("cr_status_stream", STATUS_NO_STAGING)

@@ -99,3 +99,10 @@ def q_reject_decisions(spark, d):
 @query("cancel_decisions")
 def q_cancel_decisions(spark, d):
     return C.cancel_decisions(_log(spark, d), _staging(spark, d))
+
+
+@query("cr_status_stream")
+def q_cr_status_stream(spark, d):
+    from snapforge.streaming.review_stream import cr_status_stream
+
+    return cr_status_stream(spark, _log(spark, d))
