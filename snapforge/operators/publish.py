@@ -1,9 +1,9 @@
 """Publishing W1-W6: every change publishes a new full snapshot under the next version.
 
 Carried-forward rows get only the version-level stamp; added or edited rows get the
-row-level stamp too. All steps are joins and unions of DataFrames; the only values
-that reach the driver are none: the next version and max key enter as scalar
-subqueries, so one publish is one Spark job.
+row-level stamp too. All steps are joins and unions of DataFrames; no value reaches
+the driver: the next version and max key enter the plan as scalar subqueries, so a
+publish is planned as one query.
 """
 
 from __future__ import annotations
@@ -140,15 +140,17 @@ def publish_delete(
     user: Lit = None,
 ) -> DataFrame:
     """W3 (+W4): the snapshot without ``keys``, restamped at version level only. When nothing
-    is left, the marker row is published instead; the choice is a scalar count in the plan,
-    not a branch on the driver."""
+    is left, the marker row is published instead; the choice is an existence probe inside
+    the plan, not a branch on the driver."""
     table = snapshot if table is None else table
     v = _version(table, version)
     cols = table_columns(snapshot)
     remaining = snapshot.join(keys.select(KEY_COL), KEY_COL, "left_anti")
     carried = _align(stamp_audit(remaining, version=v, ts=ts, level="version"), cols)
     marker = empty_snapshot_marker(cols, required, snapshot, v, ts, user)
-    is_empty = remaining.select(F.count(F.lit(1))).scalar() == 0
+    # existence probe: a limit-1 subquery stops at the first remaining row instead of
+    # counting the whole snapshot a second time
+    is_empty = remaining.select(F.lit(1).alias("x")).limit(1).scalar().isNull()
     return carried.unionByName(marker.where(is_empty))
 
 

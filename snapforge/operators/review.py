@@ -22,6 +22,7 @@ from snapforge.constants import (
     CR_STATUS_CANCELLED,
     CR_STATUS_PENDING,
     CR_STATUS_REJECTED,
+    VERSION_COL,
 )
 
 LOG_SCHEMA = (
@@ -192,8 +193,21 @@ def submit_change(
     return staged, ev
 
 
-def _decide(log: DataFrame, staging: DataFrame | None, event: str, self_label: str | None, done: str) -> DataFrame:
+def _decide(
+    log: DataFrame,
+    staging: DataFrame | None,
+    event: str,
+    self_label: str | None,
+    done: str,
+    target: DataFrame | None = None,
+    restamp: bool = False,
+) -> DataFrame:
     req = _terminal_events(log, staging).where(F.col("event") == event)
+    if target is not None and staging is not None and not restamp:
+        staged_v = staging.groupBy(F.col(CR_ID_COL).alias("cr_id")).agg(F.max(VERSION_COL).alias("_staged_v"))
+        req = req.join(staged_v, "cr_id", "left").withColumn(
+            "_stale", F.col("_staged_v") <= target.select(F.max(VERSION_COL)).scalar()
+        )
     first = _decisions(log, staging).select("cr_id", "decision_seq")
     j = req.join(first, "cr_id", "left")
     outcome = F.when(F.col("submit_seq").isNull(), F.lit("not_found"))
@@ -202,23 +216,39 @@ def _decide(log: DataFrame, staging: DataFrame | None, event: str, self_label: s
     outcome = outcome.when(F.col("decision_seq") < F.col("seq"), F.lit("not_pending"))
     if staging is not None and event == "approve":
         outcome = outcome.when(F.coalesce(F.col("staged_rows"), F.lit(0)) == 0, F.lit("no_staged_rows"))
+    if "_stale" in req.columns:
+        outcome = outcome.when(F.coalesce(F.col("_stale"), F.lit(False)), F.lit("stale"))
     outcome = outcome.otherwise(F.lit(done))
     return j.select("cr_id", "seq", "actor", outcome.alias("outcome"))
 
 
-def approve_decisions(log: DataFrame, staging: DataFrame) -> DataFrame:
+def approve_decisions(
+    log: DataFrame, staging: DataFrame, target: DataFrame | None = None, restamp: bool = False
+) -> DataFrame:
     """C8 guards for every approve request: not_found, self_approval, not_pending,
-    no_staged_rows, or approved. Batch form: all requests decided in one job."""
-    return _decide(log, staging, "approve", "self_approval", CR_STATUS_APPROVED)
+    no_staged_rows, or approved. Batch form: all requests decided in one job.
 
+    With ``target`` (the versioned table), a CR whose staged version is not above the
+    table's current version is ``stale`` (decision D9: it was built on an older snapshot and
+    would publish invisibly or merge with another CR) unless ``restamp`` is set, in which
+    case ``approved_rows(..., target=...)`` restamps it to the next version."""
+    return _decide(log, staging, "approve", "self_approval", CR_STATUS_APPROVED, target=target, restamp=restamp)
 
-def approved_rows(log: DataFrame, staging: DataFrame, crs: Sequence[str] | None = None) -> DataFrame:
+
+def approved_rows(
+    log: DataFrame, staging: DataFrame, crs: Sequence[str] | None = None, target: DataFrame | None = None
+) -> DataFrame:
     """C8 data step: staged rows of approved CRs, CR id dropped, ready to append to the target
-    inside Spark (no round-trip through the driver). Staging rows are kept for audit."""
+    inside Spark (no round-trip through the driver). Staging rows are kept for audit.
+    With ``target`` the rows are restamped to the target's next version (D9 ``restamp``)."""
     st = cr_status(log, staging).where(F.col("status") == CR_STATUS_APPROVED)
     if crs is not None:
         st = st.where(F.col("cr_id").isin(list(crs)))
-    return staged_rows(staging, st)
+    rows = staged_rows(staging, st)
+    if target is not None:
+        nv = target.select(F.coalesce(F.max(VERSION_COL) + 1, F.lit(1)).cast("int")).scalar()
+        rows = rows.withColumn(VERSION_COL, nv)
+    return rows
 
 
 def reject_decisions(log: DataFrame, staging: DataFrame | None = None) -> DataFrame:

@@ -394,9 +394,13 @@ def validate_upload(
             F.col(row_col).cast("bigint").alias("row"), F.col(k).cast("string").alias("value"),
             F.concat(F.lit("overlaps row "), F.col(f"prev_{row_col}").cast("string")).alias("detail"),
         ))
-    allp = frames[0].select("stage", *PROBLEM_COLS)
+    frames = [f.select("stage", *PROBLEM_COLS) for f in frames]
+    allp = frames[0]
     for f in frames[1:]:
-        allp = allp.unionByName(f.select("stage", *PROBLEM_COLS))
+        allp = allp.unionByName(f)
     if stop_early:
-        allp = allp.where(F.col("stage") == allp.select(F.min("stage")).scalar())
+        # first failing stage: limit-1 existence probes in pipeline order, so a stage is
+        # only evaluated up to its first problem
+        first = F.coalesce(*[f.select("stage").limit(1).scalar() for f in frames])
+        allp = allp.where(F.col("stage") == first)
     return allp

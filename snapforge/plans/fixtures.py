@@ -34,12 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     single-row-group file), the rows are spread round-robin so narrow per-row work is not
     confined to one task; a large input already has many splits and is read as is."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): read as is
+        return df
+    if size >= SPREAD_MIN_BYTES and splits < cores:
         df = df.repartition(cores)
     return df
 
 
+# inputs smaller than this are read as they are (spreading them costs more than it saves)
+SPREAD_MIN_BYTES = 1 << 20
+
+
 def publish_ts() -> Column:
     return F.lit(PUBLISH_TS).cast("timestamp_ntz")
 

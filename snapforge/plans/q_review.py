@@ -106,3 +106,8 @@ def q_cr_status_stream(spark, d):
     from snapforge.streaming.review_stream import cr_status_stream
 
     return cr_status_stream(spark, _log(spark, d))
+
+
+@query("approve_decisions_stale")
+def q_approve_decisions_stale(spark, d):
+    return C.approve_decisions(_log(spark, d), _staging(spark, d), target=FX.f1_versioned(spark, d))

@@ -87,7 +87,7 @@ def current_status(updates: DataFrame) -> DataFrame:
     return updates.groupBy("cr_id").agg(F.max_by("status", "batch_id").alias("status"))
 
 
-def cr_status_stream(spark: SparkSession, log: DataFrame, n_files: int = 4) -> DataFrame:
+def cr_status_stream(spark: SparkSession, log: DataFrame, n_files: int = 2) -> DataFrame:
     """Write ``log`` as ``n_files`` Parquet files ordered by seq, stream-fold them one file per
     micro-batch, and return the resulting status per CR."""
     base = scratch_path(spark, "review-stream")
