@@ -27,7 +27,7 @@ from snapforge.constants import (
     VERSION_TS_COL,
 )
 from snapforge.operators.keys import assign_row_keys
-from snapforge.operators.validation import required_counts
+from snapforge.functions.text import is_blank
 from snapforge.session import scratch_path
 
 AUDIT_TYPES = {
@@ -161,16 +161,19 @@ def restore_by_name(
 ) -> DataFrame:
     """The backup's rows in the target layout: columns in both copied with a strict
     cast (a bad value fails), missing ones null, extra ones ignored. ``required`` columns are
-    checked for blanks (V3) before anything is written; a blank raises."""
+    checked in the same pass that writes the rows: a blank fails the job (``assert_true``), so
+    the new table is never committed with one, and the backup is read once, not twice."""
     src = spark.table(backup)
     present = set(src.columns)
     out = src.select(*[
         (F.col(f"`{c}`").cast(t) if c in present else F.lit(None).cast(t)).alias(c) for c, t in target_columns.items()
     ])
-    if required:
-        bad = required_counts(out, [c for c in required if c in target_columns]).collect()
-        if bad:
-            raise ValueError(f"required columns have blanks after restore: {[(r[0], r[1]) for r in bad]}")
+    req = [c for c in required if c in target_columns]
+    if req:
+        ok = F.lit(True)
+        for c in req:
+            ok = ok & ~is_blank(c, target_columns[c])
+        out = out.where(F.assert_true(ok, F.lit(f"required columns {req} have blank values")).isNull())
     return out
 
 

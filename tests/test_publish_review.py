@@ -89,3 +89,28 @@ def test_cr_status_terminal_is_final(spark):
     assert dec == {("a", 3): "rejected"}
     app = {(r["cr_id"], r["seq"]): r["outcome"] for r in C.approve_decisions(log, spark.createDataFrame([("a", 1)], "`__CR_ID` string, x int")).collect()}
     assert app == {("a", 2): "self_approval", ("a", 4): "not_pending", ("b", 7): "not_pending", ("d", 9): "not_found"}
+
+
+def test_restore_fails_on_blank_required(spark):
+    import pytest
+
+    from snapforge.sources import tables as TB
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "`__KEY` long, name string")
+    TB.create_table(df, "restore_src_blank", partition_by=[])
+    out = TB.restore_by_name(spark, {"__KEY": "bigint", "name": "string"}, "restore_src_blank", required=["name"])
+    with pytest.raises(Exception, match="required columns"):
+        out.collect()
+    ok = TB.restore_by_name(spark, {"__KEY": "bigint", "name": "string"}, "restore_src_blank", required=["__KEY"])
+    assert ok.count() == 2
+
+
+def test_fingerprint_ignores_row_order(spark):
+    from snapforge.operators.metadata import column_fingerprint
+
+    rows = [("t", f"c{i}", "INT", "true", None, "false", None, None, None, None) for i in range(30)]
+    cols = "Tabelnaam string, Veldnaam string, Type string, nullable string, not_editable string, Uniek string, " \
+           "Composite_Key string, valid_from string, valid_to string, validity_key string"
+    a = column_fingerprint(spark.createDataFrame(rows, cols)).first()[1]
+    b = column_fingerprint(spark.createDataFrame(list(reversed(rows)), cols).repartition(5)).first()[1]
+    assert a == b
