@@ -39,9 +39,12 @@ def assign_row_keys(
         # Range bounds come from sampling and each evaluation of the exchange samples
         # anew, so the sorted rows are written once to the shared checkpoint folder:
         # the per-partition counts and the numbering then see the same partitions.
+        # A row hash is the last sort key: rows tied on ``order`` are spread over partitions
+        # (a hot ordering value is not one task) and their numbering is deterministic.
         checkpoint_dir(df.sparkSession)
         n = num_partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        base = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+        full = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+        base = df.repartitionByRange(n, *full).sortWithinPartitions(*full).checkpoint(eager=True)
     numbered = base.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
     counts = numbered.groupBy(_PID).agg(F.count(F.lit(1)).alias("__sf_n"))
     offsets = counts.select(

@@ -245,7 +245,10 @@ def overlapping_validity(
     plain window over each key, kept for comparison.
     """
     x = _prepare_validity(df, key, start, end, open_end)
-    order_cols = [start, "_end", *tie]
+    # a row hash ends the order: complete ties are split across range partitions and ordered
+    # deterministically (which of two fully tied rows comes first is otherwise arbitrary)
+    x = x.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    order_cols = [start, "_end", *tie, "_h"]
     prev_cols = [start, "_end", *tie]
     if not skew_safe:
         w = Window.partitionBy(key).orderBy(*order_cols)
@@ -300,7 +303,7 @@ def overlapping_validity(
 
 
 def _finish_validity(out: DataFrame) -> DataFrame:
-    return out.drop("_end").withColumnRenamed("prev__end", "prev_end")
+    return out.drop("_end", "_h").withColumnRenamed("prev__end", "prev_end")
 
 
 def overlapping_validity_keys(conflicts: DataFrame, key: str) -> DataFrame:
