@@ -52,16 +52,17 @@ def clean_table_name(c: Column | str) -> Column:
 
 
 def short_table_name(c: Column | str) -> Column:
-    """Drop backticks; a 3-part name becomes ``schema.table``, other names stay."""
+    """Drop backticks; a name of three or more parts shows its 2nd and 3rd parts
+    (``schema.table``), other names stay as they are."""
     clean = F.replace(_c(c), F.lit("`"), F.lit(""))
     parts = F.split(clean, r"\.")
-    return F.when(F.size(parts) == 3, F.concat_ws(".", parts[1], parts[2])).otherwise(clean)
+    return F.when(F.size(parts) >= 3, F.concat_ws(".", parts[1], parts[2])).otherwise(clean)
 
 
 def cr_title(cr_id: Column | str, target: Column | str) -> Column:
-    """P15 (review title): first 8 characters of the CR id and the last part of the table name."""
-    clean = F.replace(_c(target), F.lit("`"), F.lit(""))
-    return F.concat(F.substring(_c(cr_id), 1, 8), F.lit(" · "), F.element_at(F.split(clean, r"\."), -1))
+    """P15 (review title): ``CR <first 8 characters of the id>... | <last dotted part of the table>``."""
+    last = F.element_at(F.split(_c(target), r"\."), -1)
+    return F.concat(F.lit("CR "), F.substring(_c(cr_id), 1, 8), F.lit("... | "), last)
 
 
 def is_user_table(c: Column | str, bootstrap: bool = False) -> Column:

@@ -172,7 +172,7 @@ oracle("clean_table_name", _CLEAN.format(F8=F8))
 
 oracle(
     "short_table_name",
-    f"""SELECT pos, CASE WHEN len(string_split(c, '.')) = 3
+    f"""SELECT pos, CASE WHEN len(string_split(c, '.')) >= 3
                   THEN string_split(c, '.')[2] || '.' || string_split(c, '.')[3] ELSE c END AS short
 FROM (SELECT pos, replace(name, '`', '') AS c FROM ({F8}) f) x""",
 )
@@ -841,3 +841,8 @@ FROM term req LEFT JOIN dec d ON req.cr_id = d.cr_id LEFT JOIN sv ON req.cr_id =
 WHERE req.event = 'approve'
 """,
 )
+
+oracle(
+    "cr_titles",
+    f"""SELECT cr_id, 'CR ' || left(cr_id, 8) || '... | ' || string_split(target_table, '.')[-1] AS title FROM ({VIEW}) v""",
+)

@@ -111,3 +111,10 @@ def q_cr_status_stream(spark, d):
 @query("approve_decisions_stale")
 def q_approve_decisions_stale(spark, d):
     return C.approve_decisions(_log(spark, d), _staging(spark, d), target=FX.f1_versioned(spark, d))
+
+
+@query("cr_titles")
+def q_cr_titles(spark, d):
+    from snapforge.functions.names import cr_title
+
+    return _view(spark, d).select("cr_id", cr_title("cr_id", "target_table").alias("title"))

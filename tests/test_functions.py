@@ -55,7 +55,7 @@ def test_normalize_name(spark):
 
 
 def test_short_table_name_and_user_tables(spark):
-    assert col_values(spark, ["`c`.`s`.`t`", "s.t", "t"], N.short_table_name) == ["s.t", "s.t", "t"]
+    assert col_values(spark, ["`c`.`s`.`t`", "s.t", "t", "a.b.c.d"], N.short_table_name) == ["s.t", "s.t", "t", "b.c"]
     got = col_values(spark, ["orders", "orders_staging", "x_current", "y_backup_1", " ", None], N.is_user_table)
     assert got == [True, False, False, False, False, False]
 
