@@ -127,10 +127,10 @@ def change_requests(log: DataFrame, staging: DataFrame | None = None) -> DataFra
 def list_changes(
     view: DataFrame, table: str | None = None, status: str | None = None, submitter: str | None = None, ordered: bool = True
 ) -> DataFrame:
-    """C4: optional equality filters, newest submission first."""
+    """C4: optional equality filters (an empty value means no filter), newest submission first."""
     out = view
     for col, val in (("target_table", table), ("status", status), ("submitted_by", submitter)):
-        if val is not None:
+        if val:
             out = out.where(F.col(col) == val)
     return out.orderBy(F.col("submitted_ts").desc()) if ordered else out
 
