@@ -7,6 +7,8 @@ definitions as DuckDB SQL.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # inputs smaller than this are read as they are (spreading them costs more than it saves)
-SPREAD_MIN_BYTES = 1 << 20
+SPREAD_MIN_BYTES = int(os.environ.get("SNAPFORGE_SPREAD_MIN_BYTES", 1 << 20))
 
 
 def publish_ts() -> Column:

@@ -58,7 +58,8 @@ FROM orders
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    # RE2's \s lacks the vertical tab that Java's \s (and the Spark strip set) includes
+    return f"regexp_replace({x}, '^[\\s\\v]+|[\\s\\v]+$', '', 'g')"
 
 
 # --- R1-R7 --------------------------------------------------------------------
@@ -145,7 +146,7 @@ def d_bool_strict(x: str) -> str:
 
 
 def d_norm(x: str) -> str:
-    return f"lower(regexp_replace({strip(x)}, '\\s+', '_', 'g'))"
+    return f"lower(regexp_replace({strip(x)}, '[\\s\\v]+', '_', 'g'))"
 
 
 _AUDIT_SQL = "('__KEY', '__UPLOAD_TIMESTAMP', '__VERSION', '__VERSION_TIMESTAMP', '__UPLOADED_BY', '__UPLOAD_FILE_NAME')"
@@ -164,7 +165,7 @@ b AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(n,
         '\\b(?:19|20)\\d{{2}}\\b', '', 'g'),
         '\\b\\d{{8,}}\\b', '', 'g') AS n FROM a),
 c AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(n,
-        '[-_\\s]+$', '', 'g'), '^[-_\\s]+', '', 'g'), '[-\\s]+', '_', 'g'), '__+', '_', 'g') AS n FROM b),
+        '[-_\\s\\v]+$', '', 'g'), '^[-_\\s\\v]+', '', 'g'), '[-\\s\\v]+', '_', 'g'), '__+', '_', 'g') AS n FROM b),
 d AS (SELECT pos, lower(regexp_replace(n, '^_+|_+$', '', 'g')) AS n FROM c)
 SELECT pos, CASE WHEN n = '' OR regexp_matches(n, '^[0-9]') THEN '_' || n ELSE n END AS clean FROM d
 """
@@ -199,7 +200,7 @@ FROM ({F3}) f""",
 )
 oracle(
     "collapse_whitespace",
-    f"""SELECT o_orderkey, {strip("regexp_replace(comment_txt, '\\s+', ' ', 'g')")} AS comment FROM ({F3}) f""",
+    f"""SELECT o_orderkey, {strip("regexp_replace(comment_txt, '[\\s\\v]+', ' ', 'g')")} AS comment FROM ({F3}) f""",
 )
 oracle("coerce_date", f"SELECT o_orderkey, {d_date('date_txt')} AS d FROM ({F3}) f")
 oracle("coerce_int", f"SELECT o_orderkey, {d_int('int_txt')} AS i FROM ({F3}) f")
@@ -616,9 +617,9 @@ def d_clean(x: str) -> str:
         ("(?i)(?:\\b\\d{1,2}[-_]\\d{1,2}[-_]\\d{2,4}\\b)", ""),
         ("\\b(?:19|20)\\d{2}\\b", ""),
         ("\\b\\d{8,}\\b", ""),
-        ("[-_\\s]+$", ""),
-        ("^[-_\\s]+", ""),
-        ("[-\\s]+", "_"),
+        ("[-_\\s\\v]+$", ""),
+        ("^[-_\\s\\v]+", ""),
+        ("[-\\s\\v]+", "_"),
         ("__+", "_"),
         ("^_+|_+$", ""),
     ]:
@@ -846,3 +847,8 @@ oracle(
     "cr_titles",
     f"""SELECT cr_id, 'CR ' || left(cr_id, 8) || '... | ' || string_split(target_table, '.')[-1] AS title FROM ({VIEW}) v""",
 )
+
+oracle(
+    "collapse_whitespace_documents",
+    f"""SELECT doc_id, {strip("regexp_replace(text, '[\\s\\v]+', ' ', 'g')")} AS text FROM documents""",
+)

@@ -127,3 +127,9 @@ def q_assign_row_keys(spark, d):
     start = R.max_key(f1).scalar() + 1
     rows = R.latest_snapshot(f1).drop(KEY_COL)
     return assign_row_keys(rows, start=start, order=["o_orderkey"])
+
+
+@query("collapse_whitespace_documents")
+def q_collapse_whitespace_documents(spark, d):
+    """P4 on whole document texts (1 to 20,000 words each)."""
+    return FX.table(spark, d, "documents").select("doc_id", TX.collapse_whitespace("text").alias("text"))
