@@ -264,7 +264,7 @@ def f6_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         F.col("p_partkey").alias("pos"),
         F.lit("erp").alias("Bron"),
-        F.col("p_brand").alias("Tabelnaam"),
+        _table_of_part().alias("Tabelnaam"),
         F.concat(F.col("p_name"), F.lit("  "), _s(k)).alias("Veldnaam"),
         F.col("p_name").alias("Beschrijving"),
         F.element_at(types, (F.col("p_size") % 12 + 1).cast("int")).alias("Type"),
@@ -280,14 +280,24 @@ def f6_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- F7: table config and recorded (old) properties ---------------------------
-def _brand_no(c: Column) -> Column:
-    return F.substring(c, 7, 3).cast("int")
+# each metadata "table" describes at most COLUMNS_PER_TABLE parts as columns, so a table's
+# column list (grouped and hashed as one unit by M1/M2/M5) stays bounded while the number
+# of tables grows with ``part``
+COLUMNS_PER_TABLE = 50
+
+
+def _table_of_part() -> Column:
+    return F.concat(F.lit("Tabel "), _s(F.floor(F.col("p_partkey") / COLUMNS_PER_TABLE).cast("bigint")))
+
+
+def _table_no(c: Column) -> Column:
+    return F.substring(c, 7, 20).cast("bigint")
 
 
 def f7_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    b = p.select(F.col("p_brand").alias("Tabelnaam")).distinct()
-    n = _brand_no(F.col("Tabelnaam"))
+    b = p.select(_table_of_part().alias("Tabelnaam")).distinct()
+    n = _table_no(F.col("Tabelnaam"))
     return b.select(
         F.lit("erp").alias("Bron"),
         "Tabelnaam",
@@ -300,8 +310,8 @@ def f7_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f7_state(c: Column) -> Column:
-    """unchanged / changed / missing, by brand number."""
-    n = _brand_no(c)
+    """unchanged / changed / missing, by table number."""
+    n = _table_no(c)
     return F.when(n % 3 == 0, F.lit("unchanged")).when(n % 3 == 1, F.lit("changed")).otherwise(F.lit("missing"))
 
 
@@ -364,7 +374,7 @@ def ts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- F7 recorded state: properties of the tables that exist ---------------------
 def f7_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded properties (table, key, value) of existing tables: brands with number % 3 = 0
+    """Recorded properties (table, key, value) of existing tables: tables with number % 3 = 0
     are unchanged, % 3 = 1 carry an older column fingerprint and a flipped bulk_insert,
     % 3 = 2 do not exist."""
     from snapforge.functions.names import clean_table_name

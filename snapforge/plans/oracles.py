@@ -268,7 +268,7 @@ FROM ({F1_LATEST}) l""",
 
 # --- V1-V9 -----------------------------------------------------------------------
 F6 = """
-SELECT p_partkey AS pos, 'erp' AS "Bron", p_brand AS "Tabelnaam", p_name || '  ' || CAST(p_partkey AS VARCHAR) AS "Veldnaam",
+SELECT p_partkey AS pos, 'erp' AS "Bron", 'Tabel ' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS VARCHAR) AS "Tabelnaam", p_name || '  ' || CAST(p_partkey AS VARCHAR) AS "Veldnaam",
   p_name AS "Beschrijving",
   ['STRING', 'varchar', 'INTEGER', 'int', 'BIGINT', 'double', 'DECIMAL', 'boolean', 'DATE', 'timestamp', 'Decimal(10,2)', 'text'][p_size % 12 + 1] AS "Type",
   CAST(p_size AS VARCHAR) AS "Lengte",
@@ -484,7 +484,8 @@ SELECT 'erp' AS "Bron", "Tabelnaam",
   CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END AS bulk_insert,
   CASE WHEN n % 3 = 0 THEN 'false' ELSE ' TRUE ' END AS single_insert,
   CASE WHEN n % 4 = 0 THEN 'true' WHEN n % 4 = 1 THEN NULL ELSE 'false' END AS review_required
-FROM (SELECT DISTINCT p_brand AS "Tabelnaam", CAST(substring(p_brand, 7, 3) AS INTEGER) AS n FROM part) p
+FROM (SELECT DISTINCT 'Tabel ' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS VARCHAR) AS "Tabelnaam",
+                      CAST(floor(p_partkey / 50) AS BIGINT) AS n FROM part) p
 """
 
 
@@ -495,7 +496,7 @@ def d_flag(x: str, default: bool) -> str:
 oracle(
     "route_changes",
     f"""
-WITH ch AS (SELECT event_id, 'Brand#' || CAST(user_id % 26 + 1 AS VARCHAR) AS "table",
+WITH ch AS (SELECT event_id, 'Tabel ' || CAST(user_id % 45 AS VARCHAR) AS "table",
                    CASE event_type WHEN 'purchase' THEN 'bulk' WHEN 'view' THEN 'delete' ELSE 'single_update' END AS change_type
             FROM events),
 c AS (SELECT "Tabelnaam" AS "table", {d_flag('single_insert', True)} AS si, {d_flag('bulk_insert', True)} AS bi,
@@ -714,7 +715,7 @@ GROUP BY cols."table", cols.cols
 
 REC = f"""
 WITH base AS (
-  SELECT c."Tabelnaam", CAST(substring(c."Tabelnaam", 7, 3) AS INTEGER) % 3 AS st, fpc.column_metadata_fingerprint AS cf,
+  SELECT c."Tabelnaam", CAST(substring(c."Tabelnaam", 7, 20) AS BIGINT) % 3 AS st, fpc.column_metadata_fingerprint AS cf,
          fpg.table_config_fingerprint AS gf, {strip('c.bulk_insert')} AS b, {strip('c.single_insert')} AS s
   FROM ({F7}) c JOIN ({FPC}) fpc ON c."Tabelnaam" = fpc."Tabelnaam" JOIN ({FPG}) fpg ON c."Tabelnaam" = fpg."Tabelnaam")
 SELECT {d_clean('"Tabelnaam"')} AS "table", 'column_metadata_fingerprint' AS key, CASE WHEN st = 1 THEN sha256('old' || cf) ELSE cf END AS value FROM base WHERE st <> 2
@@ -724,7 +725,7 @@ UNION ALL SELECT {d_clean('"Tabelnaam"')}, 'single_insert', s FROM base WHERE st
 """
 EXISTING = f"""SELECT DISTINCT "table" AS name FROM ({REC}) r UNION ALL SELECT DISTINCT "table" || '_current' FROM ({REC}) r"""
 PLAN = f"""
-WITH d AS (SELECT DISTINCT "Tabelnaam" FROM ({F6}) f WHERE "Tabelnaam" NOT IN ('Brand#25')),
+WITH d AS (SELECT DISTINCT "Tabelnaam" FROM ({F6}) f WHERE "Tabelnaam" NOT IN ('Tabel 1')),
 rec AS ({REC}),
 ex AS (SELECT DISTINCT name AS "table" FROM ({EXISTING}) e WHERE NOT contains(name, '_current') AND NOT contains(name, '_sqldf')),
 r AS (SELECT "table", max(value) FILTER (WHERE key = 'column_metadata_fingerprint') AS rc,

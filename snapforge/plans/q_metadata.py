@@ -59,7 +59,7 @@ def q_constraints(spark, d):
 
 def _plan(spark, d):
     return M.plan_tables(
-        _md(spark, d), _cfg(spark, d), FX.f7_recorded(spark, d), FX.f7_existing(spark, d), exclude=["Brand#25"]
+        _md(spark, d), _cfg(spark, d), FX.f7_recorded(spark, d), FX.f7_existing(spark, d), exclude=["Tabel 1"]
     )
 
 

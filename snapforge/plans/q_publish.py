@@ -77,7 +77,7 @@ def _changes(spark, d):
     )
     return e.select(
         "event_id",
-        F.concat(F.lit("Brand#"), (F.col("user_id") % 26 + 1).cast("string")).alias("table"),
+        F.concat(F.lit("Tabel "), (F.col("user_id") % 45).cast("string")).alias("table"),
         ctype.alias("change_type"),
     )
 
