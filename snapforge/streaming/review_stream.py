@@ -37,17 +37,16 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     else:
         submit_seq, submitter, status, decision_seq, early = None, None, "pending", None, []
     before = (submit_seq, status, decision_seq)
-    events = pd.concat(list(batches), ignore_index=True).sort_values("seq")
-    pending_terminal = list(early)
-    for ev, actor, seq in zip(events["event"], events["actor"], events["seq"]):
-        seq = int(seq)
-        if ev == "submit":
-            if submit_seq is None or seq < submit_seq:
-                submit_seq, submitter = seq, actor
-        elif ev in TERMINAL:
-            pending_terminal.append([ev, actor, seq])
+    terminal = [tuple(e) for e in early]
+    for pdf in batches:  # plain lists: a CR has a handful of events per batch
+        for seq, ev, actor in zip(pdf["seq"].tolist(), pdf["event"].tolist(), pdf["actor"].tolist()):
+            if ev == "submit":
+                if submit_seq is None or seq < submit_seq:
+                    submit_seq, submitter = seq, actor
+            elif ev in TERMINAL:
+                terminal.append((ev, actor, seq))
     keep = []
-    for ev, actor, seq in sorted(pending_terminal, key=lambda x: x[2]):
+    for ev, actor, seq in sorted(terminal, key=lambda x: x[2]):
         if submit_seq is None:
             keep.append([ev, actor, seq])  # wait for the submit
         elif _valid(ev, actor, seq, submit_seq, submitter) and (decision_seq is None or seq < decision_seq):
