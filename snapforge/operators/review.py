@@ -260,3 +260,12 @@ def reject_decisions(log: DataFrame, staging: DataFrame | None = None) -> DataFr
 def cancel_decisions(log: DataFrame, staging: DataFrame | None = None) -> DataFrame:
     """Pending CRs only; no owner check (as the reference)."""
     return _decide(log, staging, "cancel", None, CR_STATUS_CANCELLED)
+
+
+def write_submission(staged: DataFrame, event: DataFrame, staging_table: str, log_table: str) -> None:
+    """C3 write order: staging rows first, then the log event, so a failed staging write
+    leaves no visible CR (an orphan staging partition is harmless and never listed)."""
+    from snapforge.sources.tables import append_rows
+
+    append_rows(staged, staging_table)
+    append_rows(event, log_table)

@@ -85,9 +85,18 @@ def _type_problem(col: str, ddl: str, row: Column) -> Column | None:
     return F.when(present & bad, _problem("type", col, row, text, detail))
 
 
-def validate_types(raw: DataFrame, schema: Mapping[str, str], row_col: str) -> DataFrame:
-    """V2: type problems of non-blank raw text, all columns in one pass (no shuffle)."""
-    cands = [p for c, t in schema.items() if c in raw.columns for p in [_type_problem(c, t, F.col(row_col))] if p is not None]
+def validate_types(
+    raw: DataFrame, schema: Mapping[str, str], row_col: str, skip: Sequence[str] = ()
+) -> DataFrame:
+    """V2: type problems of non-blank raw text, all columns in one pass (no shuffle).
+
+    ``skip`` gives the single-row (edit form) variant: audit and non-editable columns are
+    not checked there. Blank cells pass the type check; V3 alone decides "required" (D21)."""
+    skipped = set(skip) | ({c for c in AUDIT_COLS} if skip else set())
+    cands = [
+        p for c, t in schema.items() if c in raw.columns and c not in skipped
+        for p in [_type_problem(c, t, F.col(row_col))] if p is not None
+    ]
     return _explode_problems(raw, cands)
 
 

@@ -114,3 +114,16 @@ def test_fingerprint_ignores_row_order(spark):
     a = column_fingerprint(spark.createDataFrame(rows, cols)).first()[1]
     b = column_fingerprint(spark.createDataFrame(list(reversed(rows)), cols).repartition(5)).first()[1]
     assert a == b
+
+
+def test_submission_writes_staging_then_log(spark):
+    from snapforge.sources import tables as TB
+
+    rows = spark.createDataFrame([(1, "a")], "`__KEY` long, name string")
+    staged, event = C.submit_change(spark.createDataFrame([], C.LOG_SCHEMA), rows, "t", "bulk", "me", cr_id="cr9", ts=ts())
+    TB.create_table(staged.limit(0), "sub_staging", partition_by=[])
+    TB.create_table(event.limit(0), "sub_log", partition_by=[])
+    C.write_submission(staged, event, "sub_staging", "sub_log")
+    assert spark.table("sub_staging").count() == 1
+    ev = spark.table("sub_log").first()
+    assert ev["cr_id"] == "cr9" and ev["row_count"] == 1 and ev["event"] == "submit"

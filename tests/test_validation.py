@@ -100,3 +100,10 @@ def test_required_rows_capped(spark):
     rows = V.required_rows(df, ["c"], "r", n=200)
     assert rows.count() == 200
     assert rows.agg(F.max("row")).first()[0] == 199
+
+
+def test_single_row_form_skips_columns(spark):
+    raw = spark.createDataFrame([(1, "x", "y", "z")], "r long, a string, b string, `__VERSION` string")
+    schema = {"a": "int", "b": "int", "__VERSION": "int"}
+    assert sorted(p["column"] for p in V.validate_types(raw, schema, "r").collect()) == ["__VERSION", "a", "b"]
+    assert [p["column"] for p in V.validate_types(raw, schema, "r", skip=["b"]).collect()] == ["a"]
