@@ -127,3 +127,11 @@ def test_submission_writes_staging_then_log(spark):
     assert spark.table("sub_staging").count() == 1
     ev = spark.table("sub_log").first()
     assert ev["cr_id"] == "cr9" and ev["row_count"] == 1 and ev["event"] == "submit"
+
+
+def test_viewer_page_grouped_equals_plain(spark):
+    df = spark.range(0, 20000, 1, 40).select((F.col("id") * 7 % 20000).alias(KEY_COL), F.col("id").alias("x"))
+    plain = R.viewer_page(df, n=500, groups=1).collect()
+    grouped = R.viewer_page(df, n=500, groups=6).collect()
+    assert [r[KEY_COL] for r in grouped] == [r[KEY_COL] for r in plain] == list(range(19999, 19499, -1))
+    assert grouped[0]["total_rows"] == 20000
