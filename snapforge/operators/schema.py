@@ -53,10 +53,6 @@ def schema_for_table(metadata: DataFrame, table: str) -> list[tuple[str, str, bo
     return out
 
 
-def struct_type(columns: list[tuple[str, str, bool]]) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t, _ in columns)) if columns else T.StructType([])
-
-
 def apply_schema(raw: DataFrame, columns: list[tuple[str, str, bool]], keep: list[str] = ()) -> DataFrame:
     """Cast all-text ``raw`` to the table schema.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from snapforge.constants import KEY_COL
 from snapforge.functions import coerce as C

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from snapforge.constants import CR_ID_COL
 from snapforge.operators import review as C
 from snapforge.operators import snapshots as R
 from snapforge.plans import fixtures as FX
