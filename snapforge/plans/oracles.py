@@ -853,3 +853,9 @@ oracle(
     "collapse_whitespace_documents",
     f"""SELECT doc_id, {strip("regexp_replace(text, '[\\s\\v]+', ' ', 'g')")} AS text FROM documents""",
 )
+
+oracle(
+    "migrate_table",
+    f"""SELECT "__KEY", o_orderkey, o_orderstatus, o_totalprice, CAST(NULL AS VARCHAR) AS o_clerk,
+       "__UPLOAD_TIMESTAMP", "__VERSION", "__VERSION_TIMESTAMP", "__UPLOADED_BY", "__UPLOAD_FILE_NAME" FROM ({F1}) f""",
+)
