@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from snapforge.functions import coerce as C
 from snapforge.functions import names as N
 from snapforge.functions import text as TX
+from snapforge.constants import TABLE_NAME_STEPS
 
 
 def col_values(spark, values, expr, dtype="string"):
@@ -18,17 +19,12 @@ def col_values(spark, values, expr, dtype="string"):
 
 
 def py_clean(name: str) -> str:
-    # the documented rule, step by step (independent of the Spark expression)
+    """The fixed pattern table run through Python's regex engine (ASCII mode, like Java's)."""
     n = name[:-4] if name.lower().endswith(".csv") else name
-    n = re.sub(r"(?i)(?:\b\d{1,2}[-_]\d{1,2}[-_]\d{2,4}\b)", "", n, flags=re.ASCII)
-    n = re.sub(r"\b(?:19|20)\d{2}\b", "", n, flags=re.ASCII)
-    n = re.sub(r"\b\d{8,}\b", "", n, flags=re.ASCII)
-    n = re.sub(r"[-_\s]+\Z", "", n, flags=re.ASCII)
-    n = re.sub(r"^[-_\s]+", "", n, flags=re.ASCII)
-    n = re.sub(r"[-\s]+", "_", n, flags=re.ASCII)
-    n = re.sub(r"__+", "_", n, flags=re.ASCII)
-    n = n.strip("_").lower()
-    return f"_{n}" if not n or n[0].isdigit() else n
+    for pattern, repl in TABLE_NAME_STEPS:
+        n = re.sub(pattern.replace("$", r"\Z"), repl, n, flags=re.ASCII)
+    n = re.sub(r"^_+|_+\Z", "", n).lower()
+    return "_" + n if re.match(r"[0-9]|\Z", n) else n
 
 
 def test_clean_table_name_examples(spark):
