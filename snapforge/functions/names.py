@@ -88,3 +88,10 @@ def user_tables(names: DataFrame, name_col: str = "name") -> DataFrame:
     """M14 over a table inventory: distinct user tables, case-insensitive order key included."""
     n = names.select(F.col(name_col).alias("table_name")).where(is_user_table("table_name")).distinct()
     return n.withColumn("sort_key", F.lower(F.col("table_name")))
+
+
+def user_schemas(names: DataFrame, name_col: str = "name") -> DataFrame:
+    """M14 (schemas): distinct stripped schema names that are not blank or hidden, with a
+    case-insensitive order key."""
+    n = names.select(strip(F.col(name_col)).alias("schema_name")).where(is_user_schema("schema_name")).distinct()
+    return n.withColumn("sort_key", F.lower(F.col("schema_name")))

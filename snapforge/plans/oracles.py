@@ -859,3 +859,11 @@ oracle(
     f"""SELECT "__KEY", o_orderkey, o_orderstatus, o_totalprice, CAST(NULL AS VARCHAR) AS o_clerk,
        "__UPLOAD_TIMESTAMP", "__VERSION", "__VERSION_TIMESTAMP", "__UPLOADED_BY", "__UPLOAD_FILE_NAME" FROM ({F1}) f""",
 )
+
+oracle(
+    "user_schemas",
+    f"""SELECT DISTINCT {strip('s')} AS schema_name, lower({strip('s')}) AS sort_key
+FROM (SELECT string_split(replace(name, '`', ''), '.')[1] AS s FROM ({F8}) f WHERE contains(name, '.')) x
+WHERE {strip("coalesce(s, '')")} <> ''
+  AND lower({strip("coalesce(s, '')")}) NOT IN ('information_schema', 'app_metadata', 'meta', 'test', 'testing')""",
+)

@@ -132,3 +132,13 @@ def q_assign_row_keys(spark, d):
 def q_collapse_whitespace_documents(spark, d):
     """P4 on whole document texts (1 to 20,000 words each)."""
     return FX.table(spark, d, "documents").select("doc_id", TX.collapse_whitespace("text").alias("text"))
+
+
+@query("user_schemas")
+def q_user_schemas(spark, d):
+    """M14 on the schema part of the dotted names in F8."""
+    from pyspark.sql import functions as F
+
+    f8 = FX.f8_names(spark, d).where(F.col("name").contains("."))
+    schemas = f8.select(F.split(F.replace(F.col("name"), F.lit("`"), F.lit("")), r"\.")[0].alias("name"))
+    return N.user_schemas(schemas)

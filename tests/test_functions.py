@@ -95,3 +95,8 @@ def test_cleaning_is_idempotent(spark, values):
     d1 = col_values(spark, values, C.coerce_date)
     d2 = col_values(spark, [x.isoformat() if x else None for x in d1], C.coerce_date)
     assert d1 == d2
+
+
+def test_user_schemas_hide_system_schemas(spark):
+    got = col_values(spark, ["Sales", " INFORMATION_SCHEMA ", "app_metadata", "", None, "Testing", "tests"], N.is_user_schema)
+    assert got == [True, False, False, False, False, False, True]
