@@ -45,3 +45,24 @@ def test_stream_handles_out_of_order_batches(spark, tmp_path):
     all_events = spark.createDataFrame(_rows([e for b in batches for e in b]), C.LOG_SCHEMA)
     batch = {r["cr_id"]: r["status"] for r in C.cr_status(all_events).collect()}
     assert got == batch == {"a": "approved", "b": "cancelled", "c": "pending"}
+
+
+def test_summary_stream_matches_batch_fold(spark, tmp_path):
+    from snapforge.streaming.review_stream import run_summary_stream, status_from_summary
+
+    batches = [
+        [("a", 5, "reject", "bob"), ("b", 2, "submit", "ann")],
+        [("a", 1, "submit", "ann"), ("b", 3, "approve", "ann")],
+        [("a", 4, "approve", "cid"), ("b", 6, "cancel", "ann"), ("c", 7, "submit", "dan")],
+    ]
+    log_dir = tmp_path / "log"
+    log_dir.mkdir()
+    for i, b in enumerate(batches):
+        table = pa.Table.from_pylist([dict(zip(COLS, r)) for r in _rows(b)], schema=ARROW_SCHEMA)
+        f = log_dir / f"{i}.parquet"
+        pq.write_table(table, f)
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    out = str(tmp_path / "out")
+    run_summary_stream(spark, str(log_dir), out)
+    got = {r["cr_id"]: r["status"] for r in status_from_summary(spark.read.parquet(out)).collect()}
+    assert got == {"a": "approved", "b": "cancelled", "c": "pending"}
