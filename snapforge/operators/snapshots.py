@@ -40,6 +40,11 @@ def next_version(df: DataFrame, version_col: str = VERSION_COL) -> DataFrame:
     return df.agg(F.coalesce(F.max(version_col) + 1, F.lit(1)).cast("int").alias("next_version"))
 
 
+def latest_version(df: DataFrame, version_col: str = VERSION_COL) -> DataFrame:
+    """R3 companion: one row ``latest_version`` = max version, 0 for an empty table."""
+    return df.agg(F.coalesce(F.max(version_col), F.lit(0)).cast("int").alias("latest_version"))
+
+
 def next_version_value(df: DataFrame, version_col: str = VERSION_COL) -> int:
     """R3 on the driver (one row). Raises instead of silently returning 1 on failure."""
     return int(next_version(df, version_col).first()[0])

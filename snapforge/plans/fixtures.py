@@ -404,5 +404,8 @@ def f7_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f7_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table inventory: the existing tables plus a ``_current`` helper table for each."""
-    t = f7_recorded(spark, sf_dir).select("table").distinct()
+    from snapforge.functions.names import clean_table_name
+
+    cfg = f7_config(spark, sf_dir)
+    t = cfg.where(f7_state(F.col("Tabelnaam")) != "missing").select(clean_table_name("Tabelnaam").alias("table"))
     return t.select(F.col("table").alias("name")).unionByName(t.select(F.concat("table", F.lit("_current")).alias("name")))
