@@ -1,5 +1,7 @@
 """upload -> validate -> stage -> approve -> the latest snapshot equals the upload."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from snapforge.constants import CR_ID_COL
@@ -15,6 +17,9 @@ from snapforge.sources import tables as TB
 import __spark_entry__ as E
 
 
+E2E_PRICES = "e2e_prices_" + uuid.uuid4().hex[:8]
+
+
 def test_upload_to_published_snapshot(spark):
     path = scratch_path(spark, "e2e") + "/prices.csv"
     raw_rows = spark.createDataFrame(
@@ -32,7 +37,7 @@ def test_upload_to_published_snapshot(spark):
 
     ts = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
     version1 = TB.versioned_layout(typed.drop("__ROW"), ts, "me", order=["code"])
-    name = "e2e_prices"
+    name = E2E_PRICES
     TB.create_table(version1, name)
     table = spark.table(name)
     bulk = W.publish_bulk(typed.drop("__ROW"), W.table_columns(table), table=table, ts=ts, user="me", file_name="prices.csv", order=["code"])

@@ -1,5 +1,7 @@
 """Publishing, review log and key assignment properties."""
 
+import uuid
+
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -11,6 +13,11 @@ from snapforge.operators import snapshots as R
 from snapforge.operators.keys import assign_row_keys
 
 
+RESTORE_SRC_BLANK = "restore_src_blank_" + uuid.uuid4().hex[:8]
+SUB_STAGING = "sub_staging_" + uuid.uuid4().hex[:8]
+SUB_LOG = "sub_log_" + uuid.uuid4().hex[:8]
+
+
 def ts():
     return F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
 
@@ -97,11 +104,11 @@ def test_restore_fails_on_blank_required(spark):
     from snapforge.sources import tables as TB
 
     df = spark.createDataFrame([(1, "a"), (2, None)], "`__KEY` long, name string")
-    TB.create_table(df, "restore_src_blank", partition_by=[])
-    out = TB.restore_by_name(spark, {"__KEY": "bigint", "name": "string"}, "restore_src_blank", required=["name"])
+    TB.create_table(df, RESTORE_SRC_BLANK, partition_by=[])
+    out = TB.restore_by_name(spark, {"__KEY": "bigint", "name": "string"}, RESTORE_SRC_BLANK, required=["name"])
     with pytest.raises(Exception, match="required columns"):
         out.collect()
-    ok = TB.restore_by_name(spark, {"__KEY": "bigint", "name": "string"}, "restore_src_blank", required=["__KEY"])
+    ok = TB.restore_by_name(spark, {"__KEY": "bigint", "name": "string"}, RESTORE_SRC_BLANK, required=["__KEY"])
     assert ok.count() == 2
 
 
@@ -121,11 +128,11 @@ def test_submission_writes_staging_then_log(spark):
 
     rows = spark.createDataFrame([(1, "a")], "`__KEY` long, name string")
     staged, event = C.submit_change(spark.createDataFrame([], C.LOG_SCHEMA), rows, "t", "bulk", "me", cr_id="cr9", ts=ts())
-    TB.create_table(staged.limit(0), "sub_staging", partition_by=[])
-    TB.create_table(event.limit(0), "sub_log", partition_by=[])
-    C.write_submission(staged, event, "sub_staging", "sub_log")
-    assert spark.table("sub_staging").count() == 1
-    ev = spark.table("sub_log").first()
+    TB.create_table(staged.limit(0), SUB_STAGING, partition_by=[])
+    TB.create_table(event.limit(0), SUB_LOG, partition_by=[])
+    C.write_submission(staged, event, SUB_STAGING, SUB_LOG)
+    assert spark.table(SUB_STAGING).count() == 1
+    ev = spark.table(SUB_LOG).first()
     assert ev["cr_id"] == "cr9" and ev["row_count"] == 1 and ev["event"] == "submit"
 
 
