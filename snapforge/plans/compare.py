@@ -1,13 +1,15 @@
 """Local parity check: run a registered query on Spark and its oracle on DuckDB, compare.
 
 Usage: ``python -m snapforge.plans.compare [sf_dir] [name ...]``.
-Comparison is order-insensitive: row count, column names, and values after
-normalisation (timestamps as text, floats rounded to 6 decimals).
+Comparison is order-insensitive: column names and types, row count, and values after
+normalisation (timestamps as text; floats rounded to 6 decimals, or exact with
+SNAPFORGE_COMPARE_EXACT=1).
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -17,6 +19,9 @@ TABLES = [
 ]
 
 
+EXACT = os.environ.get("SNAPFORGE_COMPARE_EXACT") == "1"  # floats compared bit for bit
+
+
 def duck(sf_dir: str):
     import duckdb
 
@@ -26,6 +31,14 @@ def duck(sf_dir: str):
     return con
 
 
+# Spark simple type -> DuckDB type name, for the schema check
+TYPE_MAP = {
+    "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "TINYINT", "string": "VARCHAR",
+    "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP WITH TIME ZONE",
+}
+
+
 def _norm(v):
     import datetime as dt
     import decimal
@@ -35,7 +48,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if isinstance(v, dt.datetime):
@@ -87,14 +100,20 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
         try:
             rel = con.sql(os_[name])
             dcols = list(rel.columns)
+            dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
             drows = rel.fetchall()
         except Exception as exc:  # noqa: BLE001
             results[name] = f"DUCK ERROR {type(exc).__name__}: {str(exc)[:300]}"
             if verbose:
                 print(name, results[name], flush=True)
             continue
+        type_diff = [
+            (c, t, dtypes.get(c)) for c, t in sdf.dtypes if TYPE_MAP.get(t, t) != dtypes.get(c)
+        ] if sorted(scols) == sorted(dcols) else []
         if sorted(scols) != sorted(dcols):
             results[name] = f"COLUMNS spark={sorted(scols)} duck={sorted(dcols)}"
+        elif type_diff:
+            results[name] = f"TYPES {type_diff}"
         elif len(srows) != len(drows):
             results[name] = f"ROWCOUNT spark={len(srows)} duck={len(drows)}"
         else:
