@@ -239,6 +239,7 @@ def overlapping_validity(
     open_end: str = OPEN_END_DATE,
     num_partitions: int | None = None,
     skew_safe: bool = True,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """V6: rows whose validity starts on or before the latest end of an earlier row of the
     same key (closed intervals; touching counts). Rows are ordered by start, filled end,
@@ -252,7 +253,13 @@ def overlapping_validity(
     partition (bounded by the partition count, hence broadcast) supplies what earlier
     partitions contribute to a key that spans a boundary. ``skew_safe=False`` is the
     plain window over each key, kept for comparison.
+
+    ``columns`` limits the carried columns to key, start, end, tie and the ones named (the
+    range-partitioned rows are checkpointed, so a wide table should not be carried whole).
     """
+    if columns is not None:
+        keep = list(dict.fromkeys([key, start, end, *tie, *columns]))
+        df = df.select(*keep)
     x = _prepare_validity(df, key, start, end, open_end)
     # a row hash ends the order: complete ties are split across range partitions and ordered
     # deterministically (which of two fully tied rows comes first is otherwise arbitrary)
@@ -400,7 +407,7 @@ def validate_upload(
         ))
     if validity and all(validity):
         k, s, e = validity
-        ov = overlapping_validity(cleaned, k, s, e, tie=[row_col])
+        ov = overlapping_validity(cleaned, k, s, e, tie=[row_col], columns=[])
         frames.append(ov.select(
             F.lit(5).alias("stage"), F.lit("overlap").alias("check"), F.lit(k).alias("column"),
             F.col(row_col).cast("bigint").alias("row"), F.col(k).cast("string").alias("value"),

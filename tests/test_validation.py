@@ -107,3 +107,11 @@ def test_single_row_form_skips_columns(spark):
     schema = {"a": "int", "b": "int", "__VERSION": "int"}
     assert sorted(p["column"] for p in V.validate_types(raw, schema, "r").collect()) == ["__VERSION", "a", "b"]
     assert [p["column"] for p in V.validate_types(raw, schema, "r", skip=["b"]).collect()] == ["a"]
+
+
+def test_overlaps_carry_only_named_columns(spark):
+    rows, df = _frame(spark)
+    wide = df.withColumn("payload", F.lit("x" * 50))
+    got = V.overlapping_validity(wide, "k", "s", "e", tie=["id"], columns=[])
+    assert "payload" not in got.columns
+    assert {r["id"] for r in got.collect()} == set(brute_force_overlaps(rows))
