@@ -92,7 +92,10 @@ def publish_edit(
     changed = edits.drop(*[c for c in AUDIT_COLS if c != KEY_COL and c in edits.columns])
     if keep:
         order = F.struct(F.col(UPLOAD_TS_COL), *[F.col(t) for t in tie])
-        prev = snapshot.groupBy(KEY_COL).agg(F.max_by(F.struct(*[F.col(c) for c in keep]), order).alias("_prev"))
+        # only the edited keys' rows are aggregated (a semi-join first; a small edit set is
+        # broadcast by AQE, so the snapshot itself is not shuffled for this)
+        edited_rows = snapshot.join(edits.select(KEY_COL), KEY_COL, "left_semi")
+        prev = edited_rows.groupBy(KEY_COL).agg(F.max_by(F.struct(*[F.col(c) for c in keep]), order).alias("_prev"))
         changed = changed.drop(*keep).join(prev, KEY_COL, "left").select(
             *[c for c in changed.columns if c not in keep], *[F.col(f"_prev.{c}").alias(c) for c in keep]
         )
