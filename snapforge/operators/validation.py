@@ -208,11 +208,14 @@ def business_key_conflicts(
     ex = existing.select(
         F.col(key_col).alias("_xkey"), *[_norm_key(k, classes[k]).alias(n) for k, n in zip(keys, nk)]
     ).where(" AND ".join(f"{n} IS NOT NULL" for n in nk))
-    w = Window.partitionBy(*nk).orderBy("_xkey")
-    ex = ex.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= max_keys + 1).drop("_r")
     nw = new.where(_key_present(new, keys)).select(
         F.col(row_col), F.col(key_col), *[_norm_key(k, classes[k]).alias(n) for k, n in zip(keys, nk)]
     )
+    # only business-key values present in the new rows are ranked (for a single edit that is
+    # one value; a small key set is broadcast by AQE)
+    ex = ex.join(nw.select(*nk).distinct(), nk, "left_semi")
+    w = Window.partitionBy(*nk).orderBy("_xkey")
+    ex = ex.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= max_keys + 1).drop("_r")
     j = nw.join(ex, nk)
     if exclude_self:
         j = j.where(~F.col("_xkey").eqNullSafe(F.col(key_col)))
