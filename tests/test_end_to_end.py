@@ -58,3 +58,18 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_upload_rows_follow_file_order_and_dated_file_errors(spark):
+    import pytest
+
+    path = scratch_path(spark, "order") + "/u.csv"
+    S.write_text_csv(spark.createDataFrame([(f"c{i:03d}",) for i in range(300)], "Code string").orderBy("Code"), path,
+                     single_file=True)
+    up = S.read_upload(spark, path)
+    assert [(r["code"], r["__ROW"]) for r in up.orderBy("__ROW").collect()][:3] == [("c000", 1), ("c001", 2), ("c002", 3)]
+    assert up.where(F.col("__ROW") != F.substring("code", 2, 3).cast("int") + 1).count() == 0
+    base = scratch_path(spark, "nodates")
+    S.write_text_csv(spark.createDataFrame([("x",)], "a string"), f"{base}/meta_20241399.csv")
+    with pytest.raises(FileNotFoundError):
+        S.latest_dated_path(spark, base, "meta")

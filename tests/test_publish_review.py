@@ -142,3 +142,21 @@ def test_viewer_page_grouped_equals_plain(spark):
     grouped = R.viewer_page(df, n=500, groups=6).collect()
     assert [r[KEY_COL] for r in grouped] == [r[KEY_COL] for r in plain] == list(range(19999, 19499, -1))
     assert grouped[0]["total_rows"] == 20000
+
+
+def test_latest_row_per_key_with_hot_key(spark):
+    # key 1 holds most rows, spread over many partitions; the newest ts (then tie) wins
+    df = spark.range(0, 30000, 1, 12).select(
+        F.when(F.col("id") % 10 < 8, F.lit(1)).otherwise(F.col("id") % 50 + 2).cast("long").alias(KEY_COL),
+        F.col("id").alias("tie"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("id") % 7)).alias("__UPLOAD_TIMESTAMP"),
+        F.lit(1).alias("__VERSION"),
+    )
+    got = {r[KEY_COL]: r["tie"] for r in R.latest_row_per_key(df, tie=["tie"]).collect()}
+    rows = df.collect()
+    best = {}
+    for r in rows:
+        k = r[KEY_COL]
+        if k not in best or (r["__UPLOAD_TIMESTAMP"], r["tie"]) > best[k]:
+            best[k] = (r["__UPLOAD_TIMESTAMP"], r["tie"])
+    assert got == {k: v[1] for k, v in best.items()}
