@@ -160,3 +160,19 @@ def test_latest_row_per_key_with_hot_key(spark):
         if k not in best or (r["__UPLOAD_TIMESTAMP"], r["tie"]) > best[k]:
             best[k] = (r["__UPLOAD_TIMESTAMP"], r["tie"])
     assert got == {k: v[1] for k, v in best.items()}
+
+
+def test_route_changes_flags_and_delete_review(spark):
+    changes = spark.createDataFrame(
+        [(1, "t1", "single_update"), (2, "t1", "bulk"), (3, "t2", "delete"), (4, "t3", "bulk")],
+        "id int, table string, change_type string",
+    )
+    cons = spark.createDataFrame(
+        [("t1", "false", "true", None), ("t2", None, None, "TRUE ")],
+        "Tabelnaam string, single_insert string, bulk_insert string, review_required string",
+    )
+    flags = W.constraint_flags(cons)
+    got = {r["id"]: r["route"] for r in W.route_changes(changes, flags).collect()}
+    assert got == {1: "blocked", 2: "publish", 3: "review", 4: "publish"}
+    old = {r["id"]: r["route"] for r in W.route_changes(changes, flags, delete_to_review=False).collect()}
+    assert old[3] == "publish"

@@ -115,3 +115,16 @@ def test_overlaps_carry_only_named_columns(spark):
     got = V.overlapping_validity(wide, "k", "s", "e", tie=["id"], columns=[])
     assert "payload" not in got.columns
     assert {r["id"] for r in got.collect()} == set(brute_force_overlaps(rows))
+
+
+def test_validate_upload_validity_stage_needs_all_three(spark):
+    raw = spark.createDataFrame(
+        [(1, "a", "2024-01-01", "2024-01-31"), (2, "a", "2024-01-15", "2024-02-01"), (3, "b", "2024-01-01", None)],
+        "r long, k string, s string, e string",
+    )
+    typed = raw.select("r", "k", F.to_date("s").alias("s"), F.to_date("e").alias("e"))
+    schema = {"k": "string", "s": "date", "e": "date"}
+    full = V.validate_upload(raw, typed, schema, "r", validity=("k", "s", "e"))
+    assert [(p["stage"], p["row"]) for p in full.where("stage = 5").collect()] == [(5, 2)]
+    partial = V.validate_upload(raw, typed, schema, "r", validity=("k", "s", None))
+    assert partial.where("stage = 5").count() == 0
