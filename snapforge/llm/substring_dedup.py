@@ -10,15 +10,15 @@ A window's anchor is the least hash of the word ``ANCHOR``-grams in it; equal wi
 a shard by anchor holds all occurrences of its windows.
 
 1. Documents are dealt once into groups by a hash. In a group, each maximal run of windows
-   with one anchor is a segment (its windows' words); alike segments are merged with a count. The
-   segments go, compressed, to the shard of their anchor. So a passage that a third of the
-   corpus shares reaches its shard once per group, not once per document.
-2. In a shard, anchors that occur once are done. For each other anchor a suffix automaton of its segments is
-   built (segments weighted by their counts), and the segments are streamed through it for
-   matching statistics: where the longest match that occurs at least twice has ``window`` words or more, the
-   window that ends there occurs elsewhere.
+   with one anchor is a segment (its windows' words). A group sends each anchor once to the anchor's
+   shard, and gets back those that occur elsewhere too; no other can hold a repeated window.
+2. Segments of these anchors, alike ones of a group merged with a count, go compressed to the
+   shard. So a passage that a third of the corpus shares reaches its shard once per group, not once per
+   document. For each anchor a suffix automaton of its segments (weighted by their counts) is built,
+   and the segments are streamed through it for matching statistics: where the longest match that
+   occurs at least twice has ``window`` words or more, the window that ends there occurs elsewhere.
 3. Each group that holds such a segment gets the segment's hash and the mask of its repeated
-   windows, and meets its documents again: the text shuffle of step 1 is reused.
+   windows, and judges its documents. The three steps read one and the same text shuffle.
 """
 
 from __future__ import annotations
@@ -39,9 +39,7 @@ ANCHOR = 12
 #: Windows in a segment at most: their mask is one 64-bit number.
 SEGMENT = 64
 #: Groups and shards per shuffle partition: a group or shard is that part of a partition.
-SPLIT = 4
-#: Marks, in a segment's count, that its anchor occurs more than once in its text.
-AGAIN = 1 << 31
+SPLIT = 2
 
 
 class Segments:
@@ -170,86 +168,137 @@ class Automaton:
         return mask
 
 
-def _judged(anchor: np.ndarray, weight: np.ndarray, words_of, window: int) -> dict[int, int]:
-    """index of a distinct segment -> mask of its repeated windows, for all that have any."""
-    out: dict[int, int] = {}
+def _judged(anchor: np.ndarray, weight: np.ndarray, words_of, window: int) -> Iterator[tuple[int, int]]:
+    """(index, mask of its repeated windows) of each distinct segment that has any."""
     order = np.argsort(anchor, kind="stable")
-    cut = np.flatnonzero(np.diff(anchor[order])) + 1
-    for group in np.split(order, cut):
-        segments = [words_of(i) for i in group]
-        automaton = Automaton(segments, [int(weight[i]) for i in group])
-        for i, words in zip(group, segments, strict=True):
+    for group in np.split(order, np.flatnonzero(np.diff(anchor[order])) + 1):
+        segments = [words_of(i) for i in group.tolist()]
+        automaton = Automaton(segments, weight[group].tolist())
+        for i, words in zip(group.tolist(), segments, strict=True):
             mask = automaton.repeated(words, window)
             if mask:
-                out[int(i)] = mask
-    return out
+                yield i, mask
+
+
+def _by_shard(anchor: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places in ``anchor``) of each shard that has any."""
+    shard = (anchor >> np.uint64(20)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if part.size:
+            yield int(shard[part[0]]), part
+
+
+def _messages(rows: list[tuple[int, int, bytes]], names: list[str]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    kinds = [pa.int32(), pa.int32(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
 
+def _texts(table: pa.Table) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in table.column("text")]
 
-def _found(window: int):
-    """Documents of groups -> (shard, grp, blob): the segments of a group for each shard."""
-
-    def run(shards: int):
-        def each(table: pa.Table) -> pa.Table:
-            grp = table.column("grp")[0].as_py()
-            raw = (t.as_buffer().to_pybytes() for t in table.column("text") if t.is_valid)
-            parts = []
-            for _, some in runs(raw):
-                s = Segments(some, window)
-                hashes, first, count = np.unique(s.hash, return_index=True, return_counts=True)
-                again = np.zeros(len(hashes), dtype=np.uint32)
-                again[np.searchsorted(hashes, s.hash[s.again])] = AGAIN
-                texts = [s.text(i, window) for i in first.tolist()]
-                parts.append((s.anchor[first], hashes, count.astype(np.uint32) | again, texts))
-            anchor, hashes, count = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.uint64)]) for i in range(3))
-            texts = [t for p in parts for t in p[3]]
-            shard = (anchor >> np.uint64(20)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            out: list[list] = [[], [], []]
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                if part.size:
-                    out[0].append(int(shard[part[0]]))
-                    out[1].append(grp)
-                    out[2].append(_packed(anchor[part], hashes[part], count[part], [texts[i] for i in part.tolist()]))
-            kinds = [pa.int32(), pa.int32(), pa.binary()]
-            return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["shard", "grp", "blob"])
-
-        return each
-
-    return run
+
+def _blobs(table: pa.Table, name: str, dtype=np.uint64) -> list[np.ndarray]:
+    return [np.frombuffer(b.as_buffer().to_pybytes(), dtype) for b in table.column(name)]
+
+
+def _anchors(window: int, shards: int):
+    """Documents of a group -> its distinct anchors for each shard, those that the group has twice first."""
+
+    def each(table: pa.Table) -> pa.Table:
+        grp = table.column("grp")[0].as_py()
+        found, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for _, some in runs(_texts(table)):
+            s = Segments(some, window)
+            distinct, count = np.unique(s.anchor, return_counts=True)
+            found.append(distinct)
+            more += [distinct[count > 1], s.anchor[s.again]]
+        distinct, count = np.unique(np.concatenate(found), return_counts=True)
+        more = np.union1d(distinct[count > 1], np.concatenate(more))
+        once = np.setdiff1d(distinct, more, assume_unique=True)
+        rows = {}
+        for k, anchors in enumerate((more, once)):
+            for shard, part in _by_shard(anchors, shards):
+                rows.setdefault(shard, [b"", b""])[k] = anchors[part].tobytes()
+        return _messages(
+            [(shard, grp, np.uint64(len(a) // 8).tobytes() + a + b) for shard, (a, b) in rows.items()],
+            ["shard", "grp", "blob"],
+        )
+
+    return each
+
+
+def _repeated_anchors(table: pa.Table) -> pa.Table:
+    """The groups' anchors in a shard -> for each group its anchors that occur more than once in the corpus."""
+    parts = _blobs(table, "blob")
+    anchor = np.concatenate([p[1:] for p in parts])
+    more = np.concatenate([np.arange(len(p) - 1) < int(p[0]) for p in parts])
+    grp = np.repeat(np.asarray(table.column("grp")), [len(p) - 1 for p in parts])
+    _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    again = (count > 1) | (np.bincount(which, weights=more) > 0)
+    hit = np.flatnonzero(again[which])
+    hit = hit[np.argsort(grp[hit], kind="stable")]
+    rows = [
+        (int(grp[part[0]]), 0, anchor[part].tobytes())
+        for part in np.split(hit, np.flatnonzero(np.diff(grp[hit])) + 1) if part.size
+    ]
+    return _messages(rows, ["grp", "none", "found"])
+
+
+def _segments(window: int, shards: int):
+    """Documents of a group and its repeated anchors -> for each shard the distinct segments with these."""
+
+    def each(table: pa.Table, found: pa.Table) -> pa.Table:
+        wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *_blobs(found, "found")]))
+        if not table.num_rows or not len(wanted):
+            return _messages([], ["shard", "grp", "blob"])
+        grp = table.column("grp")[0].as_py()
+        parts = []
+        for _, some in runs(_texts(table)):
+            s = Segments(some, window)
+            at = np.minimum(np.searchsorted(wanted, s.anchor), len(wanted) - 1)
+            mine = np.flatnonzero(wanted[at] == s.anchor)
+            hashes, first, count = np.unique(s.hash[mine], return_index=True, return_counts=True)
+            first = mine[first]
+            parts.append((s.anchor[first], hashes, count.astype(np.uint32), [s.text(i, window) for i in first.tolist()]))
+        anchor, hashes, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        texts = [t for p in parts for t in p[3]]
+        return _messages(
+            [
+                (shard, grp, _packed(anchor[part], hashes[part], count[part], [texts[i] for i in part.tolist()]))
+                for shard, part in _by_shard(anchor, shards)
+            ],
+            ["shard", "grp", "blob"],
+        )
+
+    return each
 
 
 def _shard(window: int):
     def each(table: pa.Table) -> pa.Table:
         """The blobs of a shard -> for each group, hashes and masks of its segments with repeated windows."""
         parts = [_unpacked(b.as_buffer().to_pybytes()) for b in table.column("blob")]
-        grp = np.repeat(np.asarray(table.column("grp")), [len(p[0]) for p in parts]) if parts else np.zeros(0, np.int32)
-        anchor, hashes, count, sizes = (
-            np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(4)
-        )
+        grp = np.repeat(np.asarray(table.column("grp")), [len(p[0]) for p in parts])
+        anchor, hashes, count, sizes = (np.concatenate([p[i] for p in parts]) for i in range(4))
         text = b"".join(p[4] for p in parts)
         del parts
         end = np.cumsum(sizes, dtype=np.int64)
         # alike segments of several groups become one, its weight the sum of theirs
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        weight = np.bincount(which, weights=count & np.uint32(AGAIN - 1)).astype(np.int64)
-        again = np.bincount(which, weights=count >> np.uint32(31)) > 0
-        _, at, times = np.unique(anchor[first], return_inverse=True, return_counts=True)
-        # an anchor that occurs once in the corpus has no window that occurs twice
-        keep = np.flatnonzero((times[at] > 1) | (weight > 1) | again) if len(first) else first
-        words_of = lambda j: text[end[first[keep[j]]] - sizes[first[keep[j]]] : end[first[keep[j]]]].split()
-        masks = _judged(anchor[first[keep]], weight[keep], words_of, window)
+        weight = np.bincount(which, weights=count).astype(np.int64)
+        words_of = lambda i: text[end[first[i]] - sizes[first[i]] : end[first[i]]].split()
         mask = np.zeros(len(first), dtype=np.uint64)
-        for j, m in masks.items():
-            mask[keep[j]] = m
-        of_row = mask[which] if len(which) else np.zeros(0, np.uint64)
+        for i, m in _judged(anchor[first], weight, words_of, window):
+            mask[i] = m
+        of_row = mask[which]
         hit = np.flatnonzero(of_row)
         hit = hit[np.argsort(grp[hit], kind="stable")]
-        groups, blobs = [], []
-        for part in np.split(hit, np.flatnonzero(np.diff(grp[hit])) + 1):
-            if part.size:
-                groups.append(int(grp[part[0]]))
-                blobs.append(hashes[part].tobytes() + of_row[part].tobytes())
-        return pa.table([pa.array(groups, pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "found"])
+        rows = [
+            (int(grp[part[0]]), 0, hashes[part].tobytes() + of_row[part].tobytes())
+            for part in np.split(hit, np.flatnonzero(np.diff(grp[hit])) + 1) if part.size
+        ]
+        return _messages(rows, ["grp", "none", "found"])
 
     return each
 
@@ -280,8 +329,7 @@ def _judged_texts(texts: list[bytes], masks: dict[int, int], window: int) -> Ite
 
 def _masks(table: pa.Table) -> dict[int, int]:
     out: dict[int, int] = {}
-    for b in table.column("found"):
-        pair = np.frombuffer(b.as_buffer().to_pybytes(), np.uint64)
+    for pair in _blobs(table, "found"):
         out.update(zip(pair[: len(pair) // 2].tolist(), pair[len(pair) // 2 :].tolist(), strict=True))
     return out
 
@@ -294,10 +342,14 @@ def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _meet(dealt: DataFrame, n: int, window: int, each, schema: str) -> DataFrame:
-    shards = n * SPLIT
-    found = dealt.select("grp", "text").groupBy("grp").applyInArrow(_found(window)(shards), "shard int, grp int, blob binary")
-    masks = found.groupBy("shard").applyInArrow(_shard(window), "grp int, found binary")
-    return dealt.groupBy("grp").cogroup(masks.groupBy("grp")).applyInArrow(each, schema)
+    # every step takes the groups with all their columns, so that Spark reuses the one exchange of the texts
+    shards, groups = n * SPLIT, dealt.groupBy("grp")
+    to_shard, to_group = "shard int, grp int, blob binary", "grp int, none int, found binary"
+    anchors = groups.applyInArrow(_anchors(window, shards), to_shard)
+    repeated = anchors.groupBy("shard").applyInArrow(_repeated_anchors, to_group)
+    segments = groups.cogroup(repeated.groupBy("grp")).applyInArrow(_segments(window, shards), to_shard)
+    masks = segments.groupBy("shard").applyInArrow(_shard(window), to_group)
+    return groups.cogroup(masks.groupBy("grp")).applyInArrow(each, schema)
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -312,7 +364,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def each(table: pa.Table, found: pa.Table) -> pa.Table:
         masks = _masks(found)
         out: list[list] = [[], [], [], [], []]
-        texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in table.column("text")]
+        texts = _texts(table)
         judged = _judged_texts(texts, masks, window)
         for doc_id, t, (n, gone, kept) in zip(table.column("doc_id").to_pylist(), texts, judged, strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))) if kept is not None else gone[:0]
@@ -347,8 +399,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def each(table: pa.Table, found: pa.Table) -> pa.Table:
         masks = _masks(found)
         texts, sizes = table.column("text").to_pylist(), {}
-        raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in table.column("text")]
-        for i, (_, _, kept) in enumerate(_judged_texts(raw, masks, window)):
+        for i, (_, _, kept) in enumerate(_judged_texts(_texts(table), masks, window)):
             if kept is not None:
                 texts[i] = b" ".join(kept).decode()
                 sizes[i] = len(texts[i])
