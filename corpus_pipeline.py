@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from snapforge.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
+from snapforge.llm.common import ship_package
 from snapforge.llm.queries import WORD_BPE
 from snapforge.session import scratch_path
 
@@ -49,6 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, name)

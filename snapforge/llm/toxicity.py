@@ -7,7 +7,10 @@ document labels through the noisy-or, so it learns which sentences carry a label
 offending sentences of any document.
 
 A sentence ends at . ! ? or a line break, or after ``LONGEST`` words. Its features are hashes of its
-words (A-Z lower-cased) and of their first four and five bytes. The model is fitted on a bounded sample of the labelled rows:
+words (A-Z lower-cased) and of their first 4, 5 and 6 bytes. Only features that are in significantly more
+toxic than clean training documents (``LEAST_Z`` standard errors of the log odds) get a weight, so
+words of a few documents are not learnt by heart; a sentence without any has probability 0, so a long
+document isn't toxic by its length. The model is fitted on a bounded sample of the labelled rows:
 per class, the ``per_class`` documents of least id hash. The sample is chosen among ids before any
 text is read; its rows are found by a broadcast semi-join (its size is the bound). Everything else covers all rows.
 """
@@ -31,6 +34,8 @@ LONGEST = 50
 PER_CLASS = 3000
 SAMPLE_BYTES = 200_000
 MEMO_ENTRIES = 500_000
+#: How significant a feature must be, and the least number of toxic documents with it.
+LEAST_Z, LEAST_DOCS = 3.0, 4
 
 _MASK = (1 << BITS) - 1
 _MARKS = b",;:\"'()[]{}<>|/\\*_-~`"
@@ -62,7 +67,7 @@ def sentences(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
 
 def features_of(word: bytes) -> tuple[int, ...]:
     out = {zlib.crc32(word) & _MASK}
-    for n in (4, 5):
+    for n in (4, 5, 6):
         if len(word) > n:
             out.add(zlib.crc32(word[:n] + b"\0") & _MASK)
     return tuple(out)
@@ -140,17 +145,26 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     doc = np.repeat(np.arange(len(rows)), [len(r[2]) // 4 for r in rows])
     sent = np.repeat(np.arange(len(per)), per)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh the same
-    used, at = np.unique(feat, return_inverse=True)
-    w, bias = np.zeros(len(used)), -4.0
+    pair = np.unique(doc[sent].astype(np.int64) << BITS | feat)  # a feature counts once in a document
+    of, bad = pair & _MASK, y[pair >> BITS] == 1
+    toxic, clean = (np.bincount(of[m], minlength=_MASK + 1) + 0.5 for m in (bad, ~bad))
+    odds = np.log(toxic / (y.sum() + 1 - toxic)) - np.log(clean / ((1 - y).sum() + 1 - clean))
+    kept = np.flatnonzero((odds / np.sqrt(1 / toxic + 1 / clean) >= LEAST_Z) & (toxic > LEAST_DOCS))
+    if not len(kept):
+        return Model(weights, -12.0)
+    known = np.isin(feat, kept)
+    sent, used, at = sent[known], kept, np.searchsorted(kept, feat[known])
+    w, bias = odds[kept] / 2, -4.0
     seen, seen_b = np.full(len(used), 1e-8), 1e-8
+    bare = np.bincount(sent, minlength=len(per)) == 0
     for _ in range(steps):
         z = np.clip(bias + np.bincount(sent, weights=w[at], minlength=len(per)), -30, 30)
-        p = 1 / (1 + np.exp(-z))
+        p = np.where(bare, 0.0, 1 / (1 + np.exp(-z)))
         none = np.exp(np.bincount(doc, weights=np.log1p(-p), minlength=len(rows)))  # no sentence is toxic
         some = np.maximum(1 - none, 1e-9)
         # derivative of the loss by z: p for a clean document, -p * none / some for a toxic one
         g = share[doc] * np.where(y[doc] == 1, -p * none[doc] / some[doc], p)
-        gw = np.bincount(at, weights=g[sent], minlength=len(used)) + 2e-6 * w
+        gw = np.bincount(at, weights=g[sent], minlength=len(used)) + 1e-5 * w
         gb = g.sum()
         seen += gw * gw
         seen_b += gb * gb
@@ -184,20 +198,22 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[], [], []]
             for t in batch.column(1):
-                spans, zs = [], []
+                spans, zs, count = [], [], 0
                 for first, last, words in sentences(t.as_buffer().to_pybytes()):
                     own = {}
                     for word in words:
                         own.update(weighed(word))
-                    spans.append((first, last))
-                    zs.append(sum(own.values()))
+                    count += 1
+                    if own:
+                        spans.append((first, last))
+                        zs.append(sum(own.values()))
                 p = 1 / (1 + np.exp(-np.clip(np.array(zs) + bias, -30, 30))) if zs else np.zeros(0)
                 score = float(-np.expm1(np.log1p(-p).sum())) if zs else 0.0
                 bad = np.flatnonzero(p >= 0.5).tolist()
                 if score >= 0.5 and not bad:
                     bad = [int(p.argmax())]
                 cols[0].append(score)
-                cols[1].append(len(zs))
+                cols[1].append(count)
                 cols[2].append([{"first": spans[i][0], "last": spans[i][1], "score": float(p[i])} for i in bad])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], spot)],
@@ -240,8 +256,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
                     if found is None:
                         found = known[word] = {f: float(weights[f]) for f in features_of(word) if weights[f]}
                     own.update(found)
-                z = min(30.0, max(-30.0, sum(own.values()) + bias))
-                log_none -= np.logaddexp(0.0, z)
+                if own:
+                    z = min(30.0, max(-30.0, sum(own.values()) + bias))
+                    log_none -= np.logaddexp(0.0, z)
             return bool(-np.expm1(log_none) < 0.5)
 
         return pd.Series([one(t) for t in texts], dtype=bool)
