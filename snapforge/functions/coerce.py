@@ -16,6 +16,9 @@ from snapforge.functions.text import _c, strip
 
 # fixed values: accepted date layouts after '/' has been turned into '-'
 DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy"]
+# fixed values: the text of a number
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+INFINITIES = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 
 
 def coerce_date(c: Column | str, extra_formats: Iterable[str] = ()) -> Column:
@@ -27,19 +30,22 @@ def coerce_date(c: Column | str, extra_formats: Iterable[str] = ()) -> Column:
 
 def coerce_int(c: Column | str, dtype: str = "bigint") -> Column:
     """Numeric text -> integer. ``' 7 '``, ``'3.0'`` and ``'1e3'`` pass; fractions and text -> null."""
-    num = strip(c).try_cast("decimal(38,10)")
-    whole = F.when(num == F.floor(num), num)
-    return whole.try_cast(dtype)
+    text = strip(c)
+    # plain digits are cast exactly; a fraction of zeros or an exponent goes through a number that must be whole
+    fraction = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    whole = F.when(fraction == F.floor(fraction), text.try_cast("decimal(38,10)"))
+    beyond = text.rlike(r"\.\d*[1-9]") & ~text.rlike("[eE]")  # a fraction too small for a double to show
+    return F.when(~beyond, F.coalesce(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("decimal(38,0)")), whole)).try_cast(dtype)
 
 
 def coerce_decimal(c: Column | str, dtype: str = "double") -> Column:
     """Decimal comma -> dot, then numeric; anything else (also NaN) -> null."""
     text = F.replace(strip(c), F.lit(","), F.lit("."))
+    text = F.when(text.rlike(NUMBER) | F.lower(text).isin(INFINITIES), text)  # no Java suffixes such as 1d
+    if dtype.startswith("decimal"):
+        return text.try_cast(dtype)
     num = text.try_cast("double")
-    num = F.when(F.isnan(num), F.lit(None).cast("double")).otherwise(num)
-    if dtype == "double":
-        return num
-    return text.try_cast(dtype) if dtype.startswith("decimal") else num.try_cast(dtype)
+    return num if dtype == "double" else num.try_cast(dtype)
 
 
 def coerce_bool(c: Column | str, strict: bool = False) -> Column:
@@ -67,7 +73,7 @@ def coerce_to(c: Column | str, dtype: str) -> Column:
     if d == "date":
         return coerce_date(c)
     if d.startswith("timestamp"):
-        return coerce_timestamp(c)
+        return coerce_timestamp(c).cast(d)
     if d in ("tinyint", "smallint", "int", "integer", "bigint"):
         return coerce_int(c, d)
     if d in ("float", "double") or d.startswith("decimal"):

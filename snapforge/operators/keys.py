@@ -30,22 +30,27 @@ def assign_row_keys(
 ) -> DataFrame:
     """Add ``key_col`` numbered ``start, start+1, ...``.
 
-    ``order=None`` numbers rows in scan order (file order for a single file),
-    otherwise in the given order. ``start`` may be a Column such as a scalar
+    ``order=None`` numbers rows in the order in which ``df`` yields them (file order for a single
+    file), otherwise in the given order. Any plan may be numbered, shuffles included. ``start`` may be a Column such as a scalar
     subquery (``max_key + 1``). The key column is placed first when ``first``.
     """
-    base = df
+    # Rows, partition ids and positions are written once to the shared checkpoint folder and both
+    # the per-partition counts and the numbering read that copy. Evaluated twice, they could
+    # see different partitions: range bounds are sampled anew, and adaptive execution may merge the shuffle
+    # partitions of the column-pruned counts in another way than those of the rows.
+    checkpoint_dir(df.sparkSession)
+    rows = df
     if order:
-        # Range bounds come from sampling and each evaluation of the exchange samples
-        # anew, so the sorted rows are written once to the shared checkpoint folder:
-        # the per-partition counts and the numbering then see the same partitions.
         # A row hash is the last sort key: rows tied on ``order`` are spread over partitions
         # (a hot ordering value is not one task) and their numbering is deterministic.
-        checkpoint_dir(df.sparkSession)
         n = num_partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         full = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
-        base = df.repartitionByRange(n, *full).sortWithinPartitions(*full).checkpoint(eager=True)
-    numbered = base.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
+        rows = df.repartitionByRange(n, *full).sortWithinPartitions(*full)
+    numbered = (
+        rows.withColumn(_PID, F.spark_partition_id())
+        .withColumn(_MID, F.monotonically_increasing_id())
+        .checkpoint(eager=True)
+    )
     counts = numbered.groupBy(_PID).agg(F.count(F.lit(1)).alias("__sf_n"))
     offsets = counts.select(
         _PID,
@@ -55,8 +60,9 @@ def assign_row_keys(
     )
     start_col = start if isinstance(start, Column) else F.lit(start)
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
-    out = numbered.join(F.broadcast(offsets), _PID).withColumn(
-        key_col, (start_col + F.col("__sf_off") + local).cast("bigint")
+    found = F.coalesce(F.col("__sf_off"), F.raise_error(F.lit("a partition has no offset")).cast("bigint"))
+    out = numbered.join(F.broadcast(offsets), _PID, "left").withColumn(
+        key_col, (start_col + found + local).cast("bigint")
     )
     cols = [c for c in df.columns if c != key_col]
     return out.select(key_col, *cols) if first else out.select(*cols, key_col)

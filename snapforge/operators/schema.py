@@ -43,7 +43,7 @@ def schema_for_table(metadata: DataFrame, table: str) -> list[tuple[str, str, bo
         .collect()
     )
     if not rows:
-        raise ValueError(f"No rows found for Tabelnaam='{table}'")
+        raise ValueError(f"the metadata has no row of table {table!r}")
     if "pos" in metadata.columns:
         rows = sorted(rows, key=lambda r: r["pos"])
     out = []

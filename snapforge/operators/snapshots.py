@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapforge.constants import EMPTY_MARKER_KEY, KEY_COL, UPLOAD_TS_COL, VERSION_COL, VIEWER_MAX_ROWS
+from snapforge.constants import EMPTY_MARKER_KEY, KEY_COL, UPLOAD_TS_COL, VERSION_COL
 
 
 def max_version(df: DataFrame, version_col: str = VERSION_COL) -> Column:
@@ -80,34 +79,15 @@ def snapshot_row_count(df: DataFrame, key_col: str = KEY_COL, version_col: str =
     return latest.agg(F.count_distinct(key_col).alias("row_count"))
 
 
-def viewer_page(
-    df: DataFrame,
-    n: int = VIEWER_MAX_ROWS,
-    key_col: str = KEY_COL,
-    tie: Sequence[str] = (),
-    groups: int | None = None,
-) -> DataFrame:
-    """Key descending, first ``n`` rows (top-k, no full sort), with the total row count.
+def viewer_page(df: DataFrame, n: int | None = None, key_col: str = KEY_COL, tie: Sequence[str] = ()) -> DataFrame:
+    """The rows by key descending, with the total row count; with ``n``, the first ``n`` of them.
 
-    A plain top-k merges up to ``n`` rows from every map task in one final task. With many
-    input partitions the tasks are first put into about sqrt(partitions) groups and each
-    group keeps its top ``n`` (a partial window-group limit, applied before the shuffle), so
-    the final merge sees at most ``groups * n`` rows whatever the input size.
+    With ``n`` the plan is a top-k (each task forwards ``n`` rows at most), without it a sort.
     """
     order = [F.col(key_col).desc()] + [F.col(t).desc() for t in tie]
     total = df.select(F.count(F.lit(1))).scalar()
-    if groups is None:
-        try:
-            parts = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - no JVM handle: plain top-k
-            parts = 1
-        groups = int(math.isqrt(parts)) if parts > 64 else 1
-    pre = df
-    if groups > 1:
-        g = df.withColumn("__sf_g", F.spark_partition_id() % groups)
-        w = Window.partitionBy("__sf_g").orderBy(*order)
-        pre = g.withColumn("__sf_r", F.row_number().over(w)).where(F.col("__sf_r") <= n).drop("__sf_g", "__sf_r")
-    return pre.orderBy(*order).limit(n).withColumn("total_rows", total)
+    rows = df.orderBy(*order)
+    return (rows if n is None else rows.limit(n)).withColumn("total_rows", total)
 
 
 def rows_by_key(df: DataFrame, keys: DataFrame, key_col: str = KEY_COL) -> DataFrame:

@@ -15,10 +15,8 @@ from snapforge.constants import (
     AUDIT_COLS,
     BOOL_STRICT,
     CONFLICT_REPORT_KEYS,
-    DUPLICATE_REPORT_GROUPS,
     INT_PATTERN,
     KEY_COL,
-    MISSING_REPORT_ROWS,
     OPEN_END_DATE,
 )
 from snapforge.functions.coerce import coerce_date, coerce_timestamp
@@ -120,17 +118,23 @@ def required_counts(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return wide.unpivot([], cols, "column", "n_missing").where("n_missing > 0")
 
 
-def required_rows(df: DataFrame, required: Sequence[str], row_col: str, n: int = MISSING_REPORT_ROWS) -> DataFrame:
-    """V3: the first ``n`` row numbers with a blank, per required column.
+def required_rows(df: DataFrame, required: Sequence[str], row_col: str, n: int | None = None) -> DataFrame:
+    """V3: every row number with a blank, per required column, with the column's total ``n_missing``.
 
-    ``row_number() <= n`` is planned with a partial window-group limit, so each map
-    task forwards at most ``n`` rows per column, even when a column is blank everywhere.
+    With ``n``, only the first ``n`` rows per column; ``row_number() <= n`` is planned with a partial
+    window-group limit, so each map task forwards at most ``n`` rows per column, even
+    when a column is blank everywhere. The totals are one row per required column (broadcast).
     """
     cols = [c for c in required if c in df.columns]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, row bigint, n_missing bigint")
     cands = [F.when(_blank(df, c), F.struct(F.lit(c).alias("column"), F.col(row_col).cast("bigint").alias("row"))) for c in cols]
     blanks = df.select(F.explode(F.filter(F.array(*cands), lambda x: x.isNotNull())).alias("b")).select("b.*")
-    w = Window.partitionBy("column").orderBy("row")
-    return blanks.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    shown = blanks
+    if n is not None:
+        w = Window.partitionBy("column").orderBy("row")
+        shown = blanks.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return shown.join(F.broadcast(required_counts(df, cols)), "column")
 
 
 def required_problems(df: DataFrame, required: Sequence[str], row_col: str) -> DataFrame:
@@ -158,18 +162,21 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicate_business_keys(
-    df: DataFrame, keys: Sequence[str], n: int = DUPLICATE_REPORT_GROUPS, order: str = "keys"
+    df: DataFrame, keys: Sequence[str], n: int | None = None, order: str = "keys"
 ) -> DataFrame:
-    """V4 report: the first ``n`` duplicate groups (top-k, no global sort).
+    """V4 report: every duplicate group, with the number of groups ``n_groups`` beside it.
 
-    ``order="keys"`` lists groups by key ascending, as the reference's grouped report does;
-    ``order="count"`` lists the most repeated first.
+    With ``n``, only the first ``n`` groups (top-k, no global sort): ``order="keys"`` takes them by
+    key ascending, as the reference's grouped report does; ``order="count"`` the most repeated first.
     """
     groups = duplicate_groups(df, keys)
-    sort = [F.col(k).asc() for k in keys]
-    if order == "count":
-        sort = [F.col("count").desc(), *sort]
-    return groups.orderBy(*sort).limit(n)
+    total = groups.select(F.count(F.lit(1))).scalar()
+    if n is not None:
+        sort = [F.col(k).asc() for k in keys]
+        if order == "count":
+            sort = [F.col("count").desc(), *sort]
+        groups = groups.orderBy(*sort).limit(n)
+    return groups.withColumn("n_groups", total)
 
 
 # --- V5 ----------------------------------------------------------------------------
@@ -198,10 +205,13 @@ def business_key_conflicts(
 
     Keys compare by type class: numbers numerically, dates by day, text stripped and
     case-folded. New rows with a blank key part are skipped; with ``exclude_self`` an
-    edited row does not conflict with its own ``__KEY``. At most ``max_keys`` existing
-    keys are reported per new row: the existing side is first cut to ``max_keys + 1``
-    keys per business-key value (a window-group limit applied before the shuffle), so
-    a hot value neither lands whole in one task nor multiplies the join output.
+    edited row does not conflict with its own ``__KEY``. ``n_conflicts`` is the number of all existing
+    keys that a new row conflicts with; ``conflict_keys`` lists the ``max_keys`` least of them
+    (listing all would be every pair of a hot value).
+
+    The existing keys are made distinct, then counted and cut to ``max_keys + 1`` per business-key value
+    with partial steps before the shuffle, so a hot value neither lands whole in one task nor
+    multiplies the join output.
     """
     classes = {k: ddl_class(key_types.get(k, "string")) for k in keys}
     nk = [f"_nk{i}" for i in range(len(keys))]
@@ -211,18 +221,30 @@ def business_key_conflicts(
     nw = new.where(_key_present(new, keys)).select(
         F.col(row_col), F.col(key_col), *[_norm_key(k, classes[k]).alias(n) for k, n in zip(keys, nk)]
     )
-    # only business-key values present in the new rows are ranked (for a single edit that is
+    # only business-key values present in the new rows are looked at (for a single edit that is
     # one value; a small key set is broadcast by AQE)
-    ex = ex.join(nw.select(*nk).distinct(), nk, "left_semi")
+    ex = ex.join(nw.select(*nk).distinct(), nk, "left_semi").distinct()
+    total = ex.groupBy(*nk).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*nk).orderBy("_xkey")
-    ex = ex.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= max_keys + 1).drop("_r")
-    j = nw.join(ex, nk)
-    if exclude_self:
-        j = j.where(~F.col("_xkey").eqNullSafe(F.col(key_col)))
-    return j.groupBy(row_col, key_col).agg(
-        F.array_join(
-            F.transform(F.slice(F.array_sort(F.collect_set("_xkey")), 1, max_keys), lambda x: x.cast("string")), ", "
-        ).alias("conflict_keys")
+    first = ex.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_keys + 1)
+    listed = first.groupBy(*nk).agg(F.array_sort(F.collect_list("_xkey")).alias("_keys"))
+    if exclude_self:  # whether a row's own key is among the existing ones, listed or not
+        own = ex.select(*nk, F.col("_xkey").alias(key_col)).withColumn("_own", F.lit(1))
+        nw = nw.join(own, [*nk, key_col], "left")
+    else:
+        nw = nw.withColumn("_own", F.lit(None).cast("int"))
+    others = F.filter("_keys", lambda x: F.col("_own").isNull() | (x != F.col(key_col)))
+    return (
+        nw.join(total.join(listed, nk), nk)
+        .withColumn("n_conflicts", F.col("_n") - F.coalesce("_own", F.lit(0)))
+        .where("n_conflicts > 0")
+        .select(
+            row_col,
+            key_col,
+            F.array_join(F.transform(F.slice(others, 1, max_keys), lambda x: x.cast("string")), ", ").alias("conflict_keys"),
+            "n_conflicts",
+        )
+        .distinct()
     )
 
 
@@ -243,6 +265,7 @@ def overlapping_validity(
     num_partitions: int | None = None,
     skew_safe: bool = True,
     columns: Sequence[str] | None = None,
+    holder: Sequence[str] = (),
 ) -> DataFrame:
     """V6: rows whose validity starts on or before the latest end of an earlier row of the
     same key (closed intervals; touching counts). Rows are ordered by start, filled end,
@@ -259,9 +282,11 @@ def overlapping_validity(
 
     ``columns`` limits the carried columns to key, start, end, tie and the ones named (the
     range-partitioned rows are checkpointed, so a wide table should not be carried whole).
+    ``holder`` names columns of the row that has ``prev_max_end`` (of several with that end, the one greatest
+    in these columns); they are returned as ``max_<col>``.
     """
     if columns is not None:
-        keep = list(dict.fromkeys([key, start, end, *tie, *columns]))
+        keep = list(dict.fromkeys([key, start, end, *tie, *holder, *columns]))
         df = df.select(*keep)
     x = _prepare_validity(df, key, start, end, open_end)
     # a row hash ends the order: complete ties are split across range partitions and ordered
@@ -269,12 +294,13 @@ def overlapping_validity(
     x = x.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     order_cols = [start, "_end", *tie, "_h"]
     prev_cols = [start, "_end", *tie]
+    top = F.struct(F.col("_end").alias("e"), *[F.col(c).alias(f"h{i}") for i, c in enumerate(holder)])
     if not skew_safe:
         w = Window.partitionBy(key).orderBy(*order_cols)
-        out = x.withColumn("prev_max_end", F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        out = x.withColumn("_top", F.max(top).over(w.rowsBetween(Window.unboundedPreceding, -1)))
         for c in prev_cols:
             out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
-        return _finish_validity(out.where(F.col(start) <= F.col("prev_max_end")))
+        return _finish_validity(out.where(F.col(start) <= F.col("_top.e")), holder)
 
     n = num_partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # The range bounds come from sampling, and each evaluation of the exchange samples
@@ -286,14 +312,14 @@ def overlapping_validity(
 
     # local scan inside each (key, range partition): bounded by the partition size
     w = Window.partitionBy(key, "_p").orderBy(*order_cols)
-    local = ranged.withColumn("_lmax", F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    local = ranged.withColumn("_lmax", F.max(top).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     for c in prev_cols:
         local = local.withColumn(f"_lp_{c}", F.lag(c).over(w))
 
     # carry table: one row per range partition
     summary = ranged.groupBy("_p").agg(
         F.min(key).alias("_first"),
-        F.max(F.struct(F.col(key).alias("k"), F.col("_end").alias("e"))).alias("_last_ke"),
+        F.max(F.struct(F.col(key).alias("k"), top.alias("e"))).alias("_last_ke"),
         F.max(F.struct(F.col(key).alias("k"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(order_cols)])).alias("_last_row"),
     )
     by_last = Window.partitionBy(F.col("_last_ke.k")).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
@@ -311,18 +337,23 @@ def overlapping_validity(
     spans = F.col("_cmax").isNotNull() & (F.col(key) == F.col("_first"))
     first_local = F.col(f"_lp_{start}").isNull() & F.col("_lmax").isNull()
     out = j.withColumn(
-        "prev_max_end", F.when(spans, F.greatest(F.col("_lmax"), F.col("_cmax"))).otherwise(F.col("_lmax"))
+        "_top", F.when(spans, F.greatest(F.col("_lmax"), F.col("_cmax"))).otherwise(F.col("_lmax"))
     )
     for i, c in enumerate(prev_cols):
         out = out.withColumn(
             f"prev_{c}", F.when(spans & first_local, F.col(f"_crow.c{i}")).otherwise(F.col(f"_lp_{c}"))
         )
-    out = out.where(F.col(start) <= F.col("prev_max_end"))
-    return _finish_validity(out.drop("_p", "_lmax", "_first", "_pk", "_cmax", "_crow", *[f"_lp_{c}" for c in prev_cols]))
+    out = out.where(F.col(start) <= F.col("_top.e"))
+    return _finish_validity(
+        out.drop("_p", "_lmax", "_first", "_pk", "_cmax", "_crow", *[f"_lp_{c}" for c in prev_cols]), holder
+    )
 
 
-def _finish_validity(out: DataFrame) -> DataFrame:
-    return out.drop("_end", "_h").withColumnRenamed("prev__end", "prev_end")
+def _finish_validity(out: DataFrame, holder: Sequence[str]) -> DataFrame:
+    out = out.withColumn("prev_max_end", F.col("_top.e"))
+    for i, c in enumerate(holder):
+        out = out.withColumn(f"max_{c}", F.col(f"_top.h{i}"))
+    return out.drop("_end", "_h", "_top").withColumnRenamed("prev__end", "prev_end")
 
 
 def overlapping_validity_keys(conflicts: DataFrame, key: str) -> DataFrame:
@@ -342,15 +373,17 @@ def validity_conflicts(
     open_end: str = OPEN_END_DATE,
 ) -> DataFrame:
     """V7: V6 over (existing minus the rows being replaced) plus the new rows; for every new
-    row, the other rows it is paired with in a conflict: ``prev`` when the new row overlaps
-    its predecessor, ``next`` when its successor overlaps it. Only conflicts that involve
-    the new row are reported (decision D15), and each row has at most two partners, so
-    no pairs are enumerated within a key."""
+    row, the rows it is paired with in a conflict: ``prev``, the earlier row that it overlaps and that ends
+    last (its end, then its id, greatest); and ``next``, each later row for which the new row
+    is that row. A partner always overlaps. Only conflicts that involve the new row are reported
+    (decision D15). Every row has one ``prev`` at most, so no pairs are enumerated within a key."""
     cols = [id_col, key, start, end, *[t for t in tie if t not in (id_col, key, start, end)]]
     base = existing.select(*cols).join(new.select(id_col), id_col, "left_anti")
     combined = base.unionByName(new.select(*cols))
-    conf = overlapping_validity(combined, key, start, end, tie=[*tie, id_col] if id_col not in tie else tie, open_end=open_end)
-    pairs = conf.select(F.col(id_col).alias("_a"), F.col(f"prev_{id_col}").alias("_b"))
+    conf = overlapping_validity(
+        combined, key, start, end, tie=[*tie, id_col] if id_col not in tie else tie, open_end=open_end, holder=[id_col]
+    )
+    pairs = conf.select(F.col(id_col).alias("_a"), F.col(f"max_{id_col}").alias("_b"))
     ids = new.select(id_col)
     as_row = ids.join(pairs, ids[id_col] == pairs["_a"]).select(id_col, F.col("_b").alias("partner"), F.lit("prev").alias("relation"))
     as_prev = ids.join(pairs, ids[id_col] == pairs["_b"]).select(id_col, F.col("_a").alias("partner"), F.lit("next").alias("relation"))

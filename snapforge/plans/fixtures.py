@@ -7,8 +7,6 @@ definitions as DuckDB SQL.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,23 +30,8 @@ METADATA_TYPES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. When the scan has fewer splits than the cluster has cores (a small
-    single-row-group file), the rows are spread round-robin so narrow per-row work is not
-    confined to one task; a large input already has many splits and is read as is."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): read as is
-        return df
-    if size >= SPREAD_MIN_BYTES and splits < cores:
-        df = df.repartition(cores)
-    return df
-
-
-# inputs smaller than this are read as they are (spreading them costs more than it saves)
-SPREAD_MIN_BYTES = int(os.environ.get("SNAPFORGE_SPREAD_MIN_BYTES", 1 << 20))
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def publish_ts() -> Column:

@@ -85,7 +85,14 @@ oracle(
     f"""
 WITH s AS (SELECT * FROM ({F1_LATEST}) l WHERE "__KEY" <> 0)
 SELECT *, (SELECT count(*) FROM s) AS total_rows FROM s
-ORDER BY "__KEY" DESC, "__UPLOAD_TIMESTAMP" DESC, o_orderkey DESC LIMIT 50000
+""",
+)
+oracle(
+    "viewer_first_page",
+    f"""
+WITH s AS (SELECT * FROM ({F1_LATEST}) l WHERE "__KEY" <> 0)
+SELECT *, (SELECT count(*) FROM s) AS total_rows FROM s
+ORDER BY "__KEY" DESC, "__UPLOAD_TIMESTAMP" DESC, o_orderkey DESC LIMIT 100
 """,
 )
 oracle(
@@ -323,16 +330,28 @@ UNION ALL SELECT 'date_txt', o_orderkey FROM ({TYPED_F3}) t WHERE date_txt IS NU
 UNION ALL SELECT 'note_txt', o_orderkey FROM ({TYPED_F3}) t WHERE note_txt IS NULL OR {strip('note_txt')} = ''
 """
 oracle("required_counts", f'SELECT "column", count(*) AS n_missing FROM ({_BLANKS}) b GROUP BY 1')
+_DUPLICATES = """SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem
+WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
 oracle(
     "required_rows",
-    f"""SELECT "column", "row" FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY "row") AS rn FROM ({_BLANKS}) b) x
-WHERE rn <= 200""",
+    f"""SELECT "column", "row", count(*) OVER (PARTITION BY "column") AS n_missing FROM ({_BLANKS}) b""",
+)
+oracle(
+    "required_rows_first",
+    f"""SELECT "column", "row", n_missing FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY "row") AS rn,
+         count(*) OVER (PARTITION BY "column") AS n_missing FROM ({_BLANKS}) b) x
+WHERE rn <= 20""",
 )
 oracle(
     "duplicate_business_keys",
-    """SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem
-WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
-GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 ORDER BY l_orderkey, l_linenumber LIMIT 100""",
+    f"""WITH g AS ({_DUPLICATES}) SELECT *, (SELECT count(*) FROM g) AS n_groups FROM g""",
+)
+oracle(
+    "duplicate_business_keys_first",
+    f"""WITH g AS ({_DUPLICATES}) SELECT *, (SELECT count(*) FROM g) AS n_groups FROM g
+ORDER BY l_orderkey, l_linenumber LIMIT 20""",
 )
 oracle(
     "duplicate_key_groups",
@@ -352,7 +371,7 @@ WITH ex AS (SELECT c_custkey AS xk, {d_fold('c_name')} AS n0 FROM customer),
 nw AS (SELECT c_custkey AS "row", CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 100000 END AS "__KEY",
               '  ' || upper(c_name) || ' ' AS c_name FROM customer),
 nn AS (SELECT "row", "__KEY", {d_fold('c_name')} AS n0 FROM nw WHERE c_name IS NOT NULL AND {strip('c_name')} <> '')
-SELECT "row", "__KEY", array_to_string(list_sort(list(DISTINCT xk))[1:10], ', ') AS conflict_keys
+SELECT "row", "__KEY", array_to_string(list_sort(list(DISTINCT xk))[1:10], ', ') AS conflict_keys, count(DISTINCT xk) AS n_conflicts
 FROM nn JOIN ex ON nn.n0 = ex.n0 WHERE xk IS DISTINCT FROM "__KEY" GROUP BY "row", "__KEY"
 """,
 )
@@ -365,7 +384,7 @@ nw AS (SELECT o_orderkey AS "row", o_orderkey + 1000000000 AS "__KEY", CAST(o_cu
               strftime(o_orderdate, '%Y-%m-%d') AS od FROM orders),
 nn AS (SELECT "row", "__KEY", TRY_CAST({strip('ck')} AS DECIMAL(38,10)) AS n0, TRY_CAST({strip('od')} AS DATE) AS n1 FROM nw
        WHERE ck IS NOT NULL AND {strip('ck')} <> '' AND od IS NOT NULL AND {strip('od')} <> '')
-SELECT "row", "__KEY", array_to_string(list_sort(list(DISTINCT xk))[1:10], ', ') AS conflict_keys
+SELECT "row", "__KEY", array_to_string(list_sort(list(DISTINCT xk))[1:10], ', ') AS conflict_keys, count(DISTINCT xk) AS n_conflicts
 FROM nn JOIN ex ON nn.n0 = ex.n0 AND nn.n1 = ex.n1 WHERE xk IS DISTINCT FROM "__KEY" GROUP BY "row", "__KEY"
 """,
 )
@@ -387,13 +406,11 @@ _F2_ID = f"SELECT *, concat_ws('-', l_orderkey, l_linenumber, vk, l_suppkey) AS
 oracle(
     "validity_conflicts",
     f"""
-WITH c AS (
-  SELECT rid, prev_rid FROM (
-    SELECT *, max(_end) OVER w AS pm, lag(rid) OVER w AS prev_rid
-    FROM (SELECT *, coalesce(en, DATE '2100-12-31') AS _end FROM ({_F2_ID}) f WHERE vk IS NOT NULL AND st IS NOT NULL) x
-    WINDOW w AS (PARTITION BY vk ORDER BY st, _end, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, rid
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) y
-  WHERE st <= pm),
+WITH x AS (SELECT *, coalesce(en, DATE '2100-12-31') AS _end,
+             (st, coalesce(en, DATE '2100-12-31'), l_orderkey, l_linenumber, l_suppkey, l_extendedprice, rid) AS place
+           FROM ({_F2_ID}) f WHERE vk IS NOT NULL AND st IS NOT NULL),
+c AS (SELECT a.rid, arg_max(b.rid, (b._end, b.rid)) AS prev_rid
+      FROM x a JOIN x b ON a.vk = b.vk AND b.place < a.place AND b._end >= a.st AND b.st <= a._end GROUP BY a.rid),
 n AS (SELECT rid FROM ({_F2_ID}) f WHERE l_linestatus = 'O')
 SELECT n.rid, c.prev_rid AS partner, 'prev' AS relation FROM n JOIN c ON n.rid = c.rid
 UNION ALL
@@ -479,6 +496,17 @@ oracle(
 FROM ({F1_LATEST}) l""",
 )
 
+oracle(
+    "read_upload_quoted",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'He said ""' || text || '";" ;' || chr(10) || lang || '"' AS text,
+       row_number() OVER (ORDER BY doc_id) AS "__ROW" FROM documents""",
+)
+oracle(
+    "publish_bulk_after_join",
+    f"""SELECT count(*) AS n, count(*) AS n_keys, CAST(1 AS BIGINT) AS first_key, count(*) AS last_key,
+       CAST(sum(o_orderkey) AS BIGINT) AS sum_orderkey FROM ({F1_LATEST}) l SEMI JOIN orders USING (o_orderkey)""",
+)
+
 F7 = """
 SELECT 'erp' AS "Bron", "Tabelnaam",
   CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END AS bulk_insert,

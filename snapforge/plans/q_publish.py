@@ -68,6 +68,22 @@ def q_publish_bulk(spark, d):
     )
 
 
+@query("publish_bulk_after_join")
+def q_publish_bulk_after_join(spark, d):
+    """A bulk upload that comes out of a shuffle join and is numbered as it comes: which keys are given, and
+    each row once."""
+    f1, latest = _base(spark, d)
+    names = FX.table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("_day"))
+    rows = latest.join(names.hint("merge"), "o_orderkey").select(*FX.F1_USER_COLS)
+    out = W.publish_bulk(
+        rows, W.table_columns(f1), table=f1, ts=FX.publish_ts(), user=USER, file_name="orders_bulk.csv"
+    )
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(KEY_COL).alias("n_keys"), F.min(KEY_COL).alias("first_key"),
+        F.max(KEY_COL).alias("last_key"), F.sum("o_orderkey").alias("sum_orderkey"),
+    )
+
+
 def _changes(spark, d):
     e = FX.table(spark, d, "events")
     ctype = (

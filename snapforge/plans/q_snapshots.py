@@ -46,6 +46,13 @@ def q_viewer_page(spark, d):
     return R.viewer_page(snap, tie=[UPLOAD_TS_COL, "o_orderkey"])
 
 
+@query("viewer_first_page")
+def q_viewer_first_page(spark, d):
+    """An explicit page of 100 rows, which every scale factor fills."""
+    snap = R.drop_empty_marker(R.latest_snapshot(FX.f1_versioned(spark, d)))
+    return R.viewer_page(snap, 100, tie=[UPLOAD_TS_COL, "o_orderkey"])
+
+
 @query("rows_by_key")
 def q_rows_by_key(spark, d):
     keys = FX.table(spark, d, "customer").where(F.col("c_mktsegment") == "BUILDING").select(

@@ -61,12 +61,22 @@ def q_read_upload(spark, d):
     return S.read_upload(spark, path)
 
 
+@query("read_upload_quoted")
+def q_read_upload_quoted(spark, d):
+    """Whole document texts with quotes, delimiters and line breaks, through files and back."""
+    path = scratch_path(spark, "quoted") + "/upload.csv"
+    docs = FX.table(spark, d, "documents").orderBy("doc_id")
+    text = F.concat(F.lit('He said ""'), F.col("text"), F.lit('";" ;\n'), F.col("lang"), F.lit('"'))
+    S.write_text_csv(docs.select(F.col("doc_id").cast("string").alias("Doc Id"), text.alias("Text")), path)
+    return S.read_upload(spark, path)
+
+
 @query("export_snapshot")
 def q_export_snapshot(spark, d):
     snap = R.latest_snapshot(FX.f1_versioned(spark, d))
     path = S.export_snapshot_csv(snap, scratch_path(spark, "export"), "orders")
     schema = snap.drop(KEY_COL).schema
-    return spark.read.option("header", "true").option("sep", ";").schema(schema).csv(path)
+    return spark.read.options(header="true", sep=";", multiLine="true", **S.QUOTING).schema(schema).csv(path)
 
 
 @query("versioned_layout")

@@ -42,6 +42,16 @@ def q_required_rows(spark, d):
     return V.required_rows(_typed_upload(spark, d), FX.F3_REQUIRED, "o_orderkey")
 
 
+@query("required_rows_first")
+def q_required_rows_first(spark, d):
+    return V.required_rows(_typed_upload(spark, d), FX.F3_REQUIRED, "o_orderkey", 20)
+
+
+@query("duplicate_business_keys_first")
+def q_duplicate_business_keys_first(spark, d):
+    return V.duplicate_business_keys(FX.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], 20)
+
+
 @query("duplicate_business_keys")
 def q_duplicate_business_keys(spark, d):
     return V.duplicate_business_keys(FX.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])

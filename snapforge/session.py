@@ -23,7 +23,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SNAPFORGE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # checkpoint files of V6 / ordered P14 are removed once their plans are garbage
+        .config("spark.sql.warehouse.dir", os.environ.get("SNAPFORGE_WAREHOUSE") or tempfile.mkdtemp(prefix="snapforge-wh-"))
+        # checkpoint files of V6 / P14 are removed once their plans are garbage
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
@@ -34,8 +35,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a private folder created and
-    registered, so that ``checkpoint()`` and scratch tables work the same way.
+    A local session without one (tests) gets a private folder, so that ``checkpoint()`` and scratch
+    tables work the same way; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="snapforge-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -18,26 +18,50 @@ from snapforge.functions.names import _normalize_name_py
 from snapforge.functions.text import null_tokens
 from snapforge.operators.keys import assign_row_keys
 
-# CSV writer options that keep leading/trailing blanks (Spark trims them by default)
-WRITE_OPTIONS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# RFC 4180: a quote within a quoted cell is doubled, and a quoted cell may hold line breaks
+QUOTING = {"quote": '"', "escape": '"'}
+# the writer keeps leading/trailing blanks (Spark trims them by default) and quotes cells with line breaks
+WRITE_OPTIONS = {**QUOTING, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+FILE_ORDER = ["__sf_file", "__sf_place"]
 
 
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     """Column labels of a CSV with a header (reads one line)."""
-    first = spark.read.option("sep", sep).option("header", "false").csv(path).limit(1).collect()
+    first = spark.read.options(sep=sep, header="false", multiLine="true", **QUOTING).csv(path).limit(1).collect()
     if not first:
         raise ValueError(f"empty CSV: {path}")
     return [c if c is not None else f"_c{i}" for i, c in enumerate(first[0])]
 
 
-def read_text_csv(spark: SparkSession, path: str, sep: str = ";", columns: Sequence[str] | None = None) -> DataFrame:
-    """Header CSV with every column as string and no schema inference."""
+def read_text_csv(
+    spark: SparkSession, path: str, sep: str = ";", columns: Sequence[str] | None = None, in_order: bool = False
+) -> DataFrame:
+    """Header CSV (RFC 4180) with every column as string and no schema inference.
+
+    A row with more cells than the header fails the read. ``in_order`` adds the columns of
+    ``FILE_ORDER``: the file, and a number that grows within it.
+    """
     cols = list(columns) if columns is not None else _header(spark, path, sep)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    return (
-        spark.read.option("header", "true").option("sep", sep).option("enforceSchema", "true")
-        .option("mode", "PERMISSIVE").schema(schema).csv(path)
+    bad = "__corrupt"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cols, bad]])
+    df = (
+        spark.read.options(
+            header="true", sep=sep, enforceSchema="true", multiLine="true", mode="PERMISSIVE",
+            columnNameOfCorruptRecord=bad, **QUOTING,
+        )
+        .schema(schema).csv(path)
+    )
+    # a short row (its missing cells are null) is also marked, but only cells beyond the header would be lost
+    surplus = F.col(f"`{bad}`").isNotNull() & F.col(f"`{cols[-1]}`").isNotNull()
+    last = F.when(surplus, F.raise_error(F.concat(F.lit("more cells than the header: "), F.col(f"`{bad}`")))).otherwise(
+        F.col(f"`{cols[-1]}`")
     )
+    kept = [*[F.col(f"`{c}`") for c in cols[:-1]], last.cast("string").alias(cols[-1])]
+    if in_order:
+        kept += [F.col("_metadata.file_path").alias(FILE_ORDER[0]), F.monotonically_increasing_id().alias(FILE_ORDER[1])]
+    return df.select(*kept)
 
 
 def write_text_csv(df: DataFrame, path: str, sep: str = ";", single_file: bool = False, mode: str = "errorifexists") -> None:
@@ -60,7 +84,7 @@ def latest_dated_path(spark: SparkSession, base_dir: str, prefix: str) -> str:
     ).where((F.col("target") != "") & F.col("d").isNotNull())
     best = named.orderBy(F.col("d").desc(), F.col("target").desc()).select("target").limit(1).collect()
     if not best:
-        raise FileNotFoundError(f"No valid metadata files with date found under {base_dir} for {prefix}")
+        raise FileNotFoundError(f"no {prefix}_YYYYMMDD.csv with a real date below {base_dir}")
     return best[0][0]
 
 
@@ -73,8 +97,10 @@ def read_latest_dated_csv(spark: SparkSession, base_dir: str, prefix: str, sep:
 def read_metadata(spark: SparkSession, path: str, sep: str = ";", with_pos: bool = False) -> DataFrame:
     """Metadata / config CSV: header, ``;``, all strings. ``with_pos`` adds the row
     position (file order) used for "metadata order"."""
-    df = read_text_csv(spark, path, sep)
-    return assign_row_keys(df, start=1, key_col="pos", first=False) if with_pos else df
+    if not with_pos:
+        return read_text_csv(spark, path, sep)
+    rows = read_text_csv(spark, path, sep, in_order=True)
+    return assign_row_keys(rows, start=1, order=FILE_ORDER, key_col="pos", first=False).drop(*FILE_ORDER)
 
 
 # --- S3 ---------------------------------------------------------------------------
@@ -82,12 +108,13 @@ def read_upload(
     spark: SparkSession, path: str, sep: str = ";", tokens: Sequence[str] = READ_NULL_TOKENS, row_col: str = "__ROW"
 ) -> DataFrame:
     """S3: an uploaded CSV as all-string columns: null tokens applied, column labels
-    normalised (spaces -> ``_``, lower-case; audit names kept), rows numbered 1..n in
-    file order in ``row_col``."""
-    raw = read_text_csv(spark, path, sep)
-    names = [_normalize_name_py(c, upload=True) for c in raw.columns]
-    cleaned = raw.select(*[null_tokens(F.col(f"`{c}`"), tokens).alias(n) for c, n in zip(raw.columns, names)])
-    return assign_row_keys(cleaned, start=1, key_col=row_col, first=False)
+    normalised (spaces -> ``_``, lower-case; audit names kept), rows numbered 1..n in ``row_col``
+    by file name and place in the file."""
+    raw = read_text_csv(spark, path, sep, in_order=True)
+    names = [_normalize_name_py(c, upload=True) for c in raw.columns[:-2]]
+    cells = [null_tokens(F.col(f"`{c}`"), tokens).alias(n) for c, n in zip(raw.columns, names)]
+    rows = assign_row_keys(raw.select(*cells, *FILE_ORDER), start=1, order=FILE_ORDER, key_col=row_col, first=False)
+    return rows.drop(*FILE_ORDER)
 
 
 # --- S7 ---------------------------------------------------------------------------

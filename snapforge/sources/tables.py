@@ -28,7 +28,7 @@ from snapforge.constants import (
 )
 from snapforge.operators.keys import assign_row_keys
 from snapforge.functions.text import is_blank
-from snapforge.session import scratch_path
+from snapforge.session import checkpoint_dir
 
 AUDIT_TYPES = {
     KEY_COL: "bigint",
@@ -82,17 +82,24 @@ def _align_to(df: DataFrame, target: DataFrame) -> DataFrame:
     ])
 
 
-def create_table(df: DataFrame, name: str, path: str | None = None, partition_by: Sequence[str] = (VERSION_COL,)) -> str:
-    """Write ``df`` as a catalog table stored at ``path`` (default: a fresh folder under the
-    shared checkpoint folder), partitioned by ``__VERSION`` when present."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, name)
+def create_table(df: DataFrame, name: str, path: str | None = None, partition_by: Sequence[str] = (VERSION_COL,)) -> None:
+    """Write ``df`` as a catalog table: managed by the catalog, or stored at ``path``, which must not
+    lie below the checkpoint folder. It is partitioned by ``__VERSION`` when present."""
+    if path and path.startswith(checkpoint_dir(df.sparkSession)):
+        raise ValueError(f"{path} is scratch space: a table there would go with the checkpoints")
     parts = [p for p in partition_by if p in df.columns]
-    w = df.write.mode("errorifexists").option("path", path).format("parquet")
+    w = df.write.mode("errorifexists").format("parquet")
+    if path:
+        w = w.option("path", path)
     if parts:
         w = w.partitionBy(*parts)
     w.saveAsTable(name)
-    return path
+
+
+def table_location(spark: SparkSession, table: str) -> str:
+    """The folder of a catalog table."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").select("data_type").collect()
+    return rows[0][0].rstrip("/")
 
 
 def append_rows(df: DataFrame, table: str) -> None:
@@ -145,7 +152,7 @@ USER_PROPERTY_PREFIXES = ("spark.", "transient_lastDdlTime", "numFiles", "totalS
 
 
 def backup_table(spark: SparkSession, table: str, suffix: str | None = None) -> str:
-    """Copy ``table`` to ``{table}_backup_{epoch}`` (CTAS into the shared folder) and copy
+    """Copy ``table`` to ``{table}_backup_{epoch}`` (a table of the same catalog) and copy
     its properties explicitly (CTAS does not carry them). Returns the backup name."""
     name = f"{table}_backup_{suffix or int(time.time())}"
     src = spark.table(table)
@@ -196,9 +203,12 @@ def migrate_table(
     cols = {KEY_COL: "bigint", **{c: t for c, t in user_columns.items() if c not in AUDIT_COLS}}
     cols.update({c: AUDIT_TYPES[c] for c in AUDIT_COLS if c != KEY_COL})
     rows = restore_by_name(spark, cols, table, required=required)
-    create_table(rows, tmp)
-    old_props = {k: v for k, v in get_properties(spark, table).items() if not k.startswith(USER_PROPERTY_PREFIXES)}
-    set_properties(spark, tmp, {**old_props, **(properties or {})})
+    # beside the old table's folder: renaming then moves no data
+    create_table(rows, tmp, path=f"{table_location(spark, table)}_{tmp.rsplit('_', 1)[1]}")
+    # constraints describe the new layout: with ``properties`` given, none of the old ones is kept
+    old = {} if properties is not None else get_properties(spark, table)
+    kept = {k: v for k, v in old.items() if not k.startswith(USER_PROPERTY_PREFIXES)}
+    set_properties(spark, tmp, {**kept, **(properties or {})})
     spark.sql(f"ALTER TABLE {table} RENAME TO {backup}")
     try:
         spark.sql(f"ALTER TABLE {tmp} RENAME TO {table}")
