@@ -140,26 +140,30 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     weights = np.zeros(_MASK + 1)
     if not len(rows) or y.min() == y.max():
         return Model(weights, -12.0 if not len(rows) or y.max() == 0 else 0.0)
-    feat = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
-    per = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r[2]) // 4 for r in rows])
-    sent = np.repeat(np.arange(len(per)), per)
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh the same
-    pair = np.unique(doc[sent].astype(np.int64) << BITS | feat)  # a feature counts once in a document
-    of, bad = pair & _MASK, y[pair >> BITS] == 1
-    toxic, clean = (np.bincount(of[m], minlength=_MASK + 1) + 0.5 for m in (bad, ~bad))
+    toxic, clean = (np.full(_MASK + 1, 0.5) for _ in range(2))
+    for label, bag, _ in rows:  # a feature counts once in a document
+        (toxic if label else clean)[np.unique(np.frombuffer(bag, np.int32))] += 1
     odds = np.log(toxic / (y.sum() + 1 - toxic)) - np.log(clean / ((1 - y).sum() + 1 - clean))
-    kept = np.flatnonzero((odds / np.sqrt(1 / toxic + 1 / clean) >= LEAST_Z) & (toxic > LEAST_DOCS))
-    if not len(kept):
+    chosen = (odds / np.sqrt(1 / toxic + 1 / clean) >= LEAST_Z) & (toxic > LEAST_DOCS)
+    used = np.flatnonzero(chosen)
+    if not len(used):
         return Model(weights, -12.0)
-    known = np.isin(feat, kept)
-    sent, used, at = sent[known], kept, np.searchsorted(kept, feat[known])
-    w, bias = odds[kept] / 2, -4.0
+    feat, per, doc = [], [], []  # of the sentences that have a chosen feature
+    for i, (_, bag, sizes) in enumerate(rows):
+        bag, sizes = np.frombuffer(bag, np.int32), np.frombuffer(sizes, np.int32)
+        known = chosen[bag]
+        n = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
+        feat.append(bag[known])
+        per.append(n[n > 0])
+        doc.append(np.full((n > 0).sum(), i))
+    at, per, doc = np.searchsorted(used, np.concatenate(feat)), np.concatenate(per), np.concatenate(doc)
+    sent = np.repeat(np.arange(len(per)), per)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh the same
+    w, bias = odds[used] / 2, -4.0
     seen, seen_b = np.full(len(used), 1e-8), 1e-8
-    bare = np.bincount(sent, minlength=len(per)) == 0
     for _ in range(steps):
         z = np.clip(bias + np.bincount(sent, weights=w[at], minlength=len(per)), -30, 30)
-        p = np.where(bare, 0.0, 1 / (1 + np.exp(-z)))
+        p = 1 / (1 + np.exp(-z))
         none = np.exp(np.bincount(doc, weights=np.log1p(-p), minlength=len(rows)))  # no sentence is toxic
         some = np.maximum(1 - none, 1e-9)
         # derivative of the loss by z: p for a clean document, -p * none / some for a toxic one
