@@ -24,6 +24,7 @@ from snapforge.constants import (
     CR_STATUS_REJECTED,
     VERSION_COL,
 )
+from snapforge.operators.keys import assign_row_keys
 
 LOG_SCHEMA = (
     "cr_id string, seq bigint, event string, actor string, ts timestamp_ntz, target_table string, "
@@ -218,8 +219,13 @@ def _decide(
         outcome = outcome.when(F.coalesce(F.col("staged_rows"), F.lit(0)) == 0, F.lit("no_staged_rows"))
     if "_stale" in req.columns:
         outcome = outcome.when(F.coalesce(F.col("_stale"), F.lit(False)), F.lit("stale"))
-    outcome = outcome.otherwise(F.lit(done))
-    return j.select("cr_id", "seq", "actor", outcome.alias("outcome"))
+    j = j.withColumn("outcome", outcome.otherwise(F.lit(done)))
+    if "_stale" in req.columns:  # of the approvals of one staged version the first is published
+        rank = F.struct("seq", "cr_id")
+        first = j.where(F.col("outcome") == done).groupBy("_staged_v").agg(F.min(rank).alias("_first"))
+        late = (F.col("outcome") == done) & (rank > F.col("_first"))
+        j = j.join(first, "_staged_v", "left").withColumn("outcome", F.when(late, F.lit("stale")).otherwise(F.col("outcome")))
+    return j.select("cr_id", "seq", "actor", "outcome")
 
 
 def approve_decisions(
@@ -230,8 +236,9 @@ def approve_decisions(
 
     With ``target`` (the versioned table), a CR whose staged version is not above the
     table's current version is ``stale`` (decision D9: it was built on an older snapshot and
-    would publish invisibly or merge with another CR) unless ``restamp`` is set, in which
-    case ``approved_rows(..., target=...)`` restamps it to the next version."""
+    would publish invisibly), and so is every CR but the first approved of those staged for one
+    version (two would merge in it), unless ``restamp`` is set, in which case
+    ``approved_rows(..., target=...)`` gives each CR a version of its own."""
     return _decide(log, staging, "approve", "self_approval", CR_STATUS_APPROVED, target=target, restamp=restamp)
 
 
@@ -240,15 +247,19 @@ def approved_rows(
 ) -> DataFrame:
     """C8 data step: staged rows of approved CRs, CR id dropped, ready to append to the target
     inside Spark (no round-trip through the driver). Staging rows are kept for audit.
-    With ``target`` the rows are restamped to the target's next version (D9 ``restamp``)."""
-    st = cr_status(log, staging).where(F.col("status") == CR_STATUS_APPROVED)
+    With ``target`` the rows are restamped (D9 ``restamp``): in the order of their decisions, each CR gets the
+    next version of the target, one version per CR."""
+    st = _decisions(log, staging).where(F.col("decision") == "approve").select("cr_id", "decision_seq")
     if crs is not None:
         st = st.where(F.col("cr_id").isin(list(crs)))
-    rows = staged_rows(staging, st)
-    if target is not None:
-        nv = target.select(F.coalesce(F.max(VERSION_COL) + 1, F.lit(1)).cast("int")).scalar()
-        rows = rows.withColumn(VERSION_COL, nv)
-    return rows
+    if target is None:
+        return staged_rows(staging, st)
+    nv = target.select(F.coalesce(F.max(VERSION_COL) + 1, F.lit(1)).cast("int")).scalar()
+    st = st.join(staging.select(F.col(CR_ID_COL).alias("cr_id")).distinct(), "cr_id", "left_semi")
+    versions = assign_row_keys(st, start=nv, order=["decision_seq", "cr_id"], key_col="__sf_v").select(
+        F.col("cr_id").alias(CR_ID_COL), F.col("__sf_v").cast("int").alias("__sf_v")
+    )
+    return staging.join(versions, CR_ID_COL).withColumn(VERSION_COL, F.col("__sf_v")).drop(CR_ID_COL, "__sf_v")
 
 
 def reject_decisions(log: DataFrame, staging: DataFrame | None = None) -> DataFrame:

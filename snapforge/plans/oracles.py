@@ -861,14 +861,17 @@ oracle(
     "approve_decisions_stale",
     f"""
 WITH {_fold(True)},
-sv AS (SELECT "__CR_ID" AS cr_id, max("__VERSION") AS v FROM ({STAGING}) s GROUP BY 1)
-SELECT req.cr_id, req.seq, req.actor,
+sv AS (SELECT "__CR_ID" AS cr_id, max("__VERSION") AS v FROM ({STAGING}) s GROUP BY 1),
+o AS (SELECT req.cr_id, req.seq, req.actor, sv.v,
        CASE WHEN req.submit_seq IS NULL THEN 'not_found' WHEN req.actor = req.submitted_by THEN 'self_approval'
             WHEN d.decision_seq < req.seq THEN 'not_pending' WHEN coalesce(req.staged, 0) = 0 THEN 'no_staged_rows'
             WHEN coalesce(sv.v <= (SELECT max("__VERSION") FROM ({F1}) f), false) THEN 'stale'
             ELSE 'approved' END AS outcome
-FROM term req LEFT JOIN dec d ON req.cr_id = d.cr_id LEFT JOIN sv ON req.cr_id = sv.cr_id
-WHERE req.event = 'approve'
+      FROM term req LEFT JOIN dec d ON req.cr_id = d.cr_id LEFT JOIN sv ON req.cr_id = sv.cr_id
+      WHERE req.event = 'approve')
+SELECT cr_id, seq, actor,
+       CASE WHEN outcome = 'approved' AND row_number() OVER (PARTITION BY v, outcome ORDER BY seq, cr_id) > 1 THEN 'stale'
+            ELSE outcome END AS outcome FROM o
 """,
 )
 

@@ -101,3 +101,19 @@ def test_migration_replaces_all_properties(spark):
     props = TB.get_properties(spark, name)
     assert "not_null_columns" not in props and props["business_keys"] == "new_col"
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_one_change_request_per_version(spark):
+    from snapforge.operators import review as C
+
+    log = spark.createDataFrame(
+        [(c, s, e, a, None, None, None, None, None, None) for c, s, e, a in
+         [("a", 1, "submit", "ann"), ("b", 2, "submit", "ann"), ("b", 3, "approve", "bob"), ("a", 4, "approve", "bob")]],
+        C.LOG_SCHEMA,
+    )
+    target = spark.createDataFrame([(1, 7)], "__KEY long, __VERSION int")
+    staging = spark.createDataFrame([("a", 1, 8), ("a", 2, 8), ("b", 1, 8)], "__CR_ID string, __KEY long, __VERSION int")
+    got = {r["cr_id"]: r["outcome"] for r in C.approve_decisions(log, staging, target=target).collect()}
+    assert got == {"a": "stale", "b": "approved"}
+    rows = C.approved_rows(log, staging, target=target).collect()
+    assert sorted((r["__VERSION"], r["__KEY"]) for r in rows) == [(8, 1), (9, 1), (9, 2)]
