@@ -18,6 +18,8 @@ from snapforge.functions.text import _c, strip
 DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy"]
 # fixed values: the text of a number
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# fixed value: a time of day followed by a zone offset
+OFFSET = r":\d{2}[^+Zz-]*([Zz]|[+-]\d{2}(:?\d{2})?)$"
 INFINITIES = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 
 
@@ -62,9 +64,11 @@ def coerce_bool(c: Column | str, strict: bool = False) -> Column:
 
 
 def coerce_timestamp(c: Column | str) -> Column:
-    """ISO timestamp or date text -> timestamp; blank or unparseable -> null."""
+    """ISO timestamp or date text -> timestamp; blank or unparseable -> null. Text with a zone
+    offset names an instant; its UTC time is the result."""
     text = strip(c)
-    return F.when(text == "", F.lit(None).cast("timestamp_ntz")).otherwise(text.try_cast("timestamp_ntz"))
+    instant = F.convert_timezone(None, F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(text.rlike(OFFSET), instant).when(text != "", text.try_cast("timestamp_ntz"))
 
 
 def coerce_to(c: Column | str, dtype: str) -> Column:

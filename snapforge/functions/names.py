@@ -13,12 +13,12 @@ from snapforge.constants import (
     HIDDEN_TABLE_SUFFIXES,
     TABLE_NAME_STEPS,
 )
-from snapforge.functions.text import _c, strip
+from snapforge.functions.text import BLANK_RUN, WHITESPACE, _c, strip
 
 
 def normalize_name(c: Column | str) -> Column:
     """P1 (metadata form): strip, whitespace runs -> ``_``, lower-case."""
-    return F.lower(F.regexp_replace(strip(c), r"\s+", "_"))
+    return F.lower(F.regexp_replace(strip(c), BLANK_RUN, "_"))
 
 
 def normalize_upload_name(c: Column | str) -> Column:
@@ -33,7 +33,7 @@ def _normalize_name_py(name: str, upload: bool) -> str:
         return name if name in AUDIT_COLS else name.replace(" ", "_").lower()
     import re
 
-    return re.sub(r"\s+", "_", name.strip()).lower()
+    return re.sub(BLANK_RUN, "_", name.strip(WHITESPACE)).lower()
 
 
 def normalize_columns(df: DataFrame, upload: bool = True) -> DataFrame:
@@ -46,7 +46,7 @@ def clean_table_name(c: Column | str) -> Column:
     col = _c(c)
     name = F.when(F.lower(col).endswith(F.lit(".csv")), col.substr(F.lit(1), F.length(col) - 4)).otherwise(col)
     for pattern, repl in TABLE_NAME_STEPS:
-        name = F.regexp_replace(name, pattern, repl)
+        name = F.regexp_replace(name, pattern.replace(r"\s", WHITESPACE), repl)  # blanks of every kind
     name = F.lower(F.regexp_replace(name, r"^_+|_+$", ""))
     return F.when((name == "") | name.rlike("^[0-9]"), F.concat(F.lit("_"), name)).otherwise(name)
 

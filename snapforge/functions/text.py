@@ -16,8 +16,12 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# fixed value: the whitespace set of ``\s`` (space, tab, newline, vertical tab, form feed, return)
-WHITESPACE = " \t\n\u000b\f\r"
+# fixed value: the characters that Unicode text handling takes as blanks, in code point order
+WHITESPACE = (
+    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+BLANK_RUN = f"[{WHITESPACE}]+"
 
 
 def strip(c: ColumnOrName) -> Column:
@@ -50,7 +54,7 @@ def null_tokens(c: ColumnOrName, tokens: Iterable[str] | None = None, side: str
 
 def collapse_whitespace(c: ColumnOrName) -> Column:
     """Collapse inner whitespace runs to one space and strip the ends."""
-    return strip(F.regexp_replace(_c(c), r"\s+", " "))
+    return strip(F.regexp_replace(_c(c), BLANK_RUN, " "))
 
 
 def is_blank(c: ColumnOrName, dtype: str = "string") -> Column:

@@ -2,7 +2,8 @@
 
 Plain Parquet tables have no UPDATE, so every state change is an appended event
 ``(cr_id, seq, event, actor, ts, target_table, change_type, note, row_count, reason)``
-with ``event`` in submit / approve / reject / cancel. The current state is a fold:
+with ``event`` in submit / approve / reject / cancel / published (the rows of an approved
+change request are in its target). The current state is a fold:
 the first *valid* terminal event in ``seq`` order wins, which is what the guarded
 UPDATEs of a mutable table amount to. Folds use ``min_by`` aggregates, which are
 combined map-side, so a CR with many events never lands whole in one task.
@@ -30,6 +31,9 @@ LOG_SCHEMA = (
     "cr_id string, seq bigint, event string, actor string, ts timestamp_ntz, target_table string, "
     "change_type string, note string, row_count int, reason string"
 )
+#: events in order; two writers may give one ``seq``, the later fields decide then
+ORDER = ["seq", "ts", "event", "actor"]
+PUBLISHED = "published"
 TERMINAL = {"approve": CR_STATUS_APPROVED, "reject": CR_STATUS_REJECTED, "cancel": CR_STATUS_CANCELLED}
 
 
@@ -42,7 +46,7 @@ def submits(log: DataFrame) -> DataFrame:
     """One row per submitted CR (its first submit event)."""
     s = log.where(F.col("event") == "submit")
     first = F.min_by(
-        F.struct("seq", "actor", "ts", "target_table", "change_type", "note", "row_count"), F.col("seq")
+        F.struct("seq", "actor", "ts", "target_table", "change_type", "note", "row_count"), F.struct(*ORDER)
     )
     return s.groupBy("cr_id").agg(first.alias("s")).select(
         "cr_id",
@@ -73,7 +77,7 @@ def _terminal_events(log: DataFrame, staging: DataFrame | None) -> DataFrame:
 def _decisions(log: DataFrame, staging: DataFrame | None) -> DataFrame:
     """C11 core: per CR, the first valid terminal event."""
     t = _terminal_events(log, staging).where("valid")
-    first = F.min_by(F.struct("seq", "event", "actor", "ts", "reason"), F.col("seq"))
+    first = F.min_by(F.struct("seq", "event", "actor", "ts", "reason"), F.struct(*ORDER))
     return t.groupBy("cr_id").agg(first.alias("d")).select(
         "cr_id",
         F.col("d.seq").alias("decision_seq"),
@@ -81,6 +85,7 @@ def _decisions(log: DataFrame, staging: DataFrame | None) -> DataFrame:
         F.col("d.actor").alias("decided_by"),
         F.col("d.ts").alias("decided_ts"),
         F.col("d.reason").alias("reason"),
+        F.struct(*[F.col(f"d.{c}").alias(c) for c in ORDER]).alias("decided"),
     )
 
 
@@ -178,20 +183,23 @@ def submit_change(
     cr = cr_id or str(uuid.uuid4())
     staged = stage_rows(rows, cr)
     n = rows.select(F.count(F.lit(1)).cast("int")).scalar()
-    seq = log.select(F.coalesce(F.max("seq"), F.lit(-1)) + 1).scalar()
-    ev = rows.sparkSession.range(1).select(
-        F.lit(cr).alias("cr_id"),
-        seq.cast("bigint").alias("seq"),
-        F.lit("submit").alias("event"),
-        F.lit(user).alias("actor"),
-        (ts if ts is not None else F.localtimestamp()).cast("timestamp_ntz").alias("ts"),
-        F.lit(target).alias("target_table"),
-        F.lit(change_type).alias("change_type"),
-        F.lit(note).alias("note"),
-        n.alias("row_count"),
-        F.lit(None).cast("string").alias("reason"),
-    )
-    return staged, ev
+    one = rows.sparkSession.range(1).select(F.lit(cr).alias("cr_id"))
+    return staged, log_events(one, log, "submit", user, ts, target_table=F.lit(target), change_type=F.lit(change_type),
+                              note=F.lit(note), row_count=n)
+
+
+def log_events(crs: DataFrame, log: DataFrame, event: str, actor: str, ts: Column | None = None, **values: Column) -> DataFrame:
+    """One log row per change request of ``crs``; ``seq`` is the next of the log, the same for all of them.
+    Other fields are null unless given."""
+    fixed = {
+        "cr_id": F.col("cr_id"),
+        "seq": log.select(F.coalesce(F.max("seq"), F.lit(-1)) + 1).scalar(),
+        "event": F.lit(event),
+        "actor": F.lit(actor),
+        "ts": ts if ts is not None else F.localtimestamp(),
+    } | values
+    fields = [f.split() for f in LOG_SCHEMA.split(", ")]
+    return crs.select(*[fixed.get(c, F.lit(None)).cast(t).alias(c) for c, t in fields])
 
 
 def _decide(
@@ -209,12 +217,12 @@ def _decide(
         req = req.join(staged_v, "cr_id", "left").withColumn(
             "_stale", F.col("_staged_v") <= target.select(F.max(VERSION_COL)).scalar()
         )
-    first = _decisions(log, staging).select("cr_id", "decision_seq")
+    first = _decisions(log, staging).select("cr_id", "decided")
     j = req.join(first, "cr_id", "left")
     outcome = F.when(F.col("submit_seq").isNull(), F.lit("not_found"))
     if self_label:
         outcome = outcome.when(F.col("actor") == F.col("submitted_by"), F.lit(self_label))
-    outcome = outcome.when(F.col("decision_seq") < F.col("seq"), F.lit("not_pending"))
+    outcome = outcome.when(F.col("decided") < F.struct(*ORDER), F.lit("not_pending"))
     if staging is not None and event == "approve":
         outcome = outcome.when(F.coalesce(F.col("staged_rows"), F.lit(0)) == 0, F.lit("no_staged_rows"))
     if "_stale" in req.columns:
@@ -248,8 +256,9 @@ def approved_rows(
     """C8 data step: staged rows of approved CRs, CR id dropped, ready to append to the target
     inside Spark (no round-trip through the driver). Staging rows are kept for audit.
     With ``target`` the rows are restamped (D9 ``restamp``): in the order of their decisions, each CR gets the
-    next version of the target, one version per CR."""
+    next version of the target, one version per CR. A CR whose ``published`` event is in the log is left out."""
     st = _decisions(log, staging).where(F.col("decision") == "approve").select("cr_id", "decision_seq")
+    st = st.join(log.where(F.col("event") == PUBLISHED).select("cr_id"), "cr_id", "left_anti")
     if crs is not None:
         st = st.where(F.col("cr_id").isin(list(crs)))
     if target is None:

@@ -125,12 +125,14 @@ def f3_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = (
         F.when(F.col("o_orderkey") % 7 == 0, F.lit("  "))
         .when(F.col("o_orderkey") % 11 == 0, F.lit(None).cast("string"))
+        .when(F.col("o_orderkey") % 29 == 0, F.lit("\u00a0\u2028"))
         .otherwise(F.col("o_orderpriority"))
     )
     comment = (
         F.when(F.col("o_orderkey") % 13 == 0, F.lit("NULL"))
         .when(F.col("o_orderkey") % 17 == 0, F.lit("NA"))
         .when(F.col("o_orderkey") % 19 == 0, F.lit("None"))
+        .when(F.col("o_orderkey") % 23 == 0, F.concat(F.lit("\u00a0"), F.col("o_orderstatus"), F.lit("\u2003 \u3000x\u00a0")))
         .otherwise(F.concat(F.col("o_orderstatus"), F.lit(" \t "), F.col("o_orderpriority"), F.lit(" ")))
     )
     return o.select(
@@ -194,8 +196,13 @@ def f4_existing_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- F5: change-request event log and staging ----------------------------------
 def f5_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     f1 = f1_versioned(spark, sf_dir)
-    cr = F.concat(F.lit("cr-"), F.lpad(_s(F.col("o_orderkey") % 250), 6, "0"))
-    return f1.select(cr.alias(CR_ID_COL), *f1.columns)
+    return f1.select(cr_of_order(spark, sf_dir).alias(CR_ID_COL), *f1.columns)
+
+
+def cr_of_order(spark: SparkSession, sf_dir: str) -> Column:
+    """The change request that an order's rows are staged under: every one in the log has its share."""
+    n = table(spark, sf_dir, "events").agg(F.ceil(F.count(F.lit(1)) / 4).cast("bigint")).scalar()
+    return F.concat(F.lit("cr-"), F.lpad(_s(F.col("o_orderkey") % n), 6, "0"))
 
 
 def f5_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +323,7 @@ def f8_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 6, F.concat(F.lower("p_type"), F.lit("_backup_"), _s(k)))
         .when(m == 7, F.concat(F.lit("`main`.`"), F.lower("p_type"), F.lit("`.`"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("`")))
         .when(m == 8, F.concat(F.lower("p_type"), F.lit("."), F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))))
-        .otherwise(F.concat(F.col("p_name"), F.lit("\t"), F.col("p_brand"), F.lit("_sqldf")))
+        .otherwise(F.concat(F.lit("\u00a0"), F.col("p_name"), F.lit("\t\u2003"), F.col("p_brand"), F.lit("_sqldf")))
     )
     return p.select(k.alias("pos"), name.alias("name"))
 
@@ -350,7 +357,8 @@ def ts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m == 0, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
         .when(m == 1, F.date_format(d, "yyyy-MM-dd"))
         .when(m == 2, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"))
-        .otherwise(F.lit("not a date"))
+        .when(F.col("o_orderkey") % 8 == 3, F.lit("not a date"))
+        .otherwise(F.concat(F.date_format(d, "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00")))
     )
     return o.select("o_orderkey", txt.alias("ts_txt"))
 

@@ -50,16 +50,22 @@ SELECT o_orderkey,
        WHEN 2 THEN CAST(o_custkey AS VARCHAR) || '.0' WHEN 3 THEN CAST(o_custkey AS VARCHAR) || '.5'
        ELSE '#' || CAST(o_custkey AS VARCHAR) END AS int_txt,
   CASE o_orderkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN ' FALSE ' WHEN 2 THEN '1' WHEN 3 THEN 'yes' ELSE 'maybe' END AS bool_txt,
-  CASE WHEN o_orderkey % 7 = 0 THEN '  ' WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS note_txt,
+  CASE WHEN o_orderkey % 7 = 0 THEN '  ' WHEN o_orderkey % 11 = 0 THEN NULL
+       WHEN o_orderkey % 29 = 0 THEN chr(160) || chr(8232) ELSE o_orderpriority END AS note_txt,
   CASE WHEN o_orderkey % 13 = 0 THEN 'NULL' WHEN o_orderkey % 17 = 0 THEN 'NA' WHEN o_orderkey % 19 = 0 THEN 'None'
+       WHEN o_orderkey % 23 = 0 THEN chr(160) || o_orderstatus || chr(8195) || ' ' || chr(12288) || 'x' || chr(160)
        ELSE o_orderstatus || ' ' || chr(9) || ' ' || o_orderpriority || ' ' END AS comment_txt
 FROM orders
 """
 
 
+# RE2's \s is ASCII and lacks the vertical tab
+BLANKS = "\\s\\v\\x1c-\\x1f\\x{85}\\p{Z}"
+BLANK = f"[{BLANKS}]"
+
+
 def strip(x: str) -> str:
-    # RE2's \s lacks the vertical tab that Java's \s (and the Spark strip set) includes
-    return f"regexp_replace({x}, '^[\\s\\v]+|[\\s\\v]+$', '', 'g')"
+    return f"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
 # --- R1-R7 --------------------------------------------------------------------
@@ -116,7 +122,7 @@ SELECT pos, CASE pos % 10
   WHEN 6 THEN lower(p_type) || '_backup_' || CAST(pos AS VARCHAR)
   WHEN 7 THEN '`main`.`' || lower(p_type) || '`.`' || replace(p_name, ' ', '_') || '`'
   WHEN 8 THEN lower(p_type) || '.' || replace(p_name, ' ', '_')
-  ELSE p_name || chr(9) || p_brand || '_sqldf' END AS name
+  ELSE chr(160) || p_name || chr(9) || chr(8195) || p_brand || '_sqldf' END AS name
 FROM (SELECT p_partkey AS pos, p_type, p_name, p_brand,
              CAST(1995 + p_partkey % 30 AS VARCHAR) AS y,
              lpad(CAST(1 + p_partkey % 12 AS VARCHAR), 2, '0') AS mm,
@@ -153,7 +159,7 @@ def d_bool_strict(x: str) -> str:
 
 
 def d_norm(x: str) -> str:
-    return f"lower(regexp_replace({strip(x)}, '[\\s\\v]+', '_', 'g'))"
+    return f"lower(regexp_replace({strip(x)}, '{BLANK}+', '_', 'g'))"
 
 
 _AUDIT_SQL = "('__KEY', '__UPLOAD_TIMESTAMP', '__VERSION', '__VERSION_TIMESTAMP', '__UPLOADED_BY', '__UPLOAD_FILE_NAME')"
@@ -172,11 +178,11 @@ b AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(n,
         '\\b(?:19|20)\\d{{2}}\\b', '', 'g'),
         '\\b\\d{{8,}}\\b', '', 'g') AS n FROM a),
 c AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(n,
-        '[-_\\s\\v]+$', '', 'g'), '^[-_\\s\\v]+', '', 'g'), '[-\\s\\v]+', '_', 'g'), '__+', '_', 'g') AS n FROM b),
+        '[-_{BL}]+$', '', 'g'), '^[-_{BL}]+', '', 'g'), '[-{BL}]+', '_', 'g'), '__+', '_', 'g') AS n FROM b),
 d AS (SELECT pos, lower(regexp_replace(n, '^_+|_+$', '', 'g')) AS n FROM c)
 SELECT pos, CASE WHEN n = '' OR regexp_matches(n, '^[0-9]') THEN '_' || n ELSE n END AS clean FROM d
 """
-oracle("clean_table_name", _CLEAN.format(F8=F8))
+oracle("clean_table_name", _CLEAN.format(F8=F8, BL=BLANKS))
 
 oracle(
     "short_table_name",
@@ -207,7 +213,7 @@ FROM ({F3}) f""",
 )
 oracle(
     "collapse_whitespace",
-    f"""SELECT o_orderkey, {strip("regexp_replace(comment_txt, '[\\s\\v]+', ' ', 'g')")} AS comment FROM ({F3}) f""",
+    f"""SELECT o_orderkey, {strip(f"regexp_replace(comment_txt, '{BLANK}+', ' ', 'g')")} AS comment FROM ({F3}) f""",
 )
 oracle("coerce_date", f"SELECT o_orderkey, {d_date('date_txt')} AS d FROM ({F3}) f")
 oracle("coerce_int", f"SELECT o_orderkey, {d_int('int_txt')} AS i FROM ({F3}) f")
@@ -219,12 +225,15 @@ oracle(
 TS_TEXT = """
 SELECT o_orderkey, CASE o_orderkey % 4
   WHEN 0 THEN strftime(d, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(d, '%Y-%m-%d')
-  WHEN 2 THEN strftime(d, '%Y-%m-%dT%H:%M:%S') ELSE 'not a date' END AS ts_txt
+  WHEN 2 THEN strftime(d, '%Y-%m-%dT%H:%M:%S')
+  ELSE CASE o_orderkey % 8 WHEN 3 THEN 'not a date' ELSE strftime(d, '%Y-%m-%d %H:%M:%S') || '+02:00' END END AS ts_txt
 FROM (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS d FROM orders) o
 """
 oracle(
     "coerce_timestamp",
-    f"""SELECT o_orderkey, CASE WHEN {strip('ts_txt')} = '' THEN NULL ELSE TRY_CAST({strip('ts_txt')} AS TIMESTAMP) END AS ts
+    f"""SELECT o_orderkey, CASE WHEN {strip('ts_txt')} = '' THEN NULL
+       WHEN regexp_matches({strip('ts_txt')}, ':[0-9]+[+-][0-9:]+$') THEN make_timestamp(epoch_us(TRY_CAST({strip('ts_txt')} AS TIMESTAMPTZ)))
+       ELSE TRY_CAST({strip('ts_txt')} AS TIMESTAMP) END AS ts
 FROM ({TS_TEXT}) t""",
 )
 oracle("is_blank", f"SELECT o_orderkey, (note_txt IS NULL OR {strip('note_txt')} = '') AS note_blank FROM ({F3}) f")
@@ -538,7 +547,7 @@ FROM ch LEFT JOIN c ON ch."table" = c."table"
 
 
 # --- C1-C12 -------------------------------------------------------------------------
-STAGING = f"""SELECT 'cr-' || lpad(CAST(o_orderkey % 250 AS VARCHAR), 6, '0') AS "__CR_ID", * FROM ({F1}) f"""
+STAGING = f"""SELECT 'cr-' || lpad(CAST(o_orderkey % (SELECT CAST(ceil(count(*) / 4) AS BIGINT) FROM events) AS VARCHAR), 6, '0') AS "__CR_ID", * FROM ({F1}) f"""
 _SC = f'SELECT "__CR_ID" AS cr_id, count(*) AS staged FROM ({STAGING}) s GROUP BY 1'
 LOG = f"""
 WITH e AS (SELECT *, CAST(floor(event_id / 4) AS BIGINT) AS crn,
@@ -646,9 +655,9 @@ def d_clean(x: str) -> str:
         ("(?i)(?:\\b\\d{1,2}[-_]\\d{1,2}[-_]\\d{2,4}\\b)", ""),
         ("\\b(?:19|20)\\d{2}\\b", ""),
         ("\\b\\d{8,}\\b", ""),
-        ("[-_\\s\\v]+$", ""),
-        ("^[-_\\s\\v]+", ""),
-        ("[-\\s\\v]+", "_"),
+        (f"[-_{BLANKS}]+$", ""),
+        (f"^[-_{BLANKS}]+", ""),
+        (f"[-{BLANKS}]+", "_"),
         ("__+", "_"),
         ("^_+|_+$", ""),
     ]:
@@ -882,7 +891,7 @@ oracle(
 
 oracle(
     "collapse_whitespace_documents",
-    f"""SELECT doc_id, {strip("regexp_replace(text, '[\\s\\v]+', ' ', 'g')")} AS text FROM documents""",
+    f"""SELECT doc_id, {strip(f"regexp_replace(text, '{BLANK}+', ' ', 'g')")} AS text FROM documents""",
 )
 
 oracle(
@@ -894,7 +903,30 @@ oracle(
 oracle(
     "user_schemas",
     f"""SELECT DISTINCT {strip('s')} AS schema_name, lower({strip('s')}) AS sort_key
-FROM (SELECT string_split(replace(name, '`', ''), '.')[1] AS s FROM ({F8}) f WHERE contains(name, '.')) x
+FROM (SELECT string_split(replace(name, '`', ''), '.')[1] AS s FROM ({F8}) f) x
 WHERE {strip("coalesce(s, '')")} <> ''
   AND lower({strip("coalesce(s, '')")}) NOT IN ('information_schema', 'app_metadata', 'meta', 'test', 'testing')""",
 )
+
+oracle(
+    "bootstrap_run",
+    """SELECT 'klanten_' || CAST(r_regionkey AS VARCHAR) AS "table",
+       CASE r_regionkey WHEN 0 THEN 'created' WHEN 1 THEN 'skipped' WHEN 3 THEN 'rolled_back' ELSE 'reinitialised' END AS outcome,
+       CASE WHEN r_regionkey = 0 THEN 0 ELSE (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey
+                                              WHERE n_regionkey = r_regionkey) END AS n_rows,
+       r_regionkey NOT IN (1, 3) AS new_layout FROM region""",
+)
+
+oracle(
+    "publish_approved_twice",
+    f"""WITH {_fold(False)},
+staged AS (SELECT *, CAST((SELECT max("__VERSION") FROM ({F1}) f) + 1 + CAST(substr("__CR_ID", 4) AS BIGINT) % 40 AS INTEGER) AS v
+           FROM ({STAGING}) s),
+firsts AS (SELECT v, cr_id FROM (
+    SELECT DISTINCT v, d.cr_id, row_number() OVER (PARTITION BY v ORDER BY decided_ts, d.cr_id) AS rn
+    FROM dec d JOIN subs s ON d.cr_id = s.cr_id JOIN (SELECT DISTINCT "__CR_ID", v FROM staged) g ON g."__CR_ID" = d.cr_id
+    WHERE decision = 'approve' AND target_table = 'main.ref.table_1') x WHERE rn = 1)
+SELECT CAST(NULL AS VARCHAR) AS cr_id, "__VERSION" AS version, count(*) AS n_rows FROM ({F1}) f GROUP BY "__VERSION"
+UNION ALL SELECT CAST(NULL AS VARCHAR), staged.v, count(*) FROM staged JOIN firsts ON "__CR_ID" = firsts.cr_id GROUP BY staged.v
+UNION ALL SELECT cr_id, 0, CAST(NULL AS BIGINT) FROM firsts""",
+)

@@ -136,9 +136,9 @@ def q_collapse_whitespace_documents(spark, d):
 
 @query("user_schemas")
 def q_user_schemas(spark, d):
-    """M14 on the schema part of the dotted names in F8."""
+    """M14 on the first part of every name in F8."""
     from pyspark.sql import functions as F
 
-    f8 = FX.f8_names(spark, d).where(F.col("name").contains("."))
+    f8 = FX.f8_names(spark, d)
     schemas = f8.select(F.split(F.replace(F.col("name"), F.lit("`"), F.lit("")), r"\.")[0].alias("name"))
     return N.user_schemas(schemas)

@@ -97,3 +97,59 @@ def q_config_diff(spark, d):
 
     desired = desired.withColumn("table", clean_table_name("table"))
     return M.config_diff(FX.f7_recorded(spark, d), desired)
+
+
+def _region_metadata(spark, d, changed):
+    """One reference table of customers per region; ``changed`` gives all but region 1 another layout."""
+    r = FX.table(spark, d, "region").select("r_regionkey", F.concat(F.lit("Klanten "), F.col("r_regionkey").cast("string")).alias("Tabelnaam"))
+    fields = [("C Custkey", "BIGINT", "false"), ("C Name", "STRING", "true"), ("C Acctbal", "DOUBLE", "true")]
+    kept = F.lit(False) if not changed else F.col("r_regionkey") != 1
+    key = F.col("r_regionkey")
+    rows = F.array(*[
+        F.struct(
+            F.lit(i).alias("pos"), F.lit(f).alias("Veldnaam"),
+            F.when(kept & F.lit(f == "C Acctbal"), F.lit("STRING")).otherwise(F.lit(t)).alias("Type"), F.lit(n).alias("nullable"),
+        ) for i, (f, t, n) in enumerate(fields)
+    ])
+    extra = F.when(kept, F.array(F.struct(
+        F.lit(9).alias("pos"), F.lit("C Extra").alias("Veldnaam"), F.lit("STRING").alias("Type"),
+        F.when(key == 3, F.lit("false")).otherwise(F.lit("true")).alias("nullable"),  # no row of region 3 has a value
+    )))
+    long = r.select("r_regionkey", "Tabelnaam", F.explode(rows).alias("f"))
+    long = long.unionByName(r.select("r_regionkey", "Tabelnaam", F.explode(extra).alias("f")))
+    return long.select(
+        (key * 10 + F.col("f.pos")).alias("pos"), "Tabelnaam", "f.Veldnaam", "f.Type", "f.nullable",
+        F.when(F.col("f.pos") == 0, F.lit("true")).alias("Uniek"),
+        *[F.lit(None).cast("string").alias(c) for c in ("Composite_Key", "not_editable", "valid_from", "valid_to", "validity_key")],
+    )
+
+
+@query("bootstrap_run")
+def q_bootstrap_run(spark, d):
+    """Two runs over tables that hold the customers of each region but one: the second finds every layout but
+    one changed, and a required column that the rows of region 3 cannot fill."""
+    import uuid
+
+    from snapforge.sources import bootstrap as B
+    from snapforge.sources import tables as TB
+
+    schema = f"sf_boot_{uuid.uuid4().hex[:8]}"
+    old = _region_metadata(spark, d, False)
+    cfg = old.select("Tabelnaam").distinct().select(
+        F.lit("erp").alias("Bron"), "Tabelnaam", F.lit("true").alias("bulk_insert"), F.lit("true").alias("single_insert"),
+        F.lit("false").alias("review_required"),
+    )
+    B.bootstrap(spark, old, cfg, schema, exclude=["Klanten 0"])
+    nation = FX.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    customers = FX.table(spark, d, "customer").join(nation, "c_nationkey")
+    for k in range(1, 5):
+        rows = customers.where(F.col("n_regionkey") == k).select("c_custkey", "c_name", "c_acctbal")
+        TB.append_rows(TB.versioned_layout(rows, FX.publish_ts(), FX.PUBLISH_USER, order=["c_custkey"]), f"{schema}.klanten_{k}")
+    outcomes = B.bootstrap(spark, _region_metadata(spark, d, True), cfg, schema)
+    held = None
+    for k in range(5):
+        t = spark.table(f"{schema}.klanten_{k}")
+        extra = F.lit("c_extra" in t.columns)
+        one = t.agg(F.lit(f"klanten_{k}").alias("table"), F.count(F.lit(1)).alias("n_rows"), extra.alias("new_layout"))
+        held = one if held is None else held.unionByName(one)
+    return outcomes.select("table", "outcome").join(held, "table")

@@ -60,8 +60,7 @@ def q_pending_count(spark, d):
 @query("stage_rows")
 def q_stage_rows(spark, d):
     f1 = FX.f1_versioned(spark, d)
-    cr = F.concat(F.lit("cr-"), F.lpad((F.col("o_orderkey") % 250).cast("string"), 6, "0"))
-    return C.stage_rows(f1, cr)
+    return C.stage_rows(f1, FX.cr_of_order(spark, d))
 
 
 @query("staged_rows")
@@ -117,3 +116,34 @@ def q_cr_titles(spark, d):
     from snapforge.functions.names import cr_title
 
     return _view(spark, d).select("cr_id", cr_title("cr_id", "target_table").alias("title"))
+
+
+@query("publish_approved_twice")
+def q_publish_approved_twice(spark, d):
+    """The approved change requests of one table published, then published again: every version once.
+    The requests are staged for forty versions above the table's."""
+    import uuid
+
+    from snapforge.constants import CR_ID_COL, VERSION_COL
+    from snapforge.sources import review_tables as RT
+    from snapforge.sources import tables as TB
+
+    name = f"sf_review_{uuid.uuid4().hex[:10]}"
+    f1 = FX.f1_versioned(spark, d)
+    TB.create_table(f1, name)
+    top = f1.agg(F.max(VERSION_COL)).scalar()
+    cr = F.substring(CR_ID_COL, 4, 20).cast("bigint")
+    staging = _staging(spark, d).withColumn(VERSION_COL, (top + 1 + cr % 40).cast("int"))
+    TB.create_table(staging, RT.staging_name(name))
+    log = _log(spark, d).withColumn(
+        "target_table", F.when(F.col("target_table") == "main.ref.table_1", F.lit(name)).otherwise(F.col("target_table"))
+    )
+    log_table = f"{name}_log"
+    TB.create_table(log, log_table)
+    for _ in range(2):
+        RT.publish_approved(spark, name, log_table, FX.PUBLISH_USER, FX.publish_ts())
+    events = spark.table(log_table).where(F.col("event") == C.PUBLISHED).select(
+        F.col("cr_id"), F.lit(0).alias("version"), F.lit(None).cast("bigint").alias("n_rows")
+    )
+    per = spark.table(name).groupBy(F.col(VERSION_COL).alias("version")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return per.select(F.lit(None).cast("string").alias("cr_id"), "version", "n_rows").unionByName(events)

@@ -184,6 +184,10 @@ def restore_by_name(
     return out
 
 
+class TableLost(RuntimeError):
+    """A swap failed half way and the old name could not be given back; the backup holds the rows."""
+
+
 # --- M12 --------------------------------------------------------------------------
 def migrate_table(
     spark: SparkSession,
@@ -212,8 +216,12 @@ def migrate_table(
     spark.sql(f"ALTER TABLE {table} RENAME TO {backup}")
     try:
         spark.sql(f"ALTER TABLE {tmp} RENAME TO {table}")
-    except Exception:
-        spark.sql(f"ALTER TABLE {backup} RENAME TO {table}")
+    except Exception as failed:
+        try:
+            spark.sql(f"ALTER TABLE {backup} RENAME TO {table}")
+        except Exception:
+            where = table_location(spark, backup)  # a catalog in memory keeps the old places of the partitions
+            raise TableLost(f"{table} could not be put back; its rows are in {backup} ({where})") from failed
         raise
     spark.sql(f"DROP TABLE {backup}")
     return {"table": table, "status": "migrated"}

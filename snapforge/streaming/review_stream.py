@@ -1,87 +1,18 @@
 """C11 as a stream: change-request status maintained incrementally from the event log.
 
-The review log is append-only, so its current state can be kept up to date with
-Structured Streaming instead of re-folding the whole log: events are grouped by
-``cr_id`` and a small per-CR state (submitter, status, deciding seq, terminal events
-seen before the submit) is updated with ``applyInPandasWithState``. The winner is the
-valid terminal event with the smallest ``seq``, whatever the arrival order, so the
-streamed result equals the batch fold ``operators.review.cr_status``.
+The review log is append-only, so its state can be kept up to date with Structured Streaming instead of folding the
+whole log again: a streaming aggregation keeps the least ``seq`` of each (CR, actor, event), whatever
+the arrival order, and the fold of these rows equals the batch fold ``operators.review.cr_status``.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from snapforge.operators.review import LOG_SCHEMA, TERMINAL
+from snapforge.operators.review import LOG_SCHEMA
 from snapforge.session import scratch_path
 
-OUTPUT_SCHEMA = "cr_id string, status string, decision_seq bigint"
-STATE_SCHEMA = "submit_seq bigint, submitted_by string, status string, decision_seq bigint, early string"
-
-
-def _valid(ev: str, actor: str | None, seq: int, submit_seq: int, submitter: str | None) -> bool:
-    return seq > submit_seq and (ev == "cancel" or actor != submitter)
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (cr_id,) = key
-    if state.exists:
-        submit_seq, submitter, status, decision_seq, early = state.get
-        early = json.loads(early) if early else []
-    else:
-        submit_seq, submitter, status, decision_seq, early = None, None, "pending", None, []
-    before = (submit_seq, status, decision_seq)
-    terminal = [tuple(e) for e in early]
-    for pdf in batches:  # plain lists: a CR has a handful of events per batch
-        for seq, ev, actor in zip(pdf["seq"].tolist(), pdf["event"].tolist(), pdf["actor"].tolist()):
-            if ev == "submit":
-                if submit_seq is None or seq < submit_seq:
-                    submit_seq, submitter = seq, actor
-            elif ev in TERMINAL:
-                terminal.append((ev, actor, seq))
-    keep = []
-    for ev, actor, seq in sorted(terminal, key=lambda x: x[2]):
-        if submit_seq is None:
-            keep.append([ev, actor, seq])  # wait for the submit
-        elif _valid(ev, actor, seq, submit_seq, submitter) and (decision_seq is None or seq < decision_seq):
-            status, decision_seq = TERMINAL[ev], seq
-    state.update((submit_seq, submitter, status, decision_seq, json.dumps(keep) if keep else None))
-    if submit_seq is not None and (submit_seq, status, decision_seq) != before:
-        yield pd.DataFrame({"cr_id": [cr_id], "status": [status], "decision_seq": [decision_seq]})
-
-
-def cr_status_updates(events: DataFrame) -> DataFrame:
-    """Streaming (or batch) log -> CR status rows, emitted whenever a CR's status changes."""
-    return events.select("cr_id", "seq", "event", "actor").groupBy("cr_id").applyInPandasWithState(
-        _fold, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def run_status_stream(spark: SparkSession, log_path: str, out_path: str, max_files_per_trigger: int = 1) -> None:
-    """Fold a folder of log files into ``out_path`` (Parquet, one row per change, with the batch
-    id) until all available files are processed. The checkpoint lives in the shared folder."""
-    stream = (
-        spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_path)
-    )
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
-
-    q = (
-        cr_status_updates(stream).writeStream.outputMode("update").foreachBatch(write_batch)
-        .option("checkpointLocation", scratch_path(spark, "review-stream-ckpt"))
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-
-
-# --- JVM-only variant: a built-in streaming aggregation ----------------------------------
 def run_summary_stream(spark: SparkSession, log_path: str, out_path: str, max_files_per_trigger: int = 1) -> None:
     """Keep ``min(seq)`` per (cr_id, actor, event) with a streaming aggregation (no Python in
     the tasks; state is one row per CR, actor and event kind). ``min`` is order independent,
@@ -114,20 +45,10 @@ def status_from_summary(summary_rows: DataFrame) -> DataFrame:
     return cr_status(log)
 
 
-def current_status(updates: DataFrame) -> DataFrame:
-    """The latest emitted status per CR (highest batch id)."""
-    return updates.groupBy("cr_id").agg(F.max_by("status", "batch_id").alias("status"))
-
-
-def cr_status_stream(spark: SparkSession, log: DataFrame, n_files: int = 2, stateful: bool = False) -> DataFrame:
+def cr_status_stream(spark: SparkSession, log: DataFrame, n_files: int = 2) -> DataFrame:
     """Write ``log`` as ``n_files`` Parquet files ordered by seq, stream them one file per
-    micro-batch, and return the resulting status per CR: by default through the built-in
-    streaming aggregation plus batch fold, with ``stateful=True`` through the per-CR state
-    machine (which emits each status change as it happens)."""
+    micro-batch, and return the resulting status per CR."""
     base = scratch_path(spark, "review-stream")
     log.repartitionByRange(n_files, "seq").write.parquet(f"{base}/log")
-    if stateful:
-        run_status_stream(spark, f"{base}/log", f"{base}/out")
-        return current_status(spark.read.parquet(f"{base}/out"))
     run_summary_stream(spark, f"{base}/log", f"{base}/out")
     return status_from_summary(spark.read.parquet(f"{base}/out"))

@@ -117,3 +117,119 @@ def test_one_change_request_per_version(spark):
     assert got == {"a": "stale", "b": "approved"}
     rows = C.approved_rows(log, staging, target=target).collect()
     assert sorted((r["__VERSION"], r["__KEY"]) for r in rows) == [(8, 1), (9, 1), (9, 2)]
+
+
+def test_blanks_of_every_kind(spark):
+    from snapforge.functions import names as N
+    from snapforge.functions import text as TX
+
+    df = spark.createDataFrame([("\u00a0land\u00a0 \u3000code\u2028",), ("\u00a0\u2003",), ("a\x1fb",)], "s string")
+    rows = df.select(TX.collapse_whitespace("s"), TX.is_blank("s"), N.normalize_name("s")).collect()
+    assert [tuple(r) for r in rows] == [("land code", False, "land_code"), ("", True, ""), ("a b", False, "a_b")]
+    assert N._normalize_name_py("\u00a0land\u00a0 \u3000code\u2028", upload=False) == "land_code"
+
+
+def test_timestamps_with_an_offset_are_instants(spark):
+    cases = {"2024-03-01 12:00:00+02:00": "2024-03-01 10:00:00", "2024-03-01T12:00:00Z": "2024-03-01 12:00:00",
+             "2024-03-01T12:00:00.5-0530": "2024-03-01 17:30:00.500000", "2024-03-01": "2024-03-01 00:00:00", "x": None, " ": None}
+    for zone in ("UTC", "America/New_York"):
+        old = spark.conf.get("spark.sql.session.timeZone")
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = spark.createDataFrame([(k,) for k in cases], "s string").select("s", P.coerce_timestamp("s").alias("t")).collect()
+            assert {r["s"]: r["t"] and str(r["t"]) for r in got} == cases
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_review_writers_end_to_end(spark):
+    import uuid
+
+    from snapforge.operators import publish as W
+    from snapforge.operators import snapshots as R
+    from snapforge.sources import review_tables as RT
+
+    name, log = (f"rev_{uuid.uuid4().hex[:8]}" for _ in range(2))
+    ts = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    rows = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "code string, price double")
+    TB.create_table(TB.versioned_layout(rows, ts, "me", order=["code"]), name)
+
+    def change(price):
+        table = spark.table(name)
+        new = spark.createDataFrame([("A", price)], "code string, price double")
+        snap = W.publish_bulk(new, W.table_columns(table), table=table, ts=ts, user="ann", file_name="f.csv", order=["code"])
+        return RT.submit(spark, snap, name, log, "bulk", "ann", ts=ts)
+
+    a, b, c = change(5.0), change(6.0), change(7.0)  # all built on version 1
+    assert RT.approve(spark, name, log, "nobody", "bob") == "not_found"
+    assert RT.approve(spark, name, log, a, "ann") == "self_approval"
+    assert RT.approve(spark, name, log, a, "bob", ts) == "approved"
+    assert RT.approve(spark, name, log, a, "bob", ts) == "not_pending"
+    assert RT.approve(spark, name, log, b, "bob", ts) == "stale"
+    assert RT.reject(spark, log, b, "ann") == "self_rejection"
+    assert RT.reject(spark, log, b, "bob", "old", ts) == "rejected"
+    assert RT.cancel(spark, log, b, "ann", ts) == "not_pending"
+    assert RT.cancel(spark, log, c, "ann", ts) == "cancelled"
+    RT.publish_approved(spark, name, log, "bob", ts)  # nothing is left to do
+    got = [(r["__VERSION"], r["code"], r["price"]) for r in spark.table(name).orderBy("__VERSION", "code").collect()]
+    assert got == [(1, "A", 1.0), (1, "B", 2.0), (2, "A", 5.0)]
+    assert R.latest_snapshot(spark.table(name)).count() == 1
+    events = [r["event"] for r in spark.table(log).orderBy("seq").collect()]
+    assert events == ["submit", "submit", "submit", "approve", "published", "reject", "cancel"]
+
+
+def test_review_resumes_between_rows_and_event(spark):
+    import uuid
+
+    from snapforge.operators import review as C
+    from snapforge.sources import review_tables as RT
+
+    name, log = (f"rev_{uuid.uuid4().hex[:8]}" for _ in range(2))
+    ts = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    base = TB.versioned_layout(spark.createDataFrame([("A",)], "code string"), ts, "me", order=["code"])
+    TB.create_table(base, name)
+    cr = RT.submit(spark, base.withColumn("__VERSION", F.lit(2)), name, log, "bulk", "ann", ts=ts)
+    TB.append_rows(C.log_events(spark.createDataFrame([(cr,)], "cr_id string"), spark.table(log), "approve", "bob", ts), log)
+    TB.append_rows(base.withColumn("__VERSION", F.lit(2)), name)  # the rows arrived, the event did not
+    for t in (name, log):
+        spark.catalog.refreshTable(t)
+    RT.publish_approved(spark, name, log, "bob", ts)
+    assert spark.table(name).count() == 2
+    assert spark.table(log).where("event = 'published'").count() == 1
+
+
+def test_staging_gains_the_columns_of_its_target(spark):
+    import uuid
+
+    from snapforge.sources import review_tables as RT
+
+    name = f"rev_{uuid.uuid4().hex[:8]}"
+    TB.create_table(spark.createDataFrame([(1, "a", 1)], "__KEY bigint, code string, __VERSION int"), name)
+    st = RT.ensure_staging(spark, name)
+    spark.sql(f"ALTER TABLE {name} ADD COLUMNS (`extra col` double)")
+    spark.catalog.refreshTable(name)
+    assert RT.ensure_staging(spark, name) == st
+    assert set(spark.table(st).columns) == {"__CR_ID", "__KEY", "code", "__VERSION", "extra col"}
+
+
+def test_a_swap_that_cannot_be_undone_is_critical(spark, monkeypatch):
+    import uuid
+
+    name = f"swap_{uuid.uuid4().hex[:8]}"
+    TB.create_table(spark.createDataFrame([(1, "a", 1)], "__KEY bigint, code string, __VERSION int"), name)
+    sql = spark.sql
+    renames = []
+
+    def failing(q, *a, **k):
+        if "RENAME" in q:
+            renames.append(q)
+            if len(renames) > 1:
+                raise RuntimeError("catalog away")
+        return sql(q, *a, **k)
+
+    monkeypatch.setattr(spark, "sql", failing)
+    with pytest.raises(TB.TableLost, match="_backup_") as lost:
+        TB.migrate_table(spark, name, {"code": "string"})
+    monkeypatch.undo()
+    folder = str(lost.value).rsplit("(", 1)[1].rstrip(")")
+    assert spark.read.parquet(folder).count() == 1
