@@ -419,43 +419,52 @@ def validate_upload(
 ) -> DataFrame:
     """V9: all checks in pipeline order as one problems frame with a ``stage`` number:
     1 columns, 2 types (raw text), 3 required, 4 duplicate keys, 5 overlapping validity.
-    ``stop_early`` keeps only the first failing stage, as the upload flow does. Validity
-    is checked only when key, from and to are all set (decision D22)."""
-    spark = raw.sparkSession
-    frames = []
+    ``stop_early`` keeps only the first failing stage, as the upload flow does: the stages are asked in order
+    whether they have a problem at all (one flag reaches the driver), and those after the first that has are neither
+    planned nor run. Validity is checked only when key, from and to are all set (decision D22)."""
+    stages = []
     if table_columns is not None:
-        t = spark.createDataFrame([("upload", c) for c in table_columns], "table string, column string")
-        u = spark.createDataFrame([("upload", c) for c in raw.columns if c != row_col], "table string, column string")
-        cc = check_columns(u, t)
-        frames.append(cc.select(F.lit(1).alias("stage"), F.col("status").alias("check"), "column",
-                                F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("string").alias("value"),
-                                F.col("severity").alias("detail")))
-    frames.append(validate_types(raw, schema, row_col).withColumn("stage", F.lit(2)))
+        stages.append(lambda: _column_stage(raw, table_columns, row_col))
+    stages.append(lambda: validate_types(raw, schema, row_col).withColumn("stage", F.lit(2)))
     if required:
-        frames.append(required_problems(cleaned, required, row_col).withColumn("stage", F.lit(3)))
+        stages.append(lambda: required_problems(cleaned, required, row_col).withColumn("stage", F.lit(3)))
     if business_keys:
-        dup = duplicate_groups(cleaned, business_keys)
-        frames.append(dup.select(
-            F.lit(4).alias("stage"), F.lit("duplicate").alias("check"), F.lit(",".join(business_keys)).alias("column"),
-            F.lit(None).cast("bigint").alias("row"),
-            F.concat_ws("|", *[F.col(k).cast("string") for k in business_keys]).alias("value"),
-            F.concat(F.lit("count "), F.col("count").cast("string")).alias("detail"),
-        ))
+        stages.append(lambda: _duplicate_stage(cleaned, business_keys))
     if validity and all(validity):
-        k, s, e = validity
-        ov = overlapping_validity(cleaned, k, s, e, tie=[row_col], columns=[])
-        frames.append(ov.select(
-            F.lit(5).alias("stage"), F.lit("overlap").alias("check"), F.lit(k).alias("column"),
-            F.col(row_col).cast("bigint").alias("row"), F.col(k).cast("string").alias("value"),
-            F.concat(F.lit("overlaps row "), F.col(f"prev_{row_col}").cast("string")).alias("detail"),
-        ))
-    frames = [f.select("stage", *PROBLEM_COLS) for f in frames]
-    allp = frames[0]
-    for f in frames[1:]:
-        allp = allp.unionByName(f)
-    if stop_early:
-        # first failing stage: limit-1 existence probes in pipeline order, so a stage is
-        # only evaluated up to its first problem
-        first = F.coalesce(*[f.select("stage").limit(1).scalar() for f in frames])
-        allp = allp.where(F.col("stage") == first)
-    return allp
+        stages.append(lambda: _overlap_stage(cleaned, validity, row_col))
+    found = None
+    for stage in stages:
+        problems = stage().select("stage", *PROBLEM_COLS)
+        if not stop_early:
+            found = problems if found is None else found.unionByName(problems)
+        elif problems.limit(1).count() or stage is stages[-1]:
+            return problems
+    return found
+
+
+def _column_stage(raw: DataFrame, table_columns: Sequence[str], row_col: str) -> DataFrame:
+    spark = raw.sparkSession
+    t = spark.createDataFrame([("upload", c) for c in table_columns], "table string, column string")
+    u = spark.createDataFrame([("upload", c) for c in raw.columns if c != row_col], "table string, column string")
+    return check_columns(u, t).select(
+        F.lit(1).alias("stage"), F.col("status").alias("check"), "column", F.lit(None).cast("bigint").alias("row"),
+        F.lit(None).cast("string").alias("value"), F.col("severity").alias("detail"),
+    )
+
+
+def _duplicate_stage(cleaned: DataFrame, business_keys: Sequence[str]) -> DataFrame:
+    return duplicate_groups(cleaned, business_keys).select(
+        F.lit(4).alias("stage"), F.lit("duplicate").alias("check"), F.lit(",".join(business_keys)).alias("column"),
+        F.lit(None).cast("bigint").alias("row"),
+        F.concat_ws("|", *[F.col(k).cast("string") for k in business_keys]).alias("value"),
+        F.concat(F.lit("count "), F.col("count").cast("string")).alias("detail"),
+    )
+
+
+def _overlap_stage(cleaned: DataFrame, validity: tuple[str, str, str], row_col: str) -> DataFrame:
+    k, s, e = validity
+    return overlapping_validity(cleaned, k, s, e, tie=[row_col], columns=[]).select(
+        F.lit(5).alias("stage"), F.lit("overlap").alias("check"), F.lit(k).alias("column"),
+        F.col(row_col).cast("bigint").alias("row"), F.col(k).cast("string").alias("value"),
+        F.concat(F.lit("overlaps row "), F.col(f"prev_{row_col}").cast("string")).alias("detail"),
+    )
