@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,18 +53,24 @@ def schema_for_table(metadata: DataFrame, table: str) -> list[tuple[str, str, bo
     return out
 
 
-def apply_schema(raw: DataFrame, columns: list[tuple[str, str, bool]], keep: list[str] = ()) -> DataFrame:
-    """Cast all-text ``raw`` to the table schema.
+def cleaned_columns(raw: DataFrame, columns: list[tuple[str, str, bool]]) -> dict[str, Column]:
+    """The columns of the table schema as expressions over all-text ``raw``.
 
     Raw columns are matched by normalised name; the cleaning casts of P5-P9 are
-    used, so bad text becomes null rather than failing. ``keep`` columns pass through.
+    used, so bad text becomes null rather than failing. A column that ``raw`` lacks is a typed null.
     """
     by_norm = {_normalize_name_py(c, upload=False): c for c in raw.columns}
-    sel = [F.col(k) for k in keep]
+    out = {}
     for name, ddl, _ in columns:
         src = by_norm.get(name)
-        sel.append((coerce_to(F.col(f"`{src}`"), ddl) if src else F.lit(None).cast(ddl)).alias(name))
-    return raw.select(*sel)
+        out[name] = coerce_to(F.col(f"`{src}`"), ddl) if src else F.lit(None).cast(ddl)
+    return out
+
+
+def apply_schema(raw: DataFrame, columns: list[tuple[str, str, bool]], keep: list[str] = ()) -> DataFrame:
+    """Cast all-text ``raw`` to the table schema (``cleaned_columns``). ``keep`` columns pass through."""
+    cleaned = cleaned_columns(raw, columns)
+    return raw.select(*[F.col(k) for k in keep], *[c.alias(name) for name, c in cleaned.items()])
 
 
 def align_columns(df: DataFrame, table_columns: Mapping[str, str] | T.StructType, keep_audit: bool = True) -> DataFrame:

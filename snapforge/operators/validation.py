@@ -137,11 +137,6 @@ def required_rows(df: DataFrame, required: Sequence[str], row_col: str, n: int |
     return shown.join(F.broadcast(required_counts(df, cols)), "column")
 
 
-def required_problems(df: DataFrame, required: Sequence[str], row_col: str) -> DataFrame:
-    cands = [F.when(_blank(df, c), _problem("required", c, F.col(row_col), F.lit(None), "value is required")) for c in required if c in df.columns]
-    return _explode_problems(df, cands)
-
-
 # --- V4 ----------------------------------------------------------------------------
 def _key_present(df: DataFrame, keys: Sequence[str]) -> Column:
     cond = F.lit(True)
@@ -408,7 +403,7 @@ def row_count_delta(upload: DataFrame, table: DataFrame) -> DataFrame:
 # --- V9 ----------------------------------------------------------------------------
 def validate_upload(
     raw: DataFrame,
-    cleaned: DataFrame,
+    cleaned: Mapping[str, Column],
     schema: Mapping[str, str],
     row_col: str,
     required: Sequence[str] = (),
@@ -419,29 +414,52 @@ def validate_upload(
 ) -> DataFrame:
     """V9: all checks in pipeline order as one problems frame with a ``stage`` number:
     1 columns, 2 types (raw text), 3 required, 4 duplicate keys, 5 overlapping validity.
-    ``stop_early`` keeps only the first failing stage, as the upload flow does: the stages are asked in order
-    whether they have a problem at all (one flag reaches the driver), and those after the first that has are neither
-    planned nor run. Validity is checked only when key, from and to are all set (decision D22)."""
-    stages = []
+
+    ``cleaned`` has the cleaned columns as expressions over ``raw`` (``operators.schema.cleaned_columns``), so
+    types and required values are found in one pass over the upload; 4 and 5 read the columns that they need.
+    ``stop_early`` keeps only the first failing stage, as the upload flow does: the first stage with a problem
+    (one number) reaches the driver, and passes after it are neither planned nor run.
+    Validity is checked only when key, from and to are all set (decision D22)."""
+    typed = raw.select(*[c for c in [row_col] if c not in cleaned], *[e.alias(c) for c, e in cleaned.items()])
+    passes = [lambda: _cell_stages(raw, typed, cleaned, schema, row_col, required)]
     if table_columns is not None:
-        stages.append(lambda: _column_stage(raw, table_columns, row_col))
-    stages.append(lambda: validate_types(raw, schema, row_col).withColumn("stage", F.lit(2)))
-    if required:
-        stages.append(lambda: required_problems(cleaned, required, row_col).withColumn("stage", F.lit(3)))
+        passes.insert(0, lambda: _column_stage(raw, table_columns, row_col))
     if business_keys:
-        stages.append(lambda: _duplicate_stage(cleaned, business_keys))
+        passes.append(lambda: _duplicate_stage(typed, business_keys))
     if validity and all(validity):
-        stages.append(lambda: _overlap_stage(cleaned, validity, row_col))
+        passes.append(lambda: _overlap_stage(typed, validity, row_col))
     found = None
-    for stage in stages:
-        problems = stage().select("stage", *PROBLEM_COLS)
+    for one in passes:
+        problems = one().select("stage", *PROBLEM_COLS)
         if not stop_early:
             found = problems if found is None else found.unionByName(problems)
-        elif problems.limit(1).count() or stage is stages[-1]:
-            return problems
+            continue
+        first = problems.agg(F.min("stage")).first()[0]
+        if first is not None:
+            return problems.where(F.col("stage") == first)
+        found = problems
     return found
 
 
+def _cell_stages(
+    raw: DataFrame, typed: DataFrame, cleaned: Mapping[str, Column], schema: Mapping[str, str], row_col: str, required: Sequence[str]
+) -> DataFrame:
+    """Stages 2 and 3, cell by cell: the problems of a row are one array, so the upload is read once."""
+    row, types = F.col(row_col), dict(typed.dtypes)
+    bad = [p for c, t in schema.items() if c in raw.columns for p in [_type_problem(c, t, row)] if p is not None]
+    empty = [
+        F.when(is_blank(cleaned[c], types[c]), _problem("required", c, row, F.lit(None), "value is required"))
+        for c in required if c in cleaned
+    ]
+    staged = [F.when(p.isNotNull(), F.struct(F.lit(n).alias("stage"), p.alias("p"))) for n, some in ((2, bad), (3, empty)) for p in some]
+    if not staged:
+        return raw.sparkSession.createDataFrame(
+            [], "stage int, check string, column string, row bigint, value string, detail string"
+        )
+    cells = raw.select(F.explode(F.filter(F.array(*staged), lambda x: x.isNotNull())).alias("x"))
+    return cells.select("x.stage", "x.p.*")
+
+
 def _column_stage(raw: DataFrame, table_columns: Sequence[str], row_col: str) -> DataFrame:
     spark = raw.sparkSession
     t = spark.createDataFrame([("upload", c) for c in table_columns], "table string, column string")

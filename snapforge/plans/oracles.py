@@ -443,6 +443,15 @@ UNION ALL SELECT 4, 'duplicate', 'date_txt' FROM (SELECT date_txt FROM ({TYPED_F
                                                   GROUP BY date_txt HAVING count(*) > 1) d
 """
 oracle("validation_report", f'SELECT stage, "check", "column", count(*) AS n FROM ({_REPORT}) r GROUP BY ALL')
+_ALL_STAGES = f"""
+SELECT * FROM (VALUES (1, 'missing', 'region_txt'), (1, 'extra', 'comment_txt')) v(stage, "check", "column")
+UNION ALL SELECT * FROM ({_REPORT}) r
+UNION ALL SELECT 5, 'overlap', 'bool_txt' FROM (
+  SELECT date_txt, max(date_txt) OVER (PARTITION BY bool_txt ORDER BY date_txt, o_orderkey
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto
+  FROM ({TYPED_F3}) t WHERE bool_txt IS NOT NULL AND date_txt IS NOT NULL) o WHERE date_txt <= upto
+"""
+oracle("validation_report_all_stages", f'SELECT stage, "check", "column", count(*) AS n FROM ({_ALL_STAGES}) r GROUP BY ALL')
 oracle(
     "validation_first_stage",
     f'SELECT stage, "check", "column", count(*) AS n FROM ({_REPORT}) r WHERE stage = (SELECT min(stage) FROM ({_REPORT}) m) GROUP BY ALL',

@@ -122,9 +122,30 @@ def test_validate_upload_validity_stage_needs_all_three(spark):
         [(1, "a", "2024-01-01", "2024-01-31"), (2, "a", "2024-01-15", "2024-02-01"), (3, "b", "2024-01-01", None)],
         "r long, k string, s string, e string",
     )
-    typed = raw.select("r", "k", F.to_date("s").alias("s"), F.to_date("e").alias("e"))
+    typed = {"k": F.col("k"), "s": F.to_date("s"), "e": F.to_date("e")}
     schema = {"k": "string", "s": "date", "e": "date"}
     full = V.validate_upload(raw, typed, schema, "r", validity=("k", "s", "e"))
     assert [(p["stage"], p["row"]) for p in full.where("stage = 5").collect()] == [(5, 2)]
     partial = V.validate_upload(raw, typed, schema, "r", validity=("k", "s", None))
     assert partial.where("stage = 5").count() == 0
+
+
+def test_validate_upload_stops_at_the_first_failing_stage(spark):
+    schema = {"k": "int", "d": "date", "n": "string"}
+    typed = {"k": F.col("k").try_cast("int"), "d": F.col("d").try_cast("date"), "n": F.col("n")}
+
+    def stages(rows, stop_early):
+        raw = spark.createDataFrame(rows, "r long, k string, d string, n string")
+        got = V.validate_upload(
+            raw, typed, schema, "r", required=["n"], business_keys=["k"], validity=("k", "d", "d"),
+            table_columns=["k", "d", "n"], stop_early=stop_early,
+        )
+        return sorted((p["stage"], p["row"]) for p in got.select("stage", F.coalesce("row", F.lit(0)).alias("row")).collect())
+
+    good = (1, "1", "2024-01-01", "x")
+    assert stages([good], True) == stages([good], False) == []
+    assert stages([good, (2, "1", "2024-02-01", " ")], False) == [(3, 2), (4, 0)]
+    assert stages([good, (2, "1", "2024-02-01", " ")], True) == [(3, 2)]
+    assert stages([good, (2, "q", "2024-02-01", None)], True) == [(2, 2)]
+    assert stages([good, (2, "1", "2024-02-01", "y")], True) == [(4, 0)]
+    assert stages([good, (2, "1", "2024-01-01", "y")], False) == [(4, 0), (5, 2)]
