@@ -21,7 +21,7 @@ import base64
 import codecs
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -33,6 +33,7 @@ from snapforge.llm.common import text_docs
 STATES = 200_000
 LOOKAHEAD = 512
 MEMO_ENTRIES = 300_000
+MEMO_CHARS = 64
 DECODE_RUN = 8192
 
 
@@ -41,6 +42,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class _State(dict):
+    """A state of the transducer: byte -> (next state, last token of the encoding up to and with the byte).
+
+    ``live`` has, for each place where a token may have begun, the trie node of the bytes since
+    then and the last token (-1: none) of the encoding up to there.
+    """
+
+    __slots__ = ("live", "machine")
+
+    def __init__(self, live: tuple, machine: Transducer) -> None:
+        self.live, self.machine = live, machine
+
+    def __missing__(self, byte: int) -> tuple[_State, int]:
+        self[byte] = step = self.machine._step(self.live, byte)
+        return step
+
+
 class Transducer:
     """The merges of a rank table, compiled into a transducer from bytes to ids."""
 
@@ -69,11 +87,16 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        # a state: for each place where a token may have begun, the trie node of the bytes since
-        # then and the last token (-1: none) of the encoding up to there
-        self.states: dict[tuple, int] = {((0, -1),): 0}
-        self.live: list[tuple] = [((0, -1),)]
-        self.steps: list[dict[int, tuple[int, int]]] = [{}]
+        self.states: dict[tuple, _State] = {}
+        self.start = self._state(((0, -1),))
+
+    def _state(self, live: tuple) -> _State:
+        state = self.states.get(live)
+        if state is None:
+            if len(self.states) >= STATES:
+                self.reset()
+            state = self.states[live] = _State(live, self)
+        return state
 
     def _merge(self, piece: bytes, stop: int) -> list[bytes]:
         """Plain merging, lowest rank first, until ``stop`` parts are left or none merge."""
@@ -129,12 +152,12 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
-        """Work out one step of the determinised transducer and keep it: the next state, and the last
-        token of the encoding up to and with this byte."""
+    def _step(self, live: tuple, byte: int) -> tuple[_State, int]:
+        """Work out one step of the determinised transducer: the next state, and the last token of the
+        encoding up to and with this byte."""
         go, ends, inner, fits = self.go.get, self.ends, self.inner, self.fits
         moved, whole = [], -1
-        for node, last in self.live[state]:
+        for node, last in live:
             nxt = go(node << 8 | byte)
             if nxt is None:
                 continue
@@ -153,14 +176,7 @@ class Transducer:
         if whole < 0:
             raise ValueError("the ranks lack a single byte")
         moved.append((0, whole))
-        key = tuple(moved)
-        number = self.states.get(key)
-        if number is None:
-            number = self.states[key] = len(self.live)
-            self.live.append(key)
-            self.steps.append({})
-        self.steps[state][byte] = found = (number, whole)
-        return found
+        return self._state(tuple(moved)), whole
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pre-token; a pre-token that is a token itself is that token."""
@@ -169,21 +185,14 @@ class Transducer:
             return [whole]
         out: list[int] = []
         last: list[int] = []  # last token of the encoding up to each byte not settled yet
-        state = 0
-        for byte in piece:
-            step = self.steps[state].get(byte)
-            if step is None:
-                if len(self.live) >= STATES:
-                    here = self.live[state]
-                    self.reset()
-                    if here not in self.states:
-                        self.states[here] = len(self.live)
-                        self.live.append(here)
-                        self.steps.append({})
-                    state = self.states[here]
-                step = self._step(state, byte)
-            state, token = step
-            last.append(token)
+        state, at = self.start, 0
+        while at < len(piece):
+            upto = at + max(1, LOOKAHEAD - len(last))
+            add = last.append
+            for byte in piece[at:upto]:
+                state, token = state[byte]
+                add(token)
+            at = upto
             if len(last) >= LOOKAHEAD:
                 last = self._settle(state, last, out)
         return out + self._back(last, len(last))
@@ -196,10 +205,10 @@ class Transducer:
         out.reverse()
         return out
 
-    def _settle(self, state: int, last: list[int], out: list[int]) -> list[int]:
+    def _settle(self, state: _State, last: list[int], out: list[int]) -> list[int]:
         """Emit the tokens that all live hypotheses share; what is left is not settled."""
         shared: set[int] | None = None
-        for node, _ in self.live[state]:
+        for node, _ in state.live:
             at = len(last) - self.depth[node]
             cuts = set()
             while at > 0:
@@ -218,11 +227,11 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.tokens = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.memo = _Memo(self)
+        self.memo = _Memo(self.word)
+        self.known = _Memo(lambda piece: tuple(self.transducer.encode(piece.encode("utf-8", "replace"))))
 
     def pieces(self, text: str) -> list[int]:
-        enc = self.transducer.encode
-        return [i for p in self.find(text) for i in enc(p.encode("utf-8", "replace"))]
+        return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
     def encode(self, text: str) -> list[int]:
         """Ids of ``text``.
@@ -259,14 +268,17 @@ class Codec:
 
 
 class _Memo(dict):
-    def __init__(self, codec: Codec) -> None:
-        self.codec = codec
-
-    def __missing__(self, word: str):
-        ids = self.codec.word(word)
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[word] = ids
+    """What ``make`` gives for short strings; emptied when full, so its memory is bounded."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...] | None]) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> tuple[int, ...] | None:
+        ids = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[key] = ids
         return ids
 
 
