@@ -92,6 +92,21 @@ def test_bpe_against_tiktoken(spark, documents):
         assert codec.encode(text) == enc.encode_ordinary(text)
 
 
+def test_bpe_starts_its_tables_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 500)
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 20)
+    ranks = bpe.load_ranks(BYTES)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        text = "".join(rng.choice(list("abcdeéßx   "), rng.integers(1, 3000)))
+        assert codec.encode(text) == enc.encode_ordinary(text)
+        assert len(codec.transducer.states) <= 500 and len(codec.memo) <= 20 and len(codec.known) <= 20
+    codec.encode("a" * 5000)
+    assert max(map(len, codec.known)) <= bpe.MEMO_CHARS
+
+
 def brute_simhash(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
     shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] * bool(w)
