@@ -6,9 +6,11 @@ probability from a logistic model over its words; a document's is their noisy-or
 document labels through the noisy-or, so it learns which sentences carry a label, and then locates the
 offending sentences of any document.
 
-A sentence ends at . ! ? or a line break, or after ``LONGEST`` words. Its features are hashes of its
-words (A-Z lower-cased) and of their first 4, 5 and 6 bytes. Only features that are in significantly more
-toxic than clean training documents (``LEAST_Z`` standard errors of the log odds) get a weight, so
+A sentence ends at . ! ? or a line break, or after ``LONGEST`` words. Its features are its
+words (A-Z lower-cased) and their first 4, 5 and 6 bytes, as exact strings: a word never seen in training
+shares a feature with a seen one only if it begins alike. Only features that are in significantly more
+toxic than clean training documents get a weight: those that an exact test (hypergeometric, one-sided) finds
+with at most ``FALSE_SHARE`` false discoveries among all features tried (Benjamini-Hochberg), so
 words of a few documents are not learnt by heart; a sentence without any has probability 0, so a long
 document isn't toxic by its length. The model is fitted on a bounded sample of the labelled rows:
 per class, the ``per_class`` documents of least id hash. The sample is chosen among ids before any
@@ -17,7 +19,6 @@ text is read; its rows are found by a broadcast semi-join (its size is the bound
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,16 +29,14 @@ from pyspark.sql import functions as F
 
 from snapforge.llm.common import quoted, text_docs
 
-BITS = 18
 LONGEST = 50
 #: Bound of the training sample: documents of each class, and bytes of one of them.
 PER_CLASS = 3000
 SAMPLE_BYTES = 200_000
 MEMO_ENTRIES = 500_000
-#: How significant a feature must be, and the least number of toxic documents with it.
-LEAST_Z, LEAST_DOCS = 3.0, 4
+#: Expected share of chance picks among the chosen features, and the least number of toxic documents with one.
+FALSE_SHARE, LEAST_DOCS = 0.01, 4
 
-_MASK = (1 << BITS) - 1
 _MARKS = b",;:\"'()[]{}<>|/\\*_-~`"
 _TABLE = bytes.maketrans(
     b".!?" + _MARKS + bytes(range(65, 91)), b"\n\n\n" + b" " * len(_MARKS) + bytes(range(97, 123))
@@ -65,28 +64,14 @@ def sentences(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
         at += len(line) + 1
 
 
-def features_of(word: bytes) -> tuple[int, ...]:
-    out = {zlib.crc32(word) & _MASK}
-    for n in (4, 5, 6):
-        if len(word) > n:
-            out.add(zlib.crc32(word[:n] + b"\0") & _MASK)
-    return tuple(out)
-
-
-class _Features(dict):
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[word] = f = features_of(word)
-        return f
-
-
-_features = _Features()
+def features_of(word: bytes) -> tuple[bytes, ...]:
+    """The word, and its beginnings with a blank, which no word has."""
+    return (word, *(word[:n] + b" " for n in (4, 5, 6) if len(word) > n))
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float64, one per feature hash
+    weights: dict[bytes, float]  # of the chosen features
     bias: float
 
 
@@ -115,45 +100,91 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class:
 def _sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int) -> list:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats, sizes = [], []
+            cols: list[list] = [[], [], []]
             for t in batch.column(0):
-                bag, ends = [], []
+                known: dict[bytes, int] = {}  # the document's words, by first place
+                at, ends = [], []
                 for _, _, words in sentences(t.as_buffer().to_pybytes()):
-                    own = sorted({f for w in words for f in _features[w]})
-                    bag += own
+                    own = {known.setdefault(w, len(known)) for w in words}
+                    at += sorted(own)
                     ends.append(len(own))
-                feats.append(np.array(bag, dtype=np.int32).tobytes())
-                sizes.append(np.array(ends, dtype=np.int32).tobytes())
+                cols[0].append(b" ".join(known))
+                cols[1].append(np.array(at, dtype=np.int32).tobytes())
+                cols[2].append(np.array(ends, dtype=np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(feats, pa.binary()), pa.array(sizes, pa.binary())], names=["y", "f", "s"]
+                [batch.column(1), *(pa.array(c, pa.binary()) for c in cols)], names=["y", "words", "at", "sizes"]
             )
 
     rows = training_rows(docs, labels, label_col, per_class, SAMPLE_BYTES)
-    found = rows.select("text", "y").mapInArrow(each, "y int, f binary, s binary").collect()  # the bounded sample
-    return sorted((r["y"], bytes(r["f"]), bytes(r["s"])) for r in found)
+    found = rows.select("text", "y").mapInArrow(each, "y int, words binary, at binary, sizes binary").collect()  # the bounded sample
+    return sorted((r["y"], bytes(r["words"]), bytes(r["at"]), bytes(r["sizes"])) for r in found)
+
+
+def chances(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """For each feature the chance of at least so many toxic documents with it, were they drawn at random.
+
+    1 if its share of the toxic documents isn't above that of the clean ones.
+    """
+    log = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n_toxic + n_clean + 1)))))
+
+    def pick(n: int, k: np.ndarray) -> np.ndarray:
+        return log[n] - log[k] - log[n - k]
+
+    pairs, which = np.unique(np.stack([toxic, clean]), axis=1, return_inverse=True)
+    a, c = pairs.astype(np.int64)
+    out = np.ones(len(a))
+    some = np.flatnonzero(a * n_clean > c * n_toxic)
+    x, n = a[some], a[some] + c[some]
+    term = np.exp(pick(n_toxic, x) + pick(n_clean, n - x) - pick(n_toxic + n_clean, n))
+    total = term.copy()
+    while (term > 1e-9 * total).any():  # above the mean each term is less than the one before
+        term = term * np.maximum(n_toxic - x, 0) * np.maximum(n - x, 0) / ((x + 1.0) * np.maximum(n_clean - n + x + 1, 1))
+        total += term
+        x = x + 1
+    out[some] = np.minimum(total, 1)
+    return out[which.reshape(-1)]
+
+
+def significant(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which features are found in significantly more toxic documents, given how many were tried."""
+    p = chances(toxic, clean, n_toxic, n_clean)
+    ranked = np.sort(p)
+    passed = np.flatnonzero(ranked <= FALSE_SHARE * np.arange(1, len(p) + 1) / max(1, len(p)))
+    return (p <= (ranked[passed[-1]] if len(passed) else -1.0)) & (toxic >= LEAST_DOCS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, steps: int = 120) -> Model:
     """The sentence model; no labelled row of either class gives one that scores everything alike."""
-    rows = [r for r in _sample(docs, labels, label_col, per_class) if r[2]]
+    rows = [r for r in _sample(docs, labels, label_col, per_class) if r[3]]
     y = np.array([r[0] for r in rows], dtype=np.float64)
-    weights = np.zeros(_MASK + 1)
     if not len(rows) or y.min() == y.max():
-        return Model(weights, -12.0 if not len(rows) or y.max() == 0 else 0.0)
-    toxic, clean = (np.full(_MASK + 1, 0.5) for _ in range(2))
-    for label, bag, _ in rows:  # a feature counts once in a document
-        (toxic if label else clean)[np.unique(np.frombuffer(bag, np.int32))] += 1
+        return Model({}, -12.0 if not len(rows) or y.max() == 0 else 0.0)
+    numbers: dict[bytes, int] = {}
+    words = [np.array([numbers.setdefault(w, len(numbers)) for w in r[1].split(b" ")], dtype=np.int32) for r in rows]
+    names: dict[bytes, int] = {}
+    features = np.array(  # of each word; one with fewer than four has its first again
+        [(f + f[:1] * 3)[:4] for f in (tuple(names.setdefault(x, len(names)) for x in features_of(w)) for w in numbers)],
+        dtype=np.int32,
+    )
+    toxic, clean = (np.zeros(len(names), dtype=np.int64) for _ in range(2))
+    for label, own in zip(y, words, strict=True):  # a feature counts once in a document
+        (toxic if label else clean)[np.unique(features[own])] += 1
+    chosen = significant(toxic, clean, int(y.sum()), int((1 - y).sum()))
+    toxic, clean = toxic + 0.5, clean + 0.5
     odds = np.log(toxic / (y.sum() + 1 - toxic)) - np.log(clean / ((1 - y).sum() + 1 - clean))
-    chosen = (odds / np.sqrt(1 / toxic + 1 / clean) >= LEAST_Z) & (toxic > LEAST_DOCS)
     used = np.flatnonzero(chosen)
     if not len(used):
-        return Model(weights, -12.0)
+        return Model({}, -12.0)
+    telling = chosen[features].any(axis=1)  # words that have a chosen feature
     feat, per, doc = [], [], []  # of the sentences that have a chosen feature
-    for i, (_, bag, sizes) in enumerate(rows):
-        bag, sizes = np.frombuffer(bag, np.int32), np.frombuffer(sizes, np.int32)
-        known = chosen[bag]
-        n = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
-        feat.append(bag[known])
+    for i, (_, _, at, sizes) in enumerate(rows):
+        word, sizes = words[i][np.frombuffer(at, np.int32)], np.frombuffer(sizes, np.int32)
+        known = telling[word]
+        # (sentence, feature), each once
+        pair = np.repeat(np.arange(len(sizes)), sizes)[known, None] * len(names) + features[word[known]]
+        pair = np.unique(pair[chosen[features[word[known]]]])
+        n = np.bincount(pair // len(names), minlength=len(sizes))
+        feat.append(pair % len(names))
         per.append(n[n > 0])
         doc.append(np.full((n > 0).sum(), i))
     at, per, doc = np.searchsorted(used, np.concatenate(feat)), np.concatenate(per), np.concatenate(doc)
@@ -174,8 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
         seen_b += gb * gb
         w -= 0.5 * gw / np.sqrt(seen)
         bias -= 0.2 * gb / np.sqrt(seen_b)
-    weights[used] = w
-    return Model(weights, float(bias))
+    of = list(names)
+    return Model({of[f]: float(x) for f, x in zip(used.tolist(), w, strict=True)}, float(bias))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -184,7 +215,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     ``offending`` has (first byte, byte after the last, score) of the sentences with a score of 0.5 or more, and
     of the worst one if the document's score is 0.5 or more and no sentence has that by itself.
     """
-    weights, bias = model.weights.astype(np.float32), model.bias
+    weights, bias = model.weights, model.bias
     schema = "doc_id long, score double, sentences long, offending array<struct<first:long,last:long,score:double>>"
     spot = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
@@ -196,7 +227,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             if found is None:
                 if len(known) >= MEMO_ENTRIES:
                     known.clear()
-                found = known[word] = tuple((f, float(weights[f])) for f in features_of(word) if weights[f])
+                found = known[word] = tuple((f, weights[f]) for f in features_of(word) if f in weights)
             return found
 
         for batch in batches:
@@ -243,7 +274,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``docs``, all its columns, without the documents scored 0.5 or more; scored where they are read."""
     model = fit(docs, labels, "toxic", per_class)
-    weights, bias = model.weights.astype(np.float32), model.bias
+    weights, bias = model.weights, model.bias
 
     @F.pandas_udf("boolean")
     def clean(texts):
@@ -258,7 +289,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
                 for word in words:
                     found = known.get(word)
                     if found is None:
-                        found = known[word] = {f: float(weights[f]) for f in features_of(word) if weights[f]}
+                        found = known[word] = {f: weights[f] for f in features_of(word) if f in weights}
                     own.update(found)
                 if own:
                     z = min(30.0, max(-30.0, sum(own.values()) + bias))

@@ -263,6 +263,28 @@ def test_toxic_sentences_are_located(spark):
         assert all("scumbag" in text[s["first"] : s["last"]] for s in r["offending"]) and len(r["offending"]) == r["predicted"]
 
 
+def test_unseen_words_share_no_feature(spark):
+    slot = zlib.crc32(b"scumbag") % 2**18
+    alike = next(w for w in (f"q{i}" for i in range(10**8)) if zlib.crc32(w.encode()) % 2**18 == slot)
+    texts = [f"we walk {i}. {'you scumbag' if i >= 40 else 'the dog'}." for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    unseen = spark.createDataFrame([(1, alike), (2, f"{alike}. " * 500), (3, "scumbag")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(unseen, model).collect()}
+    assert score[1] == score[2] == 0 and score[3] >= 0.5
+
+
+def test_chance_words_are_not_chosen():
+    rng = np.random.default_rng(1)
+    toxic, clean = rng.binomial(1000, 0.02, (2, 100_000))
+    toxic[:10], clean[:10] = 200, 3
+    chosen = toxicity.significant(toxic, clean, 1000, 1000)
+    assert chosen[:10].all() and chosen.sum() <= 11
+    p = toxicity.chances(np.array([3, 0, 4]), np.array([1, 2, 0]), 5, 4)
+    assert np.allclose(p, [(10 * 4 + 5) / 126, 1, 5 / 126])
+
+
 def test_awkward_rows(spark, awkward):
     n = awkward.count()
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 1), (5, None, None), (5, 0, 1), (5, 0, 1)], "doc_id long, quality int, toxic int")
