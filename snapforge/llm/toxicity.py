@@ -10,8 +10,9 @@ A sentence ends at . ! ? or a line break, or after ``LONGEST`` words. Its featur
 words (A-Z lower-cased) and their first 4, 5 and 6 bytes, as exact strings: a word never seen in training
 shares a feature with a seen one only if it begins alike. Only features that are in significantly more
 toxic than clean training documents get a weight: those that an exact test (hypergeometric, one-sided) finds
-with at most ``FALSE_SHARE`` false discoveries among all features tried (Benjamini-Hochberg), so
-words of a few documents are not learnt by heart; a sentence without any has probability 0, so a long
+with at most ``FALSE_SHARE`` false discoveries expected (Benjamini-Hochberg; a feature in so few documents that it
+could not reach the level cannot be a false one, so the many rare words don't hide a rare toxic one);
+words of a few documents are not learnt by heart, and a sentence without any has probability 0, so a long
 document isn't toxic by its length. The model is fitted on a bounded sample of the labelled rows:
 per class, the ``per_class`` documents of least id hash. The sample is chosen among ids before any
 text is read; its rows are found by a broadcast semi-join (its size is the bound). Everything else covers all rows.
@@ -146,10 +147,13 @@ def chances(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) ->
 
 
 def significant(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Which features are found in significantly more toxic documents, given how many were tried."""
+    """Which features are found in significantly more toxic documents, given how many could be by chance."""
     p = chances(toxic, clean, n_toxic, n_clean)
+    most = np.minimum(toxic + clean, n_toxic)
+    least = np.sort(chances(most, toxic + clean - most, n_toxic, n_clean))  # the least chance each could have
     ranked = np.sort(p)
-    passed = np.flatnonzero(ranked <= FALSE_SHARE * np.arange(1, len(p) + 1) / max(1, len(p)))
+    could = np.searchsorted(least, ranked * (1 + 1e-9), side="right")
+    passed = np.flatnonzero(ranked * could <= FALSE_SHARE * np.arange(1, len(p) + 1))
     return (p <= (ranked[passed[-1]] if len(passed) else -1.0)) & (toxic >= LEAST_DOCS)
 
 

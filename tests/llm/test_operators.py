@@ -285,6 +285,14 @@ def test_chance_words_are_not_chosen():
     assert np.allclose(p, [(10 * 4 + 5) / 126, 1, 5 / 126])
 
 
+def test_rare_toxic_words_are_chosen():
+    toxic, clean = np.full(150_000, 1), np.full(150_000, 1)  # a long tail
+    toxic[:2000] = clean[:2000] = 300
+    toxic[:60], clean[:60] = 15, 0
+    chosen = toxicity.significant(toxic, clean, 3000, 3000)
+    assert chosen[:60].all() and not chosen[60:].any()
+
+
 def test_awkward_rows(spark, awkward):
     n = awkward.count()
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 1), (5, None, None), (5, 0, 1), (5, 0, 1)], "doc_id long, quality int, toxic int")
