@@ -14,7 +14,7 @@ with at most ``FALSE_SHARE`` false discoveries expected (Benjamini-Hochberg; a f
 could not reach the level cannot be a false one, so the many rare words don't hide a rare toxic one);
 words of a few documents are not learnt by heart, and a sentence without any has probability 0, so a long
 document isn't toxic by its length. The model is fitted on a bounded sample of the labelled rows:
-per class, the ``per_class`` documents of least id hash. The sample is chosen among ids before any
+per class, the ``per_class`` documents of least id hash, one row of each. The sample is chosen among ids before any
 text is read; its rows are found by a broadcast semi-join (its size is the bound). Everything else covers all rows.
 """
 
@@ -82,7 +82,10 @@ def held_out(doc_id) -> "F.Column":
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, sample_bytes: int) -> DataFrame:
-    """doc_id, text, y of the bounded training sample; rows without an id or a label are passed over."""
+    """doc_id, text, y of the bounded training sample; rows without an id or a label are passed over.
+
+    Of rows that share an id, the one whose text hashes least is taken.
+    """
     marked = (
         labels.select(quoted("doc_id").cast("long").alias("doc_id"), quoted(label_col).cast("int").alias("y"))
         .where("doc_id is not null and y in (0, 1)")
@@ -95,7 +98,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class:
         some = marked.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     rows = text_docs(docs).where(F.octet_length("text") <= sample_bytes)
-    return rows.join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))  # aggregated before the shuffle
+    return rows.groupBy("doc_id", "y").agg(one.alias("r")).select("doc_id", "r.text", "y")
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int) -> list:

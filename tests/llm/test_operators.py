@@ -293,6 +293,14 @@ def test_rare_toxic_words_are_chosen():
     assert chosen[:60].all() and not chosen[60:].any()
 
 
+def test_training_sample_has_one_row_per_id(spark):
+    rows = [(1, f"row {i}") for i in range(300)] + [(i, "text") for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
+    sample = toxicity.training_rows(df, labels, "toxic", 20, 1000).collect()
+    assert len(sample) == len({r["doc_id"] for r in sample}) and 1 in {r["doc_id"] for r in sample}
+
+
 def test_awkward_rows(spark, awkward):
     n = awkward.count()
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 1), (5, None, None), (5, 0, 1), (5, 0, 1)], "doc_id long, quality int, toxic int")
