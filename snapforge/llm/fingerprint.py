@@ -5,7 +5,8 @@ entropies (in bins) of all windows of all documents are counted, and the rarer a
 rank. Among each ``SPAN`` consecutive windows the one of least rank (the first on ties) gets a
 point; windows with ``POINTS`` or more are the selected features. They are inserted, in order, into Bloom
 filters of ``FILTER`` bytes with ``HASHES`` bits each, at most ``PER_FILTER`` features in one; the next
-features open the next filter. A text of under ``WIDTH`` bytes is one feature itself.
+features open the next filter. Windows and spans are short, for texts of any size, so that an edited copy of a
+text of a line still shares some. A text of under ``WIDTH`` bytes is one feature itself.
 
 Two digests are compared filter by filter: the bits two filters share, less what chance gives,
 over the most they could share; each filter of the shorter digest takes its best match, and the
@@ -20,6 +21,7 @@ is shuffled once. Rows with one id are ordered by text.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 
 from snapforge.llm.common import runs, shuffle_partitions, text_docs
 
-WIDTH = 64
+WIDTH = 8
 BINS = 512
-SPAN = 64
-POINTS = 16
+SPAN = 8
+POINTS = 2
 FILTER = 256
 HASHES = 5
 PER_FILTER = 160
@@ -49,27 +51,33 @@ CUT = 0.3
 SPLIT = 8
 
 _SCALE = 1 << 20
-_BITS = np.log2(np.arange(1, WIDTH + 1))
-_WEIGHT = np.concatenate(([0], np.rint(np.arange(1, WIDTH + 1) * _BITS * _SCALE).astype(np.int64)))
-_DELTA = np.concatenate(([0], np.diff(_WEIGHT)))  # what the c-th occurrence adds to the sum of c * log2(c)
 
 
-def entropy_bins(x: np.ndarray) -> np.ndarray:
+@functools.lru_cache(maxsize=4)
+def _weights(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """c * log2(c) of each count c, and what the c-th occurrence adds to it."""
+    c = np.arange(1, width + 1)
+    weight = np.concatenate(([0], np.rint(c * np.log2(c) * _SCALE).astype(np.int64)))
+    return weight, np.concatenate(([0], np.diff(weight)))
+
+
+def entropy_bins(x: np.ndarray, width: int = 64) -> np.ndarray:
     """Bin of the byte entropy of each window of ``x`` (uint8); exact integers, so blocks don't matter."""
-    n = len(x) - WIDTH + 1
+    n = len(x) - width + 1
+    weight, delta = _weights(width)
     if n < 1:
         return np.zeros(0, dtype=np.int64)
     ahead = np.ones(len(x), dtype=np.uint8)  # occurrences of x[i] in the window that begins at i
     behind = np.ones(len(x), dtype=np.uint8)  # ... and in the window that ends at i
-    for k in range(1, WIDTH):
+    for k in range(1, width):
         same = (x[:-k] == x[k:]).view(np.uint8)
         ahead[:-k] += same
         behind[k:] += same
     total = np.empty(n, dtype=np.int64)
-    total[0] = _WEIGHT[np.bincount(x[:WIDTH], minlength=1)].sum()
-    np.cumsum(_DELTA[behind[WIDTH:]] - _DELTA[ahead[: n - 1]], out=total[1:])
+    total[0] = weight[np.bincount(x[:width], minlength=1)].sum()
+    np.cumsum(delta[behind[width:]] - delta[ahead[: n - 1]], out=total[1:])
     total[1:] += total[0]
-    most = _WEIGHT[WIDTH]  # one byte only: entropy 0
+    most = weight[width]  # one byte only: entropy 0
     return np.minimum((most - total) * BINS // most, BINS - 1)
 
 
@@ -88,7 +96,7 @@ def _selected(x: np.ndarray, rank: np.ndarray, begin: int = 0) -> np.ndarray:
     out = [np.zeros(0, dtype=np.int64)]
     for at in range(begin, n, BLOCK):
         lo, hi = max(0, at - SPAN + 1), min(n, at + BLOCK + SPAN - 1)
-        r = rank[entropy_bins(x[lo : hi + WIDTH - 1])]
+        r = rank[entropy_bins(x[lo : hi + WIDTH - 1], WIDTH)]
         least = (r << 32) | np.arange(len(r))
         width = 1
         while width < min(SPAN, len(r)):
@@ -125,7 +133,7 @@ def _together(texts: list[bytes], usual: list[tuple[int, int, int]], rank: np.nd
     parts = [texts[i][lo:] for i, lo, _ in usual]
     x = np.frombuffer(b"".join(parts), dtype=np.uint8)
     ends = np.cumsum([len(p) for p in parts])
-    r = rank[entropy_bins(x)]
+    r = rank[entropy_bins(x, WIDTH)]
     least = (r << 32) | np.arange(len(r))
     width = 1
     while width < SPAN:
@@ -228,7 +236,7 @@ def entropy_histogram(docs: DataFrame) -> np.ndarray:
                 for end in np.cumsum([len(t) for t in some]).tolist():
                     whole[max(0, end - WIDTH + 1) : end] = False
                 for at in range(0, len(x) - WIDTH + 1, BLOCK):
-                    bins = entropy_bins(x[at : at + BLOCK + WIDTH - 1])
+                    bins = entropy_bins(x[at : at + BLOCK + WIDTH - 1], WIDTH)
                     total += np.bincount(bins[whole[at : at + len(bins)]], minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(range(BINS), pa.int32()), pa.array(total)], names=["bin", "n"])
 

@@ -210,6 +210,17 @@ def test_fingerprints(spark, documents):
     assert sum(near) >= 0.97 * len(near)
 
 
+def test_short_texts_are_like_their_edited_copies(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    rank = fingerprint.ranks_of(fingerprint.entropy_histogram(docs))
+    long = [r["text"].encode() for r in docs.where("lang is not null and n_chars > 1000").orderBy("doc_id").limit(200).collect()]
+    for size in (32, 50, 64, 100, 142, 200, 299):
+        a, other = ([t[at : at + size] for t in long] for at in (0, 500))
+        edited = [x[: size - size // 4] + y[: size // 4] for x, y in zip(a, other, strict=True)]
+        near = [fingerprint.likeness(d, e) for (d, _), (e, _) in zip(fingerprint.digests(a, rank), fingerprint.digests(edited, rank), strict=True)]
+        assert sum(x > 0 for x in near) >= 0.95 * len(near) and np.mean(near) > 0.5
+
+
 def test_entropy_bins_against_counting():
     x = np.frombuffer(np.random.default_rng(0).integers(97, 110, 500, dtype=np.uint8).tobytes() + b"aaaa" * 40, np.uint8)
     for i, got in enumerate(fingerprint.entropy_bins(x).tolist()):
