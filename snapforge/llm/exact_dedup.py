@@ -45,7 +45,8 @@ def heavy_groups(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     ``rows`` (digest, doc_id) is read twice. The summary may name a digest that is not frequent,
     but never misses one that is; either way size and winner are exact.
     """
-    named = rows.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
+    text = rows.select(F.hex("digest").alias("digest"))  # freqItems tells byte arrays apart by identity, strings by value
+    named = text.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest")).select(F.unhex("digest").alias("digest"))
     return (
         rows.join(F.broadcast(named), "digest", "left_semi")
         .groupBy("digest")

@@ -312,6 +312,14 @@ def test_training_sample_has_one_row_per_id(spark):
     assert len(sample) == len({r["doc_id"] for r in sample}) and 1 in {r["doc_id"] for r in sample}
 
 
+@pytest.mark.parametrize("n", [3_000, 20_000, 200_200])
+def test_heavy_groups_name_a_hot_digest(spark, n):
+    rows = spark.range(0, n, 1, 4).selectExpr("id as doc_id", "unhex(sha2(string(if(id % 3 = 0, 0, id)), 256)) as digest")
+    found = {bytes(r["digest"]): r for r in exact_dedup.heavy_groups(rows).collect()}
+    hot = found[hashlib.sha256(b"0").digest()]
+    assert hot["group_size"] == -(-n // 3) and hot["keep_id"] == (n - 1) // 3 * 3 and len(found) <= 1000
+
+
 def test_awkward_rows(spark, awkward):
     n = awkward.count()
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 1), (5, None, None), (5, 0, 1), (5, 0, 1)], "doc_id long, quality int, toxic int")
