@@ -4,8 +4,11 @@ Every rolling ``K``-gram of words of every document is hashed and joined, in Spa
 of the same hashes in the templates (a small fixed table, broadcast). A match at word ``p`` of a
 document and word ``t`` of a template votes for the diagonal ``p - t``. Votes are summed per document,
 template and diagonal; diagonals at most ``SLIP`` apart (words were put in or left out) are merged;
-and a span is verified: its matched k-grams must cover at least ``COVER`` of the template's words, in
-a span not longer than ``STRETCH`` times the template. Its score is the share covered.
+and a span is verified: its score is the template's words that matched k-grams cover, over the template's words
+and the words that stand in the span beside them. It must be at least ``COVER``, and 1 for templates of at most
+``SHORT`` words, where each word tells; the span is not longer than ``STRETCH`` times the template. A span more
+than half in one of another label with a better score (or as good, and more words) is not reported: a licence whose
+name holds another's.
 
 Words are runs of 0-9, a-z and non-ASCII characters of the text with A-Z lower-cased. Beside the
 method's labels there are base labels: a phrase's words standing consecutively. A null text
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapforge.llm.common import WordTable, runs, text_docs, window_hashes
@@ -28,6 +31,7 @@ K = 3
 SLIP = 3
 COVER = 0.8
 STRETCH = 1.5
+SHORT = 8
 
 #: The phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -47,7 +51,36 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
-]
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("mit", "Licensed under the MIT License"),
+    ("bsd", "Licensed under the BSD License"),
+    ("gpl", "Licensed under the GNU General Public License"),
+    ("lgpl", "Licensed under the GNU Lesser General Public License"),
+    ("agpl", "Licensed under the GNU Affero General Public License"),
+    ("mpl", "Licensed under the Mozilla Public License"),
+    *((label, f"SPDX-License-Identifier: {name}") for label, name in [
+        ("mit", "MIT"), ("apache", "Apache-2.0"), ("gpl", "GPL"), ("lgpl", "LGPL"), ("agpl", "AGPL"), ("mpl", "MPL"), ("isc", "ISC"),
+        ("bsd", "BSD"), ("epl", "EPL"), ("unlicense", "Unlicense"), ("cc0", "CC0"),
+    ]),
+    # of any version
+    *(
+        (f"cc-{kind}", f"{start} {kind}")
+        for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+        for start in ("Licensed under CC", "SPDX-License-Identifier: CC")
+    ),
+    *(
+        (label, notice.format(rest))
+        for notice in ("under a Creative Commons Attribution{}", "This work is licensed under a Creative Commons Attribution{} 4.0 International License")
+        for label, rest in [
+            ("cc-by", ""), ("cc-by-sa", "-ShareAlike"), ("cc-by-sa", " Share Alike"), ("cc-by-nc", "-NonCommercial"), ("cc-by-nc", "-Non-Commercial"),
+            ("cc-by-nd", "-NoDerivatives"), ("cc-by-nd", "-NoDerivs"), ("cc-by-nc-sa", "-NonCommercial-ShareAlike"),
+            ("cc-by-nc-sa", "-Non-Commercial-Share-Alike"), ("cc-by-nc-nd", "-NonCommercial-NoDerivatives"), ("cc-by-nc-nd", "-NonCommercial-NoDerivs"),
+        ]
+    ),
+]
 
 _SEPARATORS = bytes(c for c in range(0x80) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _TABLE = bytes.maketrans(
@@ -147,6 +180,7 @@ def spans(grams: DataFrame, templates: list[tuple[str, str]], k: int = K) -> Dat
         .groupBy("key", "template", "label", "size", (F.col("p") - F.col("t")).alias("diagonal"))
         .agg(
             F.collect_set("t").alias("ts"),  # no more than the template has words
+            F.collect_set("p").alias("ps"),  # as many
             F.min("p").alias("first"),
             F.max("p").alias("last"),
         )
@@ -158,14 +192,34 @@ def spans(grams: DataFrame, templates: list[tuple[str, str]], k: int = K) -> Dat
         .groupBy("key", "template", "label", "size", "run")
         .agg(
             F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"),
+            F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps"),
             F.min("first").alias("first_word"),
             (F.max("last") + k - 1).alias("last_word"),
         )
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + k - 1)))))
+
+    def covered(places: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda t: F.sequence(t, t + k - 1)))))
+
+    length = F.col("last_word") - F.col("first_word") + 1
+    verified = (
+        merged.where(length <= STRETCH * F.col("size"))
+        .withColumn("score", covered("ts") / (F.col("size") + length - covered("ps")))
+        .where(F.col("score") >= F.when(F.col("size") <= SHORT, 1.0).otherwise(COVER))
+    )
+    # spans are no longer than this, so few begin near one
+    reach = int(STRETCH * max(len(words_of(n.encode())) for _, n in templates)) + 1
+    near = Window.partitionBy("key").orderBy("first_word").rangeBetween(-reach, reach)
+    span = F.struct("label", "first_word", "last_word", F.struct(F.col("score"), covered("ts").alias("words")).alias("worth"))
+
+    def beats(b: Column) -> Column:
+        common = F.least(b["last_word"], F.col("last_word")) - F.greatest(b["first_word"], F.col("first_word")) + 1
+        return (b["label"] != F.col("label")) & (b["worth"] > F.col("span")["worth"]) & (2 * common > length)
+
     return (
-        merged.withColumn("score", covered / F.col("size"))
-        .where((F.col("score") >= COVER) & (F.col("last_word") - F.col("first_word") < STRETCH * F.col("size")))
+        verified.withColumn("span", span)
+        .withColumn("others", F.collect_set("span").over(near))
+        .where(~F.exists("others", beats))
         .select("key", "label", "template", "first_word", "last_word", "score")
     )
 

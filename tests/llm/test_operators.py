@@ -255,6 +255,20 @@ def test_license_labels(spark):
     assert got[3]["score"] == 1 and got[5]["score"] == 0
 
 
+def test_words_that_change_the_license(spark):
+    want = {
+        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa", "Licensed under CC BY-NC 3.0": "cc-by-nc", "Licensed under CC BY 4.0.": "cc-by",
+        "licensed under CC BY-ND 4.0": "cc-by-nd", "Licensed under CC BY-SA 4.0": "cc-by-sa", "licensed under CC XX SA 4.0": "",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "SPDX-License-Identifier: MPL-2.0": "mpl", "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Redistribution and use in source and binary forms, with or without any modification, are permitted": "bsd",
+        "Redistribution is not and use in source never and binary forms, with or without the least modification, are permitted": "",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_labels(df).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_classifiers_on_held_out_rows(spark):
     labels = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     for query, label, least in ((queries.op2_toxicity, "toxic", 0.95), (queries.op3_quality, "quality", 0.97)):
