@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm import bpe, exact_dedup, fingerprint, license_scan, packing, quality, sharding, simhash, substring_dedup, toxicity
+from snapforge.llm import bpe, decontaminate, exact_dedup, fingerprint, license_scan, packing, quality, sharding, simhash, substring_dedup, toxicity
 from snapforge.llm.common import ship_package
 
 WORD_BPE = "word_bpe_49k.json"
@@ -70,10 +70,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+    return found.drop("hits", "items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_packing, op2_toxicity, op3_quality, op4_fingerprints, op5_exact_dedup,
         op6_substring_dedup, op7_sharding, op8_license_scan, op9_simhash, op10_bpe,
+        op12_decontaminate,
     )
     return {f.__name__: f for f in ops}
 
@@ -103,6 +109,31 @@ ORACLE_SQL = {
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
             sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op12_decontaminate": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+        sized AS (SELECT item_id, words, least(10, len(words)) AS size FROM b WHERE len(words) > 0),
+        starts AS (SELECT item_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM sized),
+        windows AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(words, i, i + size - 1), ' ') AS w FROM starts),
+        sizes AS (SELECT DISTINCT size FROM windows),
+        places AS (
+            SELECT row, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes WHERE len(words) >= size),
+        seen AS (SELECT row, size, i, array_to_string(list_slice(words, i, i + size - 1), ' ') AS w FROM places),
+        hit AS (SELECT row, i, item_id, seen.size AS size FROM seen JOIN windows USING (size, w)),
+        covered AS (SELECT DISTINCT row, unnest(range(i, i + size)) AS i FROM hit),
+        n AS (SELECT row, count(*) AS n_hit FROM covered GROUP BY row),
+        items AS (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hit),
+        named AS (SELECT row, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM items GROUP BY row)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+            CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (row) LEFT JOIN named USING (row)""",
 }
 
 
