@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm import bpe, decontaminate, exact_dedup, fingerprint, license_scan, packing, quality, sharding, simhash, substring_dedup, toxicity
+from snapforge.llm import bpe, collocations, decontaminate, exact_dedup, fingerprint, license_scan, packing, quality, sharding, simhash, substring_dedup, toxicity, whitening
 from snapforge.llm.common import ship_package
 
 WORD_BPE = "word_bpe_49k.json"
@@ -70,16 +70,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), 100, 5, 2000).drop("words")
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
     return found.drop("hits", "items")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), 8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_packing, op2_toxicity, op3_quality, op4_fingerprints, op5_exact_dedup,
         op6_substring_dedup, op7_sharding, op8_license_scan, op9_simhash, op10_bpe,
-        op12_decontaminate,
+        op11_collocations, op12_decontaminate, op13_whitening,
     )
     return {f.__name__: f for f in ops}
 
@@ -109,6 +117,34 @@ ORACLE_SQL = {
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
             sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_collocations": r"""
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+        g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(list_slice(words, i, i + k - 1), ' '))) AS phrase
+            FROM w, range(1, 6) AS s(k) WHERE len(words) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS words, f AS a FROM f WHERE k > 1 AND f >= 100),
+        cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+        scored AS (
+            SELECT c.lang, c.phrase, c.k, c.a, cut, x.f AS l, y.f AS r, n,
+                (1000 * CAST(a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+            FROM cuts c JOIN n USING (lang)
+            JOIN f x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(list_slice(c.words, 1, cut), ' ')
+            JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(list_slice(c.words, cut + 1, c.k), ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        held AS (
+            SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c g ON s.lang = g.lang AND g.k > s.k AND 100 * g.a >= 100 * s.a
+                AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ')),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM best ANTI JOIN held USING (lang, phrase))
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked WHERE rank <= 2000""",
     "op12_decontaminate": r"""
         WITH d AS (
             SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
