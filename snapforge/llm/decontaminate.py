@@ -246,6 +246,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     if remove not in ("spans", "documents"):
         raise ValueError(f"remove is 'spans' or 'documents', not {remove!r}")
     rows, (_, hits, _) = marked(docs, benchmark, n, text_col)
+    names = docs.columns
     if remove == "documents":
         return rows.where(F.size(quoted(hits)) == 0).select(*map(quoted, docs.columns))
 
@@ -256,9 +257,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
                 None if t is None else without_spans(t.encode(), h).decode() if h else t
                 for t, h in zip(batch.column(at).to_pylist(), batch.column(hits).to_pylist(), strict=True)
             ]
-            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    text_string = [quoted(c).cast("string").alias(c) if c == text_col else quoted(c) for c in docs.columns]
+    text_string = [quoted(c).cast("string").alias(c) if c == text_col else quoted(c) for c in names]
     kept = rows.select(*text_string, quoted(hits))
     return kept.mapInArrow(each, kept.drop(hits).schema)

@@ -64,11 +64,10 @@ def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.nda
 
 def smaller(d: np.ndarray, e: np.ndarray, at: np.ndarray, least: float) -> np.ndarray:
     """Sturm counts: how many eigenvalues of the tridiagonal matrix are below each number."""
-    q = d[0] - at
-    count = (q < 0).astype(np.int64)
-    for i in range(1, len(d)):
+    count, q = np.zeros(len(at), np.int64), 1.0
+    for i in range(len(d)):
+        q = d[i] - at - (e[i - 1] ** 2 / q if i else 0.0)
         q = np.where(np.abs(q) < least, -least, q)
-        q = d[i] - at - e[i - 1] ** 2 / q
         count += q < 0
     return count
 
@@ -155,14 +154,15 @@ def leading_components(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     negative, the one whose greatest entry is positive."""
     if not np.any(matrix):
         return np.zeros(k), np.eye(len(matrix))[:, :k]
-    d, e, reflections = tridiagonal(matrix)
+    scale = 2.0 ** np.floor(np.log2(np.abs(matrix).max()))  # squares neither overflow nor vanish
+    d, e, reflections = tridiagonal(matrix / scale)
     values = leading_eigenvalues(d, e, k)
     z = tridiagonal_vectors(d, e, values)
     for at in range(len(reflections) - 1, -1, -1):
         v = reflections[at]
         z[at + 1 :] -= 2 * np.outer(v, v @ z[at + 1 :])
     z /= np.linalg.norm(z, axis=0)
-    return values, z * np.sign(z[np.abs(z).argmax(axis=0), np.arange(k)])
+    return values * scale, z * np.sign(z[np.abs(z).argmax(axis=0), np.arange(k)])
 
 
 # --- the sums, in Spark ------------------------------------------------------------
