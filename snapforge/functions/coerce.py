@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from snapforge.constants import BOOL_STRICT, BOOL_TRUE_LENIENT
 from snapforge.functions.text import _c, strip
 
-# fixed values: accepted date layouts after '/' has been turned into '-'
-DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy"]
+# fixed values: accepted date layouts after '/' has been turned into '-': year, month, day and day, month, year
+YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}$"
+DAY_FIRST = r"^\d{1,2}-\d{1,2}-\d{4}$"
 # fixed values: the text of a number
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # fixed value: a time of day followed by a zone offset
@@ -26,8 +27,24 @@ INFINITIES = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 def coerce_date(c: Column | str, extra_formats: Iterable[str] = ()) -> Column:
     """P5: year-first then day-first dates, ``-`` or ``/``; blank or impossible dates -> null."""
     text = F.replace(strip(c), F.lit("/"), F.lit("-"))
-    parsed = [F.try_to_date(text, fmt) for fmt in [*DATE_FORMATS, *extra_formats]]
-    return F.when(text == "", F.lit(None).cast("date")).otherwise(F.coalesce(*parsed))
+    # a lambda's argument is computed once, however often it is used
+    known = F.get(F.transform(F.array(text), _date_of), F.lit(0))
+    return F.coalesce(known, *[F.when(text != "", F.try_to_date(text, fmt)) for fmt in extra_formats])
+
+
+def _date_of(text: Column) -> Column:
+    year_first = text.rlike(YEAR_FIRST)
+    parts = F.when(year_first | text.rlike(DAY_FIRST), F.transform(F.split(text, "-"), lambda p: p.cast("int")))
+    return F.get(F.transform(F.array(F.when(year_first, parts).otherwise(F.reverse(parts))), _real_date), F.lit(0))
+
+
+def _real_date(ymd: Column) -> Column:
+    """The date of [year, month, day], null for an impossible one. Checked by arithmetic: a parser's error costs far more than a parse."""
+    year, month, day = (F.get(ymd, F.lit(i)) for i in range(3))
+    days = F.when(month.isin(4, 6, 9, 11), 30).when(month != 2, 31).when(
+        (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)), 29).otherwise(28)
+    real = (year >= 1) & month.between(1, 12) & day.between(F.lit(1), days)
+    return F.when(real, F.make_date(year, month, day))
 
 
 def coerce_int(c: Column | str, dtype: str = "bigint") -> Column:

@@ -23,12 +23,14 @@ from snapforge.constants import (
     MARKER_SINGLE_ADD,
     MARKER_SINGLE_UPDATE,
     UPLOAD_TS_COL,
+    VERSION_AUDIT_COLS,
 )
 from snapforge.functions.text import strip
 from snapforge.functions.types import ddl_class
 from snapforge.operators.audit import stamp_audit
 from snapforge.operators.keys import assign_row_keys
-from snapforge.operators.snapshots import max_key, next_version
+from snapforge.operators.snapshots import drop_empty_marker, latest_snapshot, max_key, next_version
+from snapforge.operators.validation import norm_key as _norm_key
 
 Lit = Column | int | str | None
 
@@ -166,9 +168,17 @@ def publish_bulk(
     user: Lit = None,
     file_name: Lit = None,
     order: Sequence[str] | None = None,
+    keep_keys: Sequence[str] | None = None,
+    snapshot: DataFrame | None = None,
 ) -> DataFrame:
     """A cleaned, valid upload becomes the whole next snapshot: keys 1..n (in file order,
-    or ``order``), all five audit columns, table column order."""
+    or ``order``), all five audit columns, table column order.
+
+    With ``keep_keys`` (D24; the business key's columns) a row keeps the key that the row of the same business key has in ``snapshot`` (by
+    default the newest of ``table``), and only new rows are numbered, from max_key + 1 in the given order. Unchanged rows keep their
+    row-level stamp as well. See ``bulk_diff`` for what counts as the same."""
+    if keep_keys:
+        return _publish_bulk_keeping(upload, columns, table, version, ts, user, file_name, order, keep_keys, snapshot)
     v = version if isinstance(version, Column) else (
         F.lit(version) if version is not None else (next_version(table).scalar() if table is not None else F.lit(1))
     )
@@ -177,6 +187,111 @@ def publish_bulk(
     return _align(stamped, columns)
 
 
+def _user_columns(columns: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    return [(c, t) for c, t in columns if c not in AUDIT_COLS]
+
+
+def _diff(upload: DataFrame, columns: list[tuple[str, str]], snapshot: DataFrame, keys: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """``_new`` (user columns, and ``also``), ``_old`` (the whole row) and ``state`` for each business key of either side.
+
+    The two sides are grouped together by the normalised key, which is a full outer join that takes null for equal to
+    null and needs one shuffle. A key that either side has twice fails the job."""
+    types, user = dict(columns), _user_columns(columns)
+    have = set(upload.columns)
+    nk = [_norm_key(k, ddl_class(types[k])).alias(f"_k{i}") for i, k in enumerate(keys)]
+    one = upload.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in user], *[F.col(f"`{c}`") for c in also])
+    old = drop_empty_marker(snapshot)
+    new_row, old_row = F.struct(*[F.col(f"`{c}`") for c in one.columns]), F.struct(*[F.col(f"`{c}`") for c in old.columns])
+    side_new = one.select(*nk, new_row.alias("_new"))
+    side_old = old.select(*nk, old_row.alias("_old"))
+    both = side_new.withColumn("_old", F.lit(None).cast(side_old.schema["_old"].dataType)).unionByName(
+        side_old.withColumn("_new", F.lit(None).cast(side_new.schema["_new"].dataType))
+    )
+    by = [f"_k{i}" for i in range(len(keys))]
+    met = both.groupBy(*by).agg(
+        F.any_value("_new", True).alias("_new"), F.any_value("_old", True).alias("_old"), F.count("_new").alias("_n"), F.count("_old").alias("_o")
+    )
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
+    same = F.xxhash64(*[F.col(f"_new.`{c}`") for c, _ in user]) == F.xxhash64(*[F.col(f"_old.`{c}`") for c, _ in user])
+    exact = F.struct(*[F.col(f"_new.`{c}`") for c, _ in user]).eqNullSafe(F.struct(*[F.col(f"_old.`{c}`") for c, _ in user]))
+    state = (
+        F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("the upload has a business key twice: "), text)))
+        .when(F.col("_o") > 1, F.raise_error(F.concat(F.lit("the snapshot has a business key twice: "), text)))
+        .when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(same & exact, "unchanged").otherwise("changed")
+    )
+    return met.select(state.alias("state"), "_new", "_old")
+
+
+def bulk_diff(upload: DataFrame, snapshot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a bulk upload does to a snapshot, by business key: state (added, changed, unchanged, removed), the row's ``__KEY`` in the snapshot,
+    and the key's columns (the upload's, or those of a removed row).
+
+    Keys compare as V5 does (numbers as numbers, dates by day, text stripped and case-folded), null parts as equal; a row is
+    unchanged when all user columns of the table are the same, cast to its types. A business key that one side has twice fails."""
+    met = _diff(upload, table_columns(snapshot), snapshot, keys)
+    named = [F.when(F.col("_new").isNotNull(), F.col(f"_new.`{k}`")).otherwise(F.col(f"_old.`{k}`")).alias(k) for k in keys]
+    return met.select("state", F.col(f"_old.{KEY_COL}").alias(KEY_COL), *named)
+
+
+def _publish_bulk_keeping(
+    upload: DataFrame, columns: list[tuple[str, str]], table: DataFrame | None, version: Lit, ts: Lit, user: Lit, file_name: Lit,
+    order: Sequence[str] | None, keys: Sequence[str], snapshot: DataFrame | None,
+) -> DataFrame:
+    if table is None:
+        raise ValueError("keys can be kept only of a table")
+    v, old = _version(table, version), latest_snapshot(table) if snapshot is None else snapshot
+    also = [c for c in order or () if c not in dict(columns)]
+    met = _diff(upload, columns, old, keys, also).where(F.col("state") != "removed")
+    same = met.where(F.col("state") == "unchanged").select("_old.*")
+    changed = met.where(F.col("state") == "changed").select("_new.*", F.col(f"_old.{KEY_COL}").alias(KEY_COL))
+    added = met.where(F.col("state") == "added").select("_new.*")
+    # as the rows come out of a shuffle, ties and no order at all go by the whole row
+    by = [*(order or ()), *[c for c, t in _user_columns(columns) if not order or c not in order]]
+    new = assign_row_keys(added, start=max_key(table).scalar() + 1, order=by)
+    stamped = [stamp_audit(df, version=v, ts=ts, user=user, file_name=file_name, level="both") for df in (changed, new)]
+    out = _align(stamp_audit(same, version=v, ts=ts, level="version"), columns)
+    for df in stamped:
+        out = out.unionByName(_align(df, columns))
+    return out
+
+
+def _content(df: DataFrame) -> Column:
+    """A row's columns but for the version-level stamp, as one value."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in VERSION_AUDIT_COLS])
+
+
+def rebase_snapshot(
+    staged: DataFrame, base: DataFrame, current: DataFrame, table: DataFrame | None = None, version: Lit = None, ts: Lit = None
+) -> DataFrame:
+    """The changes that ``staged`` makes to ``base``, made to ``current``: the next snapshot.
+
+    ``staged`` is a proposed snapshot, ``base`` the one that it was built on and ``current`` the newest. Rows whose key
+    ``base`` lacks are added under new keys (max_key + 1, ... of ``table``), keys that ``staged`` lacks are removed, and rows that differ
+    replace those of their key; rows of ``current`` with other keys are carried forward. A key that both sides changed or
+    removed fails the job (``raise_error``), as one of the two changes would be lost. The marker row of an emptied table (key 0) is no row."""
+    table = current if table is None else table
+    v, cols = _version(table, version), table_columns(current)
+    staged, base, current = (drop_empty_marker(df) for df in (staged, base, current))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(KEY_COL, _content(current).alias(name))
+
+    old = side(base, "_old")
+    mine = side(staged.select(*current.columns), "_new").join(old, KEY_COL, "full_outer")
+    mine = mine.where(~F.col("_new").eqNullSafe(F.col("_old")))
+    added = mine.where(F.col("_old").isNull()).select("_new.*")
+    touched = mine.where(F.col("_old").isNotNull())
+    j = side(current, "_now").join(touched, KEY_COL, "full_outer")
+    clash = F.col("_old").isNotNull() & ~F.col("_now").eqNullSafe(F.col("_old")) & ~F.col("_now").eqNullSafe(F.col("_new"))
+    message = F.concat(F.lit("another version has changed the row of key "), F.col(KEY_COL).cast("string"))
+    # the winner is chosen in the expression that checks the clash, so that the check can't be pruned
+    kept = F.when(clash, F.raise_error(message).cast(j.schema["_now"].dataType)).when(F.col("_old").isNull(), F.col("_now")).otherwise(F.col("_new"))
+    rows = j.select(kept.alias("r")).where(F.col("r").isNotNull()).select("r.*")
+    fresh = assign_row_keys(added.drop(KEY_COL), start=max_key(table).scalar() + 1, order=[c for c in added.columns if c != KEY_COL])
+    stamped = stamp_audit(rows.unionByName(fresh), version=v, ts=ts, level="version")
+    return _align(stamped, cols)
+
+
 def flag(c: Column | str, default: bool) -> Column:
     """Table-property flag: unset -> default, else true iff the stripped lower-cased text is ``true``."""
     col = F.col(c) if isinstance(c, str) else c

@@ -65,7 +65,8 @@ def check_columns(upload_columns: DataFrame, table_columns: DataFrame) -> DataFr
 
 
 # --- V2 ----------------------------------------------------------------------------
-def _type_problem(col: str, ddl: str, row: Column) -> Column | None:
+def _type_check(col: str, ddl: str) -> tuple[Column, Column, str] | None:
+    """(bad, stripped text, what a report says) of a text column; None when any text will do."""
     text = strip(F.col(col).cast("string"))
     present = F.col(col).isNotNull() & (text != "")
     cls = ddl_class(ddl)
@@ -80,7 +81,12 @@ def _type_problem(col: str, ddl: str, row: Column) -> Column | None:
         bad, detail = ~F.lower(text).isin(BOOL_STRICT), "expected BOOLEAN"
     else:
         return None
-    return F.when(present & bad, _problem("type", col, row, text, detail))
+    return present & bad, text, detail
+
+
+def _type_problem(col: str, ddl: str, row: Column) -> Column | None:
+    found = _type_check(col, ddl)
+    return None if found is None else F.when(found[0], _problem("type", col, row, found[1], found[2]))
 
 
 def validate_types(
@@ -129,12 +135,15 @@ def required_rows(df: DataFrame, required: Sequence[str], row_col: str, n: int |
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, row bigint, n_missing bigint")
     cands = [F.when(_blank(df, c), F.struct(F.lit(c).alias("column"), F.col(row_col).cast("bigint").alias("row"))) for c in cols]
-    blanks = df.select(F.explode(F.filter(F.array(*cands), lambda x: x.isNotNull())).alias("b")).select("b.*")
+    # the blanks are written once and counted from there: the upload is read once
+    checkpoint_dir(df.sparkSession)
+    blanks = df.select(F.explode(F.filter(F.array(*cands), lambda x: x.isNotNull())).alias("b")).select("b.*").checkpoint()
     shown = blanks
     if n is not None:
         w = Window.partitionBy("column").orderBy("row")
         shown = blanks.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    return shown.join(F.broadcast(required_counts(df, cols)), "column")
+    totals = blanks.groupBy("column").agg(F.count(F.lit(1)).alias("n_missing"))
+    return shown.join(F.broadcast(totals), "column")
 
 
 # --- V4 ----------------------------------------------------------------------------
@@ -174,8 +183,37 @@ def duplicate_business_keys(
     return groups.withColumn("n_groups", total)
 
 
+def duplicate_values(
+    df: DataFrame, groups: Sequence[Sequence[str]], normalize: Mapping[str, str] | None = None
+) -> DataFrame:
+    """V4 over several key groups (D13): (key_group, value, count, n_values) for every value of a group that occurs more than once.
+
+    One aggregation over grouping sets: the rows are read once, and counted by each group before the shuffle. A row with a
+    blank part in one group still counts in the others. ``value`` is the parts joined by ``|``, ``n_values`` the number of such
+    values of the group. ``normalize`` (column -> type, D14) compares as V5 does: numbers as numbers, dates by day,
+    text stripped and case-folded; without it text is exact."""
+    groups = list(dict.fromkeys(tuple(g) for g in groups))
+    cols = list(dict.fromkeys(c for g in groups for c in g))
+    blank = {c: _blank(df, c) for c in cols}
+    how = normalize or {}
+    keyed = df.select(*[F.when(~blank[c], norm_key(c, ddl_class(how[c])) if c in how else F.col(c)).alias(c) for c in cols])
+    sets = keyed.groupingSets([list(g) for g in groups], *cols).agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("count"))
+    found = sets.where("count > 1")
+    out = []
+    for g in groups:  # a bit for each column, the first one highest, set when the column isn't in the group
+        bits = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in g)
+        full = F.concat(*[F.col(c).isNull().cast("string") for c in g]) == "false" * len(g)
+        value = F.concat_ws("|", *[F.col(c).cast("string") for c in g])
+        out.append(F.when((F.col("_g") == bits) & full, F.struct(F.lit(",".join(g)).alias("key_group"), value.alias("value"))))
+    named = found.select(F.coalesce(*out).alias("v"), "count").where("v IS NOT NULL")
+    named = named.select("v.*", "count")
+    per = named.groupBy("key_group").agg(F.count(F.lit(1)).alias("n_values"))
+    return named.join(per, "key_group")
+
+
 # --- V5 ----------------------------------------------------------------------------
-def _norm_key(c: str, cls: str) -> Column:
+def norm_key(c: str, cls: str) -> Column:
+    """A key column as V5 compares it: numbers as numbers, dates by day, text stripped and case-folded."""
     col = F.col(c)
     if cls == "int":
         return strip(col.cast("string")).try_cast("decimal(38,10)")
@@ -211,13 +249,20 @@ def business_key_conflicts(
     classes = {k: ddl_class(key_types.get(k, "string")) for k in keys}
     nk = [f"_nk{i}" for i in range(len(keys))]
     ex = existing.select(
-        F.col(key_col).alias("_xkey"), *[_norm_key(k, classes[k]).alias(n) for k, n in zip(keys, nk)]
+        F.col(key_col).alias("_xkey"), *[norm_key(k, classes[k]).alias(n) for k, n in zip(keys, nk)]
     ).where(" AND ".join(f"{n} IS NOT NULL" for n in nk))
     nw = new.where(_key_present(new, keys)).select(
-        F.col(row_col), F.col(key_col), *[_norm_key(k, classes[k]).alias(n) for k, n in zip(keys, nk)]
+        F.col(row_col), F.col(key_col), *[norm_key(k, classes[k]).alias(n) for k, n in zip(keys, nk)]
     )
     # only business-key values present in the new rows are looked at (for a single edit that is
     # one value; a small key set is broadcast by AQE)
+    return _conflicts(nw, ex, nk, row_col, key_col, exclude_self, max_keys)
+
+
+def _conflicts(
+    nw: DataFrame, ex: DataFrame, nk: list[str], row_col: str, key_col: str, exclude_self: bool, max_keys: int, also: Sequence[str] = ()
+) -> DataFrame:
+    """New rows (row, key, ``nk``) against existing keys (``_xkey``, ``nk``); ``also``: columns of ``nk`` to return."""
     ex = ex.join(nw.select(*nk).distinct(), nk, "left_semi").distinct()
     total = ex.groupBy(*nk).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*nk).orderBy("_xkey")
@@ -234,6 +279,7 @@ def business_key_conflicts(
         .withColumn("n_conflicts", F.col("_n") - F.coalesce("_own", F.lit(0)))
         .where("n_conflicts > 0")
         .select(
+            *also,
             row_col,
             key_col,
             F.array_join(F.transform(F.slice(others, 1, max_keys), lambda x: x.cast("string")), ", ").alias("conflict_keys"),
@@ -243,6 +289,36 @@ def business_key_conflicts(
     )
 
 
+def key_group_conflicts(
+    new: DataFrame,
+    existing: DataFrame,
+    groups: Sequence[Sequence[str]],
+    key_types: Mapping[str, str],
+    row_col: str = "row",
+    key_col: str = KEY_COL,
+    exclude_self: bool = True,
+    max_keys: int = CONFLICT_REPORT_KEYS,
+) -> DataFrame:
+    """V5 over several key groups (D13): as ``business_key_conflicts``, with the group's name in ``key_group``.
+
+    Each row gives one entry per group (its name and normalised parts) and the entries of all groups are
+    joined at once, so both sides are read as often as for one group."""
+    groups = list(dict.fromkeys(tuple(g) for g in groups))
+
+    def entries(df: DataFrame, own: list[Column], present: bool) -> DataFrame:
+        one = []
+        for g in groups:
+            parts = F.array(*[norm_key(k, ddl_class(key_types.get(k, "string"))).cast("string") for k in g])
+            ok = ~F.exists(parts, lambda p: p.isNull())
+            one.append(F.when(ok & _key_present(df, g) if present else ok, F.struct(F.lit(",".join(g)).alias("key_group"), parts.alias("_nk"))))
+        rows = df.select(*own, F.explode(F.array(*one)).alias("_e")).where("_e IS NOT NULL")
+        return rows.select("*", "_e.*").drop("_e")
+
+    ex = entries(existing, [F.col(key_col).alias("_xkey")], present=False)
+    nw = entries(new, [F.col(row_col), F.col(key_col)], present=True)
+    return _conflicts(nw, ex, ["key_group", "_nk"], row_col, key_col, exclude_self, max_keys, also=["key_group"])
+
+
 # --- V6 ----------------------------------------------------------------------------
 def _prepare_validity(df: DataFrame, key: str, start: str, end: str, open_end: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(start).isNotNull()).withColumn(
@@ -407,7 +483,7 @@ def validate_upload(
     schema: Mapping[str, str],
     row_col: str,
     required: Sequence[str] = (),
-    business_keys: Sequence[str] = (),
+    business_keys: Sequence[str] | Sequence[Sequence[str]] = (),
     validity: tuple[str, str, str] | None = None,
     table_columns: Sequence[str] | None = None,
     stop_early: bool = False,
@@ -415,74 +491,212 @@ def validate_upload(
     """V9: all checks in pipeline order as one problems frame with a ``stage`` number:
     1 columns, 2 types (raw text), 3 required, 4 duplicate keys, 5 overlapping validity.
 
-    ``cleaned`` has the cleaned columns as expressions over ``raw`` (``operators.schema.cleaned_columns``), so
-    types and required values are found in one pass over the upload; 4 and 5 read the columns that they need.
-    ``stop_early`` keeps only the first failing stage, as the upload flow does: the first stage with a problem
-    (one number) reaches the driver, and passes after it are neither planned nor run.
+    ``cleaned`` has the cleaned columns as expressions over ``raw`` (``operators.schema.cleaned_columns``). The upload is read
+    once: a row's problems and the parts of its keys and period are written, and the stages read that copy.
+    ``business_keys`` is one list of columns or several (D13).
+    ``stop_early`` keeps only the first failing stage, as the upload flow does: stages after it are neither planned nor run.
     Validity is checked only when key, from and to are all set (decision D22)."""
-    typed = raw.select(*[c for c in [row_col] if c not in cleaned], *[e.alias(c) for c, e in cleaned.items()])
-    passes = [lambda: _cell_stages(raw, typed, cleaned, schema, row_col, required)]
     if table_columns is not None:
-        passes.insert(0, lambda: _column_stage(raw, table_columns, row_col))
-    if business_keys:
-        passes.append(lambda: _duplicate_stage(typed, business_keys))
-    if validity and all(validity):
-        passes.append(lambda: _overlap_stage(typed, validity, row_col))
-    found = None
-    for one in passes:
-        problems = one().select("stage", *PROBLEM_COLS)
-        if not stop_early:
-            found = problems if found is None else found.unionByName(problems)
-            continue
-        first = problems.agg(F.min("stage")).first()[0]
-        if first is not None:
-            return problems.where(F.col("stage") == first)
-        found = problems
+        names = _column_stage(raw, table_columns, row_col)
+        if stop_early and names is not None:
+            return names
+    cells = _cells(raw, cleaned, schema, row_col, required)
+    groups = [business_keys] if business_keys and isinstance(business_keys[0], str) else list(business_keys)
+    key_stages = _KeyStages(cleaned, groups, validity, row_col) if groups or (validity and all(validity)) else None
+    row = F.col(row_col).cast("bigint").alias("row")
+    if stop_early:  # the first stage with a problem reaches the driver; later ones are neither planned nor run
+        if cells:
+            first = raw.agg(F.min(F.coalesce(*[F.when(x.isNotNull(), F.lit(stage)) for stage, x in cells.ordered()]))).first()[0]
+            if first is not None:
+                return _cell_problems(raw.select(row, cells.found(first).alias("bad")), cells)
+        if key_stages is None:
+            return _cell_problems(raw.select(row, cells.found().alias("bad")), cells) if cells else _no_problems(raw)
+        entries = raw.select(row, *key_stages.columns(dict(_typed(raw, cleaned, row_col).dtypes)))
+        checkpoint_dir(raw.sparkSession)
+        entries, found = entries.checkpoint(), None
+        for one in key_stages.problems(entries):
+            found = one if found is None else found.unionByName(one)
+            if one.limit(1).count():
+                return one
+        return found
+    # one pass over the upload: a row's problems (number of the check and value) and the parts of its keys and period
+    # are written, and every stage reads that copy
+    own = [cells.found().alias("bad")] if cells else []
+    entries = raw.select(row, *own, *(key_stages.columns(dict(_typed(raw, cleaned, row_col).dtypes)) if key_stages else []))
+    if key_stages:
+        checkpoint_dir(raw.sparkSession)
+        entries = entries.checkpoint()
+    parts = [names] if table_columns is not None and names is not None else []
+    parts += [_cell_problems(entries, cells)] if cells else []
+    parts += key_stages.problems(entries) if key_stages else []
+    found = parts[0] if parts else _no_problems(raw)
+    for one in parts[1:]:
+        found = found.unionByName(one)
     return found
 
 
-def _cell_stages(
-    raw: DataFrame, typed: DataFrame, cleaned: Mapping[str, Column], schema: Mapping[str, str], row_col: str, required: Sequence[str]
+def _typed(raw: DataFrame, cleaned: Mapping[str, Column], row_col: str) -> DataFrame:
+    return raw.select(*[c for c in [row_col] if c not in cleaned], *[e.alias(c) for c, e in cleaned.items()])
+
+
+def _no_problems(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "stage int, check string, column string, row bigint, value string, detail string")
+
+
+class _Cells:
+    """The checks of stages 2 and 3, by number: when one fails, the cell's value, and what a report says of it."""
+
+    def __init__(self) -> None:
+        self.checks: list[tuple[int, str, str, str, Column, Column]] = []  # stage, check, column, detail, failed, value
+
+    def __bool__(self) -> bool:
+        return bool(self.checks)
+
+    def ordered(self) -> list[tuple[int, Column]]:
+        return [(stage, F.when(failed, F.lit(True))) for stage, _, _, _, failed, _ in sorted(self.checks, key=lambda c: c[0])]
+
+    def found(self, stage: int | None = None) -> Column:
+        one = [
+            F.when(failed, F.struct(F.lit(i).alias("i"), value.cast("string").alias("value")))
+            for i, (s, _, _, _, failed, value) in enumerate(self.checks) if stage in (None, s)
+        ]
+        return F.filter(F.array(*one), lambda x: x.isNotNull())
+
+
+def _cells(raw: DataFrame, cleaned: Mapping[str, Column], schema: Mapping[str, str], row_col: str, required: Sequence[str]) -> _Cells:
+    types, out = dict(_typed(raw, cleaned, row_col).dtypes), _Cells()
+    for c, t in schema.items():
+        found = _type_check(c, t) if c in raw.columns else None
+        if found is not None:
+            bad, text, detail = found
+            out.checks.append((2, "type", c, detail, bad, text))
+    for c in required:
+        if c in cleaned:
+            out.checks.append((3, "required", c, "value is required", is_blank(cleaned[c], types[c]), F.lit(None)))
+    return out
+
+
+def _cell_problems(entries: DataFrame, cells: _Cells) -> DataFrame:
+    said = F.array(*[
+        F.struct(F.lit(s).alias("stage"), F.lit(k).alias("check"), F.lit(c).alias("column"), F.lit(d).alias("detail"))
+        for s, k, c, d, _, _ in cells.checks
+    ])
+    rows = entries.select("row", F.explode("bad").alias("b")).select("row", "b.value", F.get(said, F.col("b.i")).alias("s"))
+    return rows.select("s.stage", "s.check", "s.column", "row", "value", "s.detail")
+
+
+def _column_stage(raw: DataFrame, table_columns: Sequence[str], row_col: str) -> DataFrame | None:
+    """Stage 1, from the two lists of names; None when they agree."""
+    have = [c for c in raw.columns if c != row_col and c not in AUDIT_COLS]
+    want = [c for c in table_columns if c not in AUDIT_COLS]
+    rows = [(1, "missing", c, None, None, "error") for c in dict.fromkeys(want) if c not in have]
+    rows += [(1, "extra", c, None, None, "warning") for c in dict.fromkeys(have) if c not in want]
+    return raw.sparkSession.createDataFrame(rows, _no_problems(raw).schema) if rows else None
+
+
+class _KeyStages:
+    """Stages 4 and 5: what a row contributes to them, and the problems found in rows of these contributions."""
+
+    def __init__(self, cleaned: Mapping[str, Column], groups: list[Sequence[str]], validity: tuple[str, str, str] | None, row_col: str) -> None:
+        self.cleaned, self.groups, self.row_col = cleaned, groups, row_col
+        self.validity = validity if validity and all(validity) else None
+
+    def _of(self, c: str) -> Column:
+        return self.cleaned.get(c, F.col(c))
+
+    def columns(self, types: Mapping[str, str]) -> list[Column]:
+        out = []
+        for i, g in enumerate(self.groups):
+            # 0.0 + -0.0 is 0.0, so that the two zeros are one text
+            parts = [self._of(c) + F.lit(0.0).cast(types[c]) if types[c] in ("float", "double") else self._of(c) for c in g]
+            blank = F.lit(False)
+            for c in g:
+                blank = blank | is_blank(self._of(c), types[c])
+            out.append(F.when(~blank, F.array(*[p.cast("string") for p in parts])).alias(f"key{i}"))
+        if self.validity:
+            k, s, e = self.validity
+            out += [self._of(k).cast("string").alias("vkey"), self._of(s).alias("start"), self._of(e).alias("end")]
+        return out
+
+    def problems(self, entries: DataFrame) -> list[DataFrame]:
+        out, nothing = [], F.lit(None)
+        if self.groups:
+            one = [F.when(F.col(f"key{i}").isNotNull(), F.struct(F.lit(",".join(g)).alias("column"), F.col(f"key{i}").alias("parts"))) for i, g in enumerate(self.groups)]
+            keys = entries.select(F.explode(F.array(*one)).alias("k")).where("k IS NOT NULL").select("k.*")
+            counts = keys.groupBy("column", "parts").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            out.append(counts.select(
+                F.lit(4).alias("stage"), F.lit("duplicate").alias("check"), "column", nothing.cast("bigint").alias("row"),
+                F.concat_ws("|", "parts").alias("value"), F.concat(F.lit("count "), F.col("n").cast("string")).alias("detail"),
+            ))
+        if self.validity:
+            periods = entries.select("vkey", "start", "end", "row")
+            out.append(overlapping_validity(periods, "vkey", "start", "end", tie=["row"], columns=[]).select(
+                F.lit(5).alias("stage"), F.lit("overlap").alias("check"), F.lit(self.validity[0]).alias("column"), "row",
+                F.col("vkey").alias("value"), F.concat(F.lit("overlaps row "), F.col("prev_row").cast("string")).alias("detail"),
+            ))
+        return out
+
+
+# --- single changes ------------------------------------------------------------------
+def validate_change(
+    raw: DataFrame,
+    typed: DataFrame,
+    snapshot: DataFrame,
+    change: str,
+    types: Mapping[str, str],
+    row_col: str,
+    required: Sequence[str] = (),
+    key_groups: Sequence[Sequence[str]] = (),
+    validity: tuple[str | None, str | None, str | None] | None = None,
+    not_editable: Sequence[str] = (),
+    key_col: str = KEY_COL,
 ) -> DataFrame:
-    """Stages 2 and 3, cell by cell: the problems of a row are one array, so the upload is read once."""
-    row, types = F.col(row_col), dict(typed.dtypes)
-    bad = [p for c, t in schema.items() if c in raw.columns for p in [_type_problem(c, t, row)] if p is not None]
-    empty = [
-        F.when(is_blank(cleaned[c], types[c]), _problem("required", c, row, F.lit(None), "value is required"))
-        for c in required if c in cleaned
-    ]
-    staged = [F.when(p.isNotNull(), F.struct(F.lit(n).alias("stage"), p.alias("p"))) for n, some in ((2, bad), (3, empty)) for p in some]
-    if not staged:
-        return raw.sparkSession.createDataFrame(
-            [], "stage int, check string, column string, row bigint, value string, detail string"
-        )
-    cells = raw.select(F.explode(F.filter(F.array(*staged), lambda x: x.isNotNull())).alias("x"))
-    return cells.select("x.stage", "x.p.*")
-
-
-def _column_stage(raw: DataFrame, table_columns: Sequence[str], row_col: str) -> DataFrame:
-    spark = raw.sparkSession
-    t = spark.createDataFrame([("upload", c) for c in table_columns], "table string, column string")
-    u = spark.createDataFrame([("upload", c) for c in raw.columns if c != row_col], "table string, column string")
-    return check_columns(u, t).select(
-        F.lit(1).alias("stage"), F.col("status").alias("check"), "column", F.lit(None).cast("bigint").alias("row"),
-        F.lit(None).cast("string").alias("value"), F.col("severity").alias("detail"),
-    )
-
-
-def _duplicate_stage(cleaned: DataFrame, business_keys: Sequence[str]) -> DataFrame:
-    return duplicate_groups(cleaned, business_keys).select(
-        F.lit(4).alias("stage"), F.lit("duplicate").alias("check"), F.lit(",".join(business_keys)).alias("column"),
-        F.lit(None).cast("bigint").alias("row"),
-        F.concat_ws("|", *[F.col(k).cast("string") for k in business_keys]).alias("value"),
-        F.concat(F.lit("count "), F.col("count").cast("string")).alias("detail"),
-    )
-
-
-def _overlap_stage(cleaned: DataFrame, validity: tuple[str, str, str], row_col: str) -> DataFrame:
-    k, s, e = validity
-    return overlapping_validity(cleaned, k, s, e, tie=[row_col], columns=[]).select(
-        F.lit(5).alias("stage"), F.lit("overlap").alias("check"), F.lit(k).alias("column"),
-        F.col(row_col).cast("bigint").alias("row"), F.col(k).cast("string").alias("value"),
-        F.concat(F.lit("overlaps row "), F.col(f"prev_{row_col}").cast("string")).alias("detail"),
-    )
+    """All checks of one change (single_add, single_update, bulk, delete) against the snapshot that it would replace, as a problems frame
+    with ``stage``: those of V9 on the change itself (2 types, 3 required, 4 duplicate, 5 overlap), then
+    6 its keys (``unknown_key`` of an update or delete; ``conflict`` of a business key with another row, V5) and 7 ``validity`` (V7).
+
+    ``raw`` has the rows as given, ``typed`` cleaned, both with ``row_col``. An update keeps the ``not_editable`` columns of
+    its row, so the checks see those. A bulk change replaces every row, so 6 and 7 are not asked of it."""
+    row = F.col(row_col).cast("bigint").alias("row")
+    nothing = F.lit(None).cast("string")
+    parts = []
+    if change in ("single_update", "delete"):
+        parts.append(typed.join(snapshot.select(key_col), key_col, "left_anti").select(
+            F.lit(6).alias("stage"), F.lit("unknown_key").alias("check"), F.lit(key_col).alias("column"), row,
+            F.col(key_col).cast("string").alias("value"), nothing.alias("detail"),
+        ))
+    if change != "delete":
+        keep = [c for c in not_editable if c in snapshot.columns] if change == "single_update" else []
+        texts = {c: t for c, t in types.items() if c not in keep and dict(raw.dtypes).get(c) == "string"}
+        rows = typed
+        if keep:
+            rows = typed.drop(*keep).join(snapshot.select(key_col, *keep), key_col, "left")
+        lacking = [c for c in {*required, *(k for g in key_groups for k in g), *(v for v in validity or () if v)} if c not in rows.columns]
+        rows = rows.withColumns({c: F.lit(None).cast(types.get(c, "string")) for c in lacking})
+        period = validity if validity and all(validity) else None
+        if texts:
+            parts.append(validate_types(raw, texts, row_col).select(F.lit(2).alias("stage"), *PROBLEM_COLS))
+        whole = {c: F.col(c) for c in rows.columns if c != row_col}
+        parts.append(validate_upload(rows, whole, {}, row_col, required, key_groups, period))
+        if change != "bulk":
+            if key_col not in rows.columns:
+                rows = rows.withColumn(key_col, F.lit(None).cast("bigint"))
+            if key_groups:
+                found = key_group_conflicts(rows, snapshot, key_groups, types, row_col, key_col)
+                parts.append(found.select(
+                    F.lit(6).alias("stage"), F.lit("conflict").alias("check"), F.col("key_group").alias("column"), row,
+                    F.col("conflict_keys").alias("value"), F.concat(F.lit("existing keys "), F.col("n_conflicts").cast("string")).alias("detail"),
+                ))
+            if period:
+                # added rows have no key yet: they go by their negative row number
+                one = rows.withColumn("__id", F.coalesce(F.col(key_col), -F.col(row_col)))
+                old = snapshot.withColumn("__id", F.col(key_col))
+                met = validity_conflicts(one, old, *period, id_col="__id").join(one.select("__id", row_col), "__id")
+                parts.append(met.select(
+                    F.lit(7).alias("stage"), F.lit("validity").alias("check"), F.lit(period[0]).alias("column"), row,
+                    F.col("partner").cast("string").alias("value"), F.col("relation").alias("detail"),
+                ))
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out

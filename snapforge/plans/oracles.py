@@ -939,3 +939,100 @@ SELECT CAST(NULL AS VARCHAR) AS cr_id, "__VERSION" AS version, count(*) AS n_row
 UNION ALL SELECT CAST(NULL AS VARCHAR), staged.v, count(*) FROM staged JOIN firsts ON "__CR_ID" = firsts.cr_id GROUP BY staged.v
 UNION ALL SELECT cr_id, 0, CAST(NULL AS BIGINT) FROM firsts""",
 )
+
+
+# --- key groups (D13), changes, kept keys (D24), rebasing, a race of writers -----------
+oracle(
+    "duplicate_values",
+    """SELECT *, count(*) OVER (PARTITION BY key_group) AS n_values FROM (
+        SELECT 'l_orderkey,l_linenumber' AS key_group, l_orderkey || '|' || l_linenumber AS value, count(*) AS count
+        FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+        UNION ALL
+        SELECT 'l_orderkey,l_suppkey', l_orderkey || '|' || l_suppkey, count(*) FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1) g""",
+)
+oracle(
+    "duplicate_values_normalized",
+    f"""WITH c AS (
+        SELECT '  ' || upper(c_name) || ' ' AS c_name, c_nationkey, c_mktsegment FROM customer
+        UNION ALL SELECT c_name, c_nationkey, c_mktsegment FROM customer),
+    n AS (SELECT {d_fold("c_name")} AS name, CAST(CAST(c_nationkey AS DECIMAL(38, 10)) AS VARCHAR) AS nation, {d_fold("c_mktsegment")} AS segment FROM c)
+    SELECT *, count(*) OVER (PARTITION BY key_group) AS n_values FROM (
+        SELECT 'c_name' AS key_group, name AS value, count(*) AS count FROM n GROUP BY name HAVING count(*) > 1
+        UNION ALL
+        SELECT 'c_nationkey,c_mktsegment', nation || '|' || segment, count(*) FROM n GROUP BY nation, segment HAVING count(*) > 1) g""",
+)
+
+
+def _group_conflicts(new: str) -> str:
+    """(key_group, row, __KEY, conflict_keys, n_conflicts) of the rows of ``new`` (row, __KEY, c_name, c_nationkey, c_mktsegment)."""
+    parts = [
+        ("c_name", f"{d_fold('n.c_name')} = {d_fold('c.c_name')}", f"coalesce({strip('n.c_name')}, '') <> ''"),
+        ("c_mktsegment,c_nationkey", "n.c_mktsegment = c.c_mktsegment AND n.c_nationkey = c.c_nationkey", "true"),
+    ]
+    return " UNION ALL ".join(
+        f"""SELECT '{g}' AS key_group, "row", "__KEY", array_to_string(list_sort(list(DISTINCT c_custkey))[1:10], ', ') AS conflict_keys,
+            count(DISTINCT c_custkey) AS n_conflicts
+        FROM ({new}) n JOIN customer c ON {on} WHERE {present} AND c_custkey <> "__KEY" GROUP BY "row", "__KEY" """
+        for g, on, present in parts
+    )
+
+
+_NEW_CUSTOMERS = """SELECT c_custkey AS "row", CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 100000 END AS "__KEY",
+    {name} AS c_name, c_nationkey, c_mktsegment FROM customer"""
+_UPPER_NAME = "'  ' || upper(c_name) || ' '"
+oracle("key_group_conflicts", _group_conflicts(_NEW_CUSTOMERS.format(name=_UPPER_NAME)))
+_EDITED = _NEW_CUSTOMERS.format(name=f"CASE WHEN c_custkey % 9 <> 0 THEN {_UPPER_NAME} END")
+oracle(
+    "validate_change",
+    f"""WITH n AS ({_EDITED})
+    SELECT 6 AS stage, 'unknown_key' AS "check", '__KEY' AS "column", "row", CAST("__KEY" AS VARCHAR) AS value, NULL::VARCHAR AS detail
+    FROM n WHERE "__KEY" NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 3, 'required', 'c_name', "row", NULL, 'value is required' FROM n WHERE c_name IS NULL
+    UNION ALL SELECT 4, 'duplicate', 'c_name', NULL, c_name, 'count ' || count(*) FROM n WHERE c_name IS NOT NULL GROUP BY c_name HAVING count(*) > 1
+    UNION ALL SELECT 4, 'duplicate', 'c_mktsegment,c_nationkey', NULL, c_mktsegment || '|' || c_nationkey, 'count ' || count(*)
+        FROM n GROUP BY c_mktsegment, c_nationkey HAVING count(*) > 1
+    UNION ALL SELECT 6, 'conflict', key_group, "row", conflict_keys, 'existing keys ' || n_conflicts FROM ({_group_conflicts(_EDITED)}) g""",
+)
+
+_UNIQUE = f"""u AS (SELECT * REPLACE (CAST(o_orderkey AS BIGINT) AS "__KEY") FROM ({F1}) f),
+    top AS (SELECT max("__VERSION") AS v FROM u),
+    latest AS (SELECT u.* FROM u, top WHERE "__VERSION" = v),
+    before AS (SELECT u.* FROM u, top WHERE "__VERSION" = v - 1)"""
+_UPLOAD = f"""{_UNIQUE},
+    upload AS (
+        SELECT o_orderkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+        FROM latest WHERE o_orderkey % 7 <> 0
+        UNION ALL SELECT o_orderkey + 1000000000, o_orderstatus, o_orderpriority, o_totalprice FROM before)"""
+oracle(
+    "bulk_diff",
+    f"""WITH {_UPLOAD}
+    SELECT CASE WHEN l.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed'
+        WHEN n.o_totalprice = l.o_totalprice THEN 'unchanged' ELSE 'changed' END AS state,
+        l."__KEY", coalesce(n.o_orderkey, l.o_orderkey) AS o_orderkey
+    FROM upload n FULL JOIN latest l ON n.o_orderkey = l.o_orderkey""",
+)
+oracle(
+    "publish_bulk_keep_keys",
+    f"""WITH {_UPLOAD}, nv AS (SELECT CAST(v + 1 AS INTEGER) AS nv FROM top)
+    SELECT l.* REPLACE (nv AS "__VERSION", {_TS} AS "__VERSION_TIMESTAMP") FROM latest l JOIN upload n USING (o_orderkey), nv
+    WHERE n.o_totalprice = l.o_totalprice
+    UNION ALL SELECT l."__KEY", n.*, {_TS}, nv, {_TS}, 'publisher', 'orders_bulk.csv' FROM upload n JOIN latest l USING (o_orderkey), nv
+    WHERE n.o_totalprice <> l.o_totalprice
+    UNION ALL SELECT CAST((SELECT max("__KEY") FROM u) + row_number() OVER (ORDER BY n.o_orderkey) AS BIGINT), n.*, {_TS}, nv, {_TS}, 'publisher',
+        'orders_bulk.csv' FROM upload n, nv WHERE n.o_orderkey NOT IN (SELECT o_orderkey FROM latest)""",
+)
+oracle(
+    "rebase_snapshot",
+    f"""WITH {_UNIQUE}, nv AS (SELECT CAST(v + 2 AS INTEGER) AS nv FROM top)
+    SELECT latest.* REPLACE (
+        CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 WHEN o_orderkey % 4 = 0 THEN o_totalprice + 7 ELSE o_totalprice END AS o_totalprice,
+        nv AS "__VERSION", {_TS} AS "__VERSION_TIMESTAMP")
+    FROM latest, nv WHERE o_orderkey % 5 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 11 <> 0)
+    UNION ALL SELECT CAST((SELECT max("__KEY") FROM u) + row_number() OVER (ORDER BY n_nationkey) AS BIGINT), n_nationkey + 2000000000, 'N', n_name, 1.5,
+        {_TS}, nv, {_TS}, 'publisher', 'ui-single-add' FROM nation, nv""",
+)
+oracle(
+    "publish_race",
+    f"""WITH {_UNIQUE}, o AS (SELECT o_orderkey FROM latest WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey FROM before)
+    SELECT o_orderkey, count(*) AS n, 3 AS versions, (SELECT count(*) FROM o) AS n_keys FROM o GROUP BY o_orderkey""",
+)

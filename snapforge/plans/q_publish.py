@@ -84,6 +84,90 @@ def q_publish_bulk_after_join(spark, d):
     )
 
 
+def _unique_versions(spark, d):
+    """F1 with one row per order as its own key, so that keys are unique: what a real versioned table looks like."""
+    f1 = FX.f1_versioned(spark, d)
+    return f1.withColumn(KEY_COL, F.col("o_orderkey"))
+
+
+def _next_upload(spark, d):
+    """The newest snapshot as an upload: every seventh order gone, every third with another price, and the orders of the
+    version before under new numbers."""
+    f1 = _unique_versions(spark, d)
+    latest = R.latest_snapshot(f1).where(F.col("o_orderkey") % 7 != 0)
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    before = f1.where(F.col(VERSION_COL) == f1.select(F.max(VERSION_COL) - 1).scalar())
+    before = before.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
+    return f1, latest.withColumn("o_totalprice", price).unionByName(before).select(*FX.F1_USER_COLS)
+
+
+@query("bulk_diff")
+def q_bulk_diff(spark, d):
+    f1, upload = _next_upload(spark, d)
+    return W.bulk_diff(upload, R.latest_snapshot(f1), ["o_orderkey"])
+
+
+@query("publish_bulk_keep_keys")
+def q_publish_bulk_keep_keys(spark, d):
+    f1, upload = _next_upload(spark, d)
+    return W.publish_bulk(
+        upload, W.table_columns(f1), table=f1, ts=FX.publish_ts(), user=USER, file_name="orders_bulk.csv", order=["o_orderkey"],
+        keep_keys=["o_orderkey"],
+    )
+
+
+@query("rebase_snapshot")
+def q_rebase_snapshot(spark, d):
+    """A request staged on the version before the newest: it removes every fifth order, reprices every third, and adds one order
+    per customer nation; the newest version has removed every eleventh order that the request leaves alone and repriced the fourth ones."""
+    f1 = _unique_versions(spark, d)
+    top = f1.select(F.max(VERSION_COL)).scalar()
+    base = f1.where(F.col(VERSION_COL) == top)
+    k = F.col("o_orderkey")
+    mine = (k % 5 == 0) | (k % 3 == 0)
+    more = FX.table(spark, d, "nation").select(
+        (F.col("n_nationkey") + 2_000_000_000).cast("bigint").alias(KEY_COL), (F.col("n_nationkey") + 2_000_000_000).cast("bigint").alias("o_orderkey"),
+        F.lit("N").alias("o_orderstatus"), F.col("n_name").alias("o_orderpriority"), F.lit(1.5).alias("o_totalprice"),
+        FX.publish_ts().alias("__UPLOAD_TIMESTAMP"), (top + 1).alias(VERSION_COL), FX.publish_ts().alias("__VERSION_TIMESTAMP"),
+        F.lit(USER).alias("__UPLOADED_BY"), F.lit("ui-single-add").alias("__UPLOAD_FILE_NAME"),
+    )
+    staged = base.where(k % 5 != 0).withColumn("o_totalprice", F.when(k % 3 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")))
+    staged = staged.unionByName(more)
+    now = base.where(mine | (k % 11 != 0)).withColumn(
+        "o_totalprice", F.when(~mine & (k % 4 == 0), F.col("o_totalprice") + 7).otherwise(F.col("o_totalprice"))
+    )
+    return W.rebase_snapshot(staged, base, now.withColumn(VERSION_COL, (top + 1).cast("int")), table=f1, version=top + 2, ts=FX.publish_ts())
+
+
+@query("publish_race")
+def q_publish_race(spark, d):
+    """Three writers publish on one table at once: two add the orders of the version before the newest, half of them each, one deletes
+    every fifth order of the newest. Every order of the last snapshot, how often it is there, and how many versions and rows came."""
+    import uuid
+    from concurrent.futures import ThreadPoolExecutor
+
+    from snapforge.sources import publishing as P
+    from snapforge.sources import tables as TB
+
+    f1 = _unique_versions(spark, d)
+    name = f"sf_race_{uuid.uuid4().hex[:10]}"
+    TB.create_table(f1, name)
+    TB.set_properties(spark, name, {"business_keys": "o_orderkey", "not_null_columns": "o_orderkey"})
+    top = f1.select(F.max(VERSION_COL)).scalar()
+    before = f1.where(F.col(VERSION_COL) == top - 1).select(*FX.F1_USER_COLS)
+    gone = f1.where((F.col(VERSION_COL) == top) & (F.col("o_orderkey") % 5 == 0)).select(KEY_COL)
+    jobs = [("single_add", before.where("o_orderkey % 2 = 0")), ("single_add", before.where("o_orderkey % 2 = 1")), ("delete", gone)]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        done = list(pool.map(lambda j: P.publish(spark, name, j[0], j[1], USER, ts=FX.publish_ts()), jobs))
+    if [o.status for o in done] != ["published"] * len(jobs):
+        raise RuntimeError(f"not all were published: {done}")
+    table = spark.table(name)
+    last = R.latest_snapshot(table)
+    versions = table.select((F.max(VERSION_COL) - top).cast("int")).scalar()
+    keys = last.select(F.count_distinct(KEY_COL)).scalar()
+    return last.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n")).select("o_orderkey", "n", versions.alias("versions"), keys.alias("n_keys"))
+
+
 def _changes(spark, d):
     e = FX.table(spark, d, "events")
     ctype = (

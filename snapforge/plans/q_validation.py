@@ -80,6 +80,42 @@ def q_business_key_conflicts_typed(spark, d):
     )
 
 
+GROUPS = [["l_orderkey", "l_linenumber"], ["l_orderkey", "l_suppkey"]]
+
+
+@query("duplicate_values")
+def q_duplicate_values(spark, d):
+    """Two key groups that share a column."""
+    return V.duplicate_values(FX.table(spark, d, "lineitem"), GROUPS)
+
+
+@query("duplicate_values_normalized")
+def q_duplicate_values_normalized(spark, d):
+    f4 = FX.f4_new_customers(spark, d).select("c_name", "c_nationkey", "c_mktsegment")
+    old = FX.table(spark, d, "customer").select("c_name", "c_nationkey", "c_mktsegment")
+    groups = [["c_name"], ["c_nationkey", "c_mktsegment"]]
+    return V.duplicate_values(f4.unionByName(old), groups, {"c_name": "string", "c_nationkey": "int", "c_mktsegment": "string"})
+
+
+@query("key_group_conflicts")
+def q_key_group_conflicts(spark, d):
+    return V.key_group_conflicts(
+        FX.f4_new_customers(spark, d), FX.f4_existing_customers(spark, d), [["c_name"], ["c_mktsegment", "c_nationkey"]],
+        {"c_name": "string", "c_nationkey": "int", "c_mktsegment": "string"},
+    )
+
+
+@query("validate_change")
+def q_validate_change(spark, d):
+    """Customers as edits of a snapshot of customers: odd ones under keys that it lacks, every ninth without its name."""
+    new = FX.f4_new_customers(spark, d).withColumn("c_name", F.when(F.col("row") % 9 != 0, F.col("c_name")))
+    types = {"c_name": "string", "c_nationkey": "int", "c_mktsegment": "string"}
+    return V.validate_change(
+        new, new, FX.f4_existing_customers(spark, d), "single_update", types, "row", required=["c_name"],
+        key_groups=[["c_name"], ["c_mktsegment", "c_nationkey"]],
+    )
+
+
 def _overlaps(spark, d):
     return V.overlapping_validity(FX.f2_validity(spark, d), "vk", "st", "en", tie=FX.F2_TIE)
 

@@ -74,7 +74,7 @@ def empty_versioned(spark: SparkSession, user_columns: Mapping[str, str]) -> Dat
 
 
 # --- S6 ---------------------------------------------------------------------------
-def _align_to(df: DataFrame, target: DataFrame) -> DataFrame:
+def align_to(df: DataFrame, target: DataFrame) -> DataFrame:
     present = set(df.columns)
     return df.select(*[
         (F.col(f"`{f.name}`") if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -107,7 +107,7 @@ def append_rows(df: DataFrame, table: str) -> None:
     the table). One write job and one commit for the whole batch; empty input writes nothing."""
     spark = df.sparkSession
     target = spark.table(table)
-    _align_to(df, target).write.insertInto(table, overwrite=False)
+    align_to(df, target).write.insertInto(table, overwrite=False)
 
 
 def append_version(df: DataFrame, path: str) -> None:
