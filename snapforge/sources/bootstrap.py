@@ -39,10 +39,11 @@ def bootstrap(
     ``created``: an empty table in the versioned layout. ``reinitialised``: rebuilt with its rows.
     ``skipped``: fingerprints unchanged. ``rolled_back``: the new layout does not take the rows (a bad cast, a
     blank in a required column), the table stays as it was. ``critical``: the swap failed half way, the backup
-    named in ``error`` holds the rows. One table's failure does not stop the others; ``M.run_summary(outcomes,
+    named in ``error`` holds the rows. A run that was cut off is put right first (``recover_migrations``). One table's failure does not stop the others; ``M.run_summary(outcomes,
     "outcome")`` counts them.
     """
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    TB.recover_migrations(spark, schema)
     existing = inventory(spark, schema)
     recorded = recorded_properties(spark, schema, [r["name"] for r in existing.collect()])
     plan = M.plan_tables(metadata, config, recorded, existing, exclude=exclude).orderBy("table").collect()

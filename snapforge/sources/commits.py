@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapforge.constants import VERSION_COL
-from snapforge.sources.tables import align_to, table_location
+from snapforge.sources.tables import align_to, drop_folder, table_location
 
 COMMITS = "_commits"  # a leading underscore hides the folder from readers of paths
 ATTEMPTS = 20
@@ -48,11 +48,6 @@ def version_folder(spark: SparkSession, table: str, version: int) -> str | None:
     return next(r["data_type"] for r in rows if r["col_name"] == "Location")
 
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def claim(spark: SparkSession, table: str, version: int, rows: DataFrame, tag: str = "") -> None:
     """Write ``rows`` and publish them as ``version``; VersionTaken when another writer has it.
 

@@ -8,6 +8,7 @@ the new table under a temporary name and swaps names last.
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Mapping, Sequence
@@ -202,7 +203,8 @@ def migrate_table(
     properties set, and only then are names swapped: old -> backup, new -> table. The old
     table is dropped last. On failure before the swap the original is untouched; on failure
     during the swap the backup name is kept and reported."""
-    tmp = f"{table}_migrate_{uuid.uuid4().hex[:8]}"
+    recover_migration(spark, table)
+    tmp = f"{table}{MIGRATE}{uuid.uuid4().hex[:8]}"
     backup = f"{table}_backup_{int(time.time())}"
     cols = {KEY_COL: "bigint", **{c: t for c, t in user_columns.items() if c not in AUDIT_COLS}}
     cols.update({c: AUDIT_TYPES[c] for c in AUDIT_COLS if c != KEY_COL})
@@ -212,7 +214,8 @@ def migrate_table(
     # constraints describe the new layout: with ``properties`` given, none of the old ones is kept
     old = {} if properties is not None else get_properties(spark, table)
     kept = {k: v for k, v in old.items() if not k.startswith(USER_PROPERTY_PREFIXES)}
-    set_properties(spark, tmp, {**kept, **(properties or {})})
+    # the intent: the new table is whole, and names the table that it replaces and where that one goes
+    set_properties(spark, tmp, {**kept, **(properties or {}), INTENT_TABLE: table, INTENT_BACKUP: backup})
     spark.sql(f"ALTER TABLE {table} RENAME TO {backup}")
     try:
         spark.sql(f"ALTER TABLE {tmp} RENAME TO {table}")
@@ -223,5 +226,63 @@ def migrate_table(
             where = table_location(spark, backup)  # a catalog in memory keeps the old places of the partitions
             raise TableLost(f"{table} could not be put back; its rows are in {backup} ({where})") from failed
         raise
-    spark.sql(f"DROP TABLE {backup}")
+    _finish(spark, table, backup)
     return {"table": table, "status": "migrated"}
+
+
+MIGRATE = "_migrate_"
+INTENT_TABLE, INTENT_BACKUP = "migration_of", "migration_backup"
+
+
+def _finish(spark: SparkSession, table: str, backup: str) -> None:
+    """The last steps of a swap: the old rows go, then the intent."""
+    spark.sql(f"DROP TABLE IF EXISTS {backup}")
+    spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES ('{INTENT_TABLE}', '{INTENT_BACKUP}')")
+
+
+def _parts(table: str) -> tuple[str, str]:
+    """('schema.', 'name') of a table's name, without backticks; the schema may be empty."""
+    schema, _, name = table.replace("`", "").rpartition(".")
+    return (f"{schema}." if schema else ""), name
+
+
+def recover_migration(spark: SparkSession, table: str) -> str | None:
+    """Put right what a migration of ``table`` that was cut off has left; None when there is nothing, else what was done.
+
+    ``undone``: the old table was still in its place, so the new one goes. ``finished``: the old table had been renamed, so the
+    new one, which was whole by then, takes its name; or it had that name already and only the backup was left. A new table without an
+    intent was never whole. Migrations of one table don't run at once; this is called first by each."""
+    schema, name = _parts(table)
+    own = f"{schema}`{name}`"
+    listed = spark.sql(f"SHOW TABLES {'IN ' + schema[:-1] if schema else ''} LIKE '{name}{MIGRATE}*'").select("tableName").collect()
+    done = None
+    for new in (f"{schema}`{r['tableName']}`" for r in listed if re.fullmatch(re.escape(name) + MIGRATE + "[0-9a-f]{8}", r["tableName"])):
+        backup = get_properties(spark, new).get(INTENT_BACKUP)
+        if backup and not spark.catalog.tableExists(own) and spark.catalog.tableExists(backup):
+            spark.sql(f"ALTER TABLE {new} RENAME TO {own}")
+            done = "finished"
+        else:
+            folder = table_location(spark, new)
+            spark.sql(f"DROP TABLE {new}")
+            drop_folder(spark, folder)
+            done = done or "undone"
+    if spark.catalog.tableExists(own):
+        props = get_properties(spark, own)
+        if INTENT_TABLE in props:
+            _finish(spark, own, props.get(INTENT_BACKUP, f"{own}_none"))
+            done = "finished"
+    return done
+
+
+def recover_migrations(spark: SparkSession, schema: str) -> dict[str, str]:
+    """``recover_migration`` for every table of ``schema`` that a migration may have left half done."""
+    names = [r["tableName"] for r in spark.sql(f"SHOW TABLES IN {schema}").where(~F.col("isTemporary")).collect()]
+    found = {m.group(1) for n in names if (m := re.fullmatch(f"(.*){MIGRATE}[0-9a-f]{{8}}", n))}
+    found |= {m.group(1) for n in names if (m := re.fullmatch("(.*)_backup_[0-9]+", n))}
+    done = {n: recover_migration(spark, f"{schema}.{n}") for n in sorted(found)}
+    return {n: what for n, what in done.items() if what}
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
