@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 
 from snapforge.llm.common import text_docs
 
-STATES = 200_000
+STATES = 350_000
+FITS = 1_000_000
 LOOKAHEAD = 512
-MEMO_ENTRIES = 300_000
+#: entries of each of a memo's two generations
+MEMO_ENTRIES = 250_000
 MEMO_CHARS = 64
 DECODE_RUN = 8192
 
@@ -166,7 +168,7 @@ class Transducer:
                 pair = last << 32 | token
                 good = fits.get(pair)
                 if good is None:
-                    if len(fits) >= 5 * STATES:
+                    if len(fits) >= FITS:
                         fits.clear()
                     good = fits[pair] = self._fit(last, token)
                 if good:
@@ -244,15 +246,17 @@ class Codec:
             return self.pieces(text)
         first, *words = text.replace("\n", " \n").split(" ")
         found = list(map(self.memo.__getitem__, words))
-        if None in found or first[-1:].isspace():
+        if not all(found) or first[-1:].isspace():
             return self.pieces(text)
         return list(chain(self.pieces(first), chain.from_iterable(found)))
 
-    def word(self, word: str) -> tuple[int, ...] | None:
-        """Ids of a word after a space, or after a line break if it begins with one; None: not a word."""
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word after a space, or after a line break if it begins with one; none if it is not a word."""
+        if word.isascii() and word.isalpha():  # letters are one pre-token
+            return self.known[" " + word]
         bare = word.removeprefix("\n")
         if not bare or bare[0].isspace() or bare[-1].isspace():
-            return None
+            return ()
         return tuple(self.pieces(word if bare is not word else " " + word))
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
@@ -268,15 +272,20 @@ class Codec:
 
 
 class _Memo(dict):
-    """What ``make`` gives for short strings; emptied when full, so its memory is bounded."""
+    """What ``make`` gives for short strings, in two generations: when the new one is full it becomes the old one, whose
+    strings come back as they are met. So memory is bounded, and what is met often stays."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...] | None]) -> None:
+    def __init__(self, make: Callable[[str], tuple[int, ...]]) -> None:
         self.make = make
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, key: str) -> tuple[int, ...] | None:
-        ids = self.make(key)
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
         if len(key) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[key] = ids
         return ids
