@@ -57,7 +57,7 @@ UPLOAD_HEADER = {
 def q_read_upload(spark, d):
     path = scratch_path(spark, "upload") + "/upload.csv"
     f3 = FX.f3_upload(spark, d).orderBy("o_orderkey")
-    S.write_text_csv(f3.select(*[F.col(c).cast("string").alias(n) for c, n in UPLOAD_HEADER.items()]), path, single_file=True)
+    S.write_text_csv(f3.select(*[F.col(c).cast("string").alias(n) for c, n in UPLOAD_HEADER.items()]), path)
     return S.read_upload(spark, path)
 
 

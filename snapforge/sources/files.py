@@ -1,17 +1,19 @@
 """File sources and sinks: S1 latest dated CSV, S2 metadata CSV, S3 upload CSV, S7 snapshot export.
 
-All readers are ``spark.read.csv`` with an explicit all-string schema (no inference
-pass over the data); file listing uses the ``binaryFile`` source with only the
+Uploads and metadata are read as lines in as many tasks as the files have splits, cut into records (quoted line breaks
+included) and parsed by ``from_csv`` with an all-string schema; file listing uses the ``binaryFile`` source with only the
 ``path`` column selected, so no file content is read to pick a file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from snapforge.constants import KEY_COL, READ_NULL_TOKENS, VERSION_COL
 from snapforge.functions.names import _normalize_name_py
@@ -38,30 +40,140 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
 def read_text_csv(
     spark: SparkSession, path: str, sep: str = ";", columns: Sequence[str] | None = None, in_order: bool = False
 ) -> DataFrame:
-    """Header CSV (RFC 4180) with every column as string and no schema inference.
+    """Header CSV (RFC 4180) with every column as string and no schema inference, each split of a file read by a task of its own.
 
     A row with more cells than the header fails the read. ``in_order`` adds the columns of
-    ``FILE_ORDER``: the file, and a number that grows within it.
+    ``FILE_ORDER``: the file, and a number that grows within it. Records end at line feeds (a carriage return before
+    one is dropped) outside quoted cells; empty lines are no records.
     """
     cols = list(columns) if columns is not None else _header(spark, path, sep)
-    bad = "__corrupt"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cols, bad]])
-    df = (
-        spark.read.options(
-            header="true", sep=sep, enforceSchema="true", multiLine="true", mode="PERMISSIVE",
-            columnNameOfCorruptRecord=bad, **QUOTING,
-        )
-        .schema(schema).csv(path)
-    )
+    bad, cells = "__corrupt", [f"c{i}" for i in range(len(cols))]
+    schema = ", ".join(f"{c} string" for c in [*cells, bad])
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, **QUOTING}
+    # the first record of each file is its header
+    found = csv_records(spark, path, sep).where("place > 0").select("file", "place", F.from_csv("record", schema, options).alias("r"))
+    df = found.select("r.*", F.col("file").alias(FILE_ORDER[0]), F.col("place").alias(FILE_ORDER[1]))
     # a short row (its missing cells are null) is also marked, but only cells beyond the header would be lost
-    surplus = F.col(f"`{bad}`").isNotNull() & F.col(f"`{cols[-1]}`").isNotNull()
-    last = F.when(surplus, F.raise_error(F.concat(F.lit("more cells than the header: "), F.col(f"`{bad}`")))).otherwise(
-        F.col(f"`{cols[-1]}`")
+    surplus = F.col(bad).isNotNull() & F.col(cells[-1]).isNotNull()
+    last = F.when(surplus, F.raise_error(F.concat(F.lit("more cells than the header: "), F.col(bad)))).otherwise(F.col(cells[-1]))
+    kept = [*[F.col(c).alias(name) for c, name in zip(cells[:-1], cols[:-1], strict=True)], last.cast("string").alias(cols[-1])]
+    return df.select(*kept, *(FILE_ORDER if in_order else []))
+
+
+def csv_records(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    """(file, place, record): the records of CSV files, quoted line breaks and all, in many tasks.
+
+    Files are read as lines, by split. Whether a split begins inside a quoted cell depends on all that is before it, so each split is
+    first walked for both cases, and the two outcomes of the splits of a file are chained (a few bytes a split). Knowing
+    how it begins, each split then cuts its own records; only a record that goes over a split's end is put together
+    from its pieces. ``place`` is 0 for a file's first record and grows within the file."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line")
     )
-    kept = [*[F.col(f"`{c}`") for c in cols[:-1]], last.cast("string").alias(cols[-1])]
-    if in_order:
-        kept += [F.col("_metadata.file_path").alias(FILE_ORDER[0]), F.monotonically_increasing_id().alias(FILE_ORDER[1])]
-    return df.select(*kept)
+    walk = _Walk(sep)
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[str, int], tuple[bool, bool]] = {}  # a row a split
+        for split, some in _lines(batches):
+            out, inside = rows.get(split, (False, True))
+            for line in some:
+                if b'"' in line:
+                    out, inside = walk(line, out), walk(line, inside)
+            rows[split] = out, inside
+        cols = [[f for f, _ in rows], [b for _, b in rows], [o for o, _ in rows.values()], [i for _, i in rows.values()]]
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file", "block", "after_out", "after_in"])
+
+    ends = lines.mapInArrow(outcomes, "file string, block long, after_out boolean, after_in boolean")
+    # a split ends as it began, or the other way round, or in one way however it began; after the last one of
+    # the third kind it is the number of turns that tells
+    fixed, turns = F.col("after_out") == F.col("after_in"), F.col("after_out") & ~F.col("after_in")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = ends.withColumns({
+        "set": F.coalesce(F.last(F.when(fixed, F.col("after_out")), True).over(before), F.lit(False)),
+        "since": F.coalesce(F.sum(fixed.cast("int")).over(before), F.lit(0)), "turn": turns.cast("int"),
+    })
+    counted = Window.partitionBy("file", "since").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = known.select("file", "block", (F.col("set") != (F.coalesce(F.sum("turn").over(counted), F.lit(0)) % 2 == 1)).alias("inside"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _cut(batches, walk)
+
+    schema = "file string, block long, place long, piece int, text binary"
+    pieces = lines.join(F.broadcast(begins), ["file", "block"]).mapInArrow(cut, schema)  # a row a split
+    whole = pieces.where("piece = 0").select("file", "place", "text")
+    # an open record and the pieces in the splits behind it
+    order = Window.partitionBy("file").orderBy("block", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    parts = pieces.where("piece <> 0").withColumn("place", F.last("place", True).over(order))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"].cast("string"))
+    put = parts.groupBy("file", "place").agg(F.array_join(joined, "\n").cast("binary").alias("text"))
+    text = F.regexp_replace(F.col("text").cast("string"), "\r$", "")
+    return whole.unionByName(put).select("file", "place", text.alias("record")).where("record <> ''")
+
+
+class _Walk:
+    """Whether a line ends inside a quoted cell, given whether it begins in one."""
+
+    def __init__(self, sep: str) -> None:
+        s = re.escape(sep.encode())
+        cell = b'(?:"[^"]*(?:""[^"]*)*+"(?!")(?:(?!' + s + b")[\\s\\S])*+|(?!\")(?:(?!" + s + b")[\\s\\S])*+)"
+        self.cells = re.compile(cell + b"(?:" + s + cell + b")*+")
+        self.close = re.compile(b'[^"]*(?:""[^"]*)*+"(?!")')
+        self.rest = re.compile(b"(?:(?!" + s + b")[\\s\\S])*+(?:" + s + cell + b")*+")
+
+    def __call__(self, line: bytes, inside: bool) -> bool:
+        if b'"' not in line:
+            return inside
+        if not inside:
+            return self.cells.fullmatch(line) is None
+        end = self.close.match(line)
+        return end is None or self.rest.fullmatch(line, end.end()) is None
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[bytes]]]:
+    """((file, block), lines) of neighbouring rows of one split."""
+    for batch in batches:
+        files, blocks, lines = (batch.column(c).to_pylist() for c in ("file", "block", "line"))
+        for split, some in itertools.groupby(zip(files, blocks, lines, strict=True), key=lambda r: r[:2]):
+            yield split, [line for _, _, line in some]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], walk: _Walk) -> Iterator[pa.RecordBatch]:
+    """Rows (file, block, place, piece, text): whole records (piece 0), the beginning of one that the split doesn't end (2), and
+    what the split has of a record from before it (1, place null). A record's place is its split's offset and the number of its first line in it."""
+    rows: list[tuple] = []
+    now, inside, open_, number, place = None, False, [], 0, None
+
+    def batch() -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file", "block", "place", "piece", "text"])
+
+    def leave() -> None:
+        if open_:
+            rows.append((*now, place, 1 if place is None else 2, b"\n".join(open_)))
+            open_.clear()
+
+    for one in batches:
+        columns = (one.column(c).to_pylist() for c in ("file", "block", "line", "inside"))
+        for file, block, line, begins in zip(*columns, strict=True):
+            if (file, block) != now:
+                leave()
+                now, inside, number, place = (file, block), begins, 0, None
+            elif not open_:
+                place = None
+            if not open_ and not inside:
+                place = block + number
+            open_.append(line)
+            number += 1
+            inside = walk(line, inside)
+            if not inside:
+                rows.append((file, block, place, 1 if place is None else 0, b"\n".join(open_)))
+                open_.clear()
+        yield batch()
+    leave()
+    yield batch()
 
 
 def write_text_csv(df: DataFrame, path: str, sep: str = ";", single_file: bool = False, mode: str = "errorifexists") -> None:

@@ -143,7 +143,9 @@ def approve(
             if K.commit_version(spark, target, _restamped(spark, target, cr_id, rows, staged, kind, ts), tag=_tag(cr_id)) is None:
                 return "not_pending"  # another approval of it came first
     view = spark.range(1).select(F.lit(cr_id).alias("cr_id"))
-    published = C.log_events(view, spark.table(log_table), C.PUBLISHED, user, ts, target_table=F.lit(target))
+    log = spark.table(log_table)
+    after = log.select(F.coalesce(F.max("seq"), F.lit(-1)) + 2).scalar()  # the approval has the number before it
+    published = C.log_events(view, log, C.PUBLISHED, user, ts, target_table=F.lit(target), seq=after)
     append_rows(asked.unionByName(published), log_table)
     spark.catalog.refreshTable(log_table)
     return outcome
