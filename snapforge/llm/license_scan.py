@@ -4,9 +4,10 @@ Every rolling ``K``-gram of words of every document is hashed and joined, in Spa
 of the same hashes in the templates (a small fixed table, broadcast). A match at word ``p`` of a
 document and word ``t`` of a template votes for the diagonal ``p - t``. Votes are summed per document,
 template and diagonal; diagonals at most ``SLIP`` apart (words were put in or left out) are merged;
-and a span is verified: its score is the template's words that matched k-grams cover, over the template's words
-and the words that stand in the span beside them. It must be at least ``COVER``, and 1 for templates of at most
-``SHORT`` words, where each word tells; the span is not longer than ``STRETCH`` times the template. A span more
+each merged run is cut at its best spans, which are verified: a span's score is the template's words that matched k-grams cover, over the
+template's words and the words that stand in the span beside those. It must be at least ``COVER``, for templates of any size: 8 words
+stand one word left out or put in, 5 words none. A span is not longer than ``STRETCH`` times the template; a run that is, such as a
+notice with parts of it repeated behind, gives all its spans that don't overlap, best first. A span more
 than half in one of another label with a better score (or as good, and more words) is not reported: a licence whose
 name holds another's.
 
@@ -17,6 +18,7 @@ is empty and has no words.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -29,9 +31,8 @@ from snapforge.llm.common import WordTable, runs, text_docs, window_hashes
 
 K = 3
 SLIP = 3
-COVER = 0.8
+COVER = 0.86
 STRETCH = 1.5
-SHORT = 8
 
 #: The phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -164,6 +165,36 @@ def rolling_grams(docs: DataFrame, k: int = K) -> DataFrame:
     return _keyed_text(docs).mapInArrow(each, "key struct<doc_id: long, h: long>, grams array<long>")
 
 
+def best_spans(hits: list[tuple[int, int]], size: int, k: int) -> list[tuple[int, int, float, int]]:
+    """(first word, last word, score, words of the template covered) of the spans of a run that don't overlap, best first chosen, by place.
+
+    ``hits``: (word of the document, word of the template) of each matched k-gram, by place. For each hit the best end of a
+    span that begins there is found; of the spans, the best are taken (more words, then the earlier one, if equal)."""
+    reach, found = STRETCH * size, []
+    for i, (first, _) in enumerate(hits):
+        if i and hits[i - 1][0] == first:
+            continue
+        seen: set[int] = set()
+        best = (0.0, 0, 0)
+        for j in range(i, len(hits)):
+            p, t = hits[j]
+            if p - first + k > reach:
+                break
+            seen.update(range(t, t + k))
+            if j + 1 < len(hits) and hits[j + 1][0] == p:
+                continue
+            score = len(seen) / (size + max(0, p - first + k - len(seen)))
+            best = max(best, (score, len(seen), -(p + k - 1)))
+        if best[0] >= COVER:
+            found.append((-best[0], -best[1], first, -best[2]))
+    out: list[tuple[int, int, float, int]] = []
+    for score, words, first, last in sorted(found):
+        at = bisect.bisect(out, (first,))
+        if (at == 0 or out[at - 1][1] < first) and (at == len(out) or out[at][0] > last):
+            out.insert(at, (first, last, -score, -words))
+    return out
+
+
 def spans(grams: DataFrame, templates: list[tuple[str, str]], k: int = K) -> DataFrame:
     """Verified spans: key, label, template, first_word, last_word, score; from rows (key, grams)."""
     spark = grams.sparkSession
@@ -178,39 +209,41 @@ def spans(grams: DataFrame, templates: list[tuple[str, str]], k: int = K) -> Dat
         grams.select("key", F.posexplode("grams").alias("p", "gram"))
         .join(F.broadcast(known), "gram")  # some hundred k-grams of fixed templates
         .groupBy("key", "template", "label", "size", (F.col("p") - F.col("t")).alias("diagonal"))
-        .agg(
-            F.collect_set("t").alias("ts"),  # no more than the template has words
-            F.collect_set("p").alias("ps"),  # as many
-            F.min("p").alias("first"),
-            F.max("p").alias("last"),
-        )
+        .agg(F.collect_list("p").alias("ps"))  # of one document
     )
     by = Window.partitionBy("key", "template").orderBy("diagonal")
     merged = (
         votes.withColumn("apart", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > SLIP, F.lit(True)))
         .withColumn("run", F.sum(F.col("apart").cast("int")).over(by))
+        .withColumn("hits", F.transform("ps", lambda p: F.struct(p.cast("long").alias("p"), (p - F.col("diagonal")).alias("t"))))
         .groupBy("key", "template", "label", "size", "run")
-        .agg(
-            F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"),
-            F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps"),
-            F.min("first").alias("first_word"),
-            (F.max("last") + k - 1).alias("last_word"),
-        )
+        .agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
     )
 
-    def covered(places: str) -> Column:
-        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda t: F.sequence(t, t + k - 1)))))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i, (size, hits) in enumerate(zip(batch.column("size").to_pylist(), batch.column("hits").to_pylist(), strict=True)):
+                for span in best_spans([(h["p"], h["t"]) for h in hits], size, k):
+                    rows.append(i)
+                    found.append(span)
+            of = pa.array(rows, pa.int64())
+            cols = list(zip(*found, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(of) for c in ("key", "template", "label")), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                names=["key", "template", "label", "first_word", "last_word", "score", "words"],
+            )
 
-    length = F.col("last_word") - F.col("first_word") + 1
-    verified = (
-        merged.where(length <= STRETCH * F.col("size"))
-        .withColumn("score", covered("ts") / (F.col("size") + length - covered("ps")))
-        .where(F.col("score") >= F.when(F.col("size") <= SHORT, 1.0).otherwise(COVER))
+    key = grams.schema["key"].dataType.simpleString()
+    verified = merged.select("key", "template", "label", "size", "hits").mapInArrow(
+        cut, f"key {key}, template int, label string, first_word long, last_word long, score double, words long"
     )
+    length = F.col("last_word") - F.col("first_word") + 1
     # spans are no longer than this, so few begin near one
     reach = int(STRETCH * max(len(words_of(n.encode())) for _, n in templates)) + 1
     near = Window.partitionBy("key").orderBy("first_word").rangeBetween(-reach, reach)
-    span = F.struct("label", "first_word", "last_word", F.struct(F.col("score"), covered("ts").alias("words")).alias("worth"))
+    span = F.struct("label", "first_word", "last_word", F.struct("score", "words").alias("worth"))
 
     def beats(b: Column) -> Column:
         common = F.least(b["last_word"], F.col("last_word")) - F.greatest(b["first_word"], F.col("first_word")) + 1

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from snapforge.llm import collocations, decontaminate, queries, whitening
+from snapforge.llm import collocations, decontaminate, license_scan, queries, whitening
 from tests.conftest import SF_SMALL
 
 DOCS = "doc_id long, text string, lang string, hits int, `__key` int, body string"
@@ -244,3 +244,56 @@ def test_whitening_of_awkward_rows(spark):
     assert {r["component"] for r in whitening.whitened(line).collect()} == {1}
     with pytest.raises(ValueError, match="entries"):
         whitening.whitened(spark.createDataFrame([(1, [0.5] * 2049)], "vec_id long, embedding array<float>"))
+
+
+# --- licence spans -----------------------------------------------------------------
+def brute_spans(words, template, k=license_scan.K):
+    """Every span of the text by the docstring's score, best first, without overlaps."""
+    grams = {}
+    for t in range(len(template) - k + 1):
+        grams.setdefault(tuple(template[t : t + k]), []).append(t)
+    hit = [grams.get(tuple(words[p : p + k]), []) for p in range(len(words) - k + 1)]
+    spans = []
+    for i in range(len(hit)):
+        for j in range(i, len(hit)):
+            n = j - i + k
+            if hit[i] and hit[j] and n <= license_scan.STRETCH * len(template):
+                seen = {t + x for p in range(i, j + 1) for t in hit[p] for x in range(k)}
+                score = len(seen) / (len(template) + max(0, n - len(seen)))
+                if score >= license_scan.COVER:
+                    spans.append((-score, -len(seen), i, j + k - 1))
+    out = []
+    for score, seen, a, b in sorted(spans):
+        if all(b < c or d < a for c, d, _, _ in out):
+            out.append((a, b, -score, -seen))
+    return sorted(out)
+
+
+def test_best_spans_against_all_spans():
+    rng = np.random.default_rng(9)
+    template = "released under the terms of the free licence of the free software".split()
+    for _ in range(300):
+        words = []
+        for _ in range(rng.integers(1, 5)):
+            part = list(template[rng.integers(0, 4) :])
+            for _ in range(rng.integers(0, 3)):
+                at = rng.integers(0, len(part))
+                part[at : at + rng.integers(0, 2)] = ["x"] * rng.integers(0, 2)
+            words += part
+        grams = {}
+        for t in range(len(template) - 2):
+            grams.setdefault(tuple(template[t : t + 3]), []).append(t)
+        hits = [(p, t) for p in range(len(words) - 2) for t in grams.get(tuple(words[p : p + 3]), [])]
+        assert license_scan.best_spans(hits, len(template), 3) == brute_spans(words, template)
+
+
+def test_repeated_parts_and_inserted_words_keep_the_licence(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    want = {
+        mit: "mit", mit + " of this software" * 5: "mit", "Licensed under CC BY-SA, CC BY-SA, CC BY-SA, CC BY-SA": "cc-by-sa",
+        "Licensed under the old Apache Licence, Version 2.0": "", "Licensed under the Apache modified License, Version 2.0": "apache",
+        "SPDX-License-Identifier: CC-PDDC": "", f"{mit} {mit} {mit}": "mit",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_labels(df).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
