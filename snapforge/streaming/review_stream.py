@@ -45,10 +45,11 @@ def status_from_summary(summary_rows: DataFrame) -> DataFrame:
     return cr_status(log)
 
 
-def cr_status_stream(spark: SparkSession, log: DataFrame, n_files: int = 2) -> DataFrame:
-    """Write ``log`` as ``n_files`` Parquet files ordered by seq, stream them one file per
-    micro-batch, and return the resulting status per CR."""
+def cr_status_stream(spark: SparkSession, log: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+    """Write ``log`` as Parquet files ordered by seq, as many as there are shuffle partitions (Spark merges
+    small ones), stream some files per micro-batch (by default half of the partitions' number), and return the resulting status per CR."""
     base = scratch_path(spark, "review-stream")
-    log.repartitionByRange(n_files, "seq").write.parquet(f"{base}/log")
-    run_summary_stream(spark, f"{base}/log", f"{base}/out")
+    log.repartitionByRange("seq").write.parquet(f"{base}/log")
+    each = files_per_batch or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    run_summary_stream(spark, f"{base}/log", f"{base}/out", each)
     return status_from_summary(spark.read.parquet(f"{base}/out"))
