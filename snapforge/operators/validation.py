@@ -495,7 +495,8 @@ def validate_upload(
     once: a row's problems and the parts of its keys and period are written, and the stages read that copy.
     ``business_keys`` is one list of columns or several (D13).
     ``stop_early`` keeps only the first failing stage, as the upload flow does: stages after it are neither planned nor run.
-    Validity is checked only when key, from and to are all set (decision D22)."""
+    Validity is checked only when key, from and to are all set (decision D22); a half-set one is a row of stage 0 in the
+    whole report, and no reason for an early stop."""
     if table_columns is not None:
         names = _column_stage(raw, table_columns, row_col)
         if stop_early and names is not None:
@@ -527,6 +528,9 @@ def validate_upload(
         checkpoint_dir(raw.sparkSession)
         entries = entries.checkpoint()
     parts = [names] if table_columns is not None and names is not None else []
+    if validity and any(validity) and not all(validity):  # D22
+        said = (0, "configuration", ",".join(v for v in validity if v), None, None, "validity is checked only when key, from and to are all set")
+        parts.append(raw.sparkSession.createDataFrame([said], _no_problems(raw).schema))
     parts += [_cell_problems(entries, cells)] if cells else []
     parts += key_stages.problems(entries) if key_stages else []
     found = parts[0] if parts else _no_problems(raw)

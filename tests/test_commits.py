@@ -219,3 +219,5 @@ def test_the_report_reads_the_upload_once(spark, tmp_path):
     assert [(r["stage"], r["value"]) for r in report.collect() if r["stage"] == 4] == [(4, "1")]
     assert {r["stage"] for r in V.validate_upload(*args, stop_early=True, **more).collect()} == {2}
     assert {r["check"] for r in V.validate_upload(*args, stop_early=True, **more | {"table_columns": ["n"]}).collect()} == {"extra"}
+    half = V.validate_upload(*args, **more | {"validity": ("n", None, "d")}).collect()
+    assert [(r["stage"], r["check"], r["column"]) for r in half if r["stage"] == 0] == [(0, "configuration", "n,d")]
