@@ -11,9 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from snapforge.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
-from snapforge.llm.common import ship_package
 from snapforge.llm.queries import WORD_BPE
-from snapforge.session import scratch_path
+from snapforge.session import scratch_path, ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

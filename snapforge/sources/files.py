@@ -19,6 +19,7 @@ from snapforge.constants import KEY_COL, READ_NULL_TOKENS, VERSION_COL
 from snapforge.functions.names import _normalize_name_py
 from snapforge.functions.text import null_tokens
 from snapforge.operators.keys import assign_row_keys
+from snapforge.session import ship_package
 
 # RFC 4180: a quote within a quoted cell is doubled, and a quoted cell may hold line breaks
 QUOTING = {"quote": '"', "escape": '"'}
@@ -67,6 +68,7 @@ def csv_records(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     first walked for both cases, and the two outcomes of the splits of a file are chained (a few bytes a split). Knowing
     how it begins, each split then cuts its own records; only a record that goes over a split's end is put together
     from its pieces. ``place`` is 0 for a file's first record and grows within the file."""
+    ship_package(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line")
     )
