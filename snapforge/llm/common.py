@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,25 +15,6 @@ from snapforge.session import checkpoint_dir
 RUN_CHARS = 4_000_000
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, which may not have its folder on their path (once per application)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="package-")  # the driver serves it from here, so it stays until the end
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = f"{folder}/{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
