@@ -214,7 +214,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) ->
     per_fp = ranked.groupBy("fp").agg(F.min("r").alias("r"))
     key, one = fresh(docs, "__key"), fresh(docs, "__one")
     best = grouped.join(per_fp, "fp").groupBy("grp").agg(F.min("r").alias("r")).select(
-        F.struct(F.col("r.doc_id").alias("id"), F.col("r.h").alias("h")).alias(key)
+        # h is never null: told so, Spark sees one type on both sides, and the rows are dealt by the key once
+        F.struct(F.col("r.doc_id").alias("id"), F.coalesce("r.h", F.lit(0)).alias("h")).alias(key)
     )
     return (
         docs.withColumn(key, keyed(docs))
