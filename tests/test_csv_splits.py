@@ -9,7 +9,7 @@ import pytest
 from snapforge.sources import files as S
 
 
-@pytest.mark.parametrize("size", [64, 3000])
+@pytest.mark.parametrize("size", [256, 3000])
 def test_records_over_split_ends(spark, tmp_path, size):
     rng = np.random.default_rng(size)
     parts = ["a", ";", '"', "\n", "\n\n", "é", " ", '""', "x;y", "\n;\n", "long text " * 3]
