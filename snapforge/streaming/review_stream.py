@@ -1,55 +1,180 @@
-"""C11 as a stream: change-request status maintained incrementally from the event log.
+"""C11 as a stream: change-request status kept up to date from the event log.
 
-The review log is append-only, so its state can be kept up to date with Structured Streaming instead of folding the
-whole log again: a streaming aggregation keeps the least ``seq`` of each (CR, actor, event), whatever
-the arrival order, and the fold of these rows equals the batch fold ``operators.review.cr_status``.
+The review log is append-only, so its status can be kept up to date with Structured Streaming instead of folding
+the whole log again. One stateful processor per change request holds the request's first submit and the terminal events
+that may still decide it, gives out a status when it changes, and ends its state once the decision is settled.
+
+A request is settled when no event before its decision can arrive any more. The stream's event time is ``seq``
+(a number counts as a millisecond), so ``lateness`` is in numbers: an event that comes ``lateness`` or more behind the greatest
+number of the micro-batches before is late and is ignored. State is left only for open requests and for
+those decided within the last ``lateness`` numbers. Events without a number, or with one below zero, are left out.
+
+A request holds its events before its submit (if the log has such), and one event per actor and kind after it,
+so a request with a third of all events stays small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from snapforge.constants import CR_STATUS_PENDING
+from snapforge.operators.review import LOG_SCHEMA, TERMINAL
+from snapforge.session import scratch_path, ship_package
+
+#: rows of one request that a task holds before it drops those that can't matter
+HELD = 10_000
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATUS_SCHEMA = "cr_id string, submit_seq bigint, submit_ts string, submitted_by string, status string"
+#: submits and terminal events as (seq, ts, event, actor), which is also their order (``review.ORDER``)
+_EVENT = "seq bigint, ts string, event string, actor string"
+#: a request's state: its first submit (or null), the status given out, the events that may still decide it
+_STATE = f"submit struct<{_EVENT}>, status string, events array<struct<{_EVENT}>>"
+
+
+def _valid(event: tuple, submit: tuple) -> bool:
+    """A cancel, or a decision by someone other than the submitter, after the submit."""
+    by_other = event[3] is not None and submit[3] is not None and event[3] != submit[3]
+    return event[0] > submit[0] and (event[2] == "cancel" or by_other)
+
+
+def _order(event: tuple) -> tuple:
+    """Order of events; what is null comes first."""
+    return tuple((v is not None, v) for v in event[:4])
+
+
+def _needed(events: list[tuple], submit: tuple | None) -> list[tuple]:
+    """The events that can still decide, in order: all up to the submit (an earlier submit may come), and
+    after it the first of each actor and kind."""
+    kept, seen = [], set()
+    for e in sorted(set(events), key=_order):
+        if submit is None or e[0] <= submit[0]:
+            kept.append(e)
+        elif e[2:] not in seen:
+            seen.add(e[2:])
+            kept.append(e)
+    return kept
 
-from snapforge.operators.review import LOG_SCHEMA
-from snapforge.session import scratch_path
 
-def run_summary_stream(spark: SparkSession, log_path: str, out_path: str, max_files_per_trigger: int = 1) -> None:
-    """Keep ``min(seq)`` per (cr_id, actor, event) with a streaming aggregation (no Python in
-    the tasks; state is one row per CR, actor and event kind). ``min`` is order independent,
-    and the first valid terminal event of a CR is the minimum of its (actor, event) group, so
-    folding the summary rows gives the same status as folding the whole log."""
-    stream = (
-        spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_path)
+class RequestStatus(StatefulProcessor):
+    """The status of one change request; see the module's text."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("request", _STATE)
+
+    def _held(self) -> tuple:
+        """Submit, status given out and events, as stored."""
+        submit, given, events = self.state.get() or (None, None, [])
+        return tuple(submit) if submit else None, given, [tuple(e) for e in events]
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        submit, given, events = self._held()
+        for r in rows:
+            e = (r["seq"], r["ts"], r["event"], r["actor"])
+            if e[2] != "submit":
+                events.append(e)
+                if len(events) >= HELD:
+                    events = _needed(events, submit)
+            elif submit is None or _order(e) < _order(submit):
+                submit, given = e, None
+        return self._keep(key, submit, given, events, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._keep(key, *self._held(), timerValues.getCurrentWatermarkInMs())
+
+    def _keep(self, key, submit, given, events, watermark: int) -> Iterator[Row]:
+        """Store what may still matter, set the time to look again, and give out a status that changed."""
+        events = _needed(events, submit)
+        decision = next((e for e in events if submit is not None and _valid(e, submit)), None)
+        status = TERMINAL[decision[2]] if decision else CR_STATUS_PENDING
+        # an event below the watermark that does not decide now never will: a submit that comes now is after it
+        events = [e for e in events if event_time(e[0]) > watermark]
+        if decision is not None and event_time(decision[0]) <= watermark or submit is None and not events:
+            self.state.clear()  # settled: every event before the decision has come or is late
+        else:
+            self.state.update((submit, status if submit else None, events))
+            if events:
+                self.handle.registerTimer(event_time(decision[0] if decision else events[-1][0]))
+        if submit is not None and given != status:
+            yield Row(cr_id=key[0], submit_seq=submit[0], submit_ts=submit[1], submitted_by=submit[3], status=status)
+
+    def close(self) -> None:
+        pass
+
+
+def event_time(seq: int) -> int:
+    """Event time in milliseconds of a number; a stream's first watermark is 0, which would make number 0 late."""
+    return seq + 1
+
+
+def run_status_stream(
+    spark: SparkSession,
+    log_path: str,
+    out_path: str,
+    lateness: int,
+    max_files_per_trigger: int = 1,
+    checkpoint: str | None = None,
+) -> None:
+    """Stream the log's files (oldest first) that are new since the last run with this ``checkpoint`` and append
+    the statuses that changed to ``out_path``. A replayed micro-batch appends the same rows again, which the fold
+    doesn't mind."""
+    ship_package(spark)
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_path)
+    events = (
+        stream.where("seq >= 0 AND cr_id IS NOT NULL").where(F.col("event").isin("submit", *TERMINAL))
+        .select(
+            "cr_id", "seq", "event", "actor",
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+            F.timestamp_millis(F.col("seq") + 1).alias("event_time"),
+        )
+        .withWatermark("event_time", f"{max(lateness, 1)} milliseconds")
+    )
+    statuses = events.groupBy("cr_id").transformWithState(
+        statefulProcessor=RequestStatus(), outputStructType=STATUS_SCHEMA, outputMode="Update", timeMode="EventTime"
     )
-    summary = stream.groupBy("cr_id", "actor", "event").agg(F.min("seq").alias("seq"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
-    q = (
-        summary.writeStream.outputMode("update").foreachBatch(write_batch)
-        .option("checkpointLocation", scratch_path(spark, "review-summary-ckpt"))
-        .trigger(availableNow=True).start()
-    )
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # the state store that stateful processors need; read when the query starts
+    try:
+        q = (
+            statuses.writeStream.outputMode("update").foreachBatch(write_batch)
+            .option("checkpointLocation", checkpoint or scratch_path(spark, "review-status-ckpt"))
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
     q.awaitTermination()
 
 
-def status_from_summary(summary_rows: DataFrame) -> DataFrame:
-    """Batch fold (C11) over the streamed summary rows; a re-emitted group keeps its minimum."""
-    from snapforge.operators.review import cr_status
+def latest_statuses(changes: DataFrame) -> DataFrame:
+    """Current status per CR from the streamed changes: of its first submit, the last change. A request submitted again
+    after its state ended keeps its decision, as in the batch fold."""
+    rank = F.struct("submit_seq", "submit_ts", "submitted_by", -F.col("batch_id"))
+    return changes.groupBy("cr_id").agg(F.min_by("status", rank).alias("status"))
 
-    rows = summary_rows.groupBy("cr_id", "actor", "event").agg(F.min("seq").alias("seq"))
-    present = set(rows.columns)
-    fields = [f.split() for f in LOG_SCHEMA.split(", ")]
-    log = rows.select(*[(F.col(c) if c in present else F.lit(None)).cast(t).alias(c) for c, t in fields])
-    return cr_status(log)
 
+def cr_status_stream(spark: SparkSession, log: DataFrame, segments: int = 4) -> DataFrame:
+    """Land ``log`` as a growing log does, in ``segments`` appends of consecutive numbers with as many files as
+    there are shuffle partitions (Spark merges small ones), stream it, and return the resulting status per CR.
 
-def cr_status_stream(spark: SparkSession, log: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """Write ``log`` as Parquet files ordered by seq, as many as there are shuffle partitions (Spark merges
-    small ones), stream some files per micro-batch (by default half of the partitions' number), and return the resulting status per CR."""
+    Files of one append may be read in any order, so events come late by at most an append's numbers."""
     base = scratch_path(spark, "review-stream")
-    log.repartitionByRange("seq").write.parquet(f"{base}/log")
-    each = files_per_batch or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    run_summary_stream(spark, f"{base}/log", f"{base}/out", each)
-    return status_from_summary(spark.read.parquet(f"{base}/out"))
+    log.write.parquet(f"{base}/whole")
+    whole = spark.read.parquet(f"{base}/whole")
+    low, high = whole.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    width = (high - low) // segments + 1
+    for i in range(segments):
+        rows = whole.where((F.col("seq") >= low + i * width) & (F.col("seq") < low + (i + 1) * width))
+        rows.repartitionByRange("seq").write.mode("append").parquet(f"{base}/log")
+    each = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.createDataFrame([], f"{STATUS_SCHEMA}, batch_id int").write.parquet(f"{base}/out")
+    run_status_stream(spark, f"{base}/log", f"{base}/out", lateness=width + 1, max_files_per_trigger=each)
+    return latest_statuses(spark.read.parquet(f"{base}/out"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from snapforge.operators import review as C
-from snapforge.streaming.review_stream import run_summary_stream, status_from_summary
+from snapforge.streaming.review_stream import latest_statuses, run_status_stream
 
 COLS = ["cr_id", "seq", "event", "actor", "ts", "target_table", "change_type", "note", "row_count", "reason"]
 ARROW_SCHEMA = pa.schema([
@@ -24,22 +24,73 @@ def _rows(events):
     ]
 
 
-def test_summary_stream_matches_batch_fold(spark, tmp_path):
+def _land(log_dir, i, events):
+    """One file of the log; files are streamed in the order of their numbers."""
+    log_dir.mkdir(exist_ok=True)
+    table = pa.Table.from_pylist([dict(zip(COLS, r)) for r in _rows(events)], schema=ARROW_SCHEMA)
+    f = log_dir / f"{i}.parquet"
+    pq.write_table(table, f)
+    os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+def _statuses(spark, out):
+    return {r["cr_id"]: r["status"] for r in latest_statuses(spark.read.parquet(out)).collect()}
+
+
+def _batch(spark, batches):
+    log = spark.createDataFrame(_rows([e for b in batches for e in b]), C.LOG_SCHEMA)
+    return {r["cr_id"]: r["status"] for r in C.cr_status(log).collect()}
+
+
+def _state(spark, checkpoint):
+    """Requests with state, and how many events each holds."""
+    rows = spark.read.format("statestore").option("stateVarName", "request").load(checkpoint)
+    return {r[0]: r[1] for r in rows.selectExpr("key.cr_id", "size(value.events)").collect()}
+
+
+def test_status_stream_matches_batch_fold_in_any_order(spark, tmp_path):
     batches = [
         [("a", 5, "reject", "bob"), ("b", 2, "submit", "ann")],
         [("a", 1, "submit", "ann"), ("b", 3, "approve", "ann")],
-        [("a", 4, "approve", "cid"), ("b", 6, "cancel", "ann"), ("c", 7, "submit", "dan")],
+        [("a", 4, "approve", "cid"), ("b", 6, "cancel", "ann"), ("c", 7, "submit", "dan"), ("d", 8, "approve", "ann")],
     ]
-    log_dir = tmp_path / "log"
-    log_dir.mkdir()
     for i, b in enumerate(batches):
-        table = pa.Table.from_pylist([dict(zip(COLS, r)) for r in _rows(b)], schema=ARROW_SCHEMA)
-        f = log_dir / f"{i}.parquet"
-        pq.write_table(table, f)
-        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+        _land(tmp_path / "log", i, b)
     out = str(tmp_path / "out")
-    run_summary_stream(spark, str(log_dir), out)
-    got = {r["cr_id"]: r["status"] for r in status_from_summary(spark.read.parquet(out)).collect()}
-    all_events = spark.createDataFrame(_rows([e for b in batches for e in b]), C.LOG_SCHEMA)
-    batch = {r["cr_id"]: r["status"] for r in C.cr_status(all_events).collect()}
-    assert got == batch == {"a": "approved", "b": "cancelled", "c": "pending"}
+    run_status_stream(spark, str(tmp_path / "log"), out, lateness=100)
+    assert _statuses(spark, out) == _batch(spark, batches) == {"a": "approved", "b": "cancelled", "c": "pending"}
+    changes = spark.read.parquet(out).where("cr_id = 'a'").orderBy("batch_id").collect()
+    assert [r["status"] for r in changes] == ["rejected", "approved"]  # each status once
+
+
+def test_state_of_decided_requests_ends_and_late_events_are_ignored(spark, tmp_path):
+    log, out, ckpt = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    batches = [
+        [("a", 0, "submit", "ann"), ("b", 1, "submit", "bob"), ("a", 5, "approve", "cid"), ("b", 6, "approve", "bob"), ("x", 7, "reject", "cid")],
+        [("c", 20, "submit", "ann")],
+    ]
+    for i, b in enumerate(batches):
+        _land(log, i, b)
+    run_status_stream(spark, str(log), out, lateness=3, checkpoint=ckpt)
+    assert _statuses(spark, out) == _batch(spark, batches) == {"a": "approved", "b": "pending", "c": "pending"}
+    # a is settled; neither b's own approval nor x, whose submit never came, is kept
+    assert _state(spark, ckpt) == {"b": 0, "c": 0}
+
+    # 4 is late: a stays approved though a cancel before its decision turns up; b's cancel is in time, a's second submit new
+    _land(log, 2, [("a", 4, "cancel", "ann"), ("b", 21, "cancel", "bob"), ("a", 22, "submit", "eve")])
+    run_status_stream(spark, str(log), out, lateness=3, checkpoint=ckpt)
+    assert _statuses(spark, out) == {"a": "approved", "b": "cancelled", "c": "pending"}
+
+
+def test_a_request_with_many_events_keeps_few(spark, tmp_path):
+    own = [("a", 2 + i, "approve", "ann") for i in range(500)]
+    batches = [[("a", 1, "submit", "ann"), *own], [("a", 600, "reject", "bob")]]
+    for i, b in enumerate(batches):
+        table = pa.Table.from_pylist([dict(zip(COLS, (cr, s, e, u, dt.datetime(2024, 1, 1), *[None] * 5))) for cr, s, e, u in b], schema=ARROW_SCHEMA)
+        (tmp_path / "log").mkdir(exist_ok=True)
+        pq.write_table(table, tmp_path / "log" / f"{i}.parquet")
+        os.utime(tmp_path / "log" / f"{i}.parquet", (1_700_000_000 + i,) * 2)
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    run_status_stream(spark, str(tmp_path / "log"), out, lateness=10_000, checkpoint=ckpt)
+    assert _statuses(spark, out) == {"a": "rejected"}
+    assert _state(spark, ckpt) == {"a": 2}  # ann's first approval and bob's rejection
