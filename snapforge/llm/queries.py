@@ -117,6 +117,32 @@ ORACLE_SQL = {
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
             sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op7_sharding": r"""
+        WITH crc AS (  -- the table of CRC-32 (polynomial EDB88320, reversed), by rule
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS c
+                FROM range(256) AS s(i))),
+        d AS (
+            SELECT doc_id, [unicode(x) for x in regexp_extract_all(coalesce(text, ''), '(?s).')] AS chars FROM documents),
+        b AS (
+            SELECT doc_id, flatten([
+                CASE WHEN u < 128 THEN [u] WHEN u < 2048 THEN [192 + u // 64, 128 + u % 64]
+                    WHEN u < 65536 THEN [224 + u // 4096, 128 + u // 64 % 64, 128 + u % 64]
+                    ELSE [240 + u // 262144, 128 + u // 4096 % 64, 128 + u // 64 % 64, 128 + u % 64] END
+                for u in chars]) AS bytes FROM d),
+        s AS (
+            SELECT doc_id, CAST(len(bytes) + 1 AS BIGINT) AS size, CAST(xor(4294967295, list_reduce(
+                list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS BIGINT) AS text_crc32
+            FROM b, crc),
+        p AS (
+            SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto,
+                sum(size) OVER () AS total FROM s),
+        placed AS (
+            SELECT *, CAST(least(7, floor((2 * upto - size) * 8 / (2 * total))) AS INTEGER) AS shard FROM p)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+            row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+            CAST(NULL AS INTEGER) AS grown_shard
+        FROM placed""",
     "op11_collocations": r"""
         WITH t AS (
             SELECT coalesce(lang, 'und') AS lang,
