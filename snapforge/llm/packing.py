@@ -30,6 +30,8 @@ from snapforge.llm.common import runs, shuffle_partitions, text_docs, written
 #: Trailing marks that the pre-tokenizer splits from the letters before them (no apostrophe).
 MARKS = ".,;:!?|\"()[]-"
 MEMO_ENTRIES = 400_000
+#: Words of more bytes are encoded anew each time: text without blanks can be one word of any length.
+MEMO_WORD = 64
 
 
 @functools.lru_cache(maxsize=2)
@@ -37,7 +39,7 @@ def _encoder(path: str):
     """bytes of a text -> its token ids as little-endian uint32 bytes; made once per Python worker.
 
     The tokenizer never lets a token cross white space, so a text is encoded word by word from a
-    bounded memo of words. A word of Latin-1 letters with trailing marks is lower-cased and given
+    bounded memo of words, each of bounded length. A word of Latin-1 letters with trailing marks is lower-cased and given
     to the BPE model directly (NFC and lower-casing are trivial there); any other word takes
     the whole tokenizer.
     """
@@ -55,26 +57,24 @@ def _encoder(path: str):
                 ids = cores[core.lower()] + (marks[s[len(core):]] if len(core) < len(s) else b"")
             else:
                 ids = whole(s)
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[word] = ids
-            return ids
+            return kept(self, word, ids)
 
     class Cores(dict):
         def __missing__(self, core: str) -> bytes:
             chars = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_CHARS)
             ids = np.array([t.id for t in tok.model.tokenize(chars)], dtype="<u4").tobytes()
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[core] = ids
-            return ids
+            return kept(self, core, ids)
 
     class Marks(dict):
         def __missing__(self, mark: str) -> bytes:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[mark] = ids = whole(mark)
-            return ids
+            return kept(self, mark, whole(mark))
+
+    def kept(memo: dict, word, ids: bytes) -> bytes:
+        if len(word) <= MEMO_WORD:
+            if len(memo) >= MEMO_ENTRIES:
+                memo.clear()
+            memo[word] = ids
+        return ids
 
     def whole(s: str) -> bytes:
         return np.array(tok.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
