@@ -10,12 +10,14 @@ text of a line still shares some. A text of under ``WIDTH`` bytes is one feature
 
 Two digests are compared filter by filter: the bits two filters share, less what chance gives,
 over the most they could share; each filter of the shorter digest takes its best match, and the
-likeness is their mean. Equal digests have likeness 1, an empty text's digest 0 to any other.
+likeness is their mean (of both digests' filters if they have as many, so the order of the two never matters). Equal digests have likeness 1, an empty text's digest 0 to any other.
 
 For the query's neighbours, documents are dealt in id order into ranges with explicit cuts (Spark's
 ``percentile_approx`` over the ids), sorted, and streamed with one row of lookahead; the first
 document of each range also goes, flagged, to the end of the range before. So each text
-is shuffled once. Rows with one id are ordered by text.
+is shuffled once. Rows with one id (or none) are ordered by a hash of their text; if they hold several ranges'
+share of the rows, they are dealt to as many ranges by that hash. Rows alike in both are interchangeable
+and stay in one range.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ LOW = BINS // 8
 CUT = 0.3
 #: Ranges of ids per shuffle partition.
 SPLIT = 8
+#: Where rows without an id are dealt.
+NO_ID = -(1 << 63)
 
 _SCALE = 1 << 20
 
@@ -202,17 +206,28 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return 0.0
     if len(a) > len(b):
         a, b = b, a
-    in_b = np.bitwise_count(b.view(np.uint64)).sum(axis=1, dtype=np.int64)
-    scores = []
-    for f in a:
-        in_f = int(np.bitwise_count(f.view(np.uint64)).sum())
+    in_a, in_b = (np.bitwise_count(x.view(np.uint64)).sum(axis=1, dtype=np.int64) for x in (a, b))
+    best_a, best_b = np.zeros(len(a)), np.zeros(len(b))
+    for i, f in enumerate(a):
         both = np.bitwise_count(f.view(np.uint64) & b.view(np.uint64)).sum(axis=1, dtype=np.int64)
-        most = np.minimum(in_f, in_b)
-        chance = in_f * in_b / (FILTER * 8)
+        most = np.minimum(in_a[i], in_b)
+        chance = in_a[i] * in_b / (FILTER * 8)
         floor = chance + CUT * (most - chance)
         room = np.maximum(most - floor, 1e-9)
-        scores.append(float(np.clip((both - floor) / room, 0, 1).max()))
-    return min(1.0, float(np.mean(scores)))
+        scores = np.clip((both - floor) / room, 0, 1)
+        best_a[i] = scores.max()
+        np.maximum(best_b, scores, out=best_b)
+    if len(a) < len(b):
+        return min(1.0, float(np.mean(best_a)))
+    return min(1.0, float(np.mean(sorted([*best_a, *best_b]))))  # sorted: the same sum in either order
+
+
+def range_of(ids: np.ndarray, hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Range of each row, rising with (id, hash). A cut that comes several times splits its id's rows by their hash."""
+    below = np.searchsorted(cuts, ids, side="left")
+    times = (np.searchsorted(cuts, ids, side="right") - below).astype(np.uint64)
+    high = (hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # in the order of the signed hashes
+    return below + np.where(times > 0, ((high * times) >> np.uint64(32)).astype(np.int64) + 1, 0)
 
 
 def text_of(filters: np.ndarray) -> str:
@@ -257,17 +272,19 @@ def fingerprinted(docs: DataFrame, histogram: np.ndarray | None = None) -> DataF
     n = shuffle_partitions(docs.sparkSession)
     rows = text_docs(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
     share = [i / (n * SPLIT) for i in range(1, n * SPLIT)]
-    cuts = rows.agg(F.percentile_approx("doc_id", share, 100 * n * SPLIT)).first()[0]  # n * SPLIT numbers
-    cuts = np.array(sorted(set(cuts or [])), dtype=np.int64)
+    filled = F.coalesce("doc_id", F.lit(NO_ID))
+    cuts = rows.agg(F.percentile_approx(filled, share, 100 * n * SPLIT)).first()[0]  # n * SPLIT numbers
+    cuts = np.array(sorted(cuts or []), dtype=np.int64)
 
-    def part_of(ids: pa.Array) -> np.ndarray:
-        return np.searchsorted(cuts, np.asarray(ids.fill_null(-(1 << 63))), side="right")
+    def part_of(batch: pa.RecordBatch, h: int) -> np.ndarray:
+        """The range of each row; column ``h`` has the text's hash."""
+        return range_of(np.asarray(batch.column(0).fill_null(NO_ID)), np.asarray(batch.column(h)), cuts)
 
     def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, tuple] = {}
         for batch in batches:
             ids = batch.column(0)
-            for part, i, h in zip(part_of(ids).tolist(), ids.to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, i, h in zip(part_of(batch, 1).tolist(), ids.to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = (i is not None, i or 0, h)
                 if part not in least or key < least[part]:
                     least[part] = key
@@ -289,7 +306,7 @@ def fingerprinted(docs: DataFrame, histogram: np.ndarray | None = None) -> DataF
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = pa.array(part_of(batch.column(0)), pa.int32())
+            part = pa.array(part_of(batch, 2), pa.int32())
             plain = pa.array(np.zeros(len(batch), dtype=np.int8))
             yield pa.RecordBatch.from_arrays([*batch.columns, part, plain], names=["doc_id", "text", "h", "part", "ghost"])
             maybe = np.flatnonzero(np.isin(np.asarray(batch.column(2)), head_hashes)).tolist()

@@ -61,6 +61,31 @@ def test_packing_against_the_tokenizer(spark, documents):
     assert got.length.sum() / (got.sequence_id.nunique() * 2048) > 0.98
 
 
+def test_packing_of_awkward_rows_against_the_tokenizer(spark, awkward):
+    tok = Tokenizer.from_file(WORDS)
+    tok.encode_special_tokens = True
+    want = []
+    for r in awkward.collect():
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 2048):
+            part = ids[at : at + 2048]
+            want.append((r["doc_id"], at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)))
+    got = packing.packed_documents(awkward, WORDS)
+    assert rows_of(got, "doc_id", "start", "length", "ids_crc32", "doc_tokens") == sorted(want, key=repr)
+
+
+def test_packing_memos_hold_short_words_only():
+    tok = Tokenizer.from_file(WORDS)
+    tok.encode_special_tokens = True
+    encode = packing._encoder(WORDS)
+    texts = ["q" * 500, "w" * 300 + "!" * 200, "e" * packing.MEMO_WORD, "?" * 400, "字" * 200, "Ä" * 90 + "."]
+    for text in [*texts, " ".join(texts)]:
+        assert encode(text.encode()) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    cells = dict(zip(encode.__code__.co_freevars, encode.__closure__, strict=True))
+    memo = cells["memo"].cell_contents.__self__ if "memo" in cells and hasattr(cells["memo"].cell_contents, "__self__") else cells["memo"].cell_contents
+    assert memo and max(len(w) for w in memo) <= packing.MEMO_WORD
+
+
 def test_packing_patterns_use_every_length():
     rng = np.random.default_rng(3)
     for size, histogram in [(16, {1: 1000}), (16, {16: 3, 9: 5, 7: 5}), (64, dict(enumerate(rng.integers(0, 50, 64).tolist(), 1)))]:
@@ -221,6 +246,64 @@ def test_short_texts_are_like_their_edited_copies(spark):
         assert sum(x > 0 for x in near) >= 0.95 * len(near) and np.mean(near) > 0.5
 
 
+def brute_features(text, rank):
+    """Where the improbable windows of a text begin, by plain counting."""
+    windows = [text[i : i + fingerprint.WIDTH] for i in range(len(text) - fingerprint.WIDTH + 1)]
+    most = sum(round(c * np.log2(c) * 2**20) for c in [fingerprint.WIDTH])
+    bins = [
+        min((most - sum(round(c * np.log2(c) * 2**20) for c in Counter(w).values())) * fingerprint.BINS // most, fingerprint.BINS - 1)
+        for w in windows
+    ]
+    order = [(rank[b], i) for i, b in enumerate(bins)]
+    points = Counter(min(order[i : i + fingerprint.SPAN])[1] for i in range(max(1, len(order) - fingerprint.SPAN + 1)))
+    need = min(fingerprint.POINTS, max(1, len(order) - fingerprint.SPAN + 1))
+    return [i for i in sorted(points) if points[i] >= need and rank[bins[i]] < fingerprint.BINS], bins
+
+
+def test_features_against_counting(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    texts = [r["text"].encode() for r in docs.where("text is not null").orderBy("doc_id").limit(60).collect()]
+    texts = [t[:3000] for t in texts] + [b"a" * 50, b"abcdefgh", b"abcdefghi", b"ab" * 40 + b"The end."]
+    seen = Counter(b for t in texts for b in brute_features(t, [0] * fingerprint.BINS)[1])
+    frame = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "doc_id long, text binary")
+    histogram = fingerprint.entropy_histogram(frame)
+    assert {b: n for b, n in enumerate(histogram.tolist()) if n} == dict(seen)
+    by_rarity = sorted(range(fingerprint.BINS), key=lambda b: (seen[b], b))
+    rank = {b: r for r, b in enumerate(by_rarity)} | dict.fromkeys(range(fingerprint.LOW), fingerprint.BINS)
+    got = fingerprint._selected_many(texts, [0] * len(texts), fingerprint.ranks_of(histogram))
+    for t, places in zip(texts, got, strict=True):
+        assert places.tolist() == (brute_features(t, rank)[0] if len(t) >= fingerprint.WIDTH else [])
+
+
+def test_likeness_is_symmetric(spark):
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (2, 2), (3, 3), (2, 5)):
+        base = rng.integers(0, 256, (max(n, m), fingerprint.FILTER), dtype=np.uint8)
+        a, b = base[:n] & 0x77, base[::-1][:m] & 0x3D  # each has bits that the other lacks
+        assert 0 < fingerprint.likeness(a, b) == fingerprint.likeness(b, a) < 1
+
+
+def test_rows_of_one_id_are_dealt_to_many_ranges(spark):
+    n = 6000
+    text = F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" of many "), F.sha2(F.col("id").cast("string"), 256))
+    kind = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id"))  # a third: 7, a third: none
+    docs = spark.range(n).select(kind.cast("long").alias("doc_id"), text.alias("text"))
+    rows = [(r["doc_id"], r["h"], r["text"]) for r in docs.withColumn("h", F.xxhash64("text")).collect()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter()
+    for (i, _, t), (_, _, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        want[i, hashlib.sha256(edited.encode()).hexdigest()] += 1
+    got = fingerprint.fingerprinted(docs)
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got.select("doc_id", "edited_sha256").collect()) == want
+
+    ids = np.array([fingerprint.NO_ID if r[0] is None else r[0] for r in rows])
+    hashes = np.array([r[1] for r in rows])
+    cuts = np.sort(ids)[np.arange(1, 64) * n // 64]
+    part = fingerprint.range_of(ids, hashes, cuts)
+    assert (np.diff(part) >= 0).all() and np.bincount(part).max() < 3 * n / 64
+
+
 def test_entropy_bins_against_counting():
     x = np.frombuffer(np.random.default_rng(0).integers(97, 110, 500, dtype=np.uint8).tobytes() + b"aaaa" * 40, np.uint8)
     for i, got in enumerate(fingerprint.entropy_bins(x).tolist()):
