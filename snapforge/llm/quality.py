@@ -6,7 +6,9 @@ and host, its documents and the sum of their evidence (their label where they ar
 A host's rate is shrunk toward the global rate, and a path's rate toward its host's, the more so the
 fewer documents there are; how strongly is estimated from the spread of the rates
 themselves (empirical Bayes by moments). A document's score has the odds of its evidence times how
-the odds of its path differ from those of the whole corpus.
+the odds of its path differ from those of the whole corpus. The document itself is left out of the rates that it
+is scored by, so its evidence counts once, a training row's label doesn't enter its own score, and a document that is
+alone on its host has the global rate.
 
 The model is fitted on a bounded sample (per class, the ``PER_CLASS`` labelled documents of least id
 hash); counts and rates cover all documents. Site tables grow with the number of sites, so they are
@@ -148,35 +150,33 @@ def quality_scores(
     """
     host = quoted(host) if isinstance(host, str) else host
     path = quoted(path) if isinstance(path, str) else path
-    rows = written(_evidence(docs, fit(docs, labels, "quality", per_class), host, path))
     marked = (
         labels.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("quality").cast("double").alias("y"))
         .where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
-    paths = written(
-        rows.join(marked, "doc_id", "left")
-        .groupBy("host", "path")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("y", "p")).alias("good"))
-    )
+    evidence = _evidence(docs, fit(docs, labels, "quality", per_class), host, path)
+    rows = written(evidence.join(marked, "doc_id", "left").withColumn("own", F.coalesce("y", "p")).drop("y"))
+    paths = written(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
     whole = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = float(np.clip((whole["good"] + 0.5) / (whole["n"] + 1), 1e-3, 1 - 1e-3)) if whole["n"] else 0.5
     of_host = hosts.withColumn("raw", F.col("hgood") / F.col("hn")).withColumn("prior", F.lit(rate))
     k = _strength(of_host, "hn", "raw", "prior")
-    of_host = written(of_host.select("host", ((F.col("hgood") + k * rate) / (F.col("hn") + k)).alias("host_rate")))
+    of_host = written(of_host.select("host", "hn", "hgood", ((F.col("hgood") + k * rate) / (F.col("hn") + k)).alias("prior")))
     of_path = paths.join(of_host, "host").withColumn("raw", F.col("good") / F.col("n"))
-    j = _strength(of_path, "n", "raw", "host_rate")
-    sites = of_path.select(
-        "host", "path", "host_rate", ((F.col("good") + j * F.col("host_rate")) / (F.col("n") + j)).alias("path_rate")
-    )
+    j = _strength(of_path, "n", "raw", "prior")
+    sites = of_path.select("host", "path", "hn", "hgood", "n", "good")
+    host_rate = (F.col("hgood") - F.col("own") + k * rate) / (F.col("hn") - 1 + k)  # of the site's other documents
+    path_rate = (F.col("good") - F.col("own") + j * F.col("host_rate")) / (F.col("n") - 1 + j)
     odds = lambda c: F.log(c / (1 - c))
     safe = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(c)))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "p"), F.lit(SALTS)).cast("int"))
     copies = written(sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     logit = odds(safe("p")) + odds(safe("path_rate")) - float(np.log(rate / (1 - rate)))
     score = 1 / (1 + F.exp(-logit))
-    return salted.join(copies, ["host", "path", "salt"]).select(
+    rated = salted.join(copies, ["host", "path", "salt"]).withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
+    return rated.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         score.alias("score"),
