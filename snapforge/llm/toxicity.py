@@ -6,8 +6,8 @@ probability from a logistic model over its words; a document's is their noisy-or
 document labels through the noisy-or, so it learns which sentences carry a label, and then locates the
 offending sentences of any document.
 
-A sentence ends at . ! ? or a line break, or after ``LONGEST`` words. Its features are its
-words (A-Z lower-cased) and their first 4, 5 and 6 bytes, as exact strings: a word never seen in training
+A sentence ends at . ! ? or a line break, at their like in other scripts (``ENDS``), or after ``LONGEST`` words. Its features are its
+words (A-Z lower-cased, without the marks around them; Chinese characters and kana each are a word) and their first 4, 5 and 6 bytes, as exact strings: a word never seen in training
 shares a feature with a seen one only if it begins alike. Only features that are in significantly more
 toxic than clean training documents get a weight: those that an exact test (hypergeometric, one-sided) finds
 with at most ``FALSE_SHARE`` false discoveries expected (Benjamini-Hochberg; a feature in so few documents that it
@@ -20,10 +20,12 @@ text is read; its rows are found by a broadcast semi-join (its size is the bound
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ LONGEST = 50
 PER_CLASS = 3000
 SAMPLE_BYTES = 200_000
 MEMO_ENTRIES = 500_000
+#: Longer words (bytes) are looked up anew each time.
+MEMO_WORD = 64
 #: Expected share of chance picks among the chosen features, and the least number of toxic documents with one.
 FALSE_SHARE, LEAST_DOCS = 0.01, 4
 
@@ -42,14 +46,44 @@ _MARKS = b",;:\"'()[]{}<>|/\\*_-~`"
 _TABLE = bytes.maketrans(
     b".!?" + _MARKS + bytes(range(65, 91)), b"\n\n\n" + b" " * len(_MARKS) + bytes(range(97, 123))
 )
+#: Beyond ASCII: what ends a sentence, and marks and blanks that part words.
+ENDS = "…。！？．؟۔।॥\u0085\u2028\u2029"
+PARTS = "“”„‟‘’‚‛«»‹›–—―·•¡¿、，；：（）「」『』【】《》〈〉；،؛\u00a0\u1680\u2000-\u200d\u202f\u205f\u3000\ufeff"
+#: Characters of scripts written without blanks between words.
+SINGLE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_OTHER = re.compile(f"([{ENDS}])|[{PARTS}]")
+_SINGLES = re.compile(f"[{SINGLE}]|[^{SINGLE}]+")
+_HAS_SINGLE = re.compile(f"[{SINGLE}]")
+
+
+def _plain(text: bytes) -> bytes:
+    """``text`` with other scripts' ends as line breaks and their marks as blanks, byte for byte."""
+    def mark(m: re.Match) -> str:
+        return ("\n" if m[1] else " ") + " " * (len(m[0].encode()) - 1)
+
+    return _OTHER.sub(mark, text.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+
+
+def _words(line: bytes) -> list[bytes]:
+    words = line.split()
+    if line.isascii():
+        return words
+    out = []
+    for w in words:
+        chars = "" if w.isascii() else w.decode("utf-8", "surrogateescape")
+        if _HAS_SINGLE.search(chars):
+            out += [c.encode("utf-8", "surrogateescape") for c in _SINGLES.findall(chars)]
+        else:
+            out.append(w)
+    return out
 
 
 def sentences(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first byte, byte after the last, words) of each sentence that has words."""
-    flat = text.translate(_TABLE)  # one byte for one byte, so places hold
+    flat = (text if text.isascii() else _plain(text)).translate(_TABLE)  # one byte for one byte, so places hold
     at = 0
     for line in flat.split(b"\n"):
-        words = line.split()
+        words = _words(line)
         if len(words) <= LONGEST:
             if words:
                 yield at, at + len(line), words
@@ -218,41 +252,55 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     return Model({of[f]: float(x) for f, x in zip(used.tolist(), w, strict=True)}, float(bias))
 
 
+def scorer(model: Model) -> Callable[[bytes], tuple]:
+    """text -> (score, sentences, [(first byte, byte after the last)], their probabilities); only sentences
+    that have a feature are listed, the others have probability 0."""
+    weights, bias = model.weights, model.bias
+    known: dict[bytes, tuple] = {}
+
+    def weighed(word: bytes) -> tuple:
+        found = known.get(word)
+        if found is None:
+            found = tuple((f, weights[f]) for f in features_of(word) if f in weights)
+            if len(word) <= MEMO_WORD:
+                if len(known) >= MEMO_ENTRIES:
+                    known.clear()
+                known[word] = found
+        return found
+
+    def score(text: bytes) -> tuple:
+        spans, zs, count = [], [], 0
+        for first, last, words in sentences(text):
+            own = {}
+            for word in words:
+                own.update(weighed(word))
+            count += 1
+            if own:
+                spans.append((first, last))
+                zs.append(sum(own.values()))
+        if not zs:
+            return 0.0, count, spans, np.zeros(0)
+        p = 1 / (1 + np.exp(-np.clip(np.array(zs) + bias, -30, 30)))
+        return float(-np.expm1(np.log1p(-p).sum())), count, spans, p
+
+    return score
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, sentences, offending of each document (null text: empty, score 0).
 
     ``offending`` has (first byte, byte after the last, score) of the sentences with a score of 0.5 or more, and
     of the worst one if the document's score is 0.5 or more and no sentence has that by itself.
     """
-    weights, bias = model.weights, model.bias
     schema = "doc_id long, score double, sentences long, offending array<struct<first:long,last:long,score:double>>"
     spot = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple] = {}
-
-        def weighed(word: bytes) -> tuple:
-            found = known.get(word)
-            if found is None:
-                if len(known) >= MEMO_ENTRIES:
-                    known.clear()
-                found = known[word] = tuple((f, weights[f]) for f in features_of(word) if f in weights)
-            return found
-
+        of = scorer(model)
         for batch in batches:
             cols: list[list] = [[], [], []]
             for t in batch.column(1):
-                spans, zs, count = [], [], 0
-                for first, last, words in sentences(t.as_buffer().to_pybytes()):
-                    own = {}
-                    for word in words:
-                        own.update(weighed(word))
-                    count += 1
-                    if own:
-                        spans.append((first, last))
-                        zs.append(sum(own.values()))
-                p = 1 / (1 + np.exp(-np.clip(np.array(zs) + bias, -30, 30))) if zs else np.zeros(0)
-                score = float(-np.expm1(np.log1p(-p).sum())) if zs else 0.0
+                score, count, spans, p = of(t.as_buffer().to_pybytes())
                 bad = np.flatnonzero(p >= 0.5).tolist()
                 if score >= 0.5 and not bad:
                     bad = [int(p.argmax())]
@@ -283,28 +331,10 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``docs``, all its columns, without the documents scored 0.5 or more; scored where they are read."""
     model = fit(docs, labels, "toxic", per_class)
-    weights, bias = model.weights, model.bias
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
-        known: dict[bytes, dict] = {}
-
-        def one(text: str) -> bool:
-            log_none = 0.0
-            for _, _, words in sentences(text.encode()):
-                own: dict = {}
-                for word in words:
-                    found = known.get(word)
-                    if found is None:
-                        found = known[word] = {f: weights[f] for f in features_of(word) if f in weights}
-                    own.update(found)
-                if own:
-                    z = min(30.0, max(-30.0, sum(own.values()) + bias))
-                    log_none -= np.logaddexp(0.0, z)
-            return bool(-np.expm1(log_none) < 0.5)
-
-        return pd.Series([one(t) for t in texts], dtype=bool)
-
-    return docs.where(clean(F.coalesce(quoted("text").cast("string"), F.lit(""))))
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = scorer(model)
+        for texts in batches:
+            yield pd.Series([of(t.encode())[0] < 0.5 for t in texts], dtype=bool)
+
+    return docs.where(F.pandas_udf(clean, "boolean")(F.coalesce(quoted("text").cast("string"), F.lit(""))))

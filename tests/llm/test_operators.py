@@ -360,6 +360,68 @@ def test_classifiers_on_held_out_rows(spark):
         assert sum(r["predicted"] == labels[r["doc_id"]][label] for r in held) / len(held) >= least
 
 
+def test_site_rates_against_a_plain_loop(spark):
+    """Sparse hosts: most have a document or two, one has many; some paths have one document."""
+    rng = np.random.default_rng(11)
+    good = "The committee met on Tuesday and discussed the results of the annual survey with care. Later, it agreed."
+    docs, labels = [], []
+    for i in range(240):
+        host = "big" if i % 3 == 0 else f"h{i % 97}"
+        y = int(rng.random() < (0.8 if host == "big" or len(host) % 2 else 0.3))
+        text = good + f" Case {i}." if y else "BUY!!! now now now | click | " * int(rng.integers(2, 5)) + str(i)
+        docs.append((i, text, host if i % 40 else None, f"p{i % 5}"))
+        labels.append((i, y if i % 11 else 1 - y, 0))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r for r in quality.quality_scores(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = {i for i, *_ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    own = {i: got[i]["evidence"] if i in held else y for i, y, _ in labels}
+    by_host, by_path = defaultdict(list), defaultdict(list)
+    for i, _, host, path in docs:
+        by_host[host or ""].append(own[i])
+        by_path[host or "", path].append(own[i])
+    rate = (sum(own.values()) + 0.5) / (len(own) + 1)
+
+    def strength(groups, prior):
+        spread = sum(len(g) * (np.mean(g) - prior[s]) ** 2 for s, g in groups.items())
+        noise = sum(prior[s] * (1 - prior[s]) for s in groups)
+        room = sum((len(g) - 1) * prior[s] * (1 - prior[s]) for s, g in groups.items())
+        share = max(0.0, (spread - noise) / room)
+        return float(np.clip((1 - share) / share if share else quality.STRONGEST, quality.WEAKEST, quality.STRONGEST))
+
+    k = strength(by_host, dict.fromkeys(by_host, rate))
+    prior = {h: (sum(g) + k * rate) / (len(g) + k) for h, g in by_host.items()}
+    j = strength(by_path, {s: prior[s[0]] for s in by_path})
+    for i, _, host, path in docs:
+        h, s = by_host[host or ""], by_path[host or "", path]
+        host_rate = (sum(h) - own[i] + k * rate) / (len(h) - 1 + k)
+        path_rate = (sum(s) - own[i] + j * host_rate) / (len(s) - 1 + j)
+        p, q = (min(max(x, 1e-6), 1 - 1e-6) for x in (got[i]["evidence"], path_rate))
+        score = 1 / (1 + (1 - p) / p * (1 - q) / q * rate / (1 - rate))
+        assert np.allclose([got[i]["host_rate"], got[i]["path_rate"], got[i]["score"]], [host_rate, path_rate, score], atol=1e-9)
+        if len(h) == 1:
+            assert abs(path_rate - rate) < 1e-9 and abs(score - p) < 1e-6  # alone: the evidence, once
+        assert got[i]["held_out"] == (i in held)
+
+
+def test_sentences_of_other_scripts():
+    text = "“You are a scumbag…” he said—twice。第一句話。Next ‘one’！ end".encode()
+    found = [(text[a:b], words) for a, b, words in toxicity.sentences(text)]
+    assert [w for _, w in found] == [
+        [b"you", b"are", b"a", b"scumbag"], [b"he", b"said", b"twice"], [c.encode() for c in "第一句話"], [b"next", b"one"], [b"end"],
+    ]
+    assert all(all(w in part.lower() for w in words) for part, words in found)
+    long = ("字" * 120).encode()
+    spans = list(toxicity.sentences(long))
+    assert [len(w) for _, _, w in spans] == [50, 50, 20] and b"".join(long[a:b] for a, b, _ in spans) == long
+
+
+def test_the_pipeline_drops_what_the_query_predicts(spark):
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r["doc_id"] for r in toxicity.toxic_scores(docs, labels).where("predicted = 1").select("doc_id").collect()}
+    left = {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).select("doc_id").collect()}
+    assert toxic and left == {r["doc_id"] for r in docs.select("doc_id").collect()} - toxic
+
+
 def test_toxic_sentences_are_located(spark):
     clean = [f"the weather number {i} is fine. we walk the dog." for i in range(40)]
     toxic = [f"the weather number {i} is fine. you are a scumbag. we walk." for i in range(40)]
