@@ -72,6 +72,15 @@ def strip(x: str) -> str:
 oracle("latest_snapshot", F1_LATEST)
 oracle("max_key", f"""SELECT CAST(coalesce(max("__KEY"), 0) AS BIGINT) AS max_key FROM ({F1}) f WHERE "__KEY" <> 0""")
 oracle("next_version", f"""SELECT CAST(coalesce(max("__VERSION") + 1, 1) AS INTEGER) AS next_version FROM ({F1}) f""")
+oracle(
+    "table_statistics",
+    f"""
+WITH f AS ({F1}), top AS (SELECT max("__VERSION") AS v FROM f)
+SELECT CAST(v + 1 AS INTEGER) AS latest_version, CAST(v + 2 AS INTEGER) AS next_version,
+  CAST((SELECT max("__KEY") FROM f) AS BIGINT) AS max_key,
+  (SELECT count(*) FROM f) + (SELECT count(*) FROM f WHERE "__VERSION" = v) AS n_rows
+FROM top""",
+)
 oracle(
     "latest_row_per_key",
     f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from snapforge.constants import KEY_COL, UPLOAD_TS_COL
+from snapforge.constants import KEY_COL, UPLOAD_TS_COL, VERSION_COL
 from snapforge.operators import snapshots as R
 from snapforge.plans import fixtures as FX
 from snapforge.plans.registry import query
@@ -25,6 +25,19 @@ def q_next_version(spark, d):
     return R.next_version(FX.f1_versioned(spark, d))
 
 
+@query("table_statistics")
+def q_table_statistics(spark, d):
+    """Latest and next version, greatest key and rows of a table whose newest snapshot is published once more."""
+    import uuid
+
+    from snapforge.sources import commits, tables
+
+    name = f"sf_stats_{uuid.uuid4().hex[:10]}"
+    tables.create_table(FX.f1_versioned(spark, d), name)
+    commits.commit_version(spark, name, lambda t, n: R.latest_snapshot(t).withColumn(VERSION_COL, F.lit(n)))
+    return commits.table_statistics(spark, name)
+
+
 @query("latest_row_per_key")
 def q_latest_row_per_key(spark, d):
     return R.latest_row_per_key(FX.f1_versioned(spark, d), tie=["o_orderkey"])

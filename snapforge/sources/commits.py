@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.constants import VERSION_COL
+from snapforge.constants import KEY_COL, VERSION_COL
 from snapforge.sources.tables import align_to, drop_folder, table_location
 
 COMMITS = "_commits"  # a leading underscore hides the folder from readers of paths
@@ -37,6 +37,31 @@ def newest_version(spark: SparkSession, table: str) -> int:
     return found.agg(F.coalesce(F.max("v"), F.lit(0))).first()[0]
 
 
+def table_statistics(spark: SparkSession, table: str) -> DataFrame:
+    """R2 and R3 without reading rows: one row of ``latest_version``, ``next_version``, ``max_key`` and ``n_rows``.
+
+    The versions come from the catalog; the greatest key and the number of rows (of all versions, an empty
+    snapshot's marker included) from the footers of the versions' Parquet files, to which Spark's own reader pushes both
+    aggregates. Aggregates are pushed down by a setting, so the frame belongs to a session of its own, and the caller's
+    settings stay as they are. One folder name per version reaches the driver."""
+    newest = newest_version(spark, table)
+    names = spark.sql(f"SHOW PARTITIONS {table}").select(F.regexp_extract("partition", f"{VERSION_COL}=(\\d+)", 1).try_cast("int")).collect()
+    folders = [version_folder(spark, table, r[0]) for r in names if r[0] is not None]
+    own = spark.newSession()
+    if folders:
+        plain = [s for s in own.conf.get("spark.sql.sources.useV1SourceList").split(",") if s.strip() != "parquet"]
+        own.conf.set("spark.sql.sources.useV1SourceList", ",".join(plain))
+        own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        rows = own.read.schema(f"`{KEY_COL}` bigint").parquet(*folders)
+    else:
+        rows = own.createDataFrame([], f"`{KEY_COL}` bigint")
+    found = rows.agg(F.max(KEY_COL).alias("k"), F.count(F.lit(1)).alias("n_rows"))
+    return found.select(
+        F.lit(newest).alias("latest_version"), F.lit(newest + 1).alias("next_version"),
+        F.greatest(F.coalesce("k", F.lit(0)), F.lit(0)).cast("bigint").alias("max_key"), "n_rows",
+    )
+
+
 def version_folder(spark: SparkSession, table: str, version: int) -> str | None:
     """The folder of a version's rows, None when there is no such version."""
     try:

@@ -39,3 +39,24 @@ def test_latest_snapshot_prunes_version_partitions(spark):
 
     assert re.search(r"PartitionFilters: \[isnotnull\(__VERSION#\d+\), \(__VERSION#\d+ = Subquery", plan), plan
     assert rows == f1.where("__VERSION = 7").count()
+
+
+def test_table_statistics_come_from_the_footers(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from snapforge.sources import commits, tables
+
+    name = f"stats_{uuid.uuid4().hex[:8]}"
+    f1 = FX.f1_versioned(spark, SF_SMALL)
+    tables.create_table(f1.limit(0), name)
+    assert tuple(commits.table_statistics(spark, name).first()) == (0, 1, 0, 0)
+    for shift in (5, 9000, 0):  # the greatest key is not in the newest version
+        commits.commit_version(spark, name, lambda t, n: f1.withColumn("__KEY", F.col("__KEY") + shift).withColumn("__VERSION", F.lit(n)))
+    found = commits.table_statistics(spark, name)
+    rows = f1.count()
+    assert tuple(found.first()) == (3, 4, 9000 + R.max_key(f1).first()[0], 3 * rows)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    assert "PushedAggregation: [MAX(__KEY), COUNT(*)]" in found._jdf.queryExecution().explainString(mode)
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")  # the caller's session is as it was
