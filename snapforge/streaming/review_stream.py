@@ -4,11 +4,15 @@ The review log is append-only, so its status can be kept up to date with Structu
 the whole log again. One stateful processor per change request holds the request's first submit and the terminal events
 that may still decide it, gives out a status when it changes, and ends its state once the decision is settled.
 
-A request is settled when no event before its decision can arrive any more. The stream's event time is ``seq``
-(a number counts as a millisecond), so ``lateness`` is in numbers: an event that comes ``lateness`` or more behind the greatest
+A request is settled when no event before its decision can arrive any more. Event time is ``seq`` (a number counts as a millisecond), so ``lateness`` is in numbers: an event that comes ``lateness`` or more behind the greatest
 number of the micro-batches before is late and is ignored. State is left only for open requests and for
 those decided within the last ``lateness`` numbers. Events without a number, or with one below zero, are left out.
 
+A processor calls the state store several times for every request it gets, so it gets only requests that need state:
+each micro-batch of the log is first folded by joins and aggregates (``_ended``), and a request without state ends
+there if it is decided and all its events lie so far back that no earlier one can come any more. The events of the
+others are handed on to the processor's own stream, which runs once for each micro-batch of the log.
+
 A request holds its events before its submit (if the log has such), and one event per actor and kind after it,
 so a request with a third of all events stays small.
 """
@@ -22,16 +26,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from snapforge.constants import CR_STATUS_PENDING
-from snapforge.operators.review import LOG_SCHEMA, TERMINAL
+from snapforge.operators.review import LOG_SCHEMA, ORDER, TERMINAL
 from snapforge.session import scratch_path, ship_package
 
 #: rows of one request that a task holds before it drops those that can't matter
 HELD = 10_000
+#: files of a micro-batch when it takes all there are
+MAX_FILES = 2**31 - 1
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATUS_SCHEMA = "cr_id string, submit_seq bigint, submit_ts string, submitted_by string, status string"
 #: submits and terminal events as (seq, ts, event, actor), which is also their order (``review.ORDER``)
 _EVENT = "seq bigint, ts string, event string, actor string"
+#: events handed on to the processor, with the greatest number of the log so far
+_HANDED_ON = f"cr_id string, {_EVENT}, top bigint"
 #: a request's state: its first submit (or null), the status given out, the events that may still decide it
 _STATE = f"submit struct<{_EVENT}>, status string, events array<struct<{_EVENT}>>"
 
@@ -124,29 +132,77 @@ def run_status_stream(
     the statuses that changed to ``out_path``. A replayed micro-batch appends the same rows again, which the fold
     doesn't mind."""
     ship_package(spark)
+    folder = checkpoint or scratch_path(spark, "review-status-ckpt")
+    lateness = max(lateness, 1)
     stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_path)
     events = (
         stream.where("seq >= 0 AND cr_id IS NOT NULL").where(F.col("event").isin("submit", *TERMINAL))
-        .select(
-            "cr_id", "seq", "event", "actor",
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
-            F.timestamp_millis(F.col("seq") + 1).alias("event_time"),
-        )
-        .withWatermark("event_time", f"{max(lateness, 1)} milliseconds")
+        .select("cr_id", "seq", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event", "actor")
+    )
+
+    def fold_batch(batch: DataFrame, batch_id: int) -> None:
+        reached, held = -1, None
+        if batch_id:
+            reached = spark.read.parquet(f"{folder}/reached/{batch_id - 1}").first()["top"]
+            held = spark.read.format("statestore").option("stateVarName", "request").load(folder).select("key.cr_id")
+        in_time = batch.where(F.col("seq") > reached - lateness)
+        top = max(reached, in_time.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top")).first()["top"])
+        ended = _ended(in_time, top - lateness, held).persist()
+        others = in_time.join(ended, "cr_id", "left_anti").withColumn("top", F.lit(top).cast("bigint"))
+        others.write.mode("append").parquet(f"{folder}/handed-on")
+        write_statuses(ended.where("submit_seq IS NOT NULL"), batch_id, out_path)
+        ended.unpersist()
+        _run_processor(spark, folder, out_path, lateness, batch_id)
+        # last, so that a replayed micro-batch starts from the same number
+        spark.range(0, 1, 1, 1).select(F.lit(top).cast("bigint").alias("top")).write.mode("overwrite").parquet(f"{folder}/reached/{batch_id}")
+
+    q = (
+        events.writeStream.foreachBatch(fold_batch).option("checkpointLocation", f"{folder}/log")
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+
+
+def write_statuses(statuses: DataFrame, batch_id: int, out_path: str) -> None:
+    """Append the statuses that changed in a micro-batch of the log."""
+    statuses.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+
+
+def _ended(events: DataFrame, until: int, held: DataFrame | None) -> DataFrame:
+    """The requests not ``held`` as state that end in these events, when none up to number ``until`` can come any more:
+    those decided, and those without a submit (all null), whose events are all up to there."""
+    first = F.min(F.when(F.col("event") == "submit", F.struct(*ORDER)))
+    requests = events.groupBy("cr_id").agg(F.max("seq").alias("last"), first.alias("s")).where(F.col("last") <= until)
+    if held is not None:
+        requests = requests.join(held, "cr_id", "left_anti")
+    valid = (F.col("seq") > F.col("s.seq")) & ((F.col("event") == "cancel") | (F.col("actor") != F.col("s.actor")))
+    decisions = (
+        events.where("event <> 'submit'").join(requests.where("s IS NOT NULL"), "cr_id").where(valid)
+        .groupBy("cr_id").agg(F.min(F.struct(*ORDER)).alias("d"))
+    )
+    status = F.create_map(*[F.lit(x) for pair in TERMINAL.items() for x in pair])[F.col("d.event")]
+    return requests.join(decisions, "cr_id", "left").where("s IS NULL OR d IS NOT NULL").select(
+        "cr_id", F.col("s.seq").alias("submit_seq"), F.col("s.ts").alias("submit_ts"),
+        F.col("s.actor").alias("submitted_by"), status.alias("status"),
+    )
+
+
+def _run_processor(spark: SparkSession, folder: str, out_path: str, lateness: int, batch_id: int) -> None:
+    """Stream the events that are new in ``handed-on`` through the processor and append the statuses that changed."""
+    events = (
+        spark.readStream.schema(_HANDED_ON).parquet(f"{folder}/handed-on")
+        .select("cr_id", "seq", "ts", "event", "actor", F.timestamp_millis(F.col("top") + 1).alias("event_time"))
+        .withWatermark("event_time", f"{lateness} milliseconds")
     )
     statuses = events.groupBy("cr_id").transformWithState(
         statefulProcessor=RequestStatus(), outputStructType=STATUS_SCHEMA, outputMode="Update", timeMode="EventTime"
     )
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
-
     before = spark.conf.get(STATE_STORE, None)
     spark.conf.set(STATE_STORE, ROCKSDB)  # the state store that stateful processors need; read when the query starts
     try:
         q = (
-            statuses.writeStream.outputMode("update").foreachBatch(write_batch)
-            .option("checkpointLocation", checkpoint or scratch_path(spark, "review-status-ckpt"))
+            statuses.writeStream.outputMode("update").foreachBatch(lambda batch, _: write_statuses(batch, batch_id, out_path))
+            .option("checkpointLocation", folder)
             .trigger(availableNow=True).start()
         )
     finally:
@@ -163,18 +219,20 @@ def latest_statuses(changes: DataFrame) -> DataFrame:
 
 def cr_status_stream(spark: SparkSession, log: DataFrame, segments: int = 4) -> DataFrame:
     """Land ``log`` as a growing log does, in ``segments`` appends of consecutive numbers with as many files as
-    there are shuffle partitions (Spark merges small ones), stream it, and return the resulting status per CR.
+    there are shuffle partitions (Spark merges small ones), stream each append when it has landed, and return
+    the resulting status per CR.
 
-    Files of one append may be read in any order, so events come late by at most an append's numbers."""
+    Files of one append may be read in any order, but an append is one micro-batch, so no event comes late."""
     base = scratch_path(spark, "review-stream")
     log.write.parquet(f"{base}/whole")
     whole = spark.read.parquet(f"{base}/whole")
     low, high = whole.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
     width = (high - low) // segments + 1
+    spark.createDataFrame([], f"{STATUS_SCHEMA}, batch_id int").write.parquet(f"{base}/out")
     for i in range(segments):
         rows = whole.where((F.col("seq") >= low + i * width) & (F.col("seq") < low + (i + 1) * width))
         rows.repartitionByRange("seq").write.mode("append").parquet(f"{base}/log")
-    each = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spark.createDataFrame([], f"{STATUS_SCHEMA}, batch_id int").write.parquet(f"{base}/out")
-    run_status_stream(spark, f"{base}/log", f"{base}/out", lateness=width + 1, max_files_per_trigger=each)
+        run_status_stream(
+            spark, f"{base}/log", f"{base}/out", lateness=1, max_files_per_trigger=MAX_FILES, checkpoint=f"{base}/checkpoint"
+        )
     return latest_statuses(spark.read.parquet(f"{base}/out"))

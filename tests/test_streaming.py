@@ -2,9 +2,12 @@
 
 import datetime as dt
 import os
+import random
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql.streaming import StreamingQueryListener
 
 from snapforge.operators import review as C
 from snapforge.streaming.review_stream import latest_statuses, run_status_stream
@@ -94,3 +97,73 @@ def test_a_request_with_many_events_keeps_few(spark, tmp_path):
     run_status_stream(spark, str(tmp_path / "log"), out, lateness=10_000, checkpoint=ckpt)
     assert _statuses(spark, out) == {"a": "rejected"}
     assert _state(spark, ckpt) == {"a": 2}  # ann's first approval and bob's rejection
+
+
+class _StateUpdates(StreamingQueryListener):
+    """Rows that streams put into their state."""
+
+    def __init__(self):
+        self.running, self.rows = set(), 0
+
+    def onQueryStarted(self, event):
+        self.running.add(event.runId)
+
+    def onQueryProgress(self, event):
+        self.rows += sum(op.numRowsUpdated for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.running.discard(event.runId)
+
+
+def test_requests_that_end_in_their_micro_batch_take_no_state(spark, tmp_path):
+    def decided(name, seq):
+        return [e for i in range(60) for e in ((f"{name}{i}", seq, "submit", "ann"), (f"{name}{i}", seq + 1, "approve", "bob"))]
+
+    batches = [
+        [("q", 0, "noop", "ann")],  # nothing of it counts
+        [
+            *decided("a", 1), ("n", 3, "reject", "bob"), ("o", 3, "submit", "ann"), ("s", 4, "submit", "ann"),
+            ("s", 5, "approve", "ann"), ("t", 6, "submit", "ann"), ("t", 7, "reject", "bob"),
+        ],
+        [
+            ("a0", 8, "cancel", "ann"), ("a1", 8, "submit", "eve"), ("a1", 9, "reject", "bob"), ("n", 9, "submit", "ann"),
+            ("o", 10, "cancel", "ann"), *decided("b", 10), ("s", 11, "approve", "bob"), ("t", 12, "cancel", "ann"),
+            ("z", 13, "submit", "ann"),
+        ],
+    ]
+    for i, b in enumerate(batches):
+        _land(tmp_path / "log", i, b)
+    out, ckpt, listener = str(tmp_path / "out"), str(tmp_path / "ckpt"), _StateUpdates()
+    spark.streams.addListener(listener)
+    try:
+        run_status_stream(spark, str(tmp_path / "log"), out, lateness=1, checkpoint=ckpt)
+        for _ in range(300):
+            if not listener.running:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    found = _statuses(spark, out)
+    assert found == _batch(spark, batches)
+    assert {k: found[k] for k in "nostz"} == {"n": "pending", "o": "cancelled", "s": "approved", "t": "rejected", "z": "pending"}
+    assert _state(spark, ckpt) == {"n": 0, "z": 0}
+    assert 0 < listener.rows < 60  # of 125 requests
+
+
+def test_events_within_lateness_give_the_batch_fold(spark, tmp_path):
+    rng = random.Random(3)
+    events = [
+        (f"r{rng.randrange(25)}", seq, rng.choice(["submit", "approve", "reject", "cancel"]), rng.choice(["ann", "bob", None]))
+        for seq in range(60)
+        for _ in range(3)
+    ]
+    events.sort(key=lambda e: e[1] + rng.random() * 8)  # up to 8 numbers late
+    batches = [events[i : i + 45] for i in range(0, len(events), 45)]
+    for i, b in enumerate(batches):
+        _land(tmp_path / "log", i, b)
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    run_status_stream(spark, str(tmp_path / "log"), out, lateness=9, checkpoint=ckpt)
+    assert _statuses(spark, out) == _batch(spark, batches)
