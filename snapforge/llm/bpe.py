@@ -11,6 +11,9 @@ worked out only the first time. Its output is the last token of the encoding so
 through which all live hypotheses go are emitted at a pre-token's end, and every ``LOOKAHEAD``
 bytes within a longer one. The tables are bounded: when full, they start anew.
 
+The words of a run of texts that the memo lacks go through the transducer side by side, one byte of each at a
+time: numpy looks their steps up in a hash table (``_Steps``), and only steps not there are taken from the states.
+
 **Decoding.** ``decode_stream`` feeds the bytes of each run of ids to an incremental UTF-8
 state machine, which holds back the bytes of a character cut by a token or run boundary.
 """
@@ -21,21 +24,25 @@ import base64
 import codecs
 import functools
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from snapforge.llm.common import text_docs
+from snapforge.llm.common import runs, text_docs
 
 STATES = 350_000
 FITS = 1_000_000
 LOOKAHEAD = 512
-#: entries of each of a memo's two generations
-MEMO_ENTRIES = 250_000
+#: entries of each of the two generations of the memo of words; that of other pre-tokens has a quarter
+MEMO_ENTRIES = 500_000
 MEMO_CHARS = 64
+_NODE = (1 << 32) - 1
+_HASH = 0x9E3779B97F4A7C15
 DECODE_RUN = 8192
 
 
@@ -48,18 +55,69 @@ class _State(dict):
     """A state of the transducer: byte -> (next state, last token of the encoding up to and with the byte).
 
     ``live`` has, for each place where a token may have begun, the trie node of the bytes since
-    then and the last token (-1: none) of the encoding up to there.
+    then and the last token (-1: none) of the encoding up to there, as (last token + 1) << 32 | node.
     """
 
-    __slots__ = ("live", "machine")
+    __slots__ = ("live", "machine", "number")
 
-    def __init__(self, live: tuple, machine: Transducer) -> None:
-        self.live, self.machine = live, machine
+    def __init__(self, live: tuple, machine: Transducer, number: int) -> None:
+        self.live, self.machine, self.number = live, machine, number
 
     def __missing__(self, byte: int) -> tuple[_State, int]:
         self[byte] = step = self.machine._step(self.live, byte)
         return step
 
+    def step(self, byte: int) -> tuple[_State, int]:
+        """The same, but not kept here."""
+        return self.get(byte) or self.machine._step(self.live, byte)
+
+
+class _Steps:
+    """Steps of numbered states for many words at once: (state << 8 | byte) -> (next state << 32 | token).
+
+    A hash table in two arrays, at most half full; a key sits at its hash or in the next free place after it.
+    """
+
+    def __init__(self) -> None:
+        self._empty(12)
+
+    def _empty(self, bits: int) -> None:
+        self.used, self.bits = 0, bits
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.values = np.zeros(1 << bits, dtype=np.int64)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(_HASH) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 if it is not there."""
+        at = self._places(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[rest]]
+            same = there == keys[rest]
+            out[rest[same]] = self.values[at[rest[same]]]
+            rest = rest[~same & (there >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that are not there yet, each once."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            held = self.keys >= 0
+            keys, values = np.append(self.keys[held], keys), np.append(self.values[held], values)
+            self._empty((2 * len(keys)).bit_length())
+        self.used += len(keys)
+        at = self._places(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[free]  # of several for one place, the last one gets it
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & (len(self.keys) - 1)
+
 
 class Transducer:
     """The merges of a rank table, compiled into a transducer from bytes to ids."""
@@ -71,7 +129,7 @@ class Transducer:
         self.go: dict[int, int] = {}  # (trie node << 8 | byte) -> node
         self.ends: list[int] = [-1]  # node -> id of the token that ends there
         self.depth: list[int] = [0]
-        inner = set()
+        inner = {0}
         for token, number in ranks.items():
             node = 0
             for b in token:
@@ -83,21 +141,27 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.ends[node] = number
-        self.inner = inner
-        self.spines: dict[int, tuple[list, list] | None] = {}
+        self.inner = [node in inner for node in range(len(self.ends))]
+        self.sizes = np.zeros(max(self.token) + 1, dtype=np.int64)
+        self.sizes[list(self.size)] = list(self.size.values())
+        self.one = {i: i for i in self.token}  # an id -> the one object for it
+        self.spines: dict[int, tuple[list, list, bool, bool] | None] = {}
         self.fits: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.states: dict[tuple, _State] = {}
-        self.start = self._state(((0, -1),))
+        self.numbered: list[_State] = []
+        self.steps = _Steps()
+        self.start = self._state((0,))
 
     def _state(self, live: tuple) -> _State:
         state = self.states.get(live)
         if state is None:
             if len(self.states) >= STATES:
                 self.reset()
-            state = self.states[live] = _State(live, self)
+            state = self.states[live] = _State(live, self, len(self.numbered))
+            self.numbered.append(state)
         return state
 
     def _merge(self, piece: bytes, stop: int) -> list[bytes]:
@@ -113,16 +177,21 @@ class Transducer:
             parts[at : at + 2] = [whole]
         return parts
 
-    def _spine(self, number: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]] | None:
+    def _spine(self, number: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]], bool, bool] | None:
         """What the first and the last byte of a token are part of while it is merged: (rank, bytes) from
-        the byte to the token. None if merging its bytes doesn't give the token."""
+        the byte to the token, and of each whether its ranks rise. None if merging its bytes doesn't give the token."""
         if number not in self.spines:
             token = self.token[number]
             if len(token) == 1:
-                known = [(-1, token)], [(-1, token)]
+                known = [(-1, token)], [(-1, token)], True, True
             elif len(parts := self._merge(token, 2)) == 2 and self._merge(token, 1) == [token]:
                 left, right = (self._spine(self.ranks[p]) for p in parts)
-                known = left and right and (left[0] + [(number, token)], right[1] + [(number, token)])
+                known = left and right and (
+                    left[0] + [(number, token)],
+                    right[1] + [(number, token)],
+                    left[2] and left[0][-1][0] < number,
+                    right[3] and right[1][-1][0] < number,
+                )
             else:
                 known = None
             self.spines[number] = known
@@ -137,8 +206,9 @@ class Transducer:
         spine = self._spine(b)
         if spine is None or a < 0:
             return spine is not None
-        left, right = self._spine(a)[1], spine[0]
-        if any(x[k][0] >= x[k + 1][0] for x in (left, right) for k in range(len(x) - 1)):
+        _, left, _, rises = self._spine(a)
+        right = spine[0]
+        if not (rises and spine[2]):
             return self._merge(self.token[a] + self.token[b], 1) == [self.token[a], self.token[b]]
         i = j = 0
         while True:
@@ -159,12 +229,13 @@ class Transducer:
         encoding up to and with this byte."""
         go, ends, inner, fits = self.go.get, self.ends, self.inner, self.fits
         moved, whole = [], -1
-        for node, last in live:
-            nxt = go(node << 8 | byte)
+        for place in live:
+            nxt = go((place & _NODE) << 8 | byte)
             if nxt is None:
                 continue
             token = ends[nxt]
             if whole < 0 and token >= 0:
+                last = (place >> 32) - 1
                 pair = last << 32 | token
                 good = fits.get(pair)
                 if good is None:
@@ -173,11 +244,11 @@ class Transducer:
                     good = fits[pair] = self._fit(last, token)
                 if good:
                     whole = token
-            if nxt in inner:
-                moved.append((nxt, last))
+            if inner[nxt]:
+                moved.append(place & ~_NODE | nxt)
         if whole < 0:
             raise ValueError("the ranks lack a single byte")
-        moved.append((0, whole))
+        moved.append(whole + 1 << 32)
         return self._state(tuple(moved)), whole
 
     def encode(self, piece: bytes) -> list[int]:
@@ -199,6 +270,47 @@ class Transducer:
                 last = self._settle(state, last, out)
         return out + self._back(last, len(last))
 
+    def encode_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of many short pre-tokens (of a byte at least), worked out side by side."""
+        out = [(self.one[i],) if (i := self.ranks.get(p)) is not None else () for p in pieces]
+        todo = sorted((k for k, ids in enumerate(out) if not ids), key=lambda k: len(pieces[k]), reverse=True)
+        if not todo:
+            return out
+        size = np.array([len(pieces[k]) for k in todo])
+        text = np.frombuffer(b"".join(pieces[k] for k in todo), dtype=np.uint8)
+        begin = np.cumsum(size) - size
+        last = np.empty(len(text), dtype=np.int64)  # last token of the encoding of its piece up to each byte
+        numbered = self.numbered
+        state = np.full(len(todo), self.start.number, dtype=np.int64)
+        for k in range(size[0]):
+            at = begin[: np.searchsorted(-size, -k)] + k  # of the pieces with more than k bytes
+            keys = state[: len(at)] << 8 | text[at]
+            found = self.steps.find(keys)
+            lacking = np.flatnonzero(found < 0)
+            if len(lacking):
+                new, where = np.unique(keys[lacking], return_inverse=True)
+                made = [numbered[key >> 8].step(key & 255) for key in new.tolist()]
+                if self.numbered is not numbered:  # the tables have started anew, so numbers are void
+                    for i in todo:
+                        out[i] = tuple(self.encode(pieces[i]))
+                    return out
+                values = np.array([nxt.number << 32 | token for nxt, token in made], dtype=np.int64)
+                self.steps.add(new, values)
+                found[lacking] = values[where]
+            state[: len(at)] = found >> 32
+            last[at] = found & 0xFFFFFFFF
+        ends = np.zeros(len(text), dtype=bool)  # the bytes at which a token of the encoding ends
+        at, left = begin + size - 1, size
+        while len(at):
+            ends[at] = True
+            step = self.sizes[last[at]]
+            at, left = (at - step)[left > step], (left - step)[left > step]
+        ids = list(map(self.one.__getitem__, last[ends].tolist()))
+        upto = np.cumsum(ends)[begin + size - 1].tolist()
+        for i, a, b in zip(todo, [0, *upto], upto):
+            out[i] = tuple(ids[a:b])
+        return out
+
     def _back(self, last: list[int], at: int) -> list[int]:
         out = []
         while at > 0:
@@ -210,8 +322,8 @@ class Transducer:
     def _settle(self, state: _State, last: list[int], out: list[int]) -> list[int]:
         """Emit the tokens that all live hypotheses share; what is left is not settled."""
         shared: set[int] | None = None
-        for node, _ in state.live:
-            at = len(last) - self.depth[node]
+        for place in state.live:
+            at = len(last) - self.depth[place & _NODE]
             cuts = set()
             while at > 0:
                 cuts.add(at)
@@ -228,55 +340,81 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.transducer = Transducer(ranks)
         self.tokens = {i: t for t, i in ranks.items()}
+        self.decimals = {i: str(i) for i in self.tokens}
         self.find = regex.compile(pattern).findall
-        self.memo = _Memo(self.word)
-        self.known = _Memo(lambda piece: tuple(self.transducer.encode(piece.encode("utf-8", "replace"))))
+        self.memo = _Memo()
+        self.known = _Memo(lambda piece: tuple(self.transducer.encode(piece.encode("utf-8", "replace"))), 4)
 
     def pieces(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
     def encode(self, text: str) -> list[int]:
-        """Ids of ``text``.
+        """Ids of ``text``."""
+        return next(self.encode_run([text]))
+
+    def encode_run(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text; the words of some millions of characters are worked out together.
 
         No pre-token crosses from a character that is not white space to a single space or line
-        break followed by one that isn't either, so such places cut the text into words, which come
+        break followed by one that isn't either, so such places cut a text into words, which come
         from the memo. A text with white space side by side takes the pattern as a whole.
         """
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace():
-            return self.pieces(text)
-        first, *words = text.replace("\n", " \n").split(" ")
-        found = list(map(self.memo.__getitem__, words))
-        if not all(found) or first[-1:].isspace():
-            return self.pieces(text)
-        return list(chain(self.pieces(first), chain.from_iterable(found)))
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word after a space, or after a line break if it begins with one; none if it is not a word."""
-        if word.isascii() and word.isalpha():  # letters are one pre-token
-            return self.known[" " + word]
-        bare = word.removeprefix("\n")
-        if not bare or bare[0].isspace() or bare[-1].isspace():
-            return ()
-        return tuple(self.pieces(word if bare is not word else " " + word))
+        for _, some in runs(texts):
+            number: dict[str, int] = defaultdict(count().__next__)  # of each distinct word
+            cut = []
+            for text in some:
+                if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace():
+                    cut.append(None)
+                else:
+                    first, *words = text.replace("\n", " \n").split(" ")
+                    cut.append((first, list(map(number.__getitem__, words))))
+            ids = self.words(list(number))
+            for text, parts in zip(some, cut):
+                if parts is not None and not parts[0][-1:].isspace() and all(found := list(map(ids.__getitem__, parts[1]))):
+                    yield list(chain(self.pieces(parts[0]), chain.from_iterable(found)))
+                else:
+                    yield self.pieces(text)
+
+    def words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each word after a space, or after a line break if it begins with one; none if it is not a word."""
+        out = list(map(self.memo.get, words))
+        known: dict[str, tuple[int, ...]] = {}
+        new = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            word = words[k]
+            if (ids := self.memo.old.get(word)) is not None:
+                out[k] = known[word] = ids
+            elif not (bare := word.strip()) or (bare != word and "\n" + bare != word):
+                out[k] = ()
+            elif len(word) > MEMO_CHARS:
+                out[k] = tuple(self.pieces(word if word[0] == "\n" else " " + word))
+            else:
+                new.append(k)
+        # as no pre-token crosses from word to word, the pattern can go over all of them at once
+        pieces = self.find("".join([w if w[0] == "\n" else " " + w for w in map(words.__getitem__, new)]))
+        first = [at for at, p in enumerate(pieces) if p[0] == " " or p[0] == "\n"]
+        distinct = list(set(pieces))
+        ids_of = dict(zip(distinct, self.transducer.encode_all([p.encode("utf-8", "replace") for p in distinct])))
+        for k, a, b in zip(new, first, chain(first[1:], [len(pieces)])):
+            out[k] = known[words[k]] = ids_of[pieces[a]] if b == a + 1 else tuple(chain.from_iterable([ids_of[p] for p in pieces[a:b]]))
+        self.memo.keep(known)
+        return out
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text of ``ids`` in parts; bytes that are no UTF-8 become U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        run: list[bytes] = []
-        for token in map(self.tokens.__getitem__, ids):
-            run.append(token)
-            if len(run) == DECODE_RUN:
-                yield machine.decode(b"".join(run))
-                run.clear()
-        yield machine.decode(b"".join(run), final=True)
+        tokens = map(self.tokens.__getitem__, ids)
+        while run := list(islice(tokens, DECODE_RUN)):
+            yield machine.decode(b"".join(run))
+        yield machine.decode(b"", final=True)
 
 
 class _Memo(dict):
     """What ``make`` gives for short strings, in two generations: when the new one is full it becomes the old one, whose
     strings come back as they are met. So memory is bounded, and what is met often stays."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]]) -> None:
-        self.make = make
+    def __init__(self, make: Callable[[str], tuple[int, ...]] | None = None, part: int = 1) -> None:
+        self.make, self.part = make, part
         self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, key: str) -> tuple[int, ...]:
@@ -284,12 +422,17 @@ class _Memo(dict):
         if ids is None:
             ids = self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[key] = ids
+            self.keep({key: ids})
         return ids
 
+    def keep(self, new: dict[str, tuple[int, ...]]) -> None:
+        """Take in what was made elsewhere, or as much of it as a generation holds."""
+        entries = MEMO_ENTRIES // self.part
+        if len(self) + len(new) > entries:
+            self.old = dict(self)
+            self.clear()
+        self.update(new if len(new) <= entries else islice(new.items(), entries))
+
 
 @functools.lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> Codec:
@@ -311,9 +454,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool =
         codec = _codec(ranks_path, pattern)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = codec.encode(text.as_py())
-                digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), codec.encode_run(t.as_py() for t in batch.column(1)), strict=True):
+                digest = hashlib.sha256(",".join(map(codec.decimals.__getitem__, ids)).encode()).hexdigest()
                 back = hashlib.sha256()
                 parts = []
                 for part in codec.decode_stream(ids):

@@ -132,6 +132,33 @@ def test_bpe_starts_its_tables_anew(monkeypatch):
     assert max(map(len, codec.known)) <= bpe.MEMO_CHARS
 
 
+def test_bpe_works_out_the_words_of_a_run_side_by_side(monkeypatch):
+    ranks = bpe.load_ranks(BYTES)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(31)
+    parts = ["an", "tion", "the", "ß", "é", "日本", "7", "%%%", ".", "'s", "x\ty", "x\u00a0", "\u00a0", "\x0b", "\x1c", "w" * 70, "\U0001f642"]
+    words = ["".join(rng.choice(parts, rng.integers(1, 6))) for _ in range(3000)]
+    blanks = [" "] * 60 + ["\n"] * 6
+    texts = ["".join(w + rng.choice(blanks) for w in rng.choice(words, rng.integers(0, 300))) + rng.choice(["", "end"]) for _ in range(80)]
+    texts += ["", " ", "\n", "a\n\nb  c", " a b", "a b ", "a\nb\n", "\nab"]
+    want = [enc.encode_ordinary(t) for t in texts]
+    assert list(bpe.Codec(ranks, public_tokenizers.PATTERN).encode_run(texts)) == want
+    with monkeypatch.context() as small:  # tables and memos that start anew all the time, runs of a few texts
+        small.setattr(bpe, "STATES", 300)
+        small.setattr(bpe, "MEMO_ENTRIES", 200)
+        small.setattr(bpe, "runs", lambda ts: ((k, ts[k : k + 3]) for k in range(0, len(ts), 3)))
+        codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+        assert list(codec.encode_run(texts)) == want
+        assert len(codec.transducer.states) == len(codec.transducer.numbered) <= 300
+        assert len(codec.memo) <= 200 and len(codec.memo.old) <= 200 and len(codec.known) <= 50
+    # only the first word goes alone (before: each distinct word)
+    codec, alone, encode = bpe.Codec(ranks, public_tokenizers.PATTERN), [], bpe.Transducer.encode
+    monkeypatch.setattr(bpe.Transducer, "encode", lambda self, piece: alone.append(piece) or encode(self, piece))
+    text = " ".join("".join(rng.choice(list("aeinorst"), 8)) for _ in range(1000))
+    assert codec.encode(text) == enc.encode_ordinary(text)
+    assert len(alone) == 1
+
+
 def brute_simhash(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
     shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] * bool(w)
