@@ -41,6 +41,8 @@ LOOKAHEAD = 512
 #: entries of each of the two generations of the memo of words; that of other pre-tokens has a quarter
 MEMO_ENTRIES = 500_000
 MEMO_CHARS = 64
+#: words worked out side by side at most
+BATCH_WORDS = 100_000
 _NODE = (1 << 32) - 1
 _HASH = 0x9E3779B97F4A7C15
 DECODE_RUN = 8192
@@ -366,8 +368,8 @@ class Codec:
                 if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace():
                     cut.append(None)
                 else:
-                    first, *words = text.replace("\n", " \n").split(" ")
-                    cut.append((first, list(map(number.__getitem__, words))))
+                    words = iter(text.replace("\n", " \n").split(" "))
+                    cut.append((next(words), list(map(number.__getitem__, words))))
             ids = self.words(list(number))
             for text, parts in zip(some, cut):
                 if parts is not None and not parts[0][-1:].isspace() and all(found := list(map(ids.__getitem__, parts[1]))):
@@ -390,16 +392,26 @@ class Codec:
                 out[k] = tuple(self.pieces(word if word[0] == "\n" else " " + word))
             else:
                 new.append(k)
-        # as no pre-token crosses from word to word, the pattern can go over all of them at once
-        pieces = self.find("".join([w if w[0] == "\n" else " " + w for w in map(words.__getitem__, new)]))
-        first = [at for at, p in enumerate(pieces) if p[0] == " " or p[0] == "\n"]
-        distinct = list(set(pieces))
-        ids_of = dict(zip(distinct, self.transducer.encode_all([p.encode("utf-8", "replace") for p in distinct])))
-        for k, a, b in zip(new, first, chain(first[1:], [len(pieces)])):
-            out[k] = known[words[k]] = ids_of[pieces[a]] if b == a + 1 else tuple(chain.from_iterable([ids_of[p] for p in pieces[a:b]]))
         self.memo.keep(known)
+        for at in range(0, len(new), BATCH_WORDS):
+            some = [words[k] for k in new[at : at + BATCH_WORDS]]
+            made = self._learn(some)
+            for k, word in zip(new[at : at + BATCH_WORDS], some):
+                out[k] = made[word]
+            self.memo.keep(made)
         return out
 
+    def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of words that the memo lacks; as no pre-token crosses from word to word, the pattern goes over all at once."""
+        pieces = self.find("".join([w if w[0] == "\n" else " " + w for w in words]))
+        first = [at for at, p in enumerate(pieces) if p[0] == " " or p[0] == "\n"]
+        distinct = list(set(pieces))
+        ids = dict(zip(distinct, self.transducer.encode_all([p.encode("utf-8", "replace") for p in distinct])))
+        return {
+            word: ids[pieces[a]] if b == a + 1 else tuple(chain.from_iterable([ids[p] for p in pieces[a:b]]))
+            for word, a, b in zip(words, first, chain(first[1:], [len(pieces)]))
+        }
+
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text of ``ids`` in parts; bytes that are no UTF-8 become U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
