@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,8 +75,38 @@ def runs(texts: Iterable[bytes], limit: int = RUN_CHARS) -> Iterator[tuple[int,
         yield first, out
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """What Arrow and the C library keep of freed memory goes back to the system: a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def batchwise(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``each``, a function of a task's batches; memory is given back when they are done."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def tablewise(each: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    """``each`` of a group's tables; memory is given back afterwards."""
+    try:
+        return each(*tables)
+    finally:
+        give_back()
+
+
 _MUL = 0x9E3779B97F4A7C15
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,7 +116,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0..n-1 of an odd number modulo 2**64, and of its inverse."""
     out = []

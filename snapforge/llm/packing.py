@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import runs, shuffle_partitions, text_docs, written
+from snapforge.llm.common import batchwise, runs, shuffle_partitions, text_docs, written
 
 #: Trailing marks that the pre-tokenizer splits from the letters before them (no apostrophe).
 MARKS = ".,;:!?|\"()[]-"
+#: Of each memo; a worker keeps them from task to task. With fewer, the many distinct words push out the frequent ones.
 MEMO_ENTRIES = 400_000
 #: Words of more bytes are encoded anew each time: text without blanks can be one word of any length.
 MEMO_WORD = 64
@@ -142,7 +143,7 @@ def tokenized_pieces(
                     [pa.array(c, type=t) for c, t in zip(cols, kinds, strict=False)], names=names
                 )
 
-    return text_docs(docs).mapInArrow(pieces, schema)
+    return text_docs(docs).mapInArrow(batchwise(pieces), schema)
 
 
 def packing_patterns(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:

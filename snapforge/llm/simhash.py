@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import fresh, keyed, quoted, text_docs, written
+from snapforge.llm.common import batchwise, fresh, keyed, quoted, text_docs, written
 
 BUCKET = 4096
 SEED = 42
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             )
 
     rows = text_docs(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(each, "doc_id long, fp long, h long")
+    return rows.mapInArrow(batchwise(each), "doc_id long, fp long, h long")
 
 
 def covering_masks(radius: int = 2, bits: int = 64) -> list[int]:

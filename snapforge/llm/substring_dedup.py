@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import WordTable, mixed, powers, quoted, runs, shuffle_partitions, window_hashes
+from snapforge.llm.common import WordTable, mixed, powers, quoted, runs, shuffle_partitions, tablewise, window_hashes
 
 WINDOW = 35
 ANCHOR = 12
@@ -40,6 +40,8 @@ ANCHOR = 12
 SEGMENT = 64
 #: Groups and shards per shuffle partition: a group or shard is that part of a partition.
 SPLIT = 2
+#: A group's texts are handed to numpy in runs of about so many bytes.
+TOGETHER = 1_000_000
 
 
 class Segments:
@@ -209,7 +211,7 @@ def _anchors(window: int, shards: int):
     def each(table: pa.Table) -> pa.Table:
         grp = table.column("grp")[0].as_py()
         found, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for _, some in runs(_texts(table)):
+        for _, some in runs(_texts(table), TOGETHER):
             s = Segments(some, window)
             distinct, count = np.unique(s.anchor, return_counts=True)
             found.append(distinct)
@@ -254,16 +256,25 @@ def _segments(window: int, shards: int):
         if not table.num_rows or not len(wanted):
             return _messages([], ["shard", "grp", "blob"])
         grp = table.column("grp")[0].as_py()
-        parts = []
-        for _, some in runs(_texts(table)):
+        parts, texts, counts = [], [], []
+        merged: dict[int, int] = {}  # hash of a segment -> its place; alike ones of all runs become one
+        for _, some in runs(_texts(table), TOGETHER):
             s = Segments(some, window)
             at = np.minimum(np.searchsorted(wanted, s.anchor), len(wanted) - 1)
             mine = np.flatnonzero(wanted[at] == s.anchor)
             hashes, first, count = np.unique(s.hash[mine], return_index=True, return_counts=True)
             first = mine[first]
-            parts.append((s.anchor[first], hashes, count.astype(np.uint32), [s.text(i, window) for i in first.tolist()]))
-        anchor, hashes, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        texts = [t for p in parts for t in p[3]]
+            for i, h, n in zip(first.tolist(), hashes.tolist(), count.tolist(), strict=True):
+                if h not in merged:
+                    merged[h] = len(texts)
+                    texts.append(s.text(i, window))
+                    counts.append(0)
+                counts[merged[h]] += n
+            parts.append((s.anchor[first], hashes))
+        anchor, hashes = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        # texts and counts are by the first place of each hash in the runs, and so are these
+        first = np.sort(np.unique(hashes, return_index=True)[1])
+        anchor, hashes, count = anchor[first], hashes[first], np.array(counts, dtype=np.uint32)
         return _messages(
             [
                 (shard, grp, _packed(anchor[part], hashes[part], count[part], [texts[i] for i in part.tolist()]))
@@ -319,7 +330,7 @@ def removed_words(s: Segments, masks: dict[int, int], window: int) -> np.ndarray
 
 def _judged_texts(texts: list[bytes], masks: dict[int, int], window: int) -> Iterator[tuple[int, np.ndarray, list[bytes] | None]]:
     """(words, whether each is removed, kept words or None if none is removed) of each text."""
-    for _, some in runs(texts):
+    for _, some in runs(texts, TOGETHER):
         s = Segments(some, window)
         gone = removed_words(s, masks, window)
         for a, b, t in zip(s.words.words_before[:-1].tolist(), s.words.words_before[1:].tolist(), some, strict=True):
@@ -344,12 +355,13 @@ def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
 def _meet(dealt: DataFrame, n: int, window: int, each, schema: str) -> DataFrame:
     # every step takes the groups with all their columns, so that Spark reuses the one exchange of the texts
     shards, groups = n * SPLIT, dealt.groupBy("grp")
+    to_anchors, to_segments, to_masks = _anchors(window, shards), _segments(window, shards), _shard(window)
     to_shard, to_group = "shard int, grp int, blob binary", "grp int, none int, found binary"
-    anchors = groups.applyInArrow(_anchors(window, shards), to_shard)
-    repeated = anchors.groupBy("shard").applyInArrow(_repeated_anchors, to_group)
-    segments = groups.cogroup(repeated.groupBy("grp")).applyInArrow(_segments(window, shards), to_shard)
-    masks = segments.groupBy("shard").applyInArrow(_shard(window), to_group)
-    return groups.cogroup(masks.groupBy("grp")).applyInArrow(each, schema)
+    anchors = groups.applyInArrow(lambda t: tablewise(to_anchors, t), to_shard)
+    repeated = anchors.groupBy("shard").applyInArrow(lambda t: tablewise(_repeated_anchors, t), to_group)
+    segments = groups.cogroup(repeated.groupBy("grp")).applyInArrow(lambda t, found: tablewise(to_segments, t, found), to_shard)
+    masks = segments.groupBy("shard").applyInArrow(lambda t: tablewise(to_masks, t), to_group)
+    return groups.cogroup(masks.groupBy("grp")).applyInArrow(lambda t, found: tablewise(each, t, found), schema)
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:

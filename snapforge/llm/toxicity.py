@@ -25,18 +25,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import quoted, text_docs
+from snapforge.llm.common import batchwise, quoted, text_docs
 
 LONGEST = 50
 #: Bound of the training sample: documents of each class, and bytes of one of them.
 PER_CLASS = 3000
 SAMPLE_BYTES = 200_000
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 100_000
 #: Longer words (bytes) are looked up anew each time.
 MEMO_WORD = 64
 #: Expected share of chance picks among the chosen features, and the least number of toxic documents with one.
@@ -156,7 +155,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int)
             )
 
     rows = training_rows(docs, labels, label_col, per_class, SAMPLE_BYTES)
-    found = rows.select("text", "y").mapInArrow(each, "y int, words binary, at binary, sizes binary").collect()  # the bounded sample
+    found = rows.select("text", "y").mapInArrow(batchwise(each), "y int, words binary, at binary, sizes binary").collect()  # the bounded sample
     return sorted((r["y"], bytes(r["words"]), bytes(r["at"]), bytes(r["sizes"])) for r in found)
 
 
@@ -312,7 +311,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "score", "sentences", "offending"],
             )
 
-    return text_docs(docs).mapInArrow(each, schema)
+    return text_docs(docs).mapInArrow(batchwise(each), schema)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -332,9 +331,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     """``docs``, all its columns, without the documents scored 0.5 or more; scored where they are read."""
     model = fit(docs, labels, "toxic", per_class)
 
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = scorer(model)
         for texts in batches:
-            yield pd.Series([of(t.encode())[0] < 0.5 for t in texts], dtype=bool)
+            yield pa.array([of(t.as_buffer().to_pybytes())[0] < 0.5 for t in texts], pa.bool_())
 
-    return docs.where(F.pandas_udf(clean, "boolean")(F.coalesce(quoted("text").cast("string"), F.lit(""))))
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return batchwise(kept)(batches)
+
+    return docs.where(F.arrow_udf(clean, "boolean")(F.coalesce(quoted("text").cast("string"), F.lit(""))))
